@@ -1,10 +1,13 @@
 """The corpus operators' queries and their SQL, by name."""
 
-from lumisift.llm import quality_rules
+from lumisift.llm import decontamination, quality_rules, substring_dedup
 
 QUERIES = {
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
 }
 ORACLES = {
     "op7_quality_rules": quality_rules.ORACLE_SQL,
+    "op10_benchmark_decontamination": decontamination.ORACLE_SQL,
 }
