@@ -1,8 +1,9 @@
 """The corpus operators' queries and their SQL, by name."""
 
-from lumisift.llm import decontamination, quality_rules, substring_dedup
+from lumisift.llm import decontamination, quality_rules, simhash, substring_dedup
 
 QUERIES = {
+    "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
