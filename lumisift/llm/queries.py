@@ -1,11 +1,13 @@
 """The corpus operators' queries and their SQL, by name."""
 
-from lumisift.llm import decontamination, quality_rules, simhash, substring_dedup
+from lumisift.llm import decontamination, hmm, quality_classifier, quality_rules, simhash, substring_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op6_quality_classifier": quality_classifier.op6_quality_classifier,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_hidden_markov_scores": hmm.op8_hidden_markov_scores,
     "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
 }
 ORACLES = {
