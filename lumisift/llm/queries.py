@@ -1,9 +1,10 @@
 """The corpus operators' queries and their SQL, by name."""
 
-from lumisift.llm import decontamination, hmm, quality_classifier, quality_rules, simhash, substring_dedup
+from lumisift.llm import decontamination, hmm, quality_classifier, quality_rules, simhash, substring_dedup, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op3_warc_round_trip": warc.op3_warc_round_trip,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_quality_classifier": quality_classifier.op6_quality_classifier,
     "op7_quality_rules": quality_rules.op7_quality_rules,
@@ -11,6 +12,7 @@ QUERIES = {
     "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
 }
 ORACLES = {
+    "op3_warc_round_trip": warc.ORACLE_SQL,
     "op7_quality_rules": quality_rules.ORACLE_SQL,
     "op10_benchmark_decontamination": decontamination.ORACLE_SQL,
 }
