@@ -36,9 +36,9 @@ def saved(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_row_ids(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(rid, doc_id, text): rid is doc_id where that is unique and not null, else an id written next to each row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def with_row_ids(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(rid, doc_id, text, those to keep): rid is doc_id where that is unique and not null, else an id written next to each row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keep)
     odd = rows.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
     if odd:
         return saved(rows.withColumn("rid", F.monotonically_increasing_id()))

@@ -1,14 +1,17 @@
 """The corpus operators' queries and their SQL, by name."""
 
-from lumisift.llm import decontamination, hmm, quality_classifier, quality_rules, simhash, substring_dedup, warc
+from lumisift.llm import decontamination, hmm, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op2_suffix_array_dedup": suffix_dedup.op2_suffix_array_dedup,
     "op3_warc_round_trip": warc.op3_warc_round_trip,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_quality_classifier": quality_classifier.op6_quality_classifier,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_hidden_markov_scores": hmm.op8_hidden_markov_scores,
+    "op9_token_counts": token_counts.op9_token_counts,
     "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
 }
 ORACLES = {

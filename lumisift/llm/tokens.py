@@ -10,6 +10,10 @@ import base64
 import numpy as np
 
 
+#: Fixed value: the vocabulary's one special token.
+END_OF_TEXT = "<|endoftext|>", 50256
+
+
 class Encoder:
     """Texts to token ids; one for each vocabulary and Python worker."""
 
@@ -21,7 +25,7 @@ class Encoder:
 
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict([END_OF_TEXT]))
 
     @classmethod
     def of(cls, vocabulary: str) -> Encoder:
@@ -29,8 +33,10 @@ class Encoder:
             cls._made[vocabulary] = cls(vocabulary)
         return cls._made[vocabulary]
 
-    def ids(self, text: str) -> np.ndarray:
-        """Unsigned 32-bit ids; the names of special tokens in a text are ordinary text."""
+    def ids(self, text: str, special: bool = False) -> np.ndarray:
+        """Unsigned 32-bit ids; with special, the special token's name in a text is that token, else ordinary text."""
+        if special and END_OF_TEXT[0] in text:
+            return self.ranks.encode_to_numpy(text, allowed_special="all")
         return self.ranks.encode_to_numpy(text, disallowed_special=())
 
 
