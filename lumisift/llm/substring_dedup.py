@@ -132,7 +132,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     """Per row: rid, doc_id, n_words, n_removed, kept (the words left, joined by a space)."""
     rows = with_row_ids(docs)
     anchors = saved(rows.mapInArrow(_anchor_rows(window, gram), ANCHORS))
-    shared = anchors.groupBy("core").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), (F.min("phrase") != F.max("phrase")).alias("several")).filter("a < b").select("core", "several")
+    # written, so that both sides of the join on a hot core can be split
+    shared = saved(anchors.groupBy("core").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), (F.min("phrase") != F.max("phrase")).alias("several")).filter("a < b").select("core", "several"))
     taking = saved(anchors.join(shared, "core"))
     first = taking.groupBy("core", "phrase").agg(F.min(F.struct("doc_id", "rid", "at", "n", "several")).alias("f")).select("core", "phrase", "f.*")
     factors = first.select("core", "phrase", F.col("doc_id").alias("owner"))
