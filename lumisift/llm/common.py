@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,12 @@ def saved(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of phases whose results are written and whose frames are gone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def with_row_ids(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(rid, doc_id, text, those to keep): rid is doc_id where that is unique and not null, else an id written next to each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keep)

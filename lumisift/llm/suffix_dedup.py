@@ -1,11 +1,16 @@
 """Suffix-array dedup: bytes covered by a string of 400 bytes that also starts elsewhere.
 
 Only suffixes that can have such a neighbour are sorted. In each window of 400 bytes the least hash of its short strings
-chooses an anchor, the same in every copy; the windows that chose an anchor make up a phrase, and only phrases whose anchor
-string occurs twice go on (the others' distinguishing prefix is shorter than a window). Their suffixes, cut at the phrase's
-end, are sorted by the prefix-aware distributed merge sort of `suffix_sort`. The common prefix with either neighbour in that
-order tells how many of a phrase's windows are repeated. Windows that neither neighbour explains, at the borders of a
-repeated passage where phrases differ to the left, are looked up by hash among the distinct phrases of the same anchor string.
+chooses an anchor, the same in every copy, and only anchors whose short string occurs twice go on (the others' distinguishing
+prefix is shorter than a window). Windows that chose anchor p start `back` bytes before it; such a window is repeated if some
+other suffix at an equal anchor agrees with p's in back bytes to the left and in 400 - back bytes to the right.
+
+The suffixes at anchors are sorted by the prefix-aware distributed merge sort of `suffix_sort`, those that agree to the right
+for a whole window by what stands to their left, read backward. The common prefixes with some neighbours in that order
+explain windows; the one with the nearest bounds how far any other suffix agrees to the right. A second sort, of what stands
+to the left of equal anchors, bounds how far any other agrees to the left. Windows within both bounds that no neighbour
+explained are few (near copies with different edits on both sides) and are looked up by hash among the suffixes at equal
+anchors.
 
 Null and empty texts have no bytes. Repeated rows are copies of each other: all their bytes from 400 on are covered.
 """
@@ -20,22 +25,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumisift.llm.common import Rolling, blocks_of, byte_rows, mixed, saved, table, window_minima, with_row_ids
+from lumisift.llm.common import Rolling, blocks_of, byte_rows, mixed, release, saved, table, window_minima, with_row_ids
 from lumisift.llm.suffix_sort import common_prefix, cut_at, decoded, front_coded, merged
 
 WINDOW = 400
 #: Bytes in the hashed strings from which anchors are chosen.
-GRAM = 80
+GRAM = 48
 BLOCK_BYTES = 2_000_000
 #: Bytes of suffixes that a task sorts at once, and that a range of the sort should hold; suffixes sampled for splitters.
 RUN_BYTES, RANGE_BYTES, SPLIT_SAMPLE = 24 << 20, 24 << 20, 4096
-#: Odd multipliers of the polynomial hashes, and the seed of the byte values.
+#: Neighbours on either side that a suffix is compared with while some of its windows are unexplained.
+NEIGHBOURS = 8
+#: Odd multipliers of the polynomial hashes, and the hashes that stand for byte values.
 BASES = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
-#: What travels with a suffix.
-IDS = ["rid", "at", "n", "core", "several"]
-SORTED = "rid long, at long, n long, first int, core long, copies int, hashes array<long>"
+#: Kinds of sorted strings: to the right of an anchor and then to its left, or to its left alone.
+RIGHT, LEFT = 0, 1
+#: What travels with a string: the anchor, how far before it its windows start, and the bytes there are to its right.
+IDS = ["rid", "at", "near", "far", "right"]
+SORTED = "kind int, rid long, at long, near int, far int, agrees int, spans array<int>"
 
 
 def _values(text: bytes) -> np.ndarray:
@@ -43,6 +52,8 @@ def _values(text: bytes) -> np.ndarray:
 
 
 def _anchor_rows(window: int, gram: int):
+    """(rid, core, at, near, far): windows starting near to far bytes before `at` chose the anchor there."""
+
     def rows(batches):
         for batch in blocks_of(batches, BLOCK_BYTES):
             out = []
@@ -52,98 +63,188 @@ def _anchor_rows(window: int, gram: int):
                 roll = Rolling(_values(text), BASES[0])
                 chosen = window_minima(roll.all(gram) >> np.uint64(32), window - gram + 1)
                 first = np.flatnonzero(np.diff(chosen, prepend=-1))
-                n = np.diff(np.append(first, len(chosen)))
+                last = np.append(first[1:], len(chosen)) - 1
                 at = chosen[first]
-                phrase = mixed(Rolling(_values(text), BASES[1]).of(first, n + (window - 1)) + (at - first).astype(np.uint64))
-                out.append((np.full(len(at), rid), roll.of(at, gram).view(np.int64), phrase.view(np.int64), first, n))
+                out.append((np.full(len(at), rid), roll.of(at, gram).view(np.int64), at, at - last, at - first))
             if out:
                 cols = [np.concatenate(c) for c in zip(*out)]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(cols, (np.int64, np.int64, np.int64, np.int32, np.int32))], names=["rid", "core", "phrase", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(cols, (np.int64, np.int64, np.int32, np.int32, np.int32))], names=["rid", "core", "at", "near", "far"])
 
     return rows
 
 
-def _suffixes(batch, window: int):
-    """(string, *IDS) of each listed phrase of a batch's documents."""
+def _strings(batch, window: int, gram: int):
+    """(kind, string, *IDS) of each listed anchor of a batch's documents."""
     for rid, text, found in zip(batch.column("rid").to_pylist(), byte_rows(batch.column("text")), batch.column("found").to_pylist()):
         for f in found:
-            yield text[f["at"] : f["at"] + f["n"] + window - 1], rid, f["at"], f["n"], f["core"], int(f["several"])
+            at, far = f["at"], f["far"]
+            right, left = text[at : at + window], text[at - far : at][::-1]
+            ids = rid, at, f["near"], far, len(right)
+            yield RIGHT, right.ljust(window, b"\0") + left, *ids
+            yield LEFT, right[:gram] + left, *ids
 
 
-def _sampled(window: int):
+def _sampled(window: int, gram: int):
     def rows(batches):
         for batch in batches:
-            s, *ids = zip(*_suffixes(batch, window))
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.binary()), *(pa.array(x, pa.int64()) for x in ids)], names=["string", *IDS])
+            kind, string, *ids = zip(*_strings(batch, window, gram))
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(string, pa.binary()), *(pa.array(x, pa.int64()) for x in ids)], names=["kind", "string", *IDS])
 
     return rows
 
 
-def _runs(splitters: list[tuple], window: int):
-    def rows(batches):
-        def emit(run):
-            run.sort()
-            pieces = [(part, front_coded(piece)) for part, piece in cut_at(run, splitters)]
-            return pa.RecordBatch.from_pylist([{"part": part, **p} for part, p in pieces], pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("prefixes", "sizes", "rest", "ids"))]))
+def _runs(splitters: list[list[tuple]], window: int, gram: int):
+    """Sorted, cut and front-coded runs; ranges of the second kind are numbered after those of the first."""
 
-        run, weight = [], 0
+    def rows(batches):
+        def emit(runs):
+            found = []
+            for kind in (RIGHT, LEFT):
+                runs[kind].sort()
+                found += [{"part": part + kind * (len(splitters[RIGHT]) + 1), **front_coded(piece)} for part, piece in cut_at(runs[kind], splitters[kind])]
+            return pa.RecordBatch.from_pylist(found, pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("prefixes", "sizes", "rest", "ids"))]))
+
+        runs, weight = ([], []), 0
         for batch in batches:
-            for x in _suffixes(batch, window):
-                run.append(x)
+            for kind, *x in _strings(batch, window, gram):
+                runs[kind].append(tuple(x))
                 weight += len(x[0]) + 200
                 if weight >= RUN_BYTES:
-                    yield emit(run)
-                    run, weight = [], 0
-        if run:
-            yield emit(run)
+                    yield emit(runs)
+                    runs, weight = ([], []), 0
+        if weight:
+            yield emit(runs)
 
     return rows
 
 
-def _merge(splitters: list[tuple], window: int):
-    """Merge a range; a row per suffix with the windows that its neighbours explain, and hashes where others may be needed."""
-
+class _Suffix:
+    """One string of the first sort among its neighbours: the windows explained, and how far a neighbour agrees to the right."""
+
+    __slots__ = ("agrees", "ids", "open", "shared", "spans", "string")
+
+    def __init__(self, string: bytes, shared: int, ids: list[int]):
+        self.string, self.shared, self.ids = string, shared, ids
+        self.agrees, self.spans, self.open = 0, [], True
+
+    def explain(self, low: int, high: int) -> None:
+        low, high = max(low, self.ids[2]), min(high, self.ids[3])
+        if low <= high and not any(a <= low and high <= b for a, b in self.spans):
+            self.spans.append((low, high))
+            self.open = (low, high) != (self.ids[2], self.ids[3])
+
+    def row(self) -> tuple:
+        return RIGHT, *self.ids[:4], self.agrees, [x for s in self.spans for x in s]
+
+
+def _compare(held: list[_Suffix], new: _Suffix, window: int) -> None:
+    """Hold the new string against those before it, nearest first."""
+    agree = len(new.string)
+    for old, shared in zip(reversed(held), [new.shared, *(h.shared for h in reversed(held))]):
+        agree = min(agree, shared)
+        right = min(agree, window, old.ids[4], new.ids[4])
+        if old is held[-1]:
+            old.agrees, new.agrees = max(old.agrees, right), max(new.agrees, right)
+        if old.open or new.open:
+            left = common_prefix(old.string[window:], new.string[window:])
+            old.explain(window - right, left)
+            new.explain(window - right, left)
+
+
+def _merge_right(strings, following: tuple | None, window: int, gram: int):
+    held: list[_Suffix] = []
+    for string, shared, ids in strings:
+        new = _Suffix(string, shared, ids)
+        if held and shared < gram:
+            yield from (h.row() for h in held)
+            held = []
+        _compare(held, new, window)
+        held.append(new)
+        if len(held) > NEIGHBOURS:
+            yield held.pop(0).row()
+    if held and following:
+        new = _Suffix(following[0], common_prefix(held[-1].string, following[0]), list(following[1:]))
+        if new.shared >= gram:
+            _compare(held, new, window)
+        yield new.row()
+    yield from (h.row() for h in held)
+
+
+def _merge_left(strings, following: tuple | None, gram: int):
+    last, agrees, string = None, 0, b""
+    row = lambda ids, shared: (LEFT, *ids[:4], shared - gram, None)
+    for string, shared, ids in strings:
+        if last:
+            yield row(last, max(agrees, shared))
+        last, agrees = ids, shared
+    if last and following:
+        shared = common_prefix(string, following[0])
+        yield row(following[1:], shared)
+        agrees = max(agrees, shared)
+    if last:
+        yield row(last, agrees)
+
+
+def _merge(splitters: list[list[tuple]], window: int, gram: int):
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(key[0])
-        runs = [decoded(r.prefixes, r.sizes, r.rest, r.ids, len(IDS)) for r in pdf.itertuples()]
-        out = []
-        explained = lambda own, shared: min(own[2], max(0, shared - window + 1))
-
-        def done(string, own, first, copies):
-            core, several = own[3], own[4]
-            hashes = None
-            if several and copies:  # the first of equal strings stands for all
-                hashes = Rolling(_values(string), BASES[1]).all(window).view(np.int64)
-            out.append((own[0], own[1], own[2], first, core, copies, hashes))
-
-        held: list[tuple] = []  # a group of equal strings: (ids, windows explained by what came before)
-        text = b""
-
-        def close(after: int):
-            """after: what the group's last string shares with the next one."""
-            for i, (own, first) in enumerate(held):
-                shared = len(text) if i + 1 < len(held) else after
-                done(text, own, max(first, explained(own, shared)), len(held) if i == 0 else 0)
-
-        for string, shared, own in merged(runs):
-            if held and shared == len(text) == len(string):
-                held.append((own, explained(own, shared)))
-                continue
-            if held:
-                close(shared)
-            text, held = string, [(own, explained(own, shared) if held else 0)]
-        if held:
-            after = 0
-            if part < len(splitters):  # the next range begins with the splitter itself
-                string, *own = splitters[part]
-                after = common_prefix(text, string)
-                out.append((own[0], own[1], own[2], explained(own, after), own[3], 0, None))
-            close(after)
-        return pd.DataFrame(out, columns=["rid", "at", "n", "first", "core", "copies", "hashes"])
+        kind = int(part > len(splitters[RIGHT]))
+        part -= kind * (len(splitters[RIGHT]) + 1)
+        strings = merged([decoded(r.prefixes, r.sizes, r.rest, r.ids, len(IDS)) for r in pdf.itertuples()])
+        following = splitters[kind][part] if part < len(splitters[kind]) else None  # the next range begins with it
+        rows = _merge_left(strings, following, gram) if kind else _merge_right(strings, following, window, gram)
+        return pd.DataFrame(rows, columns=["kind", "rid", "at", "near", "far", "agrees", "spans"])
 
     return merge
 
 
+def _judged(window: int):
+    """(rid, at, low, high, sure): windows starting low to high bytes before `at`, repeated for sure or yet to be looked up."""
+
+    def rows(batches):
+        for batch in batches:
+            out = {k: [] for k in ("rid", "at", "low", "high", "sure")}
+            for rid, at, near, far, right, left, lists in zip(*(batch.column(c).to_pylist() for c in ("rid", "at", "near", "far", "right", "left", "spans"))):
+                spans = sorted((s[i], s[i + 1]) for s in lists or [] for i in range(0, len(s or []), 2))
+                joined: list[list[int]] = []
+                for low, high in spans:
+                    if joined and low <= joined[-1][1] + 1:
+                        joined[-1][1] = max(joined[-1][1], high)
+                    else:
+                        joined.append([low, high])
+                place, end = max(near, window - (right or 0)), min(far, -1 if left is None else left)
+                gaps = []
+                for low, high in [*joined, [end + 1, end + 1]]:
+                    if place < min(low, end + 1):
+                        gaps.append((place, min(low - 1, end)))
+                    place = max(place, high + 1)
+                for sure, found in ((True, joined), (False, gaps)):
+                    for low, high in found:
+                        for k, v in zip(out, (rid, at, low, high, sure)):
+                            out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], names=list(out))
+
+    return rows
+
+
+def _window_hashes(window: int):
+    def rows(batches):
+        for batch in batches:
+            out = []
+            for rid, text, found in zip(batch.column("rid").to_pylist(), byte_rows(batch.column("text")), batch.column("found").to_pylist()):
+                roll = Rolling(_values(text), BASES[1])
+                for f in found:
+                    back = np.arange(max(f["low"], f["at"] + window - len(text)), min(f["high"], f["at"]) + 1)
+                    if len(back):
+                        hashes = roll.of(f["at"] - back, window).view(np.int64)
+                        out.append((np.full(len(back), rid), np.full(len(back), f["core"]), np.full(len(back), f["at"]), back, hashes))
+            if out:
+                cols = [np.concatenate(c) for c in zip(*out)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(cols, (np.int64, np.int64, np.int64, np.int32, np.int64))], names=["rid", "core", "at", "back", "hash"])
+
+    return rows
+
+
 def _cut(keep: tuple[str, ...], as_text: bool):
     def rows(batches):
         for batch in blocks_of(batches, BLOCK_BYTES):
@@ -170,33 +271,68 @@ def _cut(keep: tuple[str, ...], as_text: bool):
     return rows
 
 
+def _candidates(rows: DataFrame, window: int, gram: int) -> DataFrame:
+    """Anchors whose short string occurs twice."""
+    anchors = saved(rows.select("rid", "text").mapInArrow(_anchor_rows(window, gram), "rid long, core long, at int, near int, far int"))
+    # written, so that both sides of the join on a hot core can be split
+    shared = saved(anchors.groupBy("core").agg(F.count("*").alias("times")).filter("times > 1").select("core"))
+    return saved(anchors.join(shared, "core"))
+
+
+def _splitters(rows: DataFrame, taking: DataFrame, count: int, parts: int, window: int, gram: int) -> list[list[tuple]]:
+    """For each kind, strings of the corpus that cut a bounded sample evenly."""
+    if parts <= 1:
+        return [[], []]
+    few = taking.filter(F.pmod(F.xxhash64("rid", "at"), F.lit(max(1, round(count / SPLIT_SAMPLE)))) == 0).limit(2 * SPLIT_SAMPLE)
+    few = few.groupBy("rid").agg(F.collect_list(F.struct("at", "near", "far")).alias("found"))
+    schema = ", ".join(["kind int, string binary", *(f"{c} long" for c in IDS)])
+    sample = rows.join(F.broadcast(few), "rid").select("rid", "text", "found").mapInArrow(_sampled(window, gram), schema).collect()
+    out = []
+    for kind in (RIGHT, LEFT):
+        own = sorted((bytes(r.string), *(r[c] for c in IDS)) for r in sample if r.kind == kind)
+        out.append(sorted({own[len(own) * i // parts] for i in range(1, parts)}) if own else [])
+    return out
+
+
+def _sort_and_judge(rows: DataFrame, taking: DataFrame, window: int, gram: int) -> DataFrame:
+    spark = rows.sparkSession
+    total = taking.agg(F.count("*").alias("k"), F.sum(F.col("far") + window).alias("bytes")).first()
+    parts = max(1, -(-(total.bytes or 0) // RANGE_BYTES), min(spark.sparkContext.defaultParallelism, total.k // 1000))
+    splitters = _splitters(rows, taking, total.k, parts, window, gram)
+    listed = taking.groupBy("rid").agg(F.collect_list(F.struct("at", "near", "far")).alias("found"))
+    pieces = rows.select("rid", "text").join(listed, "rid").mapInArrow(_runs(splitters, window, gram), "part int, prefixes binary, sizes binary, rest binary, ids binary")
+    done = saved(pieces.groupBy("part").applyInPandas(_merge(splitters, window, gram), SORTED))
+    right, left = F.when(F.col("kind") == RIGHT, F.col("agrees")), F.when(F.col("kind") == LEFT, F.col("agrees"))
+    by_anchor = done.groupBy("rid", "at").agg(F.max("near").alias("near"), F.max("far").alias("far"), F.max(right).alias("right"), F.max(left).alias("left"), F.collect_list("spans").alias("spans"))
+    return saved(by_anchor.mapInArrow(_judged(window), "rid long, at long, low int, high int, sure boolean"))
+
+
+def _looked_up(rows: DataFrame, taking: DataFrame, judged: DataFrame, window: int) -> DataFrame:
+    """(rid, at, back): windows yet to be judged that occur twice at equal anchors."""
+    unsure = judged.filter("not sure").drop("sure")
+    asking = saved(unsure.join(taking.select("rid", F.col("at").cast("long").alias("at"), "core"), ["rid", "at"]))
+    spans = asking.groupBy("core").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    targets = taking.join(spans, "core").select("rid", F.struct("core", F.col("at").cast("long").alias("at"), "low", "high").alias("f"))
+    listed = targets.groupBy("rid").agg(F.collect_list("f").alias("found"))
+    windows = saved(rows.select("rid", "text").join(listed, "rid").mapInArrow(_window_hashes(window), "rid long, core long, at long, back int, hash long"))
+    twice = saved(windows.groupBy("core", "hash").agg(F.count("*").alias("times")).filter("times > 1").select("core", "hash"))
+    found = windows.join(twice, ["core", "hash"], "left_semi")
+    return saved(found.join(asking.select("rid", "at", "low", "high"), ["rid", "at"]).filter("back between low and high").select("rid", "at", "back"))
+
+
 def repeated_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(rid, a, b): byte spans of rows (rid, text) that repeated windows cover; they may overlap."""
-    anchors = saved(rows.select("rid", "text").mapInArrow(_anchor_rows(window, gram), "rid long, core long, phrase long, at int, n int"))
-    shared = anchors.groupBy("core").agg(F.count("*").alias("times"), (F.min("phrase") != F.max("phrase")).alias("several")).filter("times > 1").select("core", "several")
-    taking = saved(anchors.select("rid", "core", "at", "n").join(shared, "core"))
-    total = taking.agg(F.count("*").alias("k"), F.sum(F.col("n") + (window - 1)).alias("bytes")).first()
     spark = rows.sparkSession
-    if not total.k:
-        return spark.createDataFrame([], "rid long, a int, b int")
-    listed = F.collect_list(F.struct("at", "n", "core", "several")).alias("found")
-    parts = max(1, -(-total.bytes // RANGE_BYTES), min(spark.sparkContext.defaultParallelism, total.k // 1000))
-    splitters: list[tuple] = []
-    if parts > 1:
-        ten = max(1, round(total.k / SPLIT_SAMPLE))
-        few = taking.filter(F.pmod(F.xxhash64("rid", "at"), F.lit(ten)) == 0).limit(2 * SPLIT_SAMPLE).groupBy("rid").agg(listed)
-        sample = sorted((bytes(r.string), *(r[c] for c in IDS)) for r in rows.join(F.broadcast(few), "rid").select("rid", "text", "found").mapInArrow(_sampled(window), ", ".join(["string binary", *(f"{c} long" for c in IDS)])).toLocalIterator())
-        splitters = [sample[len(sample) * i // parts] for i in range(1, parts)] if len(sample) >= parts else sample
-        splitters = sorted(set(splitters))
-    listed_rows = rows.select("rid", "text").join(taking.groupBy("rid").agg(listed), "rid")
-    pieces = listed_rows.mapInArrow(_runs(splitters, window), "part int, prefixes binary, sizes binary, rest binary, ids binary")
-    done = saved(pieces.groupBy("part").applyInPandas(_merge(splitters, window), SORTED))
-    windows = done.filter("hashes is not null").select("rid", "at", "first", "core", F.least("copies", F.lit(2)).alias("weight"), F.posexplode("hashes").alias("place", "hash"))
-    twice = windows.groupBy("core", "hash").agg(F.sum("weight").alias("times")).filter("times > 1").select("core", "hash")
-    # copies of a phrase explain each other; what is left are phrases that occur once
-    crossing = windows.filter("weight = 1 and place >= first").join(twice, ["core", "hash"], "left_semi").select("rid", (F.col("at") + F.col("place")).cast("int").alias("a"), (F.col("at") + F.col("place") + window).cast("int").alias("b"))
-    explained = done.filter("first > 0").select("rid", F.col("at").cast("int").alias("a"), (F.col("at") + F.col("first") + (window - 1)).cast("int").alias("b"))
-    return explained.unionByName(crossing)
+    taking = _candidates(rows, window, gram)
+    release(spark)
+    judged = _sort_and_judge(rows, taking, window, gram)
+    release(spark)
+    sure = judged.filter("sure").select("rid", (F.col("at") - F.col("high")).cast("int").alias("a"), (F.col("at") - F.col("low") + window).cast("int").alias("b"))
+    if judged.filter("not sure").isEmpty():
+        return sure
+    found = _looked_up(rows, taking, judged, window)
+    release(spark)
+    return sure.unionByName(found.select("rid", (F.col("at") - F.col("back")).cast("int").alias("a"), (F.col("at") - F.col("back") + window).cast("int").alias("b")))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
