@@ -82,7 +82,7 @@ def with_rank(df: DataFrame, by: list[Column], name: str = "rank") -> DataFrame:
     give the offsets. A table that is known to be small is numbered by one window.
     """
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(size.toString()) <= ONE_TASK_BYTES:
+    if int(str(size)) <= ONE_TASK_BYTES:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*by)).cast("long"))
     spark, path = df.sparkSession, shared_folder(df)
     df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
