@@ -461,3 +461,6 @@ def keep_rest(spark, d):
 def shift_range(spark, d):
     ranked = orders.with_rank(adapters.items(spark, d).select("id", "ts"), orders.grid_order())
     return decisions.shift_range(ranked, "5", "99")
+
+
+from lumisift.plans import passes as _passes  # noqa: E402,F401  registers its queries too
