@@ -16,6 +16,7 @@ import itertools
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -140,9 +141,8 @@ def _matcher(plan: dict[bytes, list], slop: int):
             for doc, first, last in merged:
                 for k, v in zip(res, (doc, item, first, last)):
                     res[k].append(v)
-        import pandas as pd
-
-        return pd.DataFrame(res).assign(block=rows.block.iloc[0] if len(rows) else 0)[["block", "ordinal", "item_id", "first", "last"]]
+        block = rows.block.iloc[0]
+        return pd.DataFrame({"block": pd.Series([block] * len(res["item_id"]), dtype="int64")} | {k: pd.Series(v, dtype=object if k == "item_id" else "int32") for k, v in res.items()})
 
     return match
 
