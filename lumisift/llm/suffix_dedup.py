@@ -35,7 +35,7 @@ BLOCK_BYTES = 2_000_000
 #: Bytes of suffixes that a task sorts at once, and that a range of the sort should hold; suffixes sampled for splitters.
 RUN_BYTES, RANGE_BYTES, SPLIT_SAMPLE = 24 << 20, 24 << 20, 4096
 #: Neighbours on either side that a suffix is compared with while some of its windows are unexplained.
-NEIGHBOURS = 8
+NEIGHBOURS = 16
 #: Odd multipliers of the polynomial hashes, and the hashes that stand for byte values.
 BASES = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
@@ -44,7 +44,7 @@ _VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1
 RIGHT, LEFT = 0, 1
 #: What travels with a string: the anchor, how far before it its windows start, and the bytes there are to its right.
 IDS = ["rid", "at", "near", "far", "right"]
-SORTED = "kind int, rid long, at long, near int, far int, agrees int, spans array<int>"
+SORTED = "kind int, rid long, at long, near int, far int, agrees int, copy boolean, spans array<int>"
 
 
 def _values(text: bytes) -> np.ndarray:
@@ -121,11 +121,11 @@ def _runs(splitters: list[list[tuple]], window: int, gram: int):
 class _Suffix:
     """One string of the first sort among its neighbours: the windows explained, and how far a neighbour agrees to the right."""
 
-    __slots__ = ("agrees", "ids", "open", "shared", "spans", "string")
+    __slots__ = ("agrees", "copy", "ids", "open", "shared", "spans", "string")
 
     def __init__(self, string: bytes, shared: int, ids: list[int]):
         self.string, self.shared, self.ids = string, shared, ids
-        self.agrees, self.spans, self.open = 0, [], True
+        self.agrees, self.spans, self.open, self.copy = 0, [], True, False
 
     def explain(self, low: int, high: int) -> None:
         low, high = max(low, self.ids[2]), min(high, self.ids[3])
@@ -134,7 +134,7 @@ class _Suffix:
             self.open = (low, high) != (self.ids[2], self.ids[3])
 
     def row(self) -> tuple:
-        return RIGHT, *self.ids[:4], self.agrees, [x for s in self.spans for x in s]
+        return RIGHT, *self.ids[:4], self.agrees, self.copy, [x for s in self.spans for x in s]
 
 
 def _compare(held: list[_Suffix], new: _Suffix, window: int) -> None:
@@ -144,6 +144,7 @@ def _compare(held: list[_Suffix], new: _Suffix, window: int) -> None:
         agree = min(agree, shared)
         right = min(agree, window, old.ids[4], new.ids[4])
         if old is held[-1]:
+            new.copy = new.ids[2:] == old.ids[2:] and new.string == old.string
             old.agrees, new.agrees = max(old.agrees, right), max(new.agrees, right)
         if old.open or new.open:
             left = common_prefix(old.string[window:], new.string[window:])
@@ -172,7 +173,7 @@ def _merge_right(strings, following: tuple | None, window: int, gram: int):
 
 def _merge_left(strings, following: tuple | None, gram: int):
     last, agrees, string = None, 0, b""
-    row = lambda ids, shared: (LEFT, *ids[:4], shared - gram, None)
+    row = lambda ids, shared: (LEFT, *ids[:4], shared - gram, False, None)
     for string, shared, ids in strings:
         if last:
             yield row(last, max(agrees, shared))
@@ -193,18 +194,21 @@ def _merge(splitters: list[list[tuple]], window: int, gram: int):
         strings = merged([decoded(r.prefixes, r.sizes, r.rest, r.ids, len(IDS)) for r in pdf.itertuples()])
         following = splitters[kind][part] if part < len(splitters[kind]) else None  # the next range begins with it
         rows = _merge_left(strings, following, gram) if kind else _merge_right(strings, following, window, gram)
-        return pd.DataFrame(rows, columns=["kind", "rid", "at", "near", "far", "agrees", "spans"])
+        return pd.DataFrame(rows, columns=["kind", "rid", "at", "near", "far", "agrees", "copy", "spans"])
 
     return merge
 
 
 def _judged(window: int):
-    """(rid, at, low, high, sure): windows starting low to high bytes before `at`, repeated for sure or yet to be looked up."""
+    """(rid, at, low, high, sure): windows starting low to high bytes before `at`, repeated for sure or yet to be looked up.
+
+    Of each distinct suffix one row with all its windows and sure null: what others are looked up in.
+    """
 
     def rows(batches):
         for batch in batches:
             out = {k: [] for k in ("rid", "at", "low", "high", "sure")}
-            for rid, at, near, far, right, left, lists in zip(*(batch.column(c).to_pylist() for c in ("rid", "at", "near", "far", "right", "left", "spans"))):
+            for rid, at, near, far, right, left, copy, lists in zip(*(batch.column(c).to_pylist() for c in ("rid", "at", "near", "far", "right", "left", "copy", "spans"))):
                 spans = sorted((s[i], s[i + 1]) for s in lists or [] for i in range(0, len(s or []), 2))
                 joined: list[list[int]] = []
                 for low, high in spans:
@@ -218,7 +222,7 @@ def _judged(window: int):
                     if place < min(low, end + 1):
                         gaps.append((place, min(low - 1, end)))
                     place = max(place, high + 1)
-                for sure, found in ((True, joined), (False, gaps)):
+                for sure, found in ((True, joined), (False, gaps), (None, [] if copy else [(near, far)])):
                     for low, high in found:
                         for k, v in zip(out, (rid, at, low, high, sure)):
                             out[k].append(v)
@@ -234,13 +238,15 @@ def _window_hashes(window: int):
             for rid, text, found in zip(batch.column("rid").to_pylist(), byte_rows(batch.column("text")), batch.column("found").to_pylist()):
                 roll = Rolling(_values(text), BASES[1])
                 for f in found:
-                    back = np.arange(max(f["low"], f["at"] + window - len(text)), min(f["high"], f["at"]) + 1)
-                    if len(back):
-                        hashes = roll.of(f["at"] - back, window).view(np.int64)
-                        out.append((np.full(len(back), rid), np.full(len(back), f["core"]), np.full(len(back), f["at"]), back, hashes))
+                    back = np.arange(f["low"], f["high"] + 1)
+                    hashes = roll.of(f["at"] - back, window).view(np.int64)
+                    asked = np.zeros(len(back), bool)
+                    for a in f["asks"]:
+                        asked[a["low"] - f["low"] : a["high"] - f["low"] + 1] = True
+                    out.append((np.full(len(back), rid), np.full(len(back), f["core"]), np.full(len(back), f["at"]), back, hashes, asked))
             if out:
                 cols = [np.concatenate(c) for c in zip(*out)]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(cols, (np.int64, np.int64, np.int64, np.int32, np.int64))], names=["rid", "core", "at", "back", "hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(cols, (np.int64, np.int64, np.int64, np.int32, np.int64, bool))], names=["rid", "core", "at", "back", "hash", "asked"])
 
     return rows
 
@@ -303,21 +309,23 @@ def _sort_and_judge(rows: DataFrame, taking: DataFrame, window: int, gram: int)
     pieces = rows.select("rid", "text").join(listed, "rid").mapInArrow(_runs(splitters, window, gram), "part int, prefixes binary, sizes binary, rest binary, ids binary")
     done = saved(pieces.groupBy("part").applyInPandas(_merge(splitters, window, gram), SORTED))
     right, left = F.when(F.col("kind") == RIGHT, F.col("agrees")), F.when(F.col("kind") == LEFT, F.col("agrees"))
-    by_anchor = done.groupBy("rid", "at").agg(F.max("near").alias("near"), F.max("far").alias("far"), F.max(right).alias("right"), F.max(left).alias("left"), F.collect_list("spans").alias("spans"))
+    by_anchor = done.groupBy("rid", "at").agg(F.max("near").alias("near"), F.max("far").alias("far"), F.max(right).alias("right"), F.max(left).alias("left"), F.bool_or("copy").alias("copy"), F.collect_list("spans").alias("spans"))
     return saved(by_anchor.mapInArrow(_judged(window), "rid long, at long, low int, high int, sure boolean"))
 
 
 def _looked_up(rows: DataFrame, taking: DataFrame, judged: DataFrame, window: int) -> DataFrame:
     """(rid, at, back): windows yet to be judged that occur twice at equal anchors."""
-    unsure = judged.filter("not sure").drop("sure")
-    asking = saved(unsure.join(taking.select("rid", F.col("at").cast("long").alias("at"), "core"), ["rid", "at"]))
-    spans = asking.groupBy("core").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    targets = taking.join(spans, "core").select("rid", F.struct("core", F.col("at").cast("long").alias("at"), "low", "high").alias("f"))
-    listed = targets.groupBy("rid").agg(F.collect_list("f").alias("found"))
-    windows = saved(rows.select("rid", "text").join(listed, "rid").mapInArrow(_window_hashes(window), "rid long, core long, at long, back int, hash long"))
-    twice = saved(windows.groupBy("core", "hash").agg(F.count("*").alias("times")).filter("times > 1").select("core", "hash"))
-    found = windows.join(twice, ["core", "hash"], "left_semi")
-    return saved(found.join(asking.select("rid", "at", "low", "high"), ["rid", "at"]).filter("back between low and high").select("rid", "at", "back"))
+    anchors = taking.select("rid", F.col("at").cast("long").alias("at"), "core")
+    asking = saved(judged.filter("not sure").groupBy("rid", "at").agg(F.collect_list(F.struct("low", "high")).alias("asks"), F.min("low").alias("ask_low"), F.max("high").alias("ask_high")).join(anchors, ["rid", "at"]))
+    spans = saved(asking.groupBy("core").agg(F.min("ask_low").alias("core_low"), F.max("ask_high").alias("core_high")))
+    # of the distinct suffixes at those anchors, the windows that anyone asks for
+    held = judged.filter("sure is null").select("rid", "at", "low", "high").join(anchors, ["rid", "at"]).join(spans, "core")
+    held = held.join(asking.select("rid", "at", "asks"), ["rid", "at"], "left")
+    held = held.withColumn("low", F.greatest("low", "core_low")).withColumn("high", F.least("high", "core_high")).filter("low <= high")
+    listed = held.groupBy("rid").agg(F.collect_list(F.struct("core", "at", "low", "high", F.coalesce("asks", F.array().cast("array<struct<low:int,high:int>>")).alias("asks"))).alias("found"))
+    windows = saved(rows.select("rid", "text").join(listed, "rid").mapInArrow(_window_hashes(window), "rid long, core long, at long, back int, hash long, asked boolean"))
+    twice = saved(windows.groupBy("core", "hash").agg(F.count("*").alias("times"), F.bool_or("asked").alias("asked")).filter("times > 1 and asked").select("core", "hash"))
+    return saved(windows.filter("asked").join(twice, ["core", "hash"], "left_semi").select("rid", "at", "back"))
 
 
 def repeated_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
