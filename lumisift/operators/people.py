@@ -191,7 +191,7 @@ def carry_names(groups: DataFrame, previous: DataFrame, eps: float = CARRY_EPS)
                 out.append((g, name))
         return pd.DataFrame(out, columns=["group_id", "name"])
 
-    chosen = near.groupBy(F.lit(0)).applyInPandas(choose, "group_id int, name string")
+    chosen = near.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(choose, "group_id int, name string")
     return groups.drop("name").join(chosen, "group_id", "left")
 
 
