@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
-from lumisift.llm.common import shared_dir, table
+from lumisift.llm.common import saved, shared_dir, table
 
 #: Payloads shorter than this are never made revisits.
 LEAST_BYTES = 1000
@@ -47,7 +47,8 @@ def with_revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("payload_bytes", F.octet_length("html").cast("long"))
     same = rows.filter(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    out = rows.join(same, ["digest", "payload_bytes"], "left")
+    # written, so that Spark knows its size and can split the pages of a hot payload
+    out = rows.join(saved(same), ["digest", "payload_bytes"], "left")
     return out.withColumn("refers_to", F.when(F.col("first") != F.col("page_id"), F.col("first"))).drop("first")
 
 
