@@ -264,6 +264,20 @@ def measure(images: DataFrame) -> DataFrame:
     return images.select("id", "width", "height", "channels", "data").mapInPandas(rows, f"id string, {MEASURES}, error string")
 
 
+def with_detections(measured: DataFrame, found: DataFrame, method: str = "ultraface") -> DataFrame:
+    """Faces of a detector (photo_id, face_score, face_count, face_box, face_area) in place of the guess, which stays where it said nothing.
+
+    Applied for a native detector first and a trained one after it, the better tier wins.
+    """
+    names = ("face_score", "face_count", "face_box", "face_area")
+    tier = found.select(F.col("photo_id").alias("id"), *[F.col(n).alias(f"_{n}") for n in names], F.lit(method).alias("_method"))
+    out = measured.join(tier, "id", "left")
+    hit = F.col("_method").isNotNull()
+    changes = {n: F.when(hit, F.col(f"_{n}")).otherwise(F.col(n)) for n in names}
+    changes |= {"face_method": F.coalesce("_method", "face_method"), "skin_frac": F.when(hit, F.lit(0.0)).otherwise(F.col("skin_frac"))}
+    return out.withColumns(changes).drop("_method", *[f"_{n}" for n in names])
+
+
 #: Digits that persisted measurements keep.
 DIGITS = {
     "lap_var": 1, "local_sharp": 1, "lum_mean": 2, "lum_sd": 2, "dark_frac": 4, "bright_frac": 4, "sat_mean": 4, "gray_frac": 4, "palette_frac": 4, "flat_ratio": 4,

@@ -193,6 +193,16 @@ def percent(x: Column) -> Column:
     return F.concat(F.floor(x * 100 + F.lit(0.5)).cast("string"), F.lit("%"))
 
 
+def number_text(n: Column) -> Column:
+    """With thousands separators; null is 0."""
+    return F.format_number(F.coalesce(n, F.lit(0)), 0)
+
+
+def date_input(ts: Column) -> Column:
+    """As a date field takes it: empty without a date."""
+    return F.coalesce(day_key(ts), F.lit(""))
+
+
 def duration_text(seconds: Column) -> Column:
     """45s, 2 min, 2m05."""
     m, s = F.floor(seconds / 60), seconds % 60

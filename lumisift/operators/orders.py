@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumisift.functions.scalars import item_bytes
+from lumisift.functions.scalars import duration_text, format_bytes, format_date, item_bytes, percent
 
 
 def people_likelihood() -> Column:
@@ -103,3 +103,16 @@ def neighbours(items: DataFrame, order: str) -> DataFrame:
     a = ranked.select(F.col("id").alias("previous"), (F.col("rank") + 1).alias("rank"))
     b = ranked.select(F.col("id").alias("next"), (F.col("rank") - 1).alias("rank"))
     return ranked.join(a, "rank", "left").join(b, "rank", "left").select("id", "previous", "next")
+
+
+def tile_facts(matches: DataFrame) -> DataFrame:
+    """What a tile says of a filtered row: three labels, date, size, duration, and the presence score where noFace matched."""
+    weight = item_bytes(F.col("space_taken"), F.col("size_bytes"))
+    return matches.select(
+        "id",
+        F.slice("matched", 1, 3).alias("labels"),
+        format_date(F.col("ts"), F.lit("day")).alias("date"),
+        F.when(weight > 0, format_bytes(weight)).alias("size"),
+        F.when(F.col("is_video"), duration_text(F.col("duration"))).alias("duration"),
+        F.when(F.array_contains("matched", "noFace"), percent(F.coalesce(F.col("features.face_score"), F.lit(0.0)))).alias("presence"),
+    )

@@ -132,3 +132,25 @@ def regroup(cat: C.Catalogue, eps: float = people.SHIPPED_EPS) -> DataFrame:
     groups, photos = people.regroup(cat.read("faces"), previous, eps)
     cat.write("items", C.save_people(cat.read("items"), photos).select(cat.read("items").columns))
     return groups
+
+
+def full_run(
+    spark: SparkSession,
+    folder: str,
+    cat: C.Catalogue,
+    run: RunParams,
+    checkpoint: str,
+    kernel: Callable[[DataFrame], DataFrame] | None = None,
+    detect: Callable[[DataFrame], DataFrame] | None = None,
+    info: DataFrame | None = None,
+) -> dict:
+    """Listing, sizes, analysis, faces and groups in turn; each writes what it has before the next one starts."""
+    out: dict = {"listing": list_pages(spark, folder, cat, run, checkpoint)}
+    if info is not None:
+        fill_sizes(cat, info)
+    if kernel is not None:
+        out["analysis"] = analyse_pending(cat, kernel)
+    if detect is not None:
+        out["faces"] = scan_faces(cat, detect)
+        out["groups"] = regroup(cat, run.eps)
+    return out

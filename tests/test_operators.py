@@ -224,3 +224,9 @@ def test_params():
     assert p.person_ids == (4,) and p.enabled == {"withPerson"} and p.toggle_person(4).enabled == frozenset()
     assert QueryParams(enabled={"withPerson"}).blocked(True)[0].enabled == frozenset()
     assert QueryParams(blur_min=0.1).reset("blur_min").blur_min == 0.6
+
+
+def test_tile_facts(spark):
+    rows = [item("a", size_bytes=2048, features={"face_score": 0.2, "skin_frac": 0.0}), item("b", is_video=True, duration=125, ts=None)]
+    out = orders.tile_facts(LibraryQuery(spark.createDataFrame(rows, ITEM), QueryParams(enabled={"noFace", "longVideo"})).matches())
+    assert {r.id: tuple(r)[1:] for r in out.collect()} == {"a": (["noFace"], "1 Jan 2023", "2.0 KB", None, "20%"), "b": (["longVideo"], "Unknown date", None, "2m05", None)}

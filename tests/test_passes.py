@@ -255,3 +255,23 @@ def test_upsert_is_idempotent(spark):
     assert {tuple(r) for r in once.collect()} == {("a", 1, "new", True), ("b", None, "y", False), ("c", 5, None, False)}
     assert {tuple(r) for r in C.upsert_items(once, batch).drop("added", "touched").collect()} == {tuple(r) for r in once.collect()}
     assert {tuple(r) for r in C.upsert_items(once, batch.select("id")).drop("added", "touched").collect()} == {tuple(r) for r in once.collect()}
+
+
+def test_detector_tiers(spark):
+    measured = spark.createDataFrame([("a", 0.4, 0, None, 0.0, "heuristic", 0.3), ("b", 0.6, 1, None, 0.0, "heuristic", 0.2)], "id string, face_score double, face_count int, face_box array<double>, face_area double, face_method string, skin_frac double")
+    found = spark.createDataFrame([("a", 0.9, 2, [0.0, 0.0, 0.5, 0.5], 0.25)], "photo_id string, face_score double, face_count int, face_box array<double>, face_area double")
+    got = {r.id: (r.face_score, r.face_count, r.face_method, r.skin_frac) for r in K.with_detections(measured, found).collect()}
+    assert got == {"a": (0.9, 2, "ultraface", 0.0), "b": (0.6, 1, "heuristic", 0.2)}
+
+
+def test_full_run(spark, tmp_path):
+    folder = tmp_path / "pages"
+    folder.mkdir()
+    (folder / "1.jsonl").write_text(page_json([_item("a", 50), _item("b", 40)]) + "\n")
+    cat = C.Catalogue(spark, f"file:{tmp_path}/cat")
+    info = spark.createDataFrame([("a", "f.jpg", 9, 8, True, True)], "id string, file_name string, size_bytes long, space_taken long, takes_up_space boolean, is_original_quality boolean")
+    out = ingest.full_run(spark, str(folder), cat, RunParams(), str(tmp_path / "cp"), info=info)
+    assert out["listing"].discovered == 2
+    assert {r.id: (r.size_bytes, r.label) for r in cat.read("items").collect()} == {"a": (9, "f.jpg"), "b": (None, None)}
+    cat.export_json(f"file:{tmp_path}/out", {"sort": "newest"})
+    assert spark.read.json(f"file:{tmp_path}/out/items").count() == 2
