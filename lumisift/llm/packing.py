@@ -29,7 +29,7 @@ CAPACITY = 1024
 #: Follows each document's ids.
 END = 2
 #: Pieces on an island; individuals, generations an epoch, epochs, and migrants an island.
-ISLAND, POPULATION, GENERATIONS, EPOCHS, MIGRANTS = 4_000, 4, 4, 2, 64
+ISLAND, POPULATION, GENERATIONS, EPOCHS, MIGRANTS = 16_000, 4, 8, 2, 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -72,6 +72,25 @@ def best_fit(bins: list[list[int]], room: list[int], pieces, sizes) -> None:
             bisect.insort(order, (room[i], i))
 
 
+def swap_in(bins: list[list[int]], room: list[int], pieces: list[int], sizes) -> list[int]:
+    """Where a sequence has room, exchange one of its pieces for a larger loose one that fits; returns the loose pieces, now smaller."""
+    loose = sorted((sizes[p], p) for p in pieces)
+    for i, left in enumerate(room):
+        if not left or not loose:
+            continue
+        for j, p in enumerate(bins[i]):
+            k = bisect.bisect_right(loose, (sizes[p] + left, len(sizes))) - 1
+            if k >= 0 and loose[k][0] > sizes[p]:
+                size, q = loose.pop(k)
+                bins[i][j] = q
+                left -= size - sizes[p]
+                bisect.insort(loose, (sizes[p], p))
+                if not left:
+                    break
+        room[i] = left
+    return [p for _, p in loose]
+
+
 class Grouping:
     """An individual: sequences of pieces, and the room left in each."""
 
@@ -104,7 +123,7 @@ class Grouping:
             else:
                 loose.extend(p for p in b if p not in taken)
         out = Grouping(bins, self.sizes)
-        best_fit(out.bins, out.room, loose, self.sizes)
+        best_fit(out.bins, out.room, swap_in(out.bins, out.room, loose, self.sizes), self.sizes)
         return out
 
     def shaken(self, rng, share: float = 0.05) -> Grouping:
@@ -112,7 +131,8 @@ class Grouping:
         order = np.argsort(-np.array(self.room), kind="stable")
         drop = set(order[: max(1, int(len(order) * share))].tolist()) | set(rng.integers(0, len(order), max(1, int(len(order) * share))).tolist())
         out = Grouping([list(b) for i, b in enumerate(self.bins) if i not in drop], self.sizes)
-        best_fit(out.bins, out.room, [p for i in drop for p in self.bins[i]], self.sizes)
+        loose = [p for i in sorted(drop) for p in self.bins[i]]
+        best_fit(out.bins, out.room, swap_in(out.bins, out.room, loose, self.sizes), self.sizes)
         return out
 
 
