@@ -47,7 +47,7 @@ def split_page(items: DataFrame, known: DataFrame, older_than: int | None) -> Da
     return marked.withColumn("verdict", verdict).drop("_known")
 
 
-def list_pages(spark: SparkSession, folder: str, cat: C.Catalogue, run: RunParams, checkpoint: str, now: int = 0) -> ListingStats:
+def list_pages(spark: SparkSession, folder: str, cat: C.Catalogue, run: RunParams, checkpoint: str, now: int = 0, batch_pages: int = 200) -> ListingStats:
     """Read new pages into the catalogue; the stream's checkpoint is the position within them.
 
     A run that follows a completed one stops after `barren_pages` batches in a row without anything new.
@@ -87,9 +87,13 @@ def list_pages(spark: SparkSession, folder: str, cat: C.Catalogue, run: RunParam
             done=start.reason == "completed" and barren >= run.barren_pages,
         )
 
-    stream = spark.readStream.format("listing_pages").option("max_pages", 10).load(folder)
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    while True:  # availableNow gives this source one batch a start
+        before = state[0].pages
+        stream = spark.readStream.format("listing_pages").option("max_pages", batch_pages).load(folder)
+        query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        if state[0].pages == before or state[0].done or state[0].limit_reached:
+            break
     s = state[0]
     cat.set_meta("cursor", P.Cursor(run.older_than, s.last, None, not s.limit_reached, cat.ids().count()).to_json())
     cat.note_progress(s.oldest)

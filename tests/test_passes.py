@@ -220,8 +220,8 @@ def test_listing_and_passes_are_incremental(spark, tmp_path):
     (folder / "1.jsonl").write_text(page_json([_item("a", 50), _item("b", 40, thumb=None), _item("z", 99)], "n") + "\n" + page_json([_item("c", 30), _item("a", 50)], None) + "\n")
     cat = C.Catalogue(spark, f"file:{tmp_path}/cat")
     run = RunParams(older_than=90)
-    s = ingest.list_pages(spark, str(folder), cat, run, str(tmp_path / "cp"))
-    assert (s.discovered, s.already_known, s.skipped_recent, s.skipped_no_thumb) == (2, 1, 1, 1)
+    s = ingest.list_pages(spark, str(folder), cat, run, str(tmp_path / "cp"), batch_pages=1)
+    assert (s.pages, s.discovered, s.already_known, s.skipped_recent, s.skipped_no_thumb) == (2, 2, 1, 1, 1)
     assert {r.id for r in cat.ids().collect()} == {"a", "c"} and cat.get_meta("progress") == {"oldest": 30}
     (folder / "2.jsonl").write_text(page_json([_item("d", 20)]) + "\n")
     assert ingest.list_pages(spark, str(folder), cat, run, str(tmp_path / "cp")).discovered == 1
