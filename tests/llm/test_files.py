@@ -153,3 +153,28 @@ def test_pipeline_stages_by_definition(spark, documents, corpus, tmp_path):
     assert all(len(r.text.encode()) <= want[r.doc_id][0] - want[r.doc_id][1] for r in out.collect())
     before, out = seen["best_fit_packing"]
     _check_packing(out.collect(), before)
+
+
+def test_pipeline_drops_near_copies_that_differ_in_more_than_two_bits(spark, words):
+    import random
+
+    import corpus_pipeline
+    from lumisift.llm import minhash, simhash
+
+    rng = random.Random(9)
+    rows = []
+    for g in range(30):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 300))]
+        for k in range(4):
+            w = list(base)
+            for _ in range(k * len(w) // 80):  # some beyond 0.8
+                w[rng.randrange(len(w))] = rng.choice(words)
+            rows.append((len(rows), " ".join(w)))
+    rows += [(500, "a b"), (501, "A  b"), (502, ""), (503, None), (504, "a b c")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = minhash.brute_force(rows)
+    assert {r.id: r.root for r in minhash.near_copies(docs).collect()} == want
+    got = {r.doc_id for r in corpus_pipeline.keep_distinct(spark, docs, "").collect()}
+    assert got == set(want.values())
+    fps = {d: simhash.fingerprint((t or "").encode()) for d, t in rows}
+    assert any(r != d and (fps[r] ^ fps[d]).bit_count() > 2 for d, r in want.items())
