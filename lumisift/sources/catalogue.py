@@ -158,7 +158,7 @@ class Catalogue:
 
     def read(self, table: str) -> DataFrame:
         version = self._read_text(f"{table}.current")
-        ddl = {"items": schema.ITEM, "faces": schema.FACE}[table]
+        ddl = {"items": schema.ITEM, "faces": schema.FACE, "pending": f"{schema.ITEM}, batch long, page long, place int"}[table]
         return self.spark.read.schema(ddl).parquet(f"{self.path}/{version}") if version else self.spark.createDataFrame([], ddl)
 
     def write(self, table: str, df: DataFrame) -> None:
@@ -167,7 +167,7 @@ class Catalogue:
         self._write_text(f"{table}.current", version)
 
     def clear(self) -> None:
-        for table in ("items", "faces"):
+        for table in ("items", "faces", "pending"):
             self.write(table, self.read(table).limit(0))
 
     def ids(self) -> DataFrame:

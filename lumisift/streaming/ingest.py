@@ -47,27 +47,45 @@ def split_page(items: DataFrame, known: DataFrame, older_than: int | None) -> Da
     return marked.withColumn("verdict", verdict).drop("_known")
 
 
+def _take_pending(cat: C.Catalogue, run: RunParams) -> ListingStats:
+    """Rows that earlier runs left beyond their limit into the items, up to this run's limit; those too recent for it wait."""
+    waiting = cat.read("pending").join(cat.ids(), "id", "left_anti")
+    ready = waiting if run.older_than is None else waiting.filter(F.coalesce(F.col("ts") < run.older_than, F.lit(True)))
+    taken = (ready.orderBy("batch", "page", "place").limit(run.max_per_run) if run.max_per_run else ready).persist()
+    n = taken.agg(F.count("*").alias("n"), F.min("ts").alias("oldest")).first()
+    if n.n:
+        cat.write("items", C.upsert_items(cat.read("items"), taken.drop("batch", "page", "place")).drop("added", "touched"))
+        cat.write("pending", waiting.join(taken.select("id"), "id", "left_anti"))
+    taken.unpersist()
+    return ListingStats(discovered=n.n, oldest=n.oldest, last=n.oldest, limit_reached=bool(run.max_per_run) and n.n >= run.max_per_run)
+
+
 def list_pages(spark: SparkSession, folder: str, cat: C.Catalogue, run: RunParams, checkpoint: str, now: int = 0, batch_pages: int = 200) -> ListingStats:
     """Read new pages into the catalogue; the stream's checkpoint is the position within them.
 
-    A run that follows a completed one stops after `barren_pages` batches in a row without anything new.
+    A run that follows a completed one stops after `barren_pages` batches in a row without anything new. Rows beyond the run's
+    limit, whose pages the checkpoint has passed, wait in the catalogue's table of pending rows; the next run takes them first.
     """
     spark.dataSource.register(P.ListingPages)
     start = P.plan_start(P.Cursor.from_json(cat.get_meta("cursor")), run.older_than, run.resume)
-    state = [ListingStats()]
+    state = [_take_pending(cat, run)]
 
-    def merge(batch: DataFrame, _: int) -> None:
+    def merge(batch: DataFrame, number: int) -> None:
         s = state[0]
-        if s.done or s.limit_reached:
-            return
-        parsed = split_page(P.parse_items(batch), cat.ids(), run.older_than).persist()
+        known = cat.ids().unionByName(cat.read("pending").select("id")).distinct()
+        parsed = split_page(P.parse_items(batch), known, run.older_than).persist()
         n = {r.verdict: r.n for r in parsed.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
         times = parsed.agg(F.min(F.when(F.col("verdict") != "recent", F.col("timestamp"))).alias("oldest"), F.min("timestamp").alias("last")).first()
         new = parsed.filter("verdict = 'new'")
         room = run.max_per_run - s.discovered if run.max_per_run else None
-        if room is not None and n.get("new", 0) >= room:
-            new = new.orderBy("page", "place").limit(room)
         count = min(n.get("new", 0), room) if room is not None else n.get("new", 0)
+        if count < n.get("new", 0):
+            last = new.orderBy("page", "place").limit(count).agg(F.max(F.struct("page", "place")).alias("last")).first()["last"]
+            within = F.lit(False) if last is None else (F.col("page") < last.page) | ((F.col("page") == last.page) & (F.col("place") <= last.place))
+            later = new.filter(~within)
+            rows = P.to_rows(later, run.thumb_size, now).join(later.select(F.col("media_key").alias("id"), F.lit(number).cast("long").alias("batch"), "page", "place"), "id")
+            cat.write("pending", cat.read("pending").unionByName(rows, allowMissingColumns=True))  # before the items: a batch that runs again finds these known
+            new = new.filter(within)
         if count:
             merged = C.upsert_items(cat.read("items"), P.to_rows(new, run.thumb_size, now))
             cat.write("items", merged.drop("added", "touched"))
@@ -87,7 +105,7 @@ def list_pages(spark: SparkSession, folder: str, cat: C.Catalogue, run: RunParam
             done=start.reason == "completed" and barren >= run.barren_pages,
         )
 
-    while True:  # availableNow gives this source one batch a start
+    while not state[0].limit_reached:  # availableNow gives this source one batch a start
         before = state[0].pages
         stream = spark.readStream.format("listing_pages").option("max_pages", batch_pages).load(folder)
         query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

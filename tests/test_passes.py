@@ -248,6 +248,19 @@ def test_run_limit_counts_new_items(spark, tmp_path):
     assert s.discovered == 4 and s.limit_reached and {r.id for r in cat.ids().collect()} == {"i0", "i1", "i2", "i3"}
 
 
+def test_limited_runs_on_one_checkpoint_end_with_all_rows(spark, tmp_path):
+    folder = tmp_path / "pages"
+    folder.mkdir()
+    (folder / "1.jsonl").write_text(page_json([_item(f"i{k}", 90 - k) for k in range(5)]) + "\n" + page_json([_item(f"i{k}", 90 - k) for k in range(5, 9)]) + "\n")
+    cat = C.Catalogue(spark, f"file:{tmp_path}/cat")
+    run = lambda: ingest.list_pages(spark, str(folder), cat, RunParams(max_per_run=4), str(tmp_path / "cp"))
+    first, second = run(), run()
+    assert first.discovered == second.discovered == 4 and {r.id for r in cat.ids().collect()} == {f"i{k}" for k in range(8)}
+    third = run()
+    assert third.discovered == 1 and not third.limit_reached and {r.id for r in cat.ids().collect()} == {f"i{k}" for k in range(9)}
+    assert run().discovered == 0 and cat.read("pending").count() == 0
+
+
 def test_upsert_is_idempotent(spark):
     old = spark.createDataFrame([("a", 1, "x", True), ("b", None, "y", False)], "id string, ts long, label string, analyzed boolean")
     batch = spark.createDataFrame([("a", None, "new", None), ("c", 5, None, None)], "id string, ts long, label string, analyzed boolean")
