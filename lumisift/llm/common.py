@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,13 +22,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that this process has asked for, by session.
+_folders: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a local one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset a temporary folder stands in, on a local master only: executors elsewhere could not read it.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         root = "file:" + tempfile.mkdtemp(prefix="lumisift-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/lumisift-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/lumisift-{uuid.uuid4().hex}"
+    _folders.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def delete_shared(spark: SparkSession) -> int:
+    """Delete the shared folders that this application has made; call it once its results are written. Returns how many."""
+    paths = _folders.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def saved(df: DataFrame, compression: str = "zstd") -> DataFrame:
@@ -78,6 +101,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """64-bit hashes of words, as drawn from a dictionary that grows with new ones."""
+
+    def of(w):
+        h = known.get(w)
+        if h is None:
+            h = known[w] = xxhash.xxh3_64_intdigest(w)
+        return h
+
+    return np.fromiter(map(of, words), np.uint64, len(words))
+
+
 class Rolling:
     """Polynomial hashes modulo 2**64 of any stretch of a sequence of 64-bit values, from prefix sums."""
 

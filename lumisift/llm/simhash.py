@@ -41,7 +41,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         starts = [0, *ends[:-shingle].tolist()]
         of = xxhash.xxh64_intdigest
         hashes = [of(flat[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())]
-    h = np.array(hashes, np.uint64)
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of these 64-bit hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 4096):  # bounds what is unpacked at once
         ones += np.unpackbits(h[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -20,11 +20,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumisift.llm.common import Rolling, blocks_of, byte_rows, mixed, saved, table, window_minima, with_row_ids
+from lumisift.llm.common import Rolling, blocks_of, byte_rows, mixed, saved, table, window_minima, with_row_ids, word_hashes
 
 WINDOW = 50
 #: Words in the hashed phrases from which anchors are chosen; a window has WINDOW - GRAM + 1 of them.
@@ -38,17 +37,6 @@ WINDOWS = "core long, phrase long, doc_id long, place int, hash long"
 RUNS = "rid long, doc_id long, n_words long, n_removed long, kept string"
 
 
-def _word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """64-bit hashes of words, as drawn from a dictionary that grows with new ones."""
-    def of(w):
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh3_64_intdigest(w)
-        return h
-
-    return np.fromiter(map(of, words), np.uint64, len(words))
-
-
 def _anchors_of(values: np.ndarray, window: int, gram: int):
     """Anchors of one document: places, first window, number of windows, and hashes of core and phrase."""
     width = window - gram + 1
@@ -71,7 +59,7 @@ def _anchor_rows(window: int, gram: int):
                 words = text.split()
                 if doc is None or len(words) < window:
                     continue
-                at, first, n, core, phrase = _anchors_of(_word_hashes(words, known), window, gram)
+                at, first, n, core, phrase = _anchors_of(word_hashes(words, known), window, gram)
                 # the place of the core in the phrase tells apart phrases that overlap another way
                 out.append((np.full(len(at), rid), np.full(len(at), doc), core, mixed(phrase + (at - first).astype(np.uint64)), first, n))
             if out:
@@ -90,7 +78,7 @@ def _window_rows(window: int):
                 known.clear()
             out = []
             for text, doc, phrases in zip(byte_rows(batch.column("text")), batch.column("doc_id").to_pylist(), batch.column("phrases").to_pylist()):
-                roll = Rolling(_word_hashes(text.split(), known), BASES[1])
+                roll = Rolling(word_hashes(text.split(), known), BASES[1])
                 for p in phrases:
                     places = np.arange(p["n"])
                     out.append((np.full(p["n"], p["core"]), np.full(p["n"], p["phrase"]), np.full(p["n"], doc), places, roll.of(places + p["at"], window).view(np.int64)))

@@ -18,28 +18,34 @@ Null and empty texts have no bytes. Repeated rows are copies of each other: all
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumisift.llm.common import Rolling, blocks_of, byte_rows, mixed, release, saved, table, window_minima, with_row_ids
+from lumisift.llm.common import Rolling, blocks_of, byte_rows, mixed, release, saved, table, window_minima, with_row_ids, word_hashes
 from lumisift.llm.suffix_sort import common_prefix, cut_at, decoded, front_coded, merged
 
 WINDOW = 400
 #: Bytes in the hashed strings from which anchors are chosen.
 GRAM = 48
 BLOCK_BYTES = 2_000_000
-#: Bytes of suffixes that a task sorts at once, and that a range of the sort should hold; suffixes sampled for splitters.
-RUN_BYTES, RANGE_BYTES, SPLIT_SAMPLE = 24 << 20, 24 << 20, 4096
+#: Bytes of suffixes that a task sorts at once, and that a range of the sort should hold; strings sampled for each range.
+RUN_BYTES, RANGE_BYTES, SAMPLED = 24 << 20, 24 << 20, 16
 #: Neighbours on either side that a suffix is compared with while some of its windows are unexplained.
 NEIGHBOURS = 16
 #: Odd multipliers of the polynomial hashes, and the hashes that stand for byte values.
 BASES = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
+#: Bytes that stand for a word (its hash) where windows are counted in words.
+WORD = 8
+
 #: Kinds of sorted strings: to the right of an anchor and then to its left, or to its left alone.
 RIGHT, LEFT = 0, 1
 #: What travels with a string: the anchor, how far before it its windows start, and the bytes there are to its right.
@@ -51,13 +57,22 @@ def _values(text: bytes) -> np.ndarray:
     return _VALUES[np.frombuffer(text, np.uint8)]
 
 
-def _anchor_rows(window: int, gram: int):
+def _coded(batch, words: bool) -> list[bytes]:
+    """The strings that are sorted: texts as UTF-8, or WORD bytes a word."""
+    texts = byte_rows(batch.column("text"))
+    if not words:
+        return texts
+    known: dict[bytes, int] = {}
+    return [word_hashes(t.split(), known).tobytes() for t in texts]
+
+
+def _anchor_rows(window: int, gram: int, words: bool):
     """(rid, core, at, near, far): windows starting near to far bytes before `at` chose the anchor there."""
 
     def rows(batches):
         for batch in blocks_of(batches, BLOCK_BYTES):
             out = []
-            for rid, text in zip(batch.column("rid").to_pylist(), byte_rows(batch.column("text"))):
+            for rid, text in zip(batch.column("rid").to_pylist(), _coded(batch, words)):
                 if len(text) < window:
                     continue
                 roll = Rolling(_values(text), BASES[0])
@@ -73,9 +88,9 @@ def _anchor_rows(window: int, gram: int):
     return rows
 
 
-def _strings(batch, window: int, gram: int):
+def _strings(batch, window: int, gram: int, words: bool):
     """(kind, string, *IDS) of each listed anchor of a batch's documents."""
-    for rid, text, found in zip(batch.column("rid").to_pylist(), byte_rows(batch.column("text")), batch.column("found").to_pylist()):
+    for rid, text, found in zip(batch.column("rid").to_pylist(), _coded(batch, words), batch.column("found").to_pylist()):
         for f in found:
             at, far = f["at"], f["far"]
             right, left = text[at : at + window], text[at - far : at][::-1]
@@ -84,19 +99,21 @@ def _strings(batch, window: int, gram: int):
             yield LEFT, right[:gram] + left, *ids
 
 
-def _sampled(window: int, gram: int):
+def _sampled(window: int, gram: int, words: bool):
     def rows(batches):
         for batch in batches:
-            kind, string, *ids = zip(*_strings(batch, window, gram))
+            kind, string, *ids = zip(*_strings(batch, window, gram, words))
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(string, pa.binary()), *(pa.array(x, pa.int64()) for x in ids)], names=["kind", "string", *IDS])
 
     return rows
 
 
-def _runs(splitters: list[list[tuple]], window: int, gram: int):
+def _runs(shared: Broadcast, window: int, gram: int, words: bool):
     """Sorted, cut and front-coded runs; ranges of the second kind are numbered after those of the first."""
 
     def rows(batches):
+        splitters = shared.value
+
         def emit(runs):
             found = []
             for kind in (RIGHT, LEFT):
@@ -106,7 +123,7 @@ def _runs(splitters: list[list[tuple]], window: int, gram: int):
 
         runs, weight = ([], []), 0
         for batch in batches:
-            for kind, *x in _strings(batch, window, gram):
+            for kind, *x in _strings(batch, window, gram, words):
                 runs[kind].append(tuple(x))
                 weight += len(x[0]) + 200
                 if weight >= RUN_BYTES:
@@ -186,8 +203,9 @@ def _merge_left(strings, following: tuple | None, gram: int):
         yield row(last, agrees)
 
 
-def _merge(splitters: list[list[tuple]], window: int, gram: int):
+def _merge(shared: Broadcast, window: int, gram: int):
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        splitters = shared.value
         part = int(key[0])
         kind = int(part > len(splitters[RIGHT]))
         part -= kind * (len(splitters[RIGHT]) + 1)
@@ -231,11 +249,11 @@ def _judged(window: int):
     return rows
 
 
-def _window_hashes(window: int):
+def _window_hashes(window: int, words: bool):
     def rows(batches):
         for batch in batches:
             out = []
-            for rid, text, found in zip(batch.column("rid").to_pylist(), byte_rows(batch.column("text")), batch.column("found").to_pylist()):
+            for rid, text, found in zip(batch.column("rid").to_pylist(), _coded(batch, words), batch.column("found").to_pylist()):
                 roll = Rolling(_values(text), BASES[1])
                 for f in found:
                     back = np.arange(f["low"], f["high"] + 1)
@@ -251,14 +269,23 @@ def _window_hashes(window: int):
     return rows
 
 
-def _cut(keep: tuple[str, ...], as_text: bool):
+def _in_text(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Where in the text the words lie that such spans of word hashes cover whole."""
+    if not spans:
+        return []
+    places = np.array([m.span() for m in _WORDS.finditer(text)])
+    return [(int(places[-(-a // WORD), 0]), int(places[b // WORD - 1, 1])) for a, b in spans]
+
+
+def _cut(keep: tuple[str, ...], as_text: bool, words: bool):
     def rows(batches):
         for batch in blocks_of(batches, BLOCK_BYTES):
             res = {k: [] for k in ("rid", "doc_id", "n_bytes", "n_removed", "n_spans", "kept")}
             for rid, doc, text, spans in zip(batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist(), byte_rows(batch.column("text")), batch.column("spans").to_pylist()):
                 removed, count, kept, end = 0, 0, [], 0
                 merged_spans: list[list[int]] = []
-                for s in sorted((s["a"], s["b"]) for s in spans or []):
+                spans = [(s["a"], s["b"]) for s in spans or []]
+                for s in sorted(_in_text(text, spans) if words else spans):
                     if merged_spans and s[0] <= merged_spans[-1][1]:
                         merged_spans[-1][1] = max(merged_spans[-1][1], s[1])
                     else:
@@ -277,43 +304,51 @@ def _cut(keep: tuple[str, ...], as_text: bool):
     return rows
 
 
-def _candidates(rows: DataFrame, window: int, gram: int) -> DataFrame:
+def _candidates(rows: DataFrame, window: int, gram: int, words: bool) -> DataFrame:
     """Anchors whose short string occurs twice."""
-    anchors = saved(rows.select("rid", "text").mapInArrow(_anchor_rows(window, gram), "rid long, core long, at int, near int, far int"))
+    anchors = saved(rows.select("rid", "text").mapInArrow(_anchor_rows(window, gram, words), "rid long, core long, at int, near int, far int"))
     # written, so that both sides of the join on a hot core can be split
     shared = saved(anchors.groupBy("core").agg(F.count("*").alias("times")).filter("times > 1").select("core"))
     return saved(anchors.join(shared, "core"))
 
 
-def _splitters(rows: DataFrame, taking: DataFrame, count: int, parts: int, window: int, gram: int) -> list[list[tuple]]:
-    """For each kind, strings of the corpus that cut a bounded sample evenly."""
+def _splitters(rows: DataFrame, taking: DataFrame, count: int, parts: int, window: int, gram: int, words: bool) -> list[list[tuple]]:
+    """For each kind, every SAMPLED-th string of a sorted sample of SAMPLED strings a range. Spark sorts; the driver gets the cuts alone."""
     if parts <= 1:
         return [[], []]
-    few = taking.filter(F.pmod(F.xxhash64("rid", "at"), F.lit(max(1, round(count / SPLIT_SAMPLE)))) == 0).limit(2 * SPLIT_SAMPLE)
+    few = taking.filter(F.pmod(F.xxhash64("rid", "at"), F.lit(max(1, count // (SAMPLED * parts)))) == 0)
     few = few.groupBy("rid").agg(F.collect_list(F.struct("at", "near", "far")).alias("found"))
     schema = ", ".join(["kind int, string binary", *(f"{c} long" for c in IDS)])
-    sample = rows.join(F.broadcast(few), "rid").select("rid", "text", "found").mapInArrow(_sampled(window, gram), schema).collect()
-    out = []
-    for kind in (RIGHT, LEFT):
-        own = sorted((bytes(r.string), *(r[c] for c in IDS)) for r in sample if r.kind == kind)
-        out.append(sorted({own[len(own) * i // parts] for i in range(1, parts)}) if own else [])
-    return out
-
-
-def _sort_and_judge(rows: DataFrame, taking: DataFrame, window: int, gram: int) -> DataFrame:
+    sample = rows.join(few, "rid").select("rid", "text", "found").mapInArrow(_sampled(window, gram, words), schema)
+    # an id that counts from 0 in each sorted partition
+    ordered = saved(sample.orderBy("kind", "string", *IDS).withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()))
+    blocks = ordered.groupBy("kind", "part").agg(F.count("*").alias("n"), F.min("place").alias("least")).orderBy("kind", "part").collect()
+    base, starts = [0, 0], []
+    for b in blocks:  # a row for each sorted partition and kind
+        starts.append((b.kind, b.part, base[b.kind] - b.least))
+        base[b.kind] += b.n
+    starts = rows.sparkSession.createDataFrame(starts, "kind int, part int, start long")
+    chosen = ordered.join(F.broadcast(starts), ["kind", "part"]).filter((F.col("place") + F.col("start")) % SAMPLED == SAMPLED - 1)
+    out = [[], []]
+    for r in chosen.select("kind", "string", *IDS).collect():
+        out[r.kind].append((bytes(r.string), *(r[c] for c in IDS)))
+    return [sorted(set(x)) for x in out]
+
+
+def _sort_and_judge(rows: DataFrame, taking: DataFrame, window: int, gram: int, words: bool) -> DataFrame:
     spark = rows.sparkSession
     total = taking.agg(F.count("*").alias("k"), F.sum(F.col("far") + window).alias("bytes")).first()
     parts = max(1, -(-(total.bytes or 0) // RANGE_BYTES), min(spark.sparkContext.defaultParallelism, total.k // 1000))
-    splitters = _splitters(rows, taking, total.k, parts, window, gram)
+    splitters = spark.sparkContext.broadcast(_splitters(rows, taking, total.k, parts, window, gram, words))
     listed = taking.groupBy("rid").agg(F.collect_list(F.struct("at", "near", "far")).alias("found"))
-    pieces = rows.select("rid", "text").join(listed, "rid").mapInArrow(_runs(splitters, window, gram), "part int, prefixes binary, sizes binary, rest binary, ids binary")
+    pieces = rows.select("rid", "text").join(listed, "rid").mapInArrow(_runs(splitters, window, gram, words), "part int, prefixes binary, sizes binary, rest binary, ids binary")
     done = saved(pieces.groupBy("part").applyInPandas(_merge(splitters, window, gram), SORTED))
     right, left = F.when(F.col("kind") == RIGHT, F.col("agrees")), F.when(F.col("kind") == LEFT, F.col("agrees"))
     by_anchor = done.groupBy("rid", "at").agg(F.max("near").alias("near"), F.max("far").alias("far"), F.max(right).alias("right"), F.max(left).alias("left"), F.bool_or("copy").alias("copy"), F.collect_list("spans").alias("spans"))
     return saved(by_anchor.mapInArrow(_judged(window), "rid long, at long, low int, high int, sure boolean"))
 
 
-def _looked_up(rows: DataFrame, taking: DataFrame, judged: DataFrame, window: int) -> DataFrame:
+def _looked_up(rows: DataFrame, taking: DataFrame, judged: DataFrame, window: int, words: bool) -> DataFrame:
     """(rid, at, back): windows yet to be judged that occur twice at equal anchors."""
     anchors = taking.select("rid", F.col("at").cast("long").alias("at"), "core")
     asking = saved(judged.filter("not sure").groupBy("rid", "at").agg(F.collect_list(F.struct("low", "high")).alias("asks"), F.min("low").alias("ask_low"), F.max("high").alias("ask_high")).join(anchors, ["rid", "at"]))
@@ -323,34 +358,40 @@ def _looked_up(rows: DataFrame, taking: DataFrame, judged: DataFrame, window: in
     held = held.join(asking.select("rid", "at", "asks"), ["rid", "at"], "left")
     held = held.withColumn("low", F.greatest("low", "core_low")).withColumn("high", F.least("high", "core_high")).filter("low <= high")
     listed = held.groupBy("rid").agg(F.collect_list(F.struct("core", "at", "low", "high", F.coalesce("asks", F.array().cast("array<struct<low:int,high:int>>")).alias("asks"))).alias("found"))
-    windows = saved(rows.select("rid", "text").join(listed, "rid").mapInArrow(_window_hashes(window), "rid long, core long, at long, back int, hash long, asked boolean"))
+    windows = saved(rows.select("rid", "text").join(listed, "rid").mapInArrow(_window_hashes(window, words), "rid long, core long, at long, back int, hash long, asked boolean"))
     twice = saved(windows.groupBy("core", "hash").agg(F.count("*").alias("times"), F.bool_or("asked").alias("asked")).filter("times > 1 and asked").select("core", "hash"))
     return saved(windows.filter("asked").join(twice, ["core", "hash"], "left_semi").select("rid", "at", "back"))
 
 
-def repeated_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(rid, a, b): byte spans of rows (rid, text) that repeated windows cover; they may overlap."""
+def repeated_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, words: bool = False) -> DataFrame:
+    """(rid, a, b): spans of rows (rid, text), in bytes of what `_coded` gives, that repeated windows cover; they may overlap."""
     spark = rows.sparkSession
-    taking = _candidates(rows, window, gram)
+    taking = _candidates(rows, window, gram, words)
     release(spark)
-    judged = _sort_and_judge(rows, taking, window, gram)
+    judged = _sort_and_judge(rows, taking, window, gram, words)
     release(spark)
     sure = judged.filter("sure").select("rid", (F.col("at") - F.col("high")).cast("int").alias("a"), (F.col("at") - F.col("low") + window).cast("int").alias("b"))
     if judged.filter("not sure").isEmpty():
         return sure
-    found = _looked_up(rows, taking, judged, window)
+    found = _looked_up(rows, taking, judged, window, words)
     release(spark)
     return sure.unionByName(found.select("rid", (F.col("at") - F.col("back")).cast("int").alias("a"), (F.col("at") - F.col("back") + window).cast("int").alias("b")))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
-    """Per row: rid, doc_id, n_bytes, n_removed, n_spans, kept (binary, or text without broken characters) and the columns to keep."""
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[str, ...] = (), as_text: bool = False, words: bool = False) -> DataFrame:
+    """Per row: rid, doc_id, n_bytes, n_removed, n_spans, kept (binary, or text without broken characters) and the columns to keep.
+
+    With words, window and gram count words: the sorted strings are sequences of word hashes, and a span of removed words takes the
+    white space within it but none around it.
+    """
     rows = with_row_ids(docs, keep)
-    spans = repeated_windows(rows, window, gram).groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    if words:
+        window, gram = WORD * window, WORD * gram
+    spans = repeated_windows(rows, window, gram, words).groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     kinds = dict(docs.dtypes)
     counts = "rid long, doc_id long, n_bytes long, n_removed long, n_spans long"
     schema = ", ".join([counts, f"kept {'string' if as_text else 'binary'}", *(f"{c} {kinds[c]}" for c in keep)])
-    return rows.join(spans, "rid", "left").select("rid", "doc_id", "text", "spans", *keep).mapInArrow(_cut(keep, as_text), schema)
+    return rows.join(spans, "rid", "left").select("rid", "doc_id", "text", "spans", *keep).mapInArrow(_cut(keep, as_text, words), schema)
 
 
 def op2_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

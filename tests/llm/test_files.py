@@ -1,4 +1,4 @@
-"""WARC, token files, packing and the pipeline."""
+"""WARC, token files and packing."""
 
 import hashlib
 import zlib
@@ -83,7 +83,7 @@ def test_token_file_without_a_last_end(spark, tmp_path):
     assert got == [(0, 0, 1, True), (1, 2, 0, True), (2, 3, 2, False)]
 
 
-def _check_packing(rows, texts):
+def check_packing(rows, texts):
     encoder, pieces, bins = Encoder.of(default_vocabulary()), defaultdict(list), defaultdict(list)
     for r in rows:
         pieces[r.doc_id].append(r)
@@ -104,7 +104,7 @@ def test_packing_round_trip(spark, documents, corpus, monkeypatch):
     monkeypatch.setattr(packing, "ISLAND", 40)
     out = packing.pack_documents(documents)
     rows = out.collect()
-    n = _check_packing(rows, dict(corpus))
+    n = check_packing(rows, dict(corpus))
     sizes = [r.length for r in rows]
     assert n <= 1.1 * -(-sum(sizes) // 1024) + 3
 
@@ -126,55 +126,3 @@ def test_genetic_packing_is_no_worse_than_best_fit():
 
 def test_packing_of_nothing(empty):
     assert packing.pack_documents(empty).count() == 0
-
-
-def test_pipeline_stages_by_definition(spark, documents, corpus, tmp_path):
-    import corpus_pipeline
-    from lumisift.llm import quality_rules, simhash, suffix_dedup
-    from lumisift.llm.common import saved
-
-    bench = spark.createDataFrame([(0, " ".join([t for _, t in corpus if t and len(t.split()) > 200][0].split()[:150]))], "item_id long, text string")
-    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
-    docs, seen = documents, {}
-    for name, stage in corpus_pipeline.STAGES:
-        before = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
-        docs = saved(stage(spark, docs, str(tmp_path)))
-        seen[name] = before, docs
-        if name != corpus_pipeline.STAGES[-1][0]:
-            assert docs.columns == corpus_pipeline.COLUMNS
-    before, out = seen["quality_rules"]
-    rules = quality_rules.apply_rules(documents).filter("__quality.kept")
-    assert {r.doc_id for r in out.collect()} == {r.doc_id for r in rules.collect()} != before.keys()
-    before, out = seen["simhash_near_dedup"]
-    assert {r.doc_id for r in out.collect()} == {c for _, c in simhash.brute_force(list(before.items())).values()}
-    before, out = seen["suffix_array_dedup"]
-    want = suffix_dedup.brute_force(list(before.items()))
-    assert {r.doc_id: r.n_chars for r in out.collect()}.keys() == before.keys()
-    assert all(len(r.text.encode()) <= want[r.doc_id][0] - want[r.doc_id][1] for r in out.collect())
-    before, out = seen["best_fit_packing"]
-    _check_packing(out.collect(), before)
-
-
-def test_pipeline_drops_near_copies_that_differ_in_more_than_two_bits(spark, words):
-    import random
-
-    import corpus_pipeline
-    from lumisift.llm import minhash, simhash
-
-    rng = random.Random(9)
-    rows = []
-    for g in range(30):
-        base = [rng.choice(words) for _ in range(rng.randint(60, 300))]
-        for k in range(4):
-            w = list(base)
-            for _ in range(k * len(w) // 80):  # some beyond 0.8
-                w[rng.randrange(len(w))] = rng.choice(words)
-            rows.append((len(rows), " ".join(w)))
-    rows += [(500, "a b"), (501, "A  b"), (502, ""), (503, None), (504, "a b c")]
-    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
-    want = minhash.brute_force(rows)
-    assert {r.id: r.root for r in minhash.near_copies(docs).collect()} == want
-    got = {r.doc_id for r in corpus_pipeline.keep_distinct(spark, docs, "").collect()}
-    assert got == set(want.values())
-    fps = {d: simhash.fingerprint((t or "").encode()) for d, t in rows}
-    assert any(r != d and (fps[r] ^ fps[d]).bit_count() > 2 for d, r in want.items())
