@@ -3,8 +3,8 @@
 The index is partitioned by documents: each block of whole documents has a row per term with its postings, which are the
 term's places in the block's words laid end to end (with a gap between documents, so that no phrase crosses one). A query
 window is looked up from its globally rarest term; the other terms' postings, adjusted by their offsets, are intersected
-with what is left, and with a slop they need only be near. Test items are a stated query set: they go to the index in
-blocks of a bounded number of words, and only terms of that block are read.
+with what is left, and with a slop they need only be near. The plan of all look-ups is a table too: a window's row joins the
+index by its rarest term, which gives the blocks it must go to, and meets the postings there.
 
 Null and empty texts have no words, n_words 0, and are not contaminated. Null items, and items without words, match nothing.
 Repeated rows each have their own result; rows of the benchmark that share an item_id count as one item.
@@ -27,8 +27,8 @@ from lumisift.llm.common import blocks_of, byte_rows, saved, table
 WINDOW = 13
 #: Bytes of text in a block of the index.
 BLOCK_BYTES = 4_000_000
-#: Words of test items that are looked up at once: what each task holds of them is bounded by it.
-QUERY_WORDS = 2_000_000
+#: Windows of test items whose look-ups may meet in one block at once, about: beyond it they are dealt, each deal with the block's postings.
+AT_ONCE = 200_000
 
 #: A-Z in lower case; ASCII but letters and digits becomes a space; bytes of other characters stay.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -76,32 +76,49 @@ def build_index(docs: DataFrame) -> DataFrame:
     return saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_indexed, INDEX_SCHEMA))
 
 
-def _query_blocks(items: DataFrame):
-    """Lists of (item_id, words), read in order a partition at a time, of about QUERY_WORDS words."""
-    block, size = [], 0
-    for row in items.select("item_id", "text").filter("text is not null").toLocalIterator():
-        if words := words_of(row.text.encode()):
-            block.append((row.item_id, words))
-            size += len(words)
-            if size >= QUERY_WORDS:
-                yield block
-                block, size = [], 0
-    if block:
-        yield block
-
-
-def _rarest_first(items, counts: dict[bytes, int], window: int) -> dict[bytes, list]:
-    """Windows by their rarest term: (item_id, length, [(offset, term), ...] with the rarest first)."""
-    plan, seen = defaultdict(list), set()
-    for item, words in items:
-        for start in range(max(1, len(words) - window + 1)):
-            phrase = tuple(words[start : start + window])
-            if (item, phrase) in seen or not all(w in counts for w in phrase):
-                continue
-            seen.add((item, phrase))
-            order = sorted(range(len(phrase)), key=lambda k: (counts[phrase[k]], k))
-            plan[phrase[order[0]]].append((item, len(phrase), [(k, phrase[k]) for k in order]))
-    return dict(plan)
+def _item_words(batches):
+    for batch in batches:
+        res = {k: [] for k in ("row", "item_id", "size", "place", "term")}
+        for row, item, text in zip(batch.column("row").to_pylist(), batch.column("item_id").to_pylist(), byte_rows(batch.column("text"))):
+            words = words_of(text)
+            for place, word in enumerate(words):
+                for k, v in zip(res, (row, item, len(words), place, word)):
+                    res[k].append(v)
+        kinds = pa.int64(), batch.schema.field("item_id").type, pa.int32(), pa.int32(), pa.binary()
+        yield pa.RecordBatch.from_arrays([pa.array(res[k], t) for k, t in zip(res, kinds)], names=list(res))
+
+
+def _windows(window: int):
+    """An item's windows whose terms all occur: (term, item_id, length, places, terms), the rarest term first, that one by itself too."""
+
+    def rows(batches):
+        for batch in batches:
+            res = {k: [] for k in ("term", "item_id", "length", "places", "terms")}
+            for item, size, words in zip(batch.column("item_id").to_pylist(), batch.column("size").to_pylist(), batch.column("words").to_pylist()):
+                known, seen = {w["place"]: (w["n"], w["term"]) for w in words}, set()
+                for start in range(max(1, size - window + 1)):
+                    length = min(window, size)
+                    phrase = [known.get(start + k) for k in range(length)]
+                    if None in phrase or (whole := tuple(t for _, t in phrase)) in seen:
+                        continue
+                    seen.add(whole)
+                    order = sorted(range(length), key=lambda k: (phrase[k][0], k))
+                    for k, v in zip(res, (whole[order[0]], item, length, order, [whole[k] for k in order])):
+                        res[k].append(v)
+            kinds = pa.binary(), batch.schema.field("item_id").type, pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(res[k], t) for k, t in zip(res, kinds)], names=list(res))
+
+    return rows
+
+
+def plan_lookups(index: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(term, item_id, length, places, terms): each window of an item by its rarest term, with all its terms and their places in it."""
+    key = dict(items.dtypes)["item_id"]
+    texts = saved(items.filter("text is not null").select("item_id", "text").withColumn("row", F.monotonically_increasing_id()))
+    words = texts.mapInArrow(_item_words, f"row long, item_id {key}, size int, place int, term binary")
+    counts = index.filter("term is not null").join(words.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+    counted = words.join(counts, "term").groupBy("row", "item_id", "size").agg(F.collect_list(F.struct("place", "term", "n")).alias("words"))
+    return saved(counted.mapInArrow(_windows(window), f"term binary, item_id {key}, length int, places array<int>, terms array<binary>"))
 
 
 def _near(found: np.ndarray, postings: np.ndarray, offset: int, slop: int) -> np.ndarray:
@@ -110,39 +127,45 @@ def _near(found: np.ndarray, postings: np.ndarray, offset: int, slop: int) -> np
     return found[(at < len(postings)) & (postings[np.minimum(at, len(postings) - 1)] <= found + (offset + slop))]
 
 
-def _matcher(plan: dict[bytes, list], slop: int):
-    def match(rows):
-        lengths = next((r for r in rows.doc_words[rows.term.isna()]), None)
-        terms = rows[rows.term.notna()]
-        postings = {bytes(t): np.frombuffer(p, np.int32) for t, p in zip(terms.term, terms.postings)}
-        starts = np.concatenate([[0], np.cumsum(np.asarray(lengths) + 1)]) if lengths is not None else np.zeros(1, int)
-        out = defaultdict(list)
-        for rare in postings.keys() & plan.keys():
-            for item, length, order in plan[rare]:
-                found = postings[rare] - order[0][0]
+def _matcher(window: int, slop: int):
+    def match(key: tuple, rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        res = {k: [] for k in ("ordinal", "item_id", "first", "last")}
+        if len(asks) and len(rows):
+            lengths = np.asarray(next(iter(rows.doc_words[rows.term.isna()])), np.int64)
+            starts = np.cumsum(lengths + 1) - (lengths + 1)
+            # documents lie one place apart in the index; so far apart here that no match spans two
+            apart = np.arange(len(lengths)) * (window + 2 * slop)
+            terms = rows[rows.term.notna()]
+            postings = {}
+            for t, p in zip(terms.term, terms.postings):
+                p = np.frombuffer(p, np.int32).astype(np.int64)
+                postings[bytes(t)] = p + apart[np.searchsorted(starts, p, side="right") - 1] if slop else p
+            if slop:
+                starts = starts + apart
+            out = defaultdict(list)
+            for item, length, places, terms in zip(asks.item_id, asks.length, asks.places, asks.terms):
+                order = list(zip(places.tolist(), terms))
+                found = postings[order[0][1]] - order[0][0]
                 for offset, term in order[1:]:
                     if not len(found) or term not in postings:
                         found = found[:0]
                         break
                     found = _near(found, postings[term], offset, slop)
-                for p in found:
-                    out[item].append((int(p), length))
-        res = {k: [] for k in ("ordinal", "item_id", "first", "last")}
-        for item, hits in out.items():
-            hits.sort()
-            merged = []  # of one item in this block, as [first, last) places
-            for p, length in hits:
-                doc = int(np.searchsorted(starts, max(p, 0), side="right")) - 1
-                span = [doc, max(0, p - slop - int(starts[doc])), min(int(lengths[doc]), p + length + slop - int(starts[doc]))]
-                if merged and merged[-1][0] == doc and span[1] <= merged[-1][2]:
-                    merged[-1][2] = max(merged[-1][2], span[2])
-                else:
-                    merged.append(span)
-            for doc, first, last in merged:
-                for k, v in zip(res, (doc, item, first, last)):
-                    res[k].append(v)
-        block = rows.block.iloc[0]
-        return pd.DataFrame({"block": pd.Series([block] * len(res["item_id"]), dtype="int64")} | {k: pd.Series(v, dtype=object if k == "item_id" else "int32") for k, v in res.items()})
+                if len(found):
+                    docs = np.searchsorted(starts, found + order[0][0], side="right") - 1
+                    out[item].extend((d, p - int(starts[d]), length) for d, p in zip(docs.tolist(), found.tolist()))
+            for item, hits in out.items():
+                merged = []  # of one item in this block, as [document, first, last) with places in it
+                for doc, p, length in sorted(hits):
+                    first, last = max(0, p - slop), min(int(lengths[doc]), p + length + slop)
+                    if merged and merged[-1][0] == doc and first <= merged[-1][2]:
+                        merged[-1][2] = max(merged[-1][2], last)
+                    else:
+                        merged.append([doc, first, last])
+                for doc, first, last in merged:
+                    for k, v in zip(res, (doc, item, first, last)):
+                        res[k].append(v)
+        return pd.DataFrame({"block": pd.Series([key[0]] * len(res["item_id"]), dtype="int64")} | {k: pd.Series(v, dtype=object if k == "item_id" else "int32") for k, v in res.items()})
 
     return match
 
@@ -152,19 +175,16 @@ def find_phrases(index: DataFrame, items: DataFrame, window: int = WINDOW, slop:
 
     slop 0 asks for exact phrases; else each term may be so many places off (a proximity match).
     """
-    spark = index.sparkSession
-    key = dict(items.dtypes)["item_id"]
-    schema = f"block long, ordinal int, item_id {key}, first int, last int"
-    out = spark.createDataFrame([], schema)
-    for block in _query_blocks(items):
-        terms = spark.createDataFrame([(w,) for w in {w for _, words in block for w in words}], "term binary")
-        wanted = index.join(F.broadcast(terms), "term", "left_semi")
-        counts = {bytes(r.term): r.n for r in wanted.groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
-        plan = _rarest_first(block, counts, window)
-        used = spark.createDataFrame([(w,) for w in {t for ps in plan.values() for _, _, order in ps for _, t in order}], "term binary")
-        rows = index.join(F.broadcast(used), "term", "left_semi").unionByName(index.filter("term is null")).select("block", "term", "postings", "doc_words")
-        out = out.unionByName(rows.groupBy("block").applyInPandas(_matcher(plan, slop), schema))
-    return out
+    plan = plan_lookups(index, items, window)
+    deals = max(1, -(-plan.count() // AT_ONCE))
+    plan = plan.withColumn("deal", F.pmod(F.xxhash64("item_id", "terms"), F.lit(deals)).cast("int"))
+    used = saved(plan.select(F.explode("terms").alias("term")).distinct())
+    terms = index.filter("term is not null")
+    asks = saved(terms.select("term", "block").join(plan, "term").select("block", "deal", "item_id", "length", "places", "terms"))
+    rows = terms.join(used, "term", "left_semi").unionByName(index.filter("term is null")).select("block", "term", "postings", "doc_words")
+    rows = rows.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    schema = f"block long, ordinal int, item_id {dict(items.dtypes)['item_id']}, first int, last int"
+    return rows.groupBy("block", "deal").cogroup(asks.groupBy("block", "deal")).applyInPandas(_matcher(window, slop), schema)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, index: DataFrame | None = None) -> DataFrame:

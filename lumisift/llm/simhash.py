@@ -23,10 +23,11 @@ from lumisift.llm.common import blocks_of, byte_rows, saved, table
 
 SHINGLE = 3
 RADIUS = 2
-#: Fingerprints, at most, from which the tree's vantage points and radii are taken.
-TREE_SAMPLE = 20_000
-#: Fingerprints wanted in a leaf of the distributed tree, and in a block that is compared pair by pair.
-LEAF, BLOCK = 8_000, 256
+#: Fingerprints from which the tree's vantage points and radii are taken, at least and for each leaf. They only place cuts.
+TREE_SAMPLE, LEAF_SAMPLE = 20_000, 16
+#: Fingerprints in a leaf of the distributed tree at most, about; in a leaf where that leaves cores idle; in a block that is compared pair
+#: by pair. The copies that visit other sides grow with the number of leaves (README), so leaves are as large as a task can hold.
+LEAF, SMALL_LEAF, BLOCK = 250_000, 8_000, 256
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -166,9 +167,9 @@ def _forest(fps: np.ndarray, own: np.ndarray, radius: int) -> list[tuple[int, in
 
 def links_of(distinct: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     """(a, b): links that connect all fingerprints (column fp, distinct) that differ in at most `radius` bits, a spanning forest a leaf."""
-    leaves = max(1, -(-count // LEAF))
-    share = min(1.0, TREE_SAMPLE / max(count, 1))
-    sample = distinct.filter(F.abs(F.xxhash64("fp", F.lit(7))) % 1_000_000 <= int(share * 1_000_000)).limit(TREE_SAMPLE)
+    leaves = max(1, -(-count // LEAF), min(distinct.sparkSession.sparkContext.defaultParallelism, count // SMALL_LEAF))
+    wanted = max(TREE_SAMPLE, LEAF_SAMPLE * leaves)
+    sample = distinct.filter(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(max(1, count // wanted))) == 0)
     nodes = grow_tree(np.sort(np.array([r.fp for r in sample.collect()], np.int64)).view(np.uint64), leaves) if leaves > 1 else []
 
     def deal(batches):

@@ -57,7 +57,7 @@ def test_substring_dedup_of_repeated_rows_nulls_and_nothing(spark, empty, words)
 
 def test_simhash_equals_all_pairs(documents, corpus, monkeypatch):
     want = simhash.brute_force(corpus)
-    for leaf, block in ((8_000, 256), (10, 4)):
+    for leaf, block in ((250_000, 256), (10, 4)):
         monkeypatch.setattr(simhash, "LEAF", leaf)
         monkeypatch.setattr(simhash, "BLOCK", block)
         out = simhash.near_duplicates(documents).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fp"), "component_id")

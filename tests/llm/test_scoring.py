@@ -58,9 +58,9 @@ def test_decontamination_equals_sql(spark, documents, items):
     assert any(r[-1] for r in want)
 
 
-def test_decontamination_in_query_blocks(spark, documents, items, monkeypatch):
+def test_decontamination_in_deals_and_blocks(spark, documents, items, monkeypatch):
     whole = _decontaminated(documents, items)
-    monkeypatch.setattr(decontamination, "QUERY_WORDS", 100)
+    monkeypatch.setattr(decontamination, "AT_ONCE", 100)
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 5_000)
     assert _decontaminated(documents, items) == whole
 
@@ -72,6 +72,17 @@ def test_proximity_matches(spark):
     assert hit(0) == {2} and hit(1) == {1, 2}
 
 
+def test_proximity_matches_stay_in_a_document(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d e f"), (3, "x b c d e f"), (4, "")], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([("q", "a b c d e f")], "item_id string, text string")
+    for slop in (1, 2, 5):
+        hits = {r.doc_id: r.n_hit for r in decontamination.contamination(docs, items, slop=slop).collect()}
+        assert hits == {1: 0, 2: 0, 3: 0, 4: 0}
+    items = spark.createDataFrame([("q", "b c e")], "item_id string, text string")
+    hits = {r.doc_id: r.n_hit for r in decontamination.contamination(docs, items, slop=1).collect()}
+    assert hits == {1: 0, 2: 0, 3: 5, 4: 0}
+
+
 def test_decontamination_of_nothing(spark, empty, items, documents):
     assert decontamination.contamination(empty, items).count() == 0
     assert decontamination.contamination(documents, items.limit(0)).filter("contaminated").count() == 0
