@@ -22,15 +22,10 @@ MONTHS = {
     "ottobre": 10, "dicembre": 12, "janeiro": 1, "fevereiro": 2, "maio": 5, "junho": 6, "julho": 7, "setembro": 9, "outubro": 10,
     "novembro": 11, "dezembro": 12, "januar": 1, "februar": 2, "maerz": 3, "märz": 3, "juli": 7, "oktober": 10, "dezember": 12,
 }
-_NAMES = "|".join(sorted(MONTHS, key=len, reverse=True))
 #: Width over height of common screens.
 SCREEN_RATIOS = (9 / 16, 9 / 18, 9 / 19.5, 9 / 20, 9 / 21, 10 / 16, 16 / 9, 18 / 9, 19.5 / 9, 20 / 9, 21 / 9, 16 / 10)
 
 
-def _int(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group).try_cast("int")
-
-
 def instant(year: Column, month: Column, day: Column) -> Column:
     """Midnight of a date: null outside 1900-2200, months and days clamped, days beyond the month's end roll over."""
     first = F.make_date(F.when(year.between(1900, 2200), year), F.least(F.lit(12), F.greatest(F.lit(1), month)), F.lit(1))
@@ -45,45 +40,92 @@ def month_number(name: Column) -> Column:
     return F.when(key != "", F.coalesce(exact, prefixed))
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _clock(text: Column) -> Column:
-    """Milliseconds after midnight, if a time follows a comma or an "at" word."""
-    at = F.regexp_extract(text, r"(?:,\s*|\bat\s+|\bum\s+)(\d{1,2}:\d{2}(?::\d{2})?\s*(?:AM|PM|am|pm)?)", 1)
-    pattern = r"^(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(AM|PM|am|pm)?"
-    hour, half = _int(at, pattern, 1), F.lower(F.regexp_extract(at, pattern, 4))
-    hour = F.when((half == "pm") & (hour < 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
-    seconds = hour * 3600 + _int(at, pattern, 2) * 60 + F.coalesce(_int(at, pattern, 3), F.lit(0))
-    return F.when(at != "", seconds.cast("long") * 1000)
+    """Milliseconds after midnight of the first time that follows a comma or a word for "at", else 0."""
+    found = F.regexp_extract(text, r"(?:,\s*|\b(?:at|um)\s+)(\d\d?(?::\d\d){1,2}(?:\s*(?:[AP]M|[ap]m))?)", 1)
+
+    def millis(at: Column) -> Column:
+        parts, half = F.split(F.regexp_extract(at, "^[0-9:]+", 0), ":"), F.lower(F.right(at, F.lit(2)))
+        hour = F.get(parts, F.lit(0)).try_cast("int")
+        hour = F.when((half == "pm") & (hour < 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
+        seconds = hour * 3600 + F.get(parts, F.lit(1)).try_cast("int") * 60 + F.coalesce(F.get(parts, F.lit(2)).try_cast("int"), F.lit(0))
+        return F.when(at != "", seconds.cast("long") * 1000).otherwise(F.lit(0).cast("long"))
+
+    return _let(found, millis)
+
+
+def _numbers(found: Column, *order: int) -> list[Column]:
+    """The numbers of a date in figures by their places; one plain character is split at without a regular expression."""
+    parts = F.split(F.translate(found, "./", "--"), "-")
+    return [F.get(parts, F.lit(i)).try_cast("int") for i in order]
+
+
+def _named(text: Column, pattern: str, day: str | None) -> Column:
+    """The first stretch of this form whose word is a month's name, as an instant; day: whether its number comes first or second."""
+    months = F.create_map(*map(F.lit, chain(*MONTHS.items())))
+    month = lambda x: F.try_element_at(months, F.lower(F.regexp_extract(x, r"\p{L}{3,}", 0)))
+
+    def when(x: Column) -> Column:
+        numbers = F.regexp_extract_all(x, F.lit(r"\d+"), F.lit(0))
+        number = lambda i: F.get(numbers, F.lit(i)).try_cast("int")
+        return instant(number(1 if day else 0), month(x), number(0) if day else F.lit(1))
+
+    found = F.get(F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: month(x).isNotNull()), F.lit(0))
+    return _let(found, when)
+
+
+#: Forms of dates in labels; a word stands where a month's name must be. Each is looked for once, and the parts are taken from what is found.
+DATE_FORMS = {
+    "year first": r"\b\d{4}[-/]\d{1,2}[-/]\d{1,2}\b",
+    "day, word, year": r"\b\d{1,2}(?:\s*[eE][rR])?\s+\p{L}{3,}\.?\s*,?\s+\d{4}\b",
+    "word, day, year": r"\b\p{L}{3,}\.?\s+\d{1,2}\s*,?\s+\d{4}\b",
+    "year last": r"\b\d{1,2}[./-]\d{1,2}[./-]\d{4}\b",
+    "digits": r"\b\d{8}\b",
+    "word, year": r"\b\p{L}{3,}\.?\s+\d{4}\b",
+    "year": r"\b(?:19|20)\d{2}\b",
+}
 
 
 def parse_date(text: Column) -> Column:
     """struct(ts, precision) of the first date that a label holds, or null."""
-    dmy = rf"(?i)\b(\d{{1,2}})\s*(?:er)?\s+({_NAMES})\.?\s*,?\s+(\d{{4}})\b"
-    mdy = rf"(?i)\b({_NAMES})\.?\s+(\d{{1,2}})\s*,?\s+(\d{{4}})\b"
-    number, iso = r"\b(\d{1,2})[./-](\d{1,2})[./-](\d{4})\b", r"\b(\d{4})[-/](\d{1,2})[-/](\d{1,2})\b"
-    compact, my, y = r"\b(\d{4})(\d{2})(\d{2})\b", rf"(?i)\b({_NAMES})\.?\s+(\d{{4}})\b", r"\b(19\d{2}|20\d{2})\b"
-    d, m = _int(text, number, 1), _int(text, number, 2)
-    swap = (m > 12) & (d <= 12)
+    # what wasn't found is kept from casts: each that fails costs an exception
+    first = {name: F.regexp_extract(text, form, 0) for name, form in DATE_FORMS.items()}
+
+    def year_last(found: Column) -> Column:
+        d, m, y = _numbers(found, 0, 1, 2)
+        swap = (m > 12) & (d <= 12)
+        return F.when(found != "", instant(y, F.when(swap, d).otherwise(m), F.when(swap, m).otherwise(d)))
+
+    part = lambda x, a, n: F.substring(x, a, n).try_cast("int")
     days = [
-        instant(*(_int(text, iso, i) for i in (1, 2, 3))),
-        instant(_int(text, dmy, 3), month_number(F.regexp_extract(text, dmy, 2)), _int(text, dmy, 1)),
-        instant(_int(text, mdy, 3), month_number(F.regexp_extract(text, mdy, 1)), _int(text, mdy, 2)),
-        instant(_int(text, number, 3), F.when(swap, d).otherwise(m), F.when(swap, m).otherwise(d)),
-        instant(*(_int(text, compact, i) for i in (1, 2, 3))),
+        _let(first["year first"], lambda x: F.when(x != "", instant(*_numbers(x, 0, 1, 2)))),
+        _named(text, DATE_FORMS["day, word, year"], "first"),
+        _named(text, DATE_FORMS["word, day, year"], "first"),
+        _let(first["year last"], year_last),
+        _let(first["digits"], lambda x: F.when(x != "", instant(part(x, 1, 4), part(x, 5, 2), part(x, 7, 2)))),
     ]
-    day = F.coalesce(*days)
-    month = instant(_int(text, my, 2), month_number(F.regexp_extract(text, my, 1)), F.lit(1))
-    year = instant(_int(text, y, 1), F.lit(1), F.lit(1))
-    ts = F.coalesce(day + F.coalesce(_clock(text), F.lit(0).cast("long")), month, year)
-    precision = F.when(day.isNotNull(), "day").when(month.isNotNull(), "month").when(year.isNotNull(), "year")
-    return F.when(ts.isNotNull(), F.struct(ts.alias("ts"), precision.alias("precision")))
+    month = _named(text, DATE_FORMS["word, year"], None)
+    year = _let(first["year"], lambda x: F.when(x != "", instant(x.try_cast("int"), F.lit(1), F.lit(1))))
+    dated = lambda ts, precision: F.when(ts.isNotNull(), F.struct(ts.alias("ts"), F.lit(precision).alias("precision")))
+    found = F.coalesce(_let(F.coalesce(*days), lambda d: dated(d + _clock(text), "day")), _let(month, lambda m: dated(m, "month")), _let(year, lambda y: dated(y, "year")))
+    return F.when(text.rlike(r"\d{4}"), found)
 
 
 def parse_duration(text: Column) -> Column:
     """Seconds of m:ss or h:mm:ss where the label speaks of a video, or is nothing else."""
     speaks = text.rlike(r"(?i)\bvid[eé]o\b|\bdur[ée]e\b|\bduration\b|\blength\b") | text.rlike(r"^\s*\d{1,2}:\d{2}(?::\d{2})?\s*$")
-    pattern = r"\b(\d{1,2}):(\d{2})(?::(\d{2}))?\b"
-    a, b, c = (_int(text, pattern, i) for i in (1, 2, 3))
-    return F.when(speaks, F.when(c.isNull(), a * 60 + b).otherwise(a * 3600 + b * 60 + c)).cast("long")
+
+    def seconds(found: Column) -> Column:
+        parts = F.split(found, ":")
+        a, b, c = (F.get(parts, F.lit(i)).try_cast("long") for i in range(3))
+        return F.when(found != "", F.when(F.size(parts) > 2, a * 3600 + b * 60 + c).otherwise(a * 60 + b))
+
+    return F.when(speaks, _let(F.regexp_extract(text, r"\b\d{1,2}(?::\d{2}){1,2}\b", 0), seconds)).cast("long")
 
 
 def is_video_label(text: Column) -> Column:

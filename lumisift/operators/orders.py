@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -65,9 +66,15 @@ def available_orders(has_groups: bool, has_sizes: bool, has_similar: bool) -> di
 
 
 def shared_folder(df: DataFrame) -> str:
-    """A new folder below spark.checkpoint.dir; a local one only where that is unset."""
+    """A new folder below spark.checkpoint.dir. Where that is unset a temporary folder stands in, on a local master only."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:" + tempfile.mkdtemp(prefix="lumisift-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
+        root = "file:" + tempfile.mkdtemp(prefix="lumisift-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/lumisift-{uuid.uuid4().hex}"
 
 

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumisift.functions.scalars import cosine_distance, normalised
+from lumisift.operators.orders import with_rank
 
 #: The distance below which two faces are one person by default and as shipped, the ratio of it for merging
 #: groups, the least size of a group, and the distance within which a group keeps a name.
@@ -142,9 +145,10 @@ def report(clustered: DataFrame, min_size: int = MIN_SIZE) -> DataFrame:
     spread = clustered.join(c.select("cluster", "centroid"), "cluster").groupBy("cluster").agg(
         F.avg(cosine_distance(normalised(F.col("vector")), F.col("centroid"))).alias("s"), F.array_sort(F.collect_list("id")).alias("members"), F.array_sort(F.collect_set("photo_id")).alias("photo_ids")
     )
-    out = c.filter(F.col("size") >= min_size).join(spread, "cluster")
-    rank = F.row_number().over(Window.orderBy(F.desc("size"), "cluster")) - 1  # a row a group
-    return out.select(rank.cast("int").alias("group_id"), "size", (F.floor(F.col("s") * 10_000 + 0.5) / 10_000).alias("spread"), "centroid", "members", "photo_ids")
+    large = c.filter(F.col("size") >= min_size)
+    ranks = with_rank(large.select("cluster", "size"), [F.desc("size"), F.col("cluster").asc()], "place").select("cluster", (F.col("place") - 1).cast("int").alias("group_id"))
+    out = large.join(ranks, "cluster").join(spread, "cluster")
+    return out.select("group_id", "size", (F.floor(F.col("s") * 10_000 + 0.5) / 10_000).alias("spread"), "centroid", "members", "photo_ids")
 
 
 def ungrouped(clustered: DataFrame, min_size: int = MIN_SIZE) -> DataFrame:
@@ -152,25 +156,48 @@ def ungrouped(clustered: DataFrame, min_size: int = MIN_SIZE) -> DataFrame:
     return clustered.join(small, "cluster", "left_semi").select("id")
 
 
-#: Centroids that are sent to every task at most; more go to the faces in parts of this size.
-CENTROIDS_AT_ONCE = 50_000
+#: Bytes of centroids that are sent to every task at once; more go to the faces part by part. Faces that meet them at once.
+CENTROID_BYTES, FACES_AT_ONCE = 32 << 20, 4096
+
+
+def _nearest(ids: list, table: Broadcast, eps: float):
+    """The nearest of these centroids for each face, by blocks of a matrix product."""
+
+    def rows(batches):
+        own = table.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, FACES_AT_ONCE):
+                part = batch.slice(at, FACES_AT_ONCE)
+                d = 1 - np.clip(unit(np.stack(part.column("vector").to_numpy(zero_copy_only=False))) @ own.T, -1, 1)
+                best = d.argmin(axis=1)  # the first of equals
+                least = d[np.arange(len(best)), best]
+                keep = np.flatnonzero(least <= eps)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(keep)), pa.array([ids[k] for k in best[keep]], pa.int64()), pa.array(least[keep])], names=["id", "group_id", "distance"])
+
+    return rows
 
 
 def assign(faces: DataFrame, groups: DataFrame, eps: float = DEFAULT_EPS) -> DataFrame:
     """(id, group_id, distance) of the nearest group (group_id, centroid) within eps; the first of equals. Others stay out.
 
-    Groups are a stated set that all faces are held against, in parts of a bounded number.
+    Groups are a stated set that all faces are held against, in parts of a bounded number of bytes.
     """
-    found = None
-    parts = max(1, -(-groups.count() // CENTROIDS_AT_ONCE))
-    dealt = groups.select("group_id", normalised(F.col("centroid")).alias("centroid"), F.pmod(F.xxhash64("group_id"), F.lit(parts)).alias("part"))
-    v = faces.select("id", normalised(F.col("vector")).alias("v"))
+    spark, found = faces.sparkSession, None
+    first = groups.select(F.size("centroid").alias("n")).first()
+    parts = max(1, -(-groups.count() * 8 * first.n // CENTROID_BYTES)) if first else 1
+    dealt = groups.select(F.col("group_id").cast("long").alias("group_id"), "centroid", F.pmod(F.xxhash64("group_id"), F.lit(parts)).alias("part"))
+    kind = dict(faces.dtypes)["id"]
     for part in range(parts):
-        near = v.join(F.broadcast(dealt.filter(F.col("part") == part).drop("part"))).select("id", "group_id", cosine_distance(F.col("v"), F.col("centroid")).alias("distance"))
-        near = near.filter(F.col("distance") <= eps)
+        own = sorted((r.group_id, r.centroid) for r in dealt.filter(F.col("part") == part).collect())
+        if not own:
+            continue
+        table = spark.sparkContext.broadcast(unit(np.array([c for _, c in own])))
+        near = faces.select("id", "vector").mapInArrow(_nearest([g for g, _ in own], table, eps), f"id {kind}, group_id long, distance double")
         found = near if found is None else found.unionByName(near)
+    if found is None:
+        return spark.createDataFrame([], f"id {kind}, group_id int, distance double")
     best = found.groupBy("id").agg(F.min(F.struct("distance", "group_id")).alias("b"))
-    return best.select("id", "b.group_id", "b.distance")
+    return best.select("id", F.col("b.group_id").cast(dict(groups.dtypes)["group_id"]).alias("group_id"), "b.distance")
 
 
 def carry_names(groups: DataFrame, previous: DataFrame, eps: float = CARRY_EPS) -> DataFrame:

@@ -11,8 +11,20 @@ from pyspark.sql import functions as F
 from lumisift.functions.scalars import day_key, group_label
 
 
+#: Titles of the sections for what is unknown.
+NOBODY, UNDATED, ALONE = "Nobody recognised", "No date", "Nothing resembles these"
+#: Consecutive ranks that are numbered in one task at most.
+NUMBERED = 1 << 17
+
+
 def _row_rank(df: DataFrame) -> DataFrame:
-    return df.withColumn("row_rank", F.row_number().over(Window.partitionBy("section").orderBy("rank")).cast("long"))
+    """Places within sections. A section may hold most rows, so each stretch of ranks is numbered by itself and gets its section's count before it."""
+    rows = df.withColumn("_stretch", F.floor(F.col("rank") / NUMBERED))
+    counts = rows.groupBy("section", "_stretch").agg(F.count("*").alias("_n"))
+    so_far = F.sum("_n").over(Window.partitionBy("section").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select("section", "_stretch", F.coalesce(so_far, F.lit(0).cast("long")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("section", "_stretch").orderBy("rank"))
+    return rows.withColumn("_place", place).join(before, ["section", "_stretch"]).withColumn("row_rank", F.col("_before") + F.col("_place")).drop("_stretch", "_place", "_before")
 
 
 def by_person(items: DataFrame, groups: DataFrame) -> DataFrame:
@@ -25,7 +37,7 @@ def by_person(items: DataFrame, groups: DataFrame) -> DataFrame:
     last = found.agg((F.count("*") + 1).alias("_last"))
     out = out.join(found.withColumnRenamed("_r", "_f"), F.col("_r") == F.col("_f"), "left").crossJoin(F.broadcast(last))
     out = out.withColumn("section", F.when(F.col("_r").isNull(), "person:none").otherwise(F.concat(F.lit("person:"), F.col("_r._g").cast("string"))))
-    out = out.withColumn("title", F.when(F.col("_r").isNull(), "Nobody recognised").otherwise(group_label(F.col("_r._name"), F.col("_r._g"))))
+    out = out.withColumn("title", F.when(F.col("_r").isNull(), NOBODY).otherwise(group_label(F.col("_r._name"), F.col("_r._g"))))
     return _row_rank(out.withColumn("section_rank", F.coalesce("section_rank", "_last")).drop("_r", "_f", "_last"))
 
 
@@ -40,7 +52,7 @@ def by_day(items: DataFrame) -> DataFrame:
     runs = starts.select(F.col("rank").alias("_from"), F.row_number().over(w).cast("long").alias("section_rank"), F.lead("rank", 1).over(w).alias("_to"), F.col("_day").alias("_run_day"))
     # each run's rows join on its day, and their places pick the run
     out = rows.join(runs, (rows["_day"] == runs["_run_day"]) & (F.col("rank") >= F.col("_from")) & ((F.col("rank") < F.col("_to")) | F.col("_to").isNull()))
-    out = out.withColumn("section", F.concat(F.lit("day:"), F.col("_day"))).withColumn("title", F.when(F.col("_day") == "none", "No date").otherwise(F.col("_day")))
+    out = out.withColumn("section", F.concat(F.lit("day:"), F.col("_day"))).withColumn("title", F.when(F.col("_day") == "none", UNDATED).otherwise(F.col("_day")))
     return out.withColumn("row_rank", (F.col("rank") - F.col("_from") + 1).cast("long")).drop("_day", "_from", "_to", "_run_day")
 
 
@@ -52,7 +64,7 @@ def by_similarity(items: DataFrame, duplicates: DataFrame) -> DataFrame:
     last = sets.agg((F.count("*") + 1).alias("_last"))
     out = out.join(sets, "_root", "left").crossJoin(F.broadcast(last))
     out = out.withColumn("section", F.coalesce(F.concat(F.lit("similar:"), F.col("_root")), F.lit("similar:none")))
-    out = out.withColumn("title", F.when(F.col("_root").isNull(), "Nothing resembles these").otherwise(F.concat(F.col("_n").cast("string"), F.lit(" lookalikes"))))
+    out = out.withColumn("title", F.when(F.col("_root").isNull(), ALONE).otherwise(F.concat(F.col("_n").cast("string"), F.lit(" lookalikes"))))
     return _row_rank(out.withColumn("section_rank", F.coalesce("section_rank", "_last")).drop("_root", "_n", "_last"))
 
 
