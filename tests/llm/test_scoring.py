@@ -139,7 +139,7 @@ def test_forward_and_expectations_are_exact(monkeypatch):
     begin, move, emission = rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(c), k).T
     lengths = np.array([7, 1, 3, 4])
     classes = rng.integers(0, c, lengths.sum())
-    starts, moves, shares, total = hmm.expected(lengths, classes, begin, move, emission)
+    starts, moves, shares, total = hmm.expected(lengths, emission[classes], begin, move)
     want_moves, want_starts, at = np.zeros((k, k)), np.zeros(k), 0
     for doc, n in enumerate(lengths):
         seq = classes[at : at + n]
@@ -157,15 +157,43 @@ def test_forward_and_expectations_are_exact(monkeypatch):
     assert np.allclose(moves, want_moves) and np.allclose(starts, want_starts)
 
 
-def test_training_raises_the_likelihood(spark, documents):
-    from lumisift.llm.common import saved
-
-    blocks = saved(documents.select("doc_id", "text", F.lit(True).alias("train")).mapInArrow(hmm._encoded, hmm.BLOCKS))
-    import numpy as np
+def _two_tongues(seed, count, shared=()):
+    """Texts of one of two vocabularies each, whose words end alike within a vocabulary."""
+    import random
 
-    *_, logs = hmm.train(blocks, np.full(hmm.CLASSES, 1 / hmm.CLASSES), rounds=4)
-    assert logs == sorted(logs)
+    rng = random.Random(seed)
+    stems = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(150)]
+    return [(i, " ".join(rng.choice(stems) + ("ish" if i % 2 else "oux") for _ in range(rng.randint(5, 120)))) for i in range(count)]
 
 
-def test_language_model_of_nothing(spark, empty):
+def test_training_raises_the_likelihood_and_beats_the_base(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "FREQUENT", 4)
+    monkeypatch.setattr(hmm, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(hmm, "CHUNK", 32)
+    docs = spark.createDataFrame(_two_tongues(3, 300), "doc_id long, text string").withColumn("train", F.col("doc_id") % 5 > 0).repartition(3)
+    logs = []
+    train = hmm.train
+    monkeypatch.setattr(hmm, "train", lambda *a: [out := train(*a), logs.extend(out[-1])][0])
+    rows = [r for r in hmm.score_documents(docs, states=4, rounds=3).collect() if r.held_out]
+    assert len(logs) == 3 and logs[1] > logs[0] and logs[2] >= logs[1] - 1e-6 * abs(logs[1])
+    tokens = sum(r.n_tokens for r in rows)
+    bits = lambda column: -sum(r[column] for r in rows) / tokens / math.log10(2)
+    assert bits("score") < bits("base_score") - 0.5
+
+
+def test_scores_are_of_one_distribution(spark, monkeypatch):
+    """Over all next words, known or not, probabilities of a class sum to at most 1."""
+    monkeypatch.setattr(hmm, "FREQUENT", 3)
+    train = [(i, "aa aa aa bb bb cc") for i in range(4)]
+    asked = [(10 + i, w) for i, w in enumerate(["aa", "bb", "cc", "dd", ""])]
+    docs = spark.createDataFrame(train + asked, "doc_id long, text string").withColumn("train", F.col("doc_id") < 10)
+    got = {r.doc_id: 10**r.score for r in hmm.score_documents(docs, states=2, rounds=1).collect()}
+    assert 0 < sum(got[d] for d, _ in asked) <= 1 + 1e-9 and got[10] > got[12] > got[13] > 0
+
+
+def test_language_model_of_nothing_and_odd_rows(spark, empty):
     assert hmm.score_documents(empty.withColumn("train", F.lit(True))).count() == 0
+    rows = [(1, "a b"), (1, "a b"), (None, None), (None, ""), (2, "x " * 200_000)]
+    docs = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, block int").withColumn("train", F.col("doc_id").isNull() | (F.col("doc_id") != 2))
+    got = sorted((r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in hmm.score_documents(docs).collect())
+    assert got == [(0, False, 1, 1, 8), (0, False, 1, 1, 8), (1, False, 3, 3, 8), (1, False, 3, 3, 8), (2, True, 200_001, 1, 8)]
