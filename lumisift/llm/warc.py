@@ -3,21 +3,26 @@
 The writer forms whole records as strings, so Spark's committer makes the files on any file system and a lost task leaves no
 half record. The source plans a partition for some files of about equal bytes, takes filters on the record type and on other
 named headers, parses headers first, and seeks past the payload of a record that is filtered out or whose payload column
-isn't read. Files that Python can't open (a store that only Spark reads) go through Spark's binaryFile rows to the same parser.
+isn't read. It opens any file system that Arrow knows (local, HDFS, S3, GCS), and gzip archives by their name (`.gz`), where what is
+skipped is unpacked but not kept. A store that only Spark can read goes through binaryFile rows to the same parser: whole archives
+of at most 2 GB, no seeking.
 
 Null html is an empty payload. Pages with equal payloads shorter than the bound are all responses. Repeated page rows are
 written and read back each; with equal page_ids one of them is the response's id for all. A null page_id is written and read
-back as null, and is a response only to itself.
+back as null, and is a response only to itself. A record whose Content-Length is missing or no number has null for it and for
+its payload, and reading goes on at the next line that begins a record.
 """
 
 from __future__ import annotations
 
+import contextlib
+import gzip
 import io
 import os
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
@@ -74,9 +79,9 @@ def records(pages: DataFrame) -> DataFrame:
     return pages.withColumn("block", block).select(F.concat(F.lit("WARC/1.1\r\n"), head, F.lit("\r\n"), F.col("block")).alias("value"))
 
 
-def write_warc(pages: DataFrame, path: str) -> None:
-    """Archives (plain .warc records in Spark's part files) of with_revisits() rows."""
-    records(pages).write.option("lineSep", "\r\n\r\n").text(path)
+def write_warc(pages: DataFrame, path: str, compression: str = "none") -> None:
+    """Archives (records in Spark's part files, or with "gzip" in packed ones) of with_revisits() rows."""
+    records(pages).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
 class Wanted:
@@ -96,7 +101,13 @@ class Wanted:
                 name, _, value = line.decode("utf-8", "replace").partition(":")
                 head[name.strip().lower()] = value.strip()
             row = {c: head.get(h) for c, h in HEADERS.items()}
-            size = row["content_length"] = int(head.get("content-length", 0))
+            length = head.get("content-length", "")
+            size = row["content_length"] = int(length) if length.isascii() and length.isdigit() else None
+            if size is None:
+                row["payload"] = None
+                if all(row[c] in values for c, values in self.allowed.items()):
+                    yield row
+                continue
             if any(row[c] not in values for c, values in self.allowed.items()):
                 f.seek(size, os.SEEK_CUR)
                 continue
@@ -127,8 +138,9 @@ class Files(InputPartition):
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, paths: list[str], columns: list[str]):
-        self.paths, self.wanted = paths, Wanted(columns)
+    def __init__(self, files: list[tuple[str, int]], columns: list[str]):
+        """files: URIs and bytes."""
+        self.files, self.wanted = files, Wanted(columns)
 
     def pushFilters(self, filters):
         """Equality and membership on header columns are decided here; the rest goes back to Spark."""
@@ -141,24 +153,25 @@ class WarcReader(DataSourceReader):
                 yield x
 
     def partitions(self):
-        sizes = sorted(((os.path.getsize(p), p) for p in self.paths), reverse=True)
-        groups, room = [], {}
-        for size, p in sizes:  # first fit in order of size
-            k = next((k for k, left in room.items() if left >= size), None)
-            if k is None:
-                k = len(groups)
+        groups, room = [[]], PARTITION_BYTES
+        for path, size in sorted(self.files):
+            if groups[-1] and size > room:
                 groups.append([])
-                room[k] = PARTITION_BYTES
-            groups[k].append(p)
-            room[k] -= size
-            if room[k] <= 0:
-                del room[k]
-        return [Files(g) for g in groups] or [Files([])]
+                room = PARTITION_BYTES
+            groups[-1].append(path)
+            room -= size
+        return [Files(g) for g in groups]
 
     def read(self, partition):
-        for p in partition.value:
-            with open(p, "rb") as f:
-                yield from self.wanted.batches(self.wanted.read(f))
+        for path in partition.value:
+            fs, at = pafs.FileSystem.from_uri(path)
+            with fs.open_input_file(at) as f:
+                yield from self.wanted.batches(self.wanted.read(_unpacked(io.BufferedReader(f, 1 << 20), path)))
+
+
+def _unpacked(f, path: str):
+    """The archive's bytes; of many gzip members one after the other."""
+    return gzip.GzipFile(fileobj=f) if path.endswith(".gz") else f
 
 
 class WarcSource(DataSource):
@@ -178,30 +191,40 @@ class WarcSource(DataSource):
         return [c for c in every if not chosen or c in chosen]
 
     def reader(self, schema) -> WarcReader:
-        top = _local(self.options["path"])
-        paths = [top] if os.path.isfile(top) else [os.path.join(d, n) for d, _, names in os.walk(top) for n in sorted(names) if n[0] not in "._"]
-        return WarcReader(paths, self._columns())
+        return WarcReader(_listed(self.options["path"]), self._columns())
+
+
+def _uri(path: str) -> str:
+    return path if "://" in path else "file://" + os.path.abspath(path.removeprefix("file:"))
 
 
-def _local(path: str) -> str | None:
-    """The path as Python opens it, or None for a store that Python can't."""
-    url = urlparse(path)
-    return unquote(url.path) if url.scheme in ("", "file") else None
+def _listed(path: str) -> list[tuple[str, int]] | None:
+    """URI and bytes of each archive at or below the path, or None for a store that Arrow doesn't open."""
+    uri = _uri(path)
+    with contextlib.suppress(pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        fs, top = pafs.FileSystem.from_uri(uri)
+        found = fs.get_file_info(top)
+        scheme = uri[: uri.index(top)] if top in uri else uri.partition("://")[0] + "://"
+        if found.type == pafs.FileType.File:
+            return [(scheme + top, found.size)]
+        inside = fs.get_file_info(pafs.FileSelector(top, recursive=True))
+        return [(scheme + f.path, f.size) for f in inside if f.type == pafs.FileType.File and f.base_name[0] not in "._"]
+    return None
 
 
 def read_warc(spark: SparkSession, path: str, columns: list[str] | None = None, record_types: list[str] | None = None) -> DataFrame:
     """Records of all archives below path; columns of HEADERS, content_length and payload."""
     columns = columns or [x.split()[0] for x in SCHEMA.split(", ")]
-    if _local(path) is None:
+    if _listed(path) is None:
         wanted = Wanted([x.split()[0] for x in SCHEMA.split(", ") if x.split()[0] in columns], {"record_type": set(record_types)} if record_types else None)
 
         def rows(batches):
             for batch in batches:
-                for content in batch.column("content"):
-                    yield from wanted.batches(wanted.read(io.BytesIO(content.as_py())))
+                for at, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                    yield from wanted.batches(wanted.read(_unpacked(io.BytesIO(content.as_py()), at)))
 
         schema = ", ".join(x for x in SCHEMA.split(", ") if x.split()[0] in columns)
-        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, schema).select(*columns)
+        return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, schema).select(*columns)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     needed = set(columns) | ({"record_type"} if record_types else set())

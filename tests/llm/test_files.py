@@ -1,8 +1,10 @@
 """WARC, token files and packing."""
 
 import hashlib
+import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -54,10 +56,37 @@ def test_warc_reads_what_only_spark_can_open(spark, pages, monkeypatch):
     path = shared_dir(spark)
     warc.write_warc(warc.with_revisits(pages), path)
     want = sorted(map(tuple, warc.read_warc(spark, path, ["page_id", "payload"], ["response"]).collect()))
-    monkeypatch.setattr(warc, "_local", lambda p: None)
+    monkeypatch.setattr(warc, "_listed", lambda p: None)
     assert sorted(map(tuple, warc.read_warc(spark, path, ["page_id", "payload"], ["response"]).collect())) == want
 
 
+@pytest.mark.parametrize("only_spark", [False, True])
+def test_warc_of_gzip_members(spark, pages, tmp_path, monkeypatch, only_spark):
+    import gzip
+
+    path = shared_dir(spark)
+    warc.write_warc(warc.with_revisits(pages), path)
+    want = sorted(map(tuple, warc.read_warc(spark, path, ["page_id", "record_type", "payload"]).collect()), key=str)
+    packed = shared_dir(spark)
+    warc.write_warc(warc.with_revisits(pages), packed, "gzip")
+    whole = b"".join(gzip.decompress(f.read_bytes()) for f in sorted(Path(packed.removeprefix("file:")).glob("*.gz")))
+    starts = [m.start() for m in re.finditer(rb"WARC/1\.1\r\nWARC-Type", whole)]
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(gzip.compress(whole[a:b]) for a, b in zip(starts, [*starts[1:], len(whole)])))
+    if only_spark:
+        monkeypatch.setattr(warc, "_listed", lambda p: None)
+    for place in (packed, str(tmp_path)):
+        got = warc.read_warc(spark, place, ["page_id", "record_type", "payload"])
+        assert sorted(map(tuple, got.collect()), key=str) == want
+        assert warc.read_warc(spark, place, ["page_id"], ["revisit"]).count() == 3
+
+
+def test_warc_with_odd_headers(spark, tmp_path):
+    record = lambda length, body: b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: " + length + b"\r\n\r\n" + body + b"\r\n\r\n"
+    (tmp_path / "odd.warc").write_bytes(b"\r\n" + record(b"3", b"abc") + record(b"many", b"lost\r\n\r\n") + b"WARC/1.0\nWARC-Type: warcinfo\n\n" + record(b"2", b"de") + record(b"100", b"cut"))
+    got = [(r.record_type, r.content_length, r.payload and bytes(r.payload)) for r in warc.read_warc(spark, str(tmp_path)).collect()]
+    assert got == [("response", 3, b"abc"), ("response", None, None), ("warcinfo", None, None), ("response", 2, b"de"), ("response", 100, b"cut\r\n\r\n")]
+
+
 def test_warc_of_nothing(spark, pages):
     path = shared_dir(spark)
     warc.write_warc(warc.with_revisits(pages.limit(0)), path)
