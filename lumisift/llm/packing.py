@@ -204,7 +204,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, epochs: int = EPOCHS) -> D
     for epoch in range(epochs):
         if migrants is None:
             migrants = pieces.sparkSession.createDataFrame([], "island int, place int, lengths array<int>")
-        out = state.select("row", "length", "island", "bin").groupBy("island").cogroup(migrants.groupBy("island")).applyInPandas(_island(epoch), "row long, length long, island int, bin int, left int")
+        # by a number of its own, which is not coalesced: an island is much work for few bytes
+        out = state.select("row", "length", "island", "bin").repartition(4 * islands, "island").groupBy("island").cogroup(migrants.groupBy("island")).applyInPandas(_island(epoch), "row long, length long, island int, bin int, left int")
         state = saved(out)
         # the best-filled sequences go to the next island of the ring
         full = state.groupBy("island", "bin").agg(F.first("left").alias("left"), F.sort_array(F.collect_list(F.col("length").cast("int"))).alias("lengths"))
