@@ -85,6 +85,30 @@ def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
 FACES_SQL = "faces AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(vec_id % 200 AS VARCHAR) AS photo_id, CAST(label AS INTEGER) AS label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
 
 
+#: Leader clustering and fusing as recursion: a cluster has its number, the sum of its unit vectors and its members' places.
+CLUSTERS_SQL = """
+clusters AS (
+  WITH RECURSIVE ord AS (SELECT row_number() OVER (ORDER BY photo_id, id) AS i, id, photo_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM faces),
+  lead_ AS (
+    SELECT CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT("no" INTEGER, s DOUBLE[], m BIGINT[])[]) AS c
+    UNION ALL
+    SELECT i, CASE WHEN len(c) = 0 OR list_min(d) > 0.75 THEN list_append(c, {'no': CAST(len(c) AS INTEGER), 's': u, 'm': [i]})
+      ELSE list_transform(c, lambda x, j: CASE WHEN j = list_position(d, list_min(d)) THEN {'no': x."no", 's': list_transform(list_zip(x.s, u), lambda z: z[1] + z[2]), 'm': list_append(x.m, i)} ELSE x END) END
+    FROM (SELECT o.i, o.u, l.c, list_transform(l.c, lambda x: 1 - greatest(-1, least(1, list_inner_product(x.s, o.u) / sqrt(list_inner_product(x.s, x.s))))) AS d FROM lead_ AS l JOIN ord AS o ON o.i = l.i + 1)
+  ), fuse AS (
+    SELECT 0 AS step, c FROM (SELECT c FROM lead_ ORDER BY i DESC LIMIT 1)
+    UNION ALL
+    SELECT step + 1, list_filter(list_transform(c, lambda x, j: CASE WHEN j = p // 100000 THEN {'no': x."no", 's': list_transform(list_zip(x.s, c[p % 100000].s), lambda z: z[1] + z[2]), 'm': list_concat(x.m, c[p % 100000].m)} ELSE x END), lambda x, j: j <> p % 100000)
+    FROM (SELECT step, c, list_min(flatten(list_transform(range(1, len(c) + 1), lambda a: list_transform(range(a + 1, len(c) + 1), lambda b:
+      CASE WHEN 1 - list_inner_product(c[a].s, c[b].s) / sqrt(list_inner_product(c[a].s, c[a].s) * list_inner_product(c[b].s, c[b].s)) <= 0.75 THEN a * 100000 + b END)))) AS p FROM fuse) WHERE p IS NOT NULL
+  ), ended AS (SELECT unnest(c) AS c FROM (SELECT c FROM fuse ORDER BY step DESC LIMIT 1)), large AS (
+    SELECT c, row_number() OVER (ORDER BY len(c.m) DESC, c."no") - 1 AS g FROM ended WHERE len(c.m) >= 2
+  )
+  SELECT CAST(g AS INTEGER) AS group_id, o.photo_id, 1 - list_inner_product(l.c.s, o.u) / sqrt(list_inner_product(l.c.s, l.c.s)) AS d
+  FROM (SELECT g, c, unnest(c.m) AS i FROM large) AS l JOIN ord AS o ON o.i = l.i
+)"""
+
+
 def person_groups(items: DataFrame) -> DataFrame:
     """Groups as the items name them: size is the rows of each; even ones are named."""
     from lumisift.operators.stats import group_sizes

@@ -416,13 +416,16 @@ def people_by_photo(spark, d):
     return people.people_by_photo(groups).select("photo_id", F.array_join("people", ",").alias("people"))
 
 
-@query("face_clusters")
+@query("face_clusters", """
+SELECT group_id, count(*) AS size, floor(avg(d) * 10000 + 0.5) / 10000 AS spread, string_agg(DISTINCT photo_id, ',' ORDER BY photo_id) AS photo_ids FROM clusters GROUP BY group_id""", adapters.FACES_SQL, adapters.CLUSTERS_SQL)
 def face_clusters(spark, d):
     groups = people.report(people.cluster_faces(adapters.faces(spark, d), people.SHIPPED_EPS))
     return groups.select("group_id", "size", "spread", F.array_join("photo_ids", ",").alias("photo_ids"))
 
 
-@query("regroup")
+@query("regroup", """
+SELECT f.photo_id, coalesce(people, '') AS people FROM (SELECT DISTINCT photo_id FROM faces) AS f LEFT JOIN (
+  SELECT photo_id, string_agg(CAST(group_id AS VARCHAR), ',' ORDER BY group_id) AS people FROM (SELECT DISTINCT photo_id, group_id FROM clusters) GROUP BY photo_id) AS p USING (photo_id)""", adapters.FACES_SQL, adapters.CLUSTERS_SQL)
 def regroup(spark, d):
     return people.regroup(adapters.faces(spark, d))[1].select("photo_id", F.array_join("people", ",").alias("people"))
 

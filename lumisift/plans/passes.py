@@ -151,7 +151,24 @@ def iou_pairs(spark, d):
     return b.join(other, "vec_id").select(F.col("vec_id").alias("a"), "b", F.round(detection.iou(F.col("box"), F.col("other")), 9).alias("iou"))
 
 
-@query("nms")
+@query("nms", """
+SELECT CAST(photo AS VARCHAR) AS photo_id, least(1.0::DOUBLE, max(s)) AS face_score, CAST(count(*) AS INTEGER) AS face_count, round(least(1.0::DOUBLE, sum((x2 - x1) * (y2 - y1))), 6) AS face_area
+FROM (SELECT photo, k.s AS s, k.x1 AS x1, k.y1 AS y1, k.x2 AS x2, k.y2 AS y2 FROM (SELECT photo, unnest(kept) AS k FROM (SELECT photo, arg_max(kept, k) AS kept FROM walk GROUP BY photo))) GROUP BY photo""", _BOXES_SQL, """
+walk AS (
+  WITH RECURSIVE c AS (
+    SELECT photo, vec_id, (vec_id % 97) / 97.0::DOUBLE AS s, least(1.0::DOUBLE, x1) AS x1, least(1.0::DOUBLE, y1) AS y1, least(1.0::DOUBLE, x2) AS x2, least(1.0::DOUBLE, y2) AS y2 FROM b
+  ), ok AS (
+    SELECT photo, {'s': s, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2} AS n, row_number() OVER (PARTITION BY photo ORDER BY s DESC, vec_id) AS k FROM c WHERE s >= 0.6::DOUBLE AND x2 - x1 >= 0.012::DOUBLE AND y2 - y1 >= 0.012::DOUBLE
+  ), w AS (
+    SELECT photo, k, [n] AS kept FROM ok WHERE k = 1
+    UNION ALL
+    SELECT w.photo, ok.k, CASE WHEN len(kept) < 64 AND len(list_filter(kept, lambda e: CASE WHEN least(e.x2, n.x2) > greatest(e.x1, n.x1) AND least(e.y2, n.y2) > greatest(e.y1, n.y1) THEN
+        (least(e.x2, n.x2) - greatest(e.x1, n.x1)) * (least(e.y2, n.y2) - greatest(e.y1, n.y1)) / ((e.x2 - e.x1) * (e.y2 - e.y1) + (n.x2 - n.x1) * (n.y2 - n.y1) - (least(e.x2, n.x2) - greatest(e.x1, n.x1)) * (least(e.y2, n.y2) - greatest(e.y1, n.y1))) ELSE 0 END > 0.35::DOUBLE)) = 0
+      THEN list_append(kept, n) ELSE kept END
+    FROM w JOIN ok ON ok.photo = w.photo AND ok.k = w.k + 1
+  )
+  SELECT * FROM w
+)""")
 def nms(spark, d):
     score = F.col("vec_id") % 97 / F.lit(97.0)
     raw = _boxes(spark, d).groupBy(F.col("photo").cast("string").alias("photo_id")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "box", score.alias("s")))).alias("x"))
