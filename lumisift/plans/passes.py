@@ -296,7 +296,7 @@ def listing_incremental(spark, d):
     pages.orderBy("page").select("value").coalesce(4).write.text(lines)
     cat = C.Catalogue(spark, f"{root}/catalogue")
     for k in range(2):
-        ingest.list_pages(spark, lines, cat, RunParams(), f"{root}/checkpoint-{k}-{uuid.uuid4().hex}", batch_pages=10 if k == 0 else 200)
+        ingest.list_pages(spark, lines, cat, RunParams(), f"{root}/checkpoint-{k}-{uuid.uuid4().hex}", batch_files=10 if k == 0 else 200)
     return cat.read("items").select("id", "ts", "is_video", "analyzed")
 
 

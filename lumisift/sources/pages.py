@@ -1,4 +1,4 @@
-"""Listing pages: the positional wire format, catalogue rows, and a paged stream source.
+"""Listing pages: the positional wire format, catalogue rows, and a stream of page files.
 
 A page is a line of JSON, `[[items...], next page id, last instant]`; a folder of such lines, in order of file name, is a
 timeline from new to old. Missing places are null and entries that aren't items are dropped.
@@ -7,15 +7,13 @@ timeline from new to old. Missing places are null and entries that aren't items
 from __future__ import annotations
 
 import json
-import os
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
-from urllib.parse import unquote, urlparse
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from lumisift.functions.scalars import thumb_url
 
@@ -46,7 +44,8 @@ def _truthy(raw: Column, path: str) -> Column:
 
 def parse_items(pages: DataFrame, column: str = "value") -> DataFrame:
     """A row per item of pages of JSON text: page, place, ITEM's columns."""
-    page = pages.select(F.monotonically_increasing_id().alias("page"), F.try_parse_json(column).alias("p"))
+    number = F.col("page") if "page" in pages.columns else F.monotonically_increasing_id()
+    page = pages.select(number.alias("page"), F.try_parse_json(column).alias("p"))
     raw = page.select("page", F.posexplode(_get(F.col("p"), "$[0]", "array<variant>")).alias("place", "raw"))
     x = F.col("raw")
     entries = _get(x, "$", "array<variant>")
@@ -166,53 +165,25 @@ def with_retries(fetch: Callable[[], object], refresh: Callable[[], None] | None
     raise ListingError("network", "no retries left")
 
 
-class PageReader(SimpleDataSourceStreamReader):
-    """Lines of a folder's files from a position on, at most max_pages in a batch; the offset is a file and a line."""
+def read_pages(spark: SparkSession, folder: str, files: int = 200) -> DataFrame:
+    """A stream of whole listing files (file, value), at most `files` in a batch; Spark lists and reads them, so any store it knows will do."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files).text(folder, wholetext=True)
+    return lines.select(F.col("_metadata.file_path").alias("file"), "value")
 
-    def __init__(self, folder: str, max_pages: int, older_than: int | None):
-        self.folder, self.max_pages, self.older_than = folder, max_pages, older_than
 
-    def initialOffset(self) -> dict:
-        return {"file": "", "line": 0}
+def page_lines(batch: DataFrame) -> DataFrame:
+    """(page, value): the pages of a batch of files, one a line, in order of file and line."""
+    order = batch.select("file").distinct().select("file", F.row_number().over(Window.orderBy("file")).cast("long").alias("_file"))  # a row a file of the batch
+    lines = batch.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("_line", "value")).filter(F.trim("value") != "")
+    return lines.join(F.broadcast(order), "file").select((F.shiftleft("_file", 32) + F.col("_line")).alias("page"), "value")
 
-    def _lines(self, start: dict) -> Iterator[tuple[str, int, str]]:
-        for name in sorted(os.listdir(self.folder)):
-            if name < start["file"] or name[0] in "._":
-                continue
-            with open(os.path.join(self.folder, name), encoding="utf-8") as f:
-                for n, line in enumerate(f):
-                    if (name > start["file"] or n >= start["line"]) and line.strip():
-                        yield name, n, line.strip()
 
-    def read(self, start: dict):
-        rows, end = [], start
-        for name, n, line in self._lines(start):
-            if len(rows) >= self.max_pages:
-                break
-            rows.append((line,))
-            end = {"file": name, "line": n + 1}
-        return iter(rows), end
+def fetch_info(keys: DataFrame, fetch: Callable[[list[str]], list[str]], size: int = 200, refresh: Callable[[], None] | None = None) -> DataFrame:
+    """Metadata pages (value) of ids, fetched by the tasks in chunks with retries; a chunk that fails in the end is left out, an auth error ends the job."""
 
-    def readBetweenOffsets(self, start: dict, end: dict):
-        for name, n, line in self._lines(start):
-            if (name, n) >= (end["file"], end["line"]):
-                return
-            yield (line,)
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            found = info_in_chunks(pdf.id.tolist(), lambda some: with_retries(lambda: fetch(some), refresh), size)
+            yield pd.DataFrame({"value": list(found)}, dtype=object)
 
-    def commit(self, end: dict) -> None:
-        pass
-
-
-class ListingPages(DataSource):
-    """spark.readStream.format("listing_pages").option("max_pages", 10).load(folder)"""
-
-    @classmethod
-    def name(cls) -> str:
-        return "listing_pages"
-
-    def schema(self) -> str:
-        return "value string"
-
-    def simpleStreamReader(self, schema) -> PageReader:
-        older = self.options.get("older_than")
-        return PageReader(unquote(urlparse(self.options["path"]).path), int(self.options.get("max_pages", 10)), int(older) if older else None)
+    return keys.select("id").mapInPandas(rows, "value string")

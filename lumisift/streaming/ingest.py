@@ -1,7 +1,7 @@
 """Incremental runs: listing, analysis and face passes over a catalogue, each idempotent and resumable.
 
-Every pass is a stream with trigger availableNow whose micro-batches merge into the catalogue; a stop keeps what is merged,
-and a second run adds nothing.
+Listing is a stream with trigger availableNow whose micro-batches merge into the catalogue. Analysis and faces go through what is
+pending slice by slice, each written before the next begins. So a stop keeps what is merged, and a second run adds nothing.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,10 @@ from lumisift.sources import catalogue as C
 from lumisift.sources import pages as P
 
 
+class Stop(Exception):
+    """Ends a stream before its next batch."""
+
+
 @dataclass(frozen=True)
 class ListingStats:
     pages: int = 0
@@ -60,18 +65,20 @@ def _take_pending(cat: C.Catalogue, run: RunParams) -> ListingStats:
     return ListingStats(discovered=n.n, oldest=n.oldest, last=n.oldest, limit_reached=bool(run.max_per_run) and n.n >= run.max_per_run)
 
 
-def list_pages(spark: SparkSession, folder: str, cat: C.Catalogue, run: RunParams, checkpoint: str, now: int = 0, batch_pages: int = 200) -> ListingStats:
+def list_pages(spark: SparkSession, folder: str, cat: C.Catalogue, run: RunParams, checkpoint: str, now: int = 0, batch_files: int = 200) -> ListingStats:
     """Read new pages into the catalogue; the stream's checkpoint is the position within them.
 
     A run that follows a completed one stops after `barren_pages` batches in a row without anything new. Rows beyond the run's
     limit, whose pages the checkpoint has passed, wait in the catalogue's table of pending rows; the next run takes them first.
     """
-    spark.dataSource.register(P.ListingPages)
     start = P.plan_start(P.Cursor.from_json(cat.get_meta("cursor")), run.older_than, run.resume)
     state = [_take_pending(cat, run)]
 
-    def merge(batch: DataFrame, number: int) -> None:
+    def merge(files: DataFrame, number: int) -> None:
         s = state[0]
+        if s.limit_reached or s.done:
+            raise Stop  # the batch isn't committed, so the next run begins with it
+        batch = P.page_lines(files).persist()
         known = cat.ids().unionByName(cat.read("pending").select("id")).distinct()
         parsed = split_page(P.parse_items(batch), known, run.older_than).persist()
         n = {r.verdict: r.n for r in parsed.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
@@ -89,11 +96,13 @@ def list_pages(spark: SparkSession, folder: str, cat: C.Catalogue, run: RunParam
         if count:
             merged = C.upsert_items(cat.read("items"), P.to_rows(new, run.thumb_size, now))
             cat.write("items", merged.drop("added", "touched"))
+        read = batch.count()
         parsed.unpersist()
+        batch.unpersist()
         barren = 0 if count else s.barren + 1
         state[0] = replace(
             s,
-            pages=s.pages + batch.count(),
+            pages=s.pages + read,
             discovered=s.discovered + count,
             already_known=s.already_known + n.get("known", 0) + n.get("repeated", 0),
             skipped_recent=s.skipped_recent + n.get("recent", 0),
@@ -105,13 +114,13 @@ def list_pages(spark: SparkSession, folder: str, cat: C.Catalogue, run: RunParam
             done=start.reason == "completed" and barren >= run.barren_pages,
         )
 
-    while not state[0].limit_reached:  # availableNow gives this source one batch a start
-        before = state[0].pages
-        stream = spark.readStream.format("listing_pages").option("max_pages", batch_pages).load(folder)
-        query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        query.awaitTermination()
-        if state[0].pages == before or state[0].done or state[0].limit_reached:
-            break
+    if not state[0].limit_reached:
+        query = P.read_pages(spark, folder, batch_files).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            if not (state[0].limit_reached or state[0].done):
+                raise
     s = state[0]
     cat.set_meta("cursor", P.Cursor(run.older_than, s.last, None, not s.limit_reached, cat.ids().count()).to_json())
     cat.note_progress(s.oldest)
@@ -123,27 +132,47 @@ def fill_sizes(cat: C.Catalogue, info: DataFrame) -> None:
     cat.write("items", P.with_info(cat.read("items"), info).select(cat.read("items").columns))
 
 
-def analyse_pending(cat: C.Catalogue, kernel: Callable[[DataFrame], DataFrame], limit: int | None = None) -> dict[str, int]:
-    """kernel: pending items -> (id, features, error). Each item is tried once a run; failures stay pending with a reason."""
-    todo = C.pending(cat.read("items"), limit)
-    results = kernel(todo).persist()
-    n = results.agg(F.count("*").alias("tried"), F.count_if(F.col("error").isNotNull()).alias("failed")).first()
-    cat.write("items", C.save_features(cat.read("items"), results))
-    results.unpersist()
-    return {"tried": n.tried, "failed": n.failed}
+#: Items of a slice of a pass: what a stop can lose.
+SLICE = 100_000
 
 
-def scan_faces(cat: C.Catalogue, detect: Callable[[DataFrame], DataFrame], limit: int | None = None) -> dict[str, int]:
+def _slices(todo: DataFrame, size: int):
+    """The rows in slices by a hash of their id, one after the other; each is planned anew on what the catalogue holds then."""
+    parts = max(1, -(-todo.count() // size))
+    for part in range(parts):
+        yield F.pmod(F.xxhash64("id"), F.lit(parts)) == part
+
+
+def analyse_pending(cat: C.Catalogue, kernel: Callable[[DataFrame], DataFrame], limit: int | None = None, size: int = SLICE) -> dict[str, int]:
+    """kernel: pending items -> (id, features, error). Each item is tried once a run; failures stay pending with a reason."""
+    tried = failed = 0
+    todo = C.pending(cat.read("items"), limit).select("id").persist()  # what this run tries, whatever stays pending
+    for here in _slices(todo, size):
+        results = kernel(cat.read("items").join(todo.filter(here), "id", "left_semi")).persist()
+        n = results.agg(F.count("*").alias("tried"), F.count_if(F.col("error").isNotNull()).alias("failed")).first()
+        cat.write("items", C.save_features(cat.read("items"), results))
+        results.unpersist()
+        tried, failed = tried + n.tried, failed + n.failed
+    todo.unpersist()
+    return {"tried": tried, "failed": failed}
+
+
+def scan_faces(cat: C.Catalogue, detect: Callable[[DataFrame], DataFrame], limit: int | None = None, size: int = SLICE) -> dict[str, int]:
     """detect: candidate items -> faces and a row (photo_id, ok) for each; photos that failed stay unread."""
-    results = detect(C.people_candidates(cat.read("items"), limit)).persist()
-    read = results.filter("ok").select("photo_id").distinct()
-    faces = results.filter("ok and vector is not null").select("id", "photo_id", "box", "score", "vector")
-    items, table = C.save_faces(cat.read("items"), cat.read("faces"), faces, read)
-    n = read.count()
-    cat.write("items", items.select(cat.read("items").columns))
-    cat.write("faces", table)
-    results.unpersist()
-    return {"read": n}
+    done = 0
+    todo = C.people_candidates(cat.read("items"), limit).select("id").persist()
+    for here in _slices(todo, size):
+        results = detect(cat.read("items").join(todo.filter(here), "id", "left_semi")).persist()
+        read = results.filter("ok").select("photo_id").distinct()
+        faces = results.filter("ok and vector is not null").select("id", "photo_id", "box", "score", "vector")
+        items, table = C.save_faces(cat.read("items"), cat.read("faces"), faces, read)
+        n = read.count()
+        cat.write("items", items.select(cat.read("items").columns))
+        cat.write("faces", table)
+        results.unpersist()
+        done += n
+    todo.unpersist()
+    return {"read": done}
 
 
 def regroup(cat: C.Catalogue, eps: float = people.SHIPPED_EPS) -> DataFrame:

@@ -1,6 +1,7 @@
 """Scalars, kernels, detection, catalogue, listing and incremental runs."""
 
 import datetime as dt
+import json
 import struct
 import zlib
 
@@ -220,7 +221,7 @@ def test_listing_and_passes_are_incremental(spark, tmp_path):
     (folder / "1.jsonl").write_text(page_json([_item("a", 50), _item("b", 40, thumb=None), _item("z", 99)], "n") + "\n" + page_json([_item("c", 30), _item("a", 50)], None) + "\n")
     cat = C.Catalogue(spark, f"file:{tmp_path}/cat")
     run = RunParams(older_than=90)
-    s = ingest.list_pages(spark, str(folder), cat, run, str(tmp_path / "cp"), batch_pages=1)
+    s = ingest.list_pages(spark, str(folder), cat, run, str(tmp_path / "cp"), batch_files=1)
     assert (s.pages, s.discovered, s.already_known, s.skipped_recent, s.skipped_no_thumb) == (2, 2, 1, 1, 1)
     assert {r.id for r in cat.ids().collect()} == {"a", "c"} and cat.get_meta("progress") == {"oldest": 30}
     (folder / "2.jsonl").write_text(page_json([_item("d", 20)]) + "\n")
@@ -239,6 +240,38 @@ def test_listing_and_passes_are_incremental(spark, tmp_path):
     assert cat.counts() == {"items": 0, "faces": 0} and cat.get_meta("progress") == {"oldest": 20}
 
 
+def test_metadata_is_fetched_in_chunks_with_retries(spark):
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(7)], "id string").coalesce(1)
+
+    def fetch(some):
+        if "k3" in some:
+            raise P.ListingError("shape")
+        return [json.dumps(some)]
+
+    assert sorted(x for r in P.fetch_info(keys, fetch, size=2).collect() for x in json.loads(r.value)) == ["k0", "k1", "k4", "k5", "k6"]
+
+
+def test_a_stopped_pass_keeps_what_is_written(spark, tmp_path):
+    folder = tmp_path / "pages"
+    folder.mkdir()
+    (folder / "1.jsonl").write_text(page_json([_item(f"i{k}", 90 - k) for k in range(12)]) + "\n")
+    cat = C.Catalogue(spark, f"file:{tmp_path}/cat")
+    ingest.list_pages(spark, str(folder), cat, RunParams(), str(tmp_path / "cp"))
+    features, calls = cat.read("items").schema["features"].dataType, []
+
+    def kernel(todo):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("stopped")
+        return todo.select("id", F.lit(None).cast(features).alias("features"), F.lit(None).cast("string").alias("error"))
+
+    with pytest.raises(RuntimeError):
+        ingest.analyse_pending(cat, kernel, size=5)
+    first = cat.read("items").filter("analyzed").count()
+    assert 0 < first < 12
+    assert ingest.analyse_pending(cat, kernel, size=5) == {"tried": 12 - first, "failed": 0}
+
+
 def test_run_limit_counts_new_items(spark, tmp_path):
     folder = tmp_path / "pages"
     folder.mkdir()
