@@ -187,7 +187,10 @@ def regions(mask: np.ndarray) -> Iterator[tuple[int, slice, slice]]:
 
 
 def skin_face(rgb: np.ndarray) -> dict:
-    """A face guessed from regions of skin colour: face_score, skin_frac, face_box (x, y, width, height; shares)."""
+    """A face guessed from regions of skin colour: face_score, skin_frac, face_box (x, y, width, height; shares).
+
+    The bounds and weights here and in _skin are fixed values.
+    """
     h, w = rgb.shape[:2]
     means = rgb.reshape(-1, 3).astype(np.float64).mean(0)
     gains = np.clip(np.divide(means.mean(), means, out=np.ones(3), where=means > 1), 0.75, 1.35)

@@ -28,7 +28,11 @@ def eligible(items: DataFrame) -> DataFrame:
 
 def pairs(items: DataFrame, distance: int = 8, window: int = 80) -> DataFrame:
     """(a, b, rn_a, rn_b): pairs at most `window` eligible rows apart whose dhash differs in `distance` bits, ahash in 6 more, at most."""
-    rows = eligible(items).withColumn("block", F.floor(F.col("rn") / window).cast("long"))
+    return _pairs(eligible(items), distance, window)
+
+
+def _pairs(rows: DataFrame, distance: int, window: int) -> DataFrame:
+    rows = rows.withColumn("block", F.floor(F.col("rn") / window).cast("long"))
     cols = ("id", "rn", "dh", "dl", "ah", "al")
     left = rows.select("block", *[F.col(c).alias(f"a_{c}") for c in cols])
     right = rows.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") - 1))).select("block", *[F.col(c).alias(f"b_{c}") for c in cols])
@@ -41,6 +45,8 @@ def pairs(items: DataFrame, distance: int = 8, window: int = 80) -> DataFrame:
 def closure(edges: DataFrame) -> DataFrame:
     """(node, root) of numbered nodes under edges (a, b): root is the least node that can be reached."""
     edges = _written(edges.select("a", "b"))
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = _written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     while True:
@@ -55,9 +61,10 @@ def closure(edges: DataFrame) -> DataFrame:
 
 def groups(items: DataFrame, distance: int = 8, window: int = 80) -> DataFrame:
     """(root, id, rn): sets of two and more; root is the id of the earliest member."""
-    found = pairs(items, distance, window)
+    rows = _written(eligible(items))  # ranked once
+    found = _pairs(rows, distance, window)
     sets = closure(found.select(F.col("rn_a").alias("a"), F.col("rn_b").alias("b")))
-    rows = eligible(items).select("id", "rn")
+    rows = rows.select("id", "rn")
     return sets.join(rows, sets.node == rows.rn).select("root", "id", "rn").join(rows.select(F.col("rn").alias("root"), F.col("id").alias("root_id")), "root").select(F.col("root_id").alias("root"), "id", "rn")
 
 

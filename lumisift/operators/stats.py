@@ -111,15 +111,18 @@ def progress(items: DataFrame, least: float = 0.35) -> DataFrame:
     )
 
 
+#: Verdicts, and the shares in percent from which the stronger two hold.
+NO_MATCHES, NOTHING_ASKED, FEW = "No matches", "Enable a criterion to begin", "A few catches"
+STRONG = ((25, "Big clean-up ahead"), (8, "Good potential"))
+
+
 def cleanup_score(total_and_caught: DataFrame, any_enabled: bool = True) -> DataFrame:
     """One row (total, caught) -> share in percent and a verdict."""
     share = F.col("caught").cast("double") * F.lit(100.0) / F.nullif(F.col("total"), F.lit(0).cast("long")).cast("double")
-    verdict = (
-        F.when(F.col("caught") == 0, "No matches" if any_enabled else "Enable a criterion to begin")
-        .when(share >= 25, "Big clean-up ahead")
-        .when(share >= 8, "Good potential")
-        .otherwise("A few catches")
-    )
+    verdict = F.when(F.col("caught") == 0, NO_MATCHES if any_enabled else NOTHING_ASKED)
+    for least, text in STRONG:
+        verdict = verdict.when(share >= least, text)
+    verdict = verdict.otherwise(FEW)
     return total_and_caught.withColumn("share", share).withColumn("verdict", verdict)
 
 
