@@ -82,8 +82,9 @@ def _bucket(salt: int):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    """labels must hold only rows that may be learned from."""
+    """labels must hold only rows that may be learned from. Repeated rows count once; a doc_id with both labels teaches nothing."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
+    labels = labels.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").drop("most")
     shares = {r.label: r.n for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(shares.values())
     if len(shares) < 2:
@@ -94,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
         for k in (0, 1):
             part = labels.filter((F.col("label") == k) & (_bucket(1) % 2 == use)).orderBy(_bucket(2), "doc_id").limit(SAMPLE_DOCS).withColumn("use", F.lit(use))
             sample = part if sample is None else sample.unionByName(part)
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample.dropDuplicates(["doc_id"])), "doc_id")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
 
     def cut(batches):
         for batch in batches:
