@@ -466,4 +466,4 @@ def shift_range(spark, d):
     return decisions.shift_range(ranked, "5", "99")
 
 
-from lumisift.plans import passes as _passes  # noqa: E402,F401  registers its queries too
+from lumisift.plans import details as _details, passes as _passes  # noqa: E402,F401  these register their queries too
