@@ -77,6 +77,28 @@ DOCUMENT_ITEMS_SQL = """
 ditems AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id AS ts, substr(md5(text), 1, 16) AS dhash, substr(md5(text), 17, 16) AS ahash, CAST(n_chars AS DOUBLE) AS lap FROM documents)"""
 
 
+def burst_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts of twelve items whose fingerprints drift apart: the k-th has its k lowest dhash bits and 2k lowest ahash bits flipped."""
+    i = F.col("doc_id")
+    digest = F.md5(F.floor(i / 12).cast("string").cast("binary"))
+
+    def drifted(start: int, bits: int):
+        base = F.conv(F.substring(digest, start, 13), 16, 10).cast("long")
+        flipped = (F.pow(F.lit(2.0), (i % 12) * bits) - 1).cast("long")
+        return F.lower(F.lpad(F.hex(base.bitwiseXOR(flipped)), 16, "0"))
+
+    features = F.struct(drifted(1, 1).alias("dhash"), drifted(17, 2).alias("ahash"), F.col("n_chars").cast("double").alias("lap_var"), F.lit(0).alias("nat_w"), F.lit(0).alias("nat_h"))
+    return table(spark, sf_dir, "documents").select(i.cast("string").alias("id"), i.alias("ts"), F.lit(False).alias("is_video"), features.alias("features"))
+
+
+BURST_ITEMS_SQL = """
+ditems AS (
+  SELECT CAST(doc_id AS VARCHAR) AS id, doc_id AS ts, CAST(n_chars AS DOUBLE) AS lap,
+    printf('%016x', xor(CAST('0x' || substr(h, 1, 13) AS BIGINT), CAST(pow(2, doc_id % 12) AS BIGINT) - 1)) AS dhash, printf('%016x', xor(CAST('0x' || substr(h, 17, 13) AS BIGINT), CAST(pow(2, (doc_id % 12) * 2) AS BIGINT) - 1)) AS ahash
+  FROM (SELECT *, md5(CAST(doc_id // 12 AS VARCHAR)) AS h FROM documents)
+)"""
+
+
 def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").cast("string").alias("id"), (F.col("vec_id") % 200).cast("string").alias("photo_id"), F.col("label").cast("int").alias("label"), F.col("embedding").alias("vector"))

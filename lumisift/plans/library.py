@@ -348,6 +348,17 @@ def dup_groups(spark, d):
     return duplicates.groups(adapters.document_items(spark, d), window=1000).select("root", "id")
 
 
+@query("dup_pairs_near", "SELECT a, b FROM near", adapters.BURST_ITEMS_SQL, *dup_sql(8, 80, **_DOC))
+def dup_pairs_near(spark, d):
+    """Pairs on both sides of both thresholds."""
+    return duplicates.pairs(adapters.burst_items(spark, d)).select("a", "b")
+
+
+@query("dup_groups_near", "SELECT root, id FROM dup", adapters.BURST_ITEMS_SQL, *dup_sql(5, 80, **_DOC))
+def dup_groups_near(spark, d):
+    return duplicates.groups(adapters.burst_items(spark, d), distance=5).select("root", "id")
+
+
 for _keep in ("sharpest", "first", "last"):
 
     @query(f"dup_keepers_{_keep}", "SELECT root, id FROM keepers", DOCUMENT_ITEMS_SQL, *dup_sql(8, 1000, _keep, **_DOC))
