@@ -146,15 +146,17 @@ class Catalogue:
         return "\n".join(r.value for r in self.spark.read.text(p.toString()).collect())
 
     def _write_text(self, name: str, text: str) -> None:
-        """Written beside and renamed over."""
+        """Written beside and renamed over in one step, so a crash leaves the old text or the new one."""
         fs, path = self._fs()
         target, temp = path(f"{self.path}/{name}"), path(f"{self.path}/_{uuid.uuid4().hex}")
         out = fs.create(temp)
         out.write(bytearray(text.encode()))
         out.close()
-        if fs.exists(target):
-            fs.delete(target, False)
-        fs.rename(temp, target)
+        java = self.spark._jvm
+        kind = getattr(java.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        java.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(temp, target, how)
 
     def read(self, table: str) -> DataFrame:
         version = self._read_text(f"{table}.current")
