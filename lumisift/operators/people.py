@@ -1,8 +1,9 @@
 """People: clustering of face vectors, assignment to known groups, and what a library does with groups.
 
-Leader clustering depends on the order of its input, so an exact run is one sequence (`cluster_exact`, for one shard). At
-scale every shard is clustered on its own and the shards' centroids are merged: shards of bounded size meet pairwise in
-rounds, so no task holds more than a bounded number of vectors.
+Leader clustering depends on the order of its input, so an exact run is one sequence, and up to SHARD faces it is that. Beyond, shards
+of that size are clustered alone and the sums of their clusters are fused in rounds, two neighbours at a time. Each face is in one
+shard by its own id, so a photo with many faces fills none; but the last round holds the sums of all clusters that are left, and
+faces may be grouped otherwise than by one sequence.
 """
 
 from __future__ import annotations
@@ -105,10 +106,10 @@ def _joined(eps: float):
 def cluster_faces(faces: DataFrame, eps: float = DEFAULT_EPS, merge_ratio: float = MERGE_RATIO) -> DataFrame:
     """(id, photo_id, vector, cluster): faces (id, photo_id, vector) by person, singletons included.
 
-    One shard is the exact sequence in order of (photo_id, id); with more, shards are dealt by photo and fused pairwise.
+    One shard is the exact sequence in order of (photo_id, id); with more, shards are dealt by id and fused pairwise.
     """
     shards = max(1, -(-faces.count() // SHARD))
-    dealt = faces.select("id", "photo_id", "vector").withColumn("shard", F.pmod(F.xxhash64("photo_id"), F.lit(shards)).cast("int"))
+    dealt = faces.select("id", "photo_id", "vector").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     kind = dict(faces.dtypes)
     local = dealt.groupBy("shard").applyInPandas(_shard(eps, merge_ratio), f"id {kind['id']}, photo_id {kind['photo_id']}, shard int, local long, vector {kind['vector']}")
     if shards == 1:
