@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -72,6 +73,7 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of phases whose results are written and whose frames are gone."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)  # the cleaner works beside the driver
 
 
 def with_row_ids(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
