@@ -10,13 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumisift.functions.scalars import hamming_halves, hash_halves
-from lumisift.operators.orders import shared_folder, with_rank
-
-
-def _written(df: DataFrame) -> DataFrame:
-    path = shared_folder(df)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from lumisift.operators.orders import with_rank, written
 
 
 def eligible(items: DataFrame) -> DataFrame:
@@ -44,24 +38,24 @@ def _pairs(rows: DataFrame, distance: int, window: int) -> DataFrame:
 
 def closure(edges: DataFrame) -> DataFrame:
     """(node, root) of numbered nodes under edges (a, b): root is the least node that can be reached."""
-    edges = _written(edges.select("a", "b"))
+    edges = written(edges.select("a", "b"))
     if edges.isEmpty():
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = _written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    label = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     while True:
         a, b = label.select(F.col("node").alias("a"), F.col("root").alias("ra")), label.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         crossing = edges.join(a, "a").join(b, "b").filter("ra <> rb")
-        hooks = _written(crossing.groupBy(F.greatest("ra", "rb").alias("root")).agg(F.min(F.least("ra", "rb")).alias("to")))
+        hooks = written(crossing.groupBy(F.greatest("ra", "rb").alias("root")).agg(F.min(F.least("ra", "rb")).alias("to")))
         if hooks.isEmpty():  # no node's label is above itself, so a set's common label is its least node
             return label
-        hooked = _written(label.join(hooks, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
-        label = _written(hooked.join(hooked.select(F.col("node").alias("root"), F.col("root").alias("up")), "root").select("node", F.col("up").alias("root")))
+        hooked = written(label.join(hooks, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        label = written(hooked.join(hooked.select(F.col("node").alias("root"), F.col("root").alias("up")), "root").select("node", F.col("up").alias("root")))
 
 
 def groups(items: DataFrame, distance: int = 8, window: int = 80) -> DataFrame:
     """(root, id, rn): sets of two and more; root is the id of the earliest member."""
-    rows = _written(eligible(items))  # ranked once
+    rows = written(eligible(items))  # ranked once
     found = _pairs(rows, distance, window)
     sets = closure(found.select(F.col("rn_a").alias("a"), F.col("rn_b").alias("b")))
     rows = rows.select("id", "rn")

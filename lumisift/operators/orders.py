@@ -78,6 +78,13 @@ def shared_folder(df: DataFrame) -> str:
     return f"{root.rstrip('/')}/lumisift-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage: df as Parquet in a shared folder, read back."""
+    path = shared_folder(df)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Bytes a table may have, by Spark's estimate, to be ranked in one task.
 ONE_TASK_BYTES = 64 << 20
 

@@ -1,9 +1,10 @@
 """People: clustering of face vectors, assignment to known groups, and what a library does with groups.
 
 Leader clustering depends on the order of its input, so an exact run is one sequence, and up to SHARD faces it is that. Beyond, shards
-of that size are clustered alone and the sums of their clusters are fused in rounds, two neighbours at a time. Each face is in one
-shard by its own id, so a photo with many faces fills none; but the last round holds the sums of all clusters that are left, and
-faces may be grouped otherwise than by one sequence.
+of that size are clustered alone, each face in one shard by its own id, so a photo with many faces fills none. The shards' clusters are then
+fused in rounds over the whole table: every cluster finds its nearest other by blocks of a matrix product, pairs that are
+nearest to each other are fused at once, and only what touched them is held against the rest again. No round is one task; faces may be grouped
+otherwise than by one sequence.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumisift.functions.scalars import cosine_distance, normalised
-from lumisift.operators.orders import with_rank
+from lumisift.operators.orders import with_rank, written
+from lumisift.operators.products import distance, near, unit
 
 #: The distance below which two faces are one person by default and as shipped, the ratio of it for merging
 #: groups, the least size of a group, and the distance within which a group keeps a name.
@@ -25,19 +27,6 @@ DEFAULT_EPS, SHIPPED_EPS, MERGE_RATIO, MIN_SIZE, CARRY_EPS = 0.6, 0.75, 1.0, 2,
 SHARD = 20_000
 
 
-def unit(v: np.ndarray) -> np.ndarray:
-    """Unit vectors along the last axis; zero stays zero. Empty ones are an error."""
-    v = np.asarray(v, np.float64)
-    if v.shape[-1] == 0:
-        raise ValueError("empty vector")
-    n = np.linalg.norm(v, axis=-1, keepdims=True)
-    return np.divide(v, n, out=v.copy(), where=n > 0)
-
-
-def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return 1 - np.clip(a @ b.T, -1, 1)
-
-
 def lead(vectors: np.ndarray, eps: float, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each vector in turn joins the nearest centroid within eps (the first of equals) or founds a cluster: labels, sums, centroids."""
     x = unit(vectors).astype(np.float32)
@@ -60,76 +49,97 @@ def lead(vectors: np.ndarray, eps: float, weights: np.ndarray | None = None) ->
     return labels, sums[:k], centroids[:k]
 
 
+#: Rows of centroids whose distances to all later ones are taken at once.
+ROWS_AT_ONCE = 256
+
+
 def fuse(sums: np.ndarray, centroids: np.ndarray, eps: float) -> np.ndarray:
-    """Fuse the first pair of centroids within eps, again and again; the cluster that each one ends in."""
-    ends, alive = np.arange(len(sums)), list(range(len(sums)))
-    sums, centroids = sums.copy(), centroids.copy()
-    again = True
-    while again:
-        again = False
-        for i, a in enumerate(alive):
-            rest = alive[i + 1 :]
-            if not rest:
-                break
-            near = np.flatnonzero(1 - np.clip(centroids[rest] @ centroids[a], -1, 1) <= eps)
-            if len(near):
-                b = rest[near[0]]
+    """Fuse the first pair of centroids within eps, again and again; the cluster that each one ends in.
+
+    A scan from the start would find the same pairs: rows before the present one have no partner, so after two have been fused only
+    the fused row can be new to them, and no later row has moved. That is a product of one row a fused pair, and of each row once.
+    """
+    sums, centroids, k = sums.copy(), centroids.copy(), len(sums)
+    alive, into = np.ones(k, bool), np.arange(k)
+
+    def first(lo: int, hi: int, a: int) -> int:
+        for at in range(lo, hi, 4096):
+            hit = np.flatnonzero(alive[at : min(at + 4096, hi)] & (distance(centroids[at : min(at + 4096, hi)], centroids[a]) <= eps))
+            if len(hit):
+                return at + int(hit[0])
+        return -1
+
+    for base in range(0, k, ROWS_AT_ONCE):
+        close = distance(centroids[base : base + ROWS_AT_ONCE], centroids[base:]) <= eps
+        for a in range(base, min(base + ROWS_AT_ONCE, k)):
+            partners = np.flatnonzero(close[a - base, a - base + 1 :] & alive[a + 1 :]) if alive[a] else ()
+            b = a + 1 + int(partners[0]) if len(partners) else -1
+            while b >= 0:
                 sums[a] += sums[b]
                 centroids[a] = unit(sums[a])
-                ends[ends == b] = a
-                alive.remove(b)
-                again = True
-                break
-    return ends
+                alive[b], into[b] = False, a
+                earlier = first(0, a, a)
+                a, b = (earlier, a) if earlier >= 0 else (a, first(a + 1, k, a))
+    for i in range(k):  # what a cluster went into comes before it
+        into[i] = into[into[i]]
+    return into
 
 
 def _shard(eps: float, merge_ratio: float):
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["photo_id", "id"], ignore_index=True)
         labels, sums, centroids = lead(np.stack(pdf.vector), eps)
-        ends = fuse(sums, centroids, eps * merge_ratio)
-        return pd.DataFrame({"id": pdf.id, "photo_id": pdf.photo_id, "shard": pdf.shard, "local": ends[labels], "vector": pdf.vector})
+        labels = fuse(sums, centroids, eps * merge_ratio)[labels]
+        shared = np.zeros((len(sums), sums.shape[1]))
+        np.add.at(shared, labels, unit(np.stack(pdf.vector)))
+        head = pd.Series(labels).duplicated().to_numpy()
+        return pd.DataFrame(
+            {"id": pdf.id, "photo_id": pdf.photo_id, "vector": pdf.vector, "cluster": pdf.shard.astype("int64") * (1 << 32) + labels, "sum": [None if again else shared[c] for c, again in zip(labels, head)]}
+        )
 
     return cluster
 
 
-def _joined(eps: float):
-    def fuse_shards(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["shard", "local"], ignore_index=True)
-        sums = np.stack(pdf["sum"]).astype(np.float64)
-        ends = fuse(sums, unit(sums), eps)
-        return pd.DataFrame({"shard": pdf.shard, "local": pdf.local, "to_shard": pdf.shard.to_numpy()[ends], "to_local": pdf.local.to_numpy()[ends]})
+def _fused_across(heads: DataFrame, eps: float) -> DataFrame:
+    """(cluster, root) of clusters (cluster, sum), fused by pairs that are nearest to each other until no two are within eps.
 
-    return fuse_shards
+    The nearest pair of all is nearest to each other, so every round fuses some.
+    """
+    least = lambda found: found.groupBy("id").agg(F.min(F.struct("distance", "key")).alias("n")).select("id", F.col("n.key").alias("key"), F.col("n.distance").alias("distance"))
+    as_rows = lambda h: h.select(F.col("cluster").alias("id"), F.col("sum").alias("vector"))
+    ends = written(heads.select("cluster", F.col("cluster").alias("root")))
+    best = written(least(near(as_rows(heads), as_rows(heads).withColumnRenamed("id", "key"), eps, mutual=True)))
+    while True:
+        back = best.select(F.col("id").alias("key"), F.col("key").alias("id"))
+        pairs = written(best.join(back, ["id", "key"]).filter("id < key").select(F.col("id").alias("into"), F.col("key").alias("gone")))
+        if pairs.isEmpty():
+            return ends
+        joined = pairs.join(heads.select(F.col("cluster").alias("gone"), F.col("sum").alias("_more")), "gone").select(F.col("into").alias("cluster"), "_more")
+        moved = heads.join(pairs.select(F.col("gone").alias("cluster")), "cluster", "left_anti").join(joined, "cluster", "left")
+        heads = written(moved.select("cluster", F.when(F.col("_more").isNull(), F.col("sum")).otherwise(F.zip_with("sum", "_more", lambda x, y: x + y)).alias("sum")))
+        ends = written(ends.join(pairs.withColumnRenamed("gone", "root"), "root", "left").select("cluster", F.coalesce("into", "root").alias("root")))
+        gone, changed = pairs.select(F.col("gone").alias("id")), pairs.select(F.col("into").alias("id")).unionByName(pairs.select(F.col("gone").alias("id")))
+        stale = best.join(changed.withColumnRenamed("id", "key"), "key", "left_semi").select("id")
+        again = written(changed.unionByName(stale).distinct().join(gone, "id", "left_anti"))
+        kept = best.join(again, "id", "left_anti").join(gone, "id", "left_anti")
+        rows = as_rows(heads)
+        best = written(least(kept.unionByName(near(rows.join(again, "id", "left_semi"), rows.withColumnRenamed("id", "key"), eps, mutual=True))))
 
 
 def cluster_faces(faces: DataFrame, eps: float = DEFAULT_EPS, merge_ratio: float = MERGE_RATIO) -> DataFrame:
     """(id, photo_id, vector, cluster): faces (id, photo_id, vector) by person, singletons included.
 
-    One shard is the exact sequence in order of (photo_id, id); with more, shards are dealt by id and fused pairwise.
+    One shard is the exact sequence in order of (photo_id, id); with more, shards are dealt by id and their clusters fused across all.
     """
     shards = max(1, -(-faces.count() // SHARD))
     dealt = faces.select("id", "photo_id", "vector").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     kind = dict(faces.dtypes)
-    local = dealt.groupBy("shard").applyInPandas(_shard(eps, merge_ratio), f"id {kind['id']}, photo_id {kind['photo_id']}, shard int, local long, vector {kind['vector']}")
+    local = dealt.groupBy("shard").applyInPandas(_shard(eps, merge_ratio), f"id {kind['id']}, photo_id {kind['photo_id']}, vector {kind['vector']}, cluster long, sum array<double>")
     if shards == 1:
-        return local.select("id", "photo_id", "vector", F.col("local").alias("cluster"))
-    from lumisift.operators.duplicates import _written
-
-    local = _written(local)
-    size = len(faces.select("vector").first()[0])
-    summed = local.groupBy("shard", "local").agg(F.array(*[F.sum(F.get(F.col("vector"), F.lit(i))) for i in range(size)]).alias("sum"))
-    ends = _written(summed.select("shard", "local", "sum", F.col("shard").alias("to_shard"), F.col("local").alias("to_local")))
-    span = 1
-    while span < shards:
-        heads = ends.groupBy("to_shard", "to_local").agg(F.array(*[F.sum(F.get(F.col("sum"), F.lit(i))) for i in range(size)]).alias("sum")).withColumnsRenamed({"to_shard": "shard", "to_local": "local"})
-        moved = heads.groupBy(F.floor(F.col("shard") / (2 * span)).alias("pair")).applyInPandas(_joined(eps * merge_ratio), "shard int, local long, to_shard int, to_local long").select(
-            F.col("shard").alias("_s"), F.col("local").alias("_l"), F.col("to_shard").alias("_ts"), F.col("to_local").alias("_tl")
-        )
-        ends = _written(ends.join(moved, (ends.to_shard == moved._s) & (ends.to_local == moved._l)).select("shard", "local", "sum", F.col("_ts").alias("to_shard"), F.col("_tl").alias("to_local")))
-        span *= 2
-    number = (F.col("to_shard").cast("long") * F.lit(1 << 32) + F.col("to_local")).alias("cluster")
-    return local.join(ends.drop("sum"), ["shard", "local"]).select("id", "photo_id", "vector", number)
+        return local.drop("sum")
+    local = written(local)
+    ends = _fused_across(written(local.filter("sum is not null").select("cluster", "sum")), eps * merge_ratio)
+    return local.drop("sum").join(ends, "cluster").select("id", "photo_id", "vector", F.col("root").alias("cluster"))
 
 
 def centroids(members: DataFrame, by: str = "cluster") -> DataFrame:
@@ -157,7 +167,7 @@ def ungrouped(clustered: DataFrame, min_size: int = MIN_SIZE) -> DataFrame:
     return clustered.join(small, "cluster", "left_semi").select("id")
 
 
-#: Bytes of centroids that are sent to every task at once; more go to the faces part by part. Faces that meet them at once.
+#: Bytes of centroids that are sent to every task; more meet the faces block by block. Faces that meet them at once.
 CENTROID_BYTES, FACES_AT_ONCE = 32 << 20, 4096
 
 
@@ -169,7 +179,7 @@ def _nearest(ids: list, table: Broadcast, eps: float):
         for batch in batches:
             for at in range(0, batch.num_rows, FACES_AT_ONCE):
                 part = batch.slice(at, FACES_AT_ONCE)
-                d = 1 - np.clip(unit(np.stack(part.column("vector").to_numpy(zero_copy_only=False))) @ own.T, -1, 1)
+                d = distance(unit(np.stack(part.column("vector").to_numpy(zero_copy_only=False))), own)
                 best = d.argmin(axis=1)  # the first of equals
                 least = d[np.arange(len(best)), best]
                 keep = np.flatnonzero(least <= eps)
@@ -181,46 +191,45 @@ def _nearest(ids: list, table: Broadcast, eps: float):
 def assign(faces: DataFrame, groups: DataFrame, eps: float = DEFAULT_EPS) -> DataFrame:
     """(id, group_id, distance) of the nearest group (group_id, centroid) within eps; the first of equals. Others stay out.
 
-    Groups are a stated set that all faces are held against, in parts of a bounded number of bytes.
+    Centroids of at most CENTROID_BYTES are broadcast; beyond that blocks of faces and of centroids are cogrouped. Either way the
+    faces are read in one pass.
     """
-    spark, found = faces.sparkSession, None
-    first = groups.select(F.size("centroid").alias("n")).first()
-    parts = max(1, -(-groups.count() * 8 * first.n // CENTROID_BYTES)) if first else 1
-    dealt = groups.select(F.col("group_id").cast("long").alias("group_id"), "centroid", F.pmod(F.xxhash64("group_id"), F.lit(parts)).alias("part"))
-    kind = dict(faces.dtypes)["id"]
-    for part in range(parts):
-        own = sorted((r.group_id, r.centroid) for r in dealt.filter(F.col("part") == part).collect())
-        if not own:
-            continue
-        table = spark.sparkContext.broadcast(unit(np.array([c for _, c in own])))
-        near = faces.select("id", "vector").mapInArrow(_nearest([g for g, _ in own], table, eps), f"id {kind}, group_id long, distance double")
-        found = near if found is None else found.unionByName(near)
-    if found is None:
-        return spark.createDataFrame([], f"id {kind}, group_id int, distance double")
+    rows = groups.select(F.col("group_id").cast("long").alias("key"), F.col("centroid").alias("vector"))
+    first = rows.select(F.size("vector").alias("n")).first()
+    kinds = dict(faces.dtypes)["id"], dict(groups.dtypes)["group_id"]
+    if not first:
+        return faces.sparkSession.createDataFrame([], f"id {kinds[0]}, group_id {kinds[1]}, distance double")
+    if rows.count() * 8 * first.n <= CENTROID_BYTES:
+        own = sorted((r.key, r.vector) for r in rows.collect())  # CENTROID_BYTES at most
+        table = faces.sparkSession.sparkContext.broadcast(unit(np.array([v for _, v in own])))
+        found = faces.select("id", "vector").mapInArrow(_nearest([k for k, _ in own], table, eps), f"id {kinds[0]}, group_id long, distance double")
+    else:
+        found = near(faces.select("id", "vector"), rows, eps).withColumnRenamed("key", "group_id")
     best = found.groupBy("id").agg(F.min(F.struct("distance", "group_id")).alias("b"))
-    return best.select("id", F.col("b.group_id").cast(dict(groups.dtypes)["group_id"]).alias("group_id"), "b.distance")
+    return best.select("id", F.col("b.group_id").cast(kinds[1]).alias("group_id"), "b.distance")
 
 
 def carry_names(groups: DataFrame, previous: DataFrame, eps: float = CARRY_EPS) -> DataFrame:
     """groups with name: in order of group_id each takes the nearest unused old name within eps. previous: name, centroid.
 
-    Named people are few (what a person has typed), and this choice is a sequence; it runs in one task over candidates only.
+    The sequence is run as rounds over the pairs within eps: where a group's nearest name has no earlier group left within reach,
+    the two are fixed and leave with all their pairs. The first group that is left is always such a one, and most are at once. Of equally
+    near names the first by text is taken; a name that is there twice can be given twice.
     """
-    new = groups.select("group_id", normalised(F.col("centroid")).alias("c"))
-    old = previous.filter("name is not null").select("name", normalised(F.col("centroid")).alias("o"))
-    near = new.join(F.broadcast(old)).select("group_id", "name", cosine_distance(F.col("c"), F.col("o")).alias("d")).filter(F.col("d") <= eps)
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for g, rows in pdf.sort_values(["group_id", "d", "name"]).groupby("group_id", sort=True):
-            name = next((n for n in rows.name if n not in used), None)
-            if name is not None:
-                used.add(name)
-                out.append((g, name))
-        return pd.DataFrame(out, columns=["group_id", "name"])
-
-    chosen = near.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(choose, "group_id int, name string")
-    return groups.drop("name").join(chosen, "group_id", "left")
+    old = written(previous.filter("name is not null and centroid is not null").select("name", F.col("centroid").alias("vector"), F.monotonically_increasing_id().alias("key")))
+    met = near(groups.select(F.col("group_id").alias("id"), F.col("centroid").alias("vector")), old.select("key", "vector"), eps, nearest=False)
+    pairs = written(met.join(old.select("key", "name"), "key"))
+    chosen = None
+    while not pairs.isEmpty():
+        nearest = pairs.groupBy("id").agg(F.min(F.struct("distance", "name", "key")).alias("n")).select("id", "n.key", "n.name")
+        earliest = pairs.groupBy("key").agg(F.min("id").alias("id"))
+        fixed = written(nearest.join(earliest, ["id", "key"]))
+        chosen = fixed if chosen is None else chosen.unionByName(fixed)
+        pairs = written(pairs.join(fixed.select("id"), "id", "left_anti").join(fixed.select("key"), "key", "left_anti"))
+    out = groups.drop("name")
+    if chosen is None:
+        return out.withColumn("name", F.lit(None).cast("string"))
+    return out.join(chosen.select(F.col("id").alias("group_id"), "name"), "group_id", "left")
 
 
 def people_by_photo(groups: DataFrame) -> DataFrame:

@@ -441,6 +441,32 @@ def regroup(spark, d):
     return people.regroup(adapters.faces(spark, d))[1].select("photo_id", F.array_join("people", ",").alias("people"))
 
 
+#: Old names: two for three labels' faces, with the centroids that those have; the choice as a walk over the groups.
+_NAMED_SQL = """
+old AS (
+  SELECT 'N' || third || '-' || m AS name, list(x / norm ORDER BY i) AS o FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY third, m)) AS norm
+    FROM (SELECT label // 3 AS third, CAST(id AS BIGINT) % 2 AS m, i, sum(v[i]) AS x FROM u, range(1, 65) r(i) GROUP BY ALL)) GROUP BY third, m
+), edges AS (
+  SELECT label AS g, list({'d': d, 'n': name} ORDER BY d, name) AS e FROM (SELECT label, name, 1 - list_sum(list_transform(range(1, 65), lambda i: c.c[i] * old.o[i])) AS d FROM c, old) WHERE d <= 0.75 GROUP BY label
+), walk AS (
+  WITH RECURSIVE o AS (SELECT *, row_number() OVER (ORDER BY g) AS k FROM edges), w AS (
+    SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS INTEGER) AS g, CAST(NULL AS VARCHAR) AS name, CAST([] AS VARCHAR[]) AS used
+    UNION ALL
+    SELECT o.k, o.g, f, CASE WHEN f IS NULL THEN used ELSE list_append(used, f) END
+    FROM (SELECT w.used, o.*, list_filter(o.e, lambda x: NOT list_contains(w.used, x.n))[1].n AS f FROM w JOIN o ON o.k = w.k + 1) AS o
+  )
+  SELECT g, name FROM w
+)"""
+
+
+@query("carried_names", "SELECT label AS group_id, name FROM (SELECT DISTINCT label FROM faces) LEFT JOIN walk ON g = label", *_CENTROIDS, _NAMED_SQL)
+def carried_names(spark, d):
+    faces, groups = _labelled(spark, d)
+    third = F.floor(F.col("label") / 3).cast("string")
+    named = faces.select("vector", F.concat(F.lit("N"), third, F.lit("-"), (F.col("id").cast("long") % 2).cast("string")).alias("name"))
+    return people.carry_names(groups, people.centroids(named, "name"), people.SHIPPED_EPS).select("group_id", "name")
+
+
 # decisions
 
 _DISPOSITION = "CASE WHEN NOT coalesce(is_owned, true) THEN 'notOwned' WHEN coalesce(dedup_key, '') = '' THEN 'noKey' ELSE 'deletable' END"

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumisift import schema
-from lumisift.operators import criteria, decisions, duplicates, orders, people, sections, stats
+from lumisift.operators import criteria, decisions, duplicates, orders, people, products, sections, stats
 from lumisift.params import CRITERIA, QueryParams, RunParams
 from lumisift.plans.query import LibraryQuery
 
@@ -170,21 +170,88 @@ def test_clusters_equal_the_plain_sequence(spark, counts):
     assert [r["size"] for r in report] == sorted((n for n in map(len, want) if n >= 2), reverse=True)
 
 
-def test_shards_find_the_same_people(spark, monkeypatch):
-    data = blobs([40, 30, 20, 10], jitter=0.02)
+def test_fusing_equals_the_scan_from_the_start(monkeypatch):
+    for seed in range(25):
+        rng = np.random.default_rng(seed)
+        k, dim = int(rng.integers(1, 150)), int(rng.choice([3, 8, 32]))
+        centres = rng.normal(size=(max(2, k // 6), dim))
+        sums = (centres[rng.integers(0, len(centres), k)] + rng.normal(size=(k, dim)) * rng.choice([0.3, 0.8])).astype(np.float32)
+        monkeypatch.setattr(people, "ROWS_AT_ONCE", int(rng.choice([4, 256])))
+        left = [(s.copy(), {i}) for i, s in enumerate(sums)]
+        again = True
+        while again:
+            near = ((a, b) for a in range(len(left)) for b in range(a + 1, len(left)) if 1 - np.clip(people.unit(left[a][0]) @ people.unit(left[b][0]), -1, 1) <= 0.4)
+            again = next(near, None)
+            if again:
+                a, b = again
+                left[a] = left[a][0] + left[b][0], left[a][1] | left[b][1]
+                del left[b]
+        ends = people.fuse(sums, people.unit(sums), 0.4)
+        got = {}
+        for i, e in enumerate(ends):
+            got.setdefault(e, set()).add(i)
+        assert list(map(frozenset, got.values())) == [frozenset(m) for _, m in left]
+        assert all(min(m) == e for e, m in got.items())
+
+
+@pytest.mark.parametrize("block_bytes", [16 << 20, 32 * 8 * 3])
+def test_shards_find_the_same_people(spark, monkeypatch, block_bytes):
+    data = blobs([40, 30, 20, 10, 1, 1], jitter=0.02)
     faces = spark.createDataFrame([(f"p{i:03d}#0", f"p{i:03d}", v) for i, (v, _) in enumerate(data)], "id string, photo_id string, vector array<float>")
-    monkeypatch.setattr(people, "SHARD", 25)
+    monkeypatch.setattr(people, "SHARD", 35)
+    monkeypatch.setattr(products, "BLOCK_BYTES", block_bytes)
     rows = people.cluster_faces(faces, 0.6).collect()
     seen = {}
     for r in rows:
         seen.setdefault(r.cluster, set()).add(data[int(r.photo_id[1:])][1])
-    assert len(rows) == 100 and len(seen) == 4 and all(len(v) == 1 for v in seen.values())
+    assert len(rows) == 102 and len(seen) == 6 and all(len(v) == 1 for v in seen.values())
+
+
+def test_shards_end_without_near_clusters(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    faces = spark.createDataFrame([(f"{i:03d}", f"p{i}", rng.normal(size=4).tolist()) for i in range(120)], "id string, photo_id string, vector array<float>")
+    monkeypatch.setattr(people, "SHARD", 20)
+    sums = {}
+    for r in people.cluster_faces(faces, 0.3).collect():
+        sums[r.cluster] = sums.get(r.cluster, 0) + people.unit(np.array(r.vector))
+    centres = people.unit(np.stack(list(sums.values())))
+    d = people.distance(centres, centres) + 2 * np.eye(len(centres))
+    assert 1 < len(sums) < 60 and d.min() > 0.3
+
+
+def test_centroids_beyond_the_broadcast_go_block_by_block(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    vectors, centres = rng.normal(size=(90, 6)), rng.normal(size=(25, 6))
+    centres[7] = centres[3]  # of equals the first
+    faces = spark.createDataFrame([(f"f{i}", v.tolist()) for i, v in enumerate(vectors)], "id string, vector array<float>")
+    groups = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(centres)], "group_id int, centroid array<double>")
+    whole = {tuple(r) for r in people.assign(faces, groups, 0.5).withColumn("distance", F.round("distance", 9)).collect()}
+    monkeypatch.setattr(people, "CENTROID_BYTES", 100)
+    monkeypatch.setattr(products, "BLOCK_BYTES", 6 * 8 * 10)
+    blocks = {tuple(r) for r in people.assign(faces, groups, 0.5).withColumn("distance", F.round("distance", 9)).collect()}
+    assert whole == blocks and 10 < len(whole) < 90 and not any(g == 7 for _, g, _ in whole)
+    assert people.assign(faces, groups.limit(0)).count() == 0 and people.assign(faces.limit(0), groups).count() == 0
 
 
 def test_names_are_carried_once(spark):
     groups = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.99, 0.1]), (2, [0.0, 1.0])], "group_id int, centroid array<double>")
-    old = spark.createDataFrame([("Ann", [1.0, 0.0]), ("Bob", [0.0, -1.0])], "name string, centroid array<double>")
+    old = spark.createDataFrame([("Ann", [1.0, 0.0]), ("Bob", [0.0, -1.0]), (None, [0.0, 1.0])], "name string, centroid array<double>")
     assert {r.group_id: r.name for r in people.carry_names(groups, old).collect()} == {0: "Ann", 1: None, 2: None}
+    assert {r.group_id: r.name for r in people.carry_names(groups, old.limit(0)).collect()} == {0: None, 1: None, 2: None}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_names_go_by_the_sequence_of_groups(spark, seed):
+    rng = np.random.default_rng(seed)
+    new, named = rng.normal(size=(14, 3)), [(f"n{i}", v.tolist()) for i, v in enumerate(rng.normal(size=(9, 3)))]
+    groups = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(new)], "group_id int, centroid array<double>")
+    want, used = {}, set()
+    for g, v in enumerate(new):
+        near = sorted((1 - float(people.unit(v) @ people.unit(np.array(o))), n) for n, o in named if n not in used)
+        want[g] = near[0][1] if near and near[0][0] <= 0.8 else None
+        used.add(want[g])
+    got = people.carry_names(groups, spark.createDataFrame(named, "name string, centroid array<double>"), 0.8).collect()
+    assert {r.group_id: r.name for r in got} == want and None in want.values()
 
 
 def test_regroup_reads_nobody_as_empty(spark):
