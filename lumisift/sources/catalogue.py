@@ -1,15 +1,19 @@
-"""The catalogue: items, faces and state as Parquet versions that are swapped whole.
+"""The catalogue: items, faces and state as Parquet, laid out in parts by a hash of the key.
 
-Merges are pure functions from frames to frames; `Catalogue` applies them, writes a new version and then moves a pointer, so
-a reader sees the old or the new table, never a mixture.
+Merges are pure functions from frames to frames. `Catalogue` applies them to the parts that a batch touches, writes those parts
+beside the old ones and then publishes a new version: a small file that names the folder of every part. A version's file is
+made by a rename that fails where another writer was first; then the change goes on top of that version, and is computed anew
+only where both touched the same part. So a reader sees a whole version, old or new, and writers of different parts don't wait.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumisift import schema
@@ -59,15 +63,24 @@ def save_features(catalogue: DataFrame, results: DataFrame) -> DataFrame:
     ).drop("_f", "_e", "_r")
 
 
-def save_faces(items: DataFrame, faces: DataFrame, found: DataFrame, analysed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Replace the faces of the analysed photos (photo_id); their items are scanned, with nobody known yet."""
+def replace_faces(faces: DataFrame, found: DataFrame, analysed: DataFrame) -> DataFrame:
+    """The faces of the analysed photos (photo_id) are those found; others stay."""
     kept = faces.join(analysed.select("photo_id"), "photo_id", "left_anti").select(faces.columns)
-    new = found.join(analysed.select("photo_id"), "photo_id", "left_semi").select(faces.columns)
+    return kept.unionByName(found.join(analysed.select("photo_id"), "photo_id", "left_semi").select(faces.columns))
+
+
+def mark_scanned(items: DataFrame, analysed: DataFrame) -> DataFrame:
+    """The items of the analysed photos (photo_id) are scanned, with nobody known yet."""
     seen = analysed.select(F.col("photo_id").alias("id"), F.lit(True).alias("_seen")).distinct()
     marked = items.join(seen, "id", "left").withColumns(
         {"people_scanned": F.coalesce("_seen", "people_scanned"), "people": F.when(F.col("_seen"), F.array().cast("array<int>")).otherwise(F.col("people"))}
     )
-    return marked.drop("_seen"), kept.unionByName(new)
+    return marked.drop("_seen")
+
+
+def save_faces(items: DataFrame, faces: DataFrame, found: DataFrame, analysed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables after some photos have been analysed."""
+    return mark_scanned(items, analysed), replace_faces(faces, found, analysed)
 
 
 def save_people(items: DataFrame, people: DataFrame) -> DataFrame:
@@ -128,25 +141,53 @@ def face_row_id(photo_id, index):
     return F.concat(photo_id, F.lit("#"), index.cast("string"))
 
 
+#: Columns of the tables, and the key that deals each of them into parts.
+TABLES = {"items": schema.ITEM, "faces": schema.FACE, "pending": f"{schema.ITEM}, batch long, page long, place int"}
+KEYS = {"items": "id", "faces": "photo_id", "pending": "id"}
+#: Changes that are tried anew where other writers were first.
+TRIES = 50
+
+
+class Conflict(Exception):
+    """Other writers were first, again and again."""
+
+
 class Catalogue:
-    """Versioned tables below a folder that driver and executors share."""
+    """Versioned tables below a folder that driver and executors share.
+
+    parts: of a table that is made here; some 100,000 rows a part keep small batches small. keep: versions that readers may still be
+    reading; what older ones alone name is deleted.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, parts: int = 32, keep: int = 10):
+        self.spark, self.path, self.parts, self.keep = spark, path.rstrip("/"), parts, keep
 
     def _fs(self):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
 
+    def _names(self, below: str = "") -> list[str]:
+        fs, path = self._fs()
+        p = path(f"{self.path}/{below}")
+        return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+    def _delete(self, name: str) -> None:
+        fs, path = self._fs()
+        fs.delete(path(f"{self.path}/{name}"), True)
+
     def _read_text(self, name: str) -> str | None:
         fs, path = self._fs()
         p = path(f"{self.path}/{name}")
         if not fs.exists(p):
             return None
-        return "\n".join(r.value for r in self.spark.read.text(p.toString()).collect())
-
-    def _write_text(self, name: str, text: str) -> None:
-        """Written beside and renamed over in one step, so a crash leaves the old text or the new one."""
+        file = fs.open(p)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+        finally:
+            file.close()
+
+    def _write_text(self, name: str, text: str, replace: bool = True) -> bool:
+        """Written beside and renamed in one step, so a crash leaves the old text or the new one. Without replace, False where the name is taken."""
         fs, path = self._fs()
         target, temp = path(f"{self.path}/{name}"), path(f"{self.path}/_{uuid.uuid4().hex}")
         out = fs.create(temp)
@@ -155,21 +196,124 @@ class Catalogue:
         java = self.spark._jvm
         kind = getattr(java.org.apache.hadoop.fs, "Options$Rename")
         how = self.spark.sparkContext._gateway.new_array(kind, 1)
-        how[0] = kind.OVERWRITE
-        java.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(temp, target, how)
+        how[0] = kind.OVERWRITE if replace else kind.NONE
+        try:
+            java.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(temp, target, how)
+        except Py4JJavaError as e:
+            if replace or "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            fs.delete(temp, False)
+            return False
+        return True
+
+    def version(self, table: str) -> int:
+        """The last published version; 0 before the first."""
+        return max((int(n[len(table) + 2 : -5]) for n in self._names() if n.startswith(f"{table}.v")), default=0)
+
+    def _state(self, table: str) -> tuple[int, dict]:
+        """The last version, its number of parts and their folders."""
+        while True:
+            version = self.version(table)
+            text = self._read_text(f"{table}.v{version:012d}.json") if version else None
+            if text or not version:
+                found = json.loads(text) if text else {"parts": self.parts, "files": {}}
+                return version, found | {"files": {int(k): v for k, v in found["files"].items()}}
+
+    def _frame(self, table: str, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], TABLES[table])
+        return self.spark.read.schema(TABLES[table]).parquet(*[f"{self.path}/{f}" for f in folders])
+
+    @staticmethod
+    def _part(key: str | Column, parts: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+    def _parts_of(self, keys: DataFrame, parts: int) -> list[int]:
+        return sorted(r[0] for r in keys.select(self._part(keys.columns[0], parts)).distinct().collect())  # `parts` at most
 
     def read(self, table: str) -> DataFrame:
-        version = self._read_text(f"{table}.current")
-        ddl = {"items": schema.ITEM, "faces": schema.FACE, "pending": f"{schema.ITEM}, batch long, page long, place int"}[table]
-        return self.spark.read.schema(ddl).parquet(f"{self.path}/{version}") if version else self.spark.createDataFrame([], ddl)
-
-    def write(self, table: str, df: DataFrame) -> None:
-        version = f"{table}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{version}")
-        self._write_text(f"{table}.current", version)
+        return self._frame(table, list(self._state(table)[1]["files"].values()))
+
+    def read_near(self, table: str, keys: DataFrame) -> DataFrame:
+        """The parts of a table that hold any of the keys (their first column), with whatever else is in them."""
+        state = self._state(table)[1]
+        return self._frame(table, [state["files"][p] for p in self._parts_of(keys, state["parts"]) if p in state["files"]])
+
+    def _publish(self, table: str, version: int, state: dict) -> bool:
+        if not self._write_text(f"{table}.v{version:012d}.json", json.dumps(state), replace=False):
+            return False
+        for name in self._names():
+            if name.startswith(f"{table}.v") and int(name[len(table) + 2 : -5]) <= version - self.keep:
+                for folder in json.loads(self._read_text(name) or "{}").get("replaced", []):  # none of the versions since then names them
+                    self._delete(folder)
+                self._delete(name)
+        return True
+
+    def _apply(self, table: str, touched: Callable[[dict], list[int]], merge: Callable[[DataFrame], DataFrame]) -> int:
+        for _ in range(TRIES):
+            version, state = self._state(table)
+            parts, files = state["parts"], state["files"]
+            here = touched(state)
+            if not here:
+                return version
+            folder = f"{table}-{uuid.uuid4().hex}"
+            new = merge(self._frame(table, [files[p] for p in here if p in files])).withColumn("_part", self._part(KEYS[table], parts))
+            new.repartition("_part").write.partitionBy("_part").parquet(f"{self.path}/{folder}")
+            made = {int(n.partition("=")[2]): f"{folder}/{n}" for n in self._names(folder) if n.startswith("_part=")}
+            now = state
+            while now["parts"] == parts and all(now["files"].get(p) == files.get(p) for p in here):
+                rest = {p: f for p, f in now["files"].items() if p not in here}
+                if self._publish(table, version + 1, {"parts": parts, "files": rest | made, "replaced": [files[p] for p in here if p in files]}):
+                    return version + 1
+                version, now = self._state(table)
+            self._delete(folder)
+        raise Conflict(table)
+
+    def change(self, table: str, keys: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> int:
+        """Replace the parts that hold any of the keys (their first column) by what merge makes of their rows; the version that has it."""
+        return self._apply(table, lambda state: self._parts_of(keys, state["parts"]), merge)
+
+    def write(self, table: str, df: DataFrame) -> int:
+        """Replace a whole table."""
+        return self._apply(table, lambda state: list(range(state["parts"])), lambda _: df)
+
+    def deal_anew(self, table: str, parts: int) -> None:
+        """Lay a table out in another number of parts; nobody else may write meanwhile."""
+        version, state = self._state(table)
+        folder = f"{table}-{uuid.uuid4().hex}"
+        self.read(table).withColumn("_part", self._part(KEYS[table], parts)).repartition("_part").write.partitionBy("_part").parquet(f"{self.path}/{folder}")
+        made = {int(n.partition("=")[2]): f"{folder}/{n}" for n in self._names(folder) if n.startswith("_part=")}
+        if not self._publish(table, version + 1, {"parts": parts, "files": made, "replaced": list(state["files"].values())}):
+            raise Conflict(table)
+
+    def upsert(self, batch: DataFrame) -> int:
+        return self.change("items", batch.select("id"), lambda old: upsert_items(old, batch).select(old.columns))
+
+    def save_features(self, results: DataFrame) -> int:
+        return self.change("items", results.select("id"), lambda old: save_features(old, results).select(old.columns))
+
+    def save_faces(self, found: DataFrame, analysed: DataFrame) -> int:
+        """The faces first: a photo that isn't marked is only read again, and its faces replaced."""
+        photos = analysed.select("photo_id")
+        self.change("faces", photos, lambda old: replace_faces(old, found, analysed))
+        return self.change("items", photos, lambda old: mark_scanned(old, analysed).select(old.columns))
+
+    def save_people(self, people: DataFrame) -> int:
+        return self.change("items", people.select("photo_id"), lambda old: save_people(old, people).select(old.columns))
+
+    def mark_kept(self, ids: DataFrame, kept: bool, at: int | None = None) -> int:
+        return self.change("items", ids.select("id"), lambda old: mark_kept(old, ids, kept, at).select(old.columns))
+
+    def mark_ids(self, ids: DataFrame, patch: dict) -> int:
+        return self.change("items", ids.select("id"), lambda old: mark_ids(old, ids, patch).select(old.columns))
+
+    def delete(self, ids: DataFrame) -> int:
+        """Items and their faces; the faces first, so none is left without its item."""
+        self.change("faces", ids.select("id"), lambda old: old.join(ids.select(F.col("id").alias("photo_id")), "photo_id", "left_anti").select(old.columns))
+        return self.change("items", ids.select("id"), lambda old: old.join(ids.select("id"), "id", "left_anti").select(old.columns))
 
     def clear(self) -> None:
-        for table in ("items", "faces", "pending"):
+        for table in TABLES:
             self.write(table, self.read(table).limit(0))
 
     def ids(self) -> DataFrame:

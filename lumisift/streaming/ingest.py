@@ -1,15 +1,20 @@
-"""Incremental runs: listing, analysis and face passes over a catalogue, each idempotent and resumable.
+"""Incremental runs: listing, analysis and face passes over a catalogue, each idempotent, resumable and stoppable.
 
 Listing is a stream with trigger availableNow whose micro-batches merge into the catalogue. Analysis and faces go through what is
-pending slice by slice, each written before the next begins. So a stop keeps what is merged, and a second run adds nothing.
+pending slice by slice, each written before the next begins, or follow the catalogue's versions as streams of their own, beside the
+listing. So a stop keeps what is merged, and a second run adds nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import threading
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
-from pyspark.errors import StreamingQueryException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +22,60 @@ from lumisift.operators import people
 from lumisift.params import RunParams
 from lumisift.sources import catalogue as C
 from lumisift.sources import pages as P
+from lumisift.streaming.changes import CatalogueChanges
 
 
 class Stop(Exception):
-    """Ends a stream before its next batch."""
+    """Ends a stream before its next batch, or a pass before its next slice."""
+
+
+class Abort:
+    """A stop button: passes that were given it end before their next slice, and jobs and streams under way are cancelled."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tag, self._set, self._queries = spark, f"lumisift-{uuid.uuid4().hex}", threading.Event(), []
+        self._running, self._idle = 0, threading.Condition()
+
+    def stop(self) -> None:
+        self._set.set()
+        threading.Thread(target=self._interrupt, daemon=True).start()
+        for query in self._queries:
+            query.stop()
+
+    def _interrupt(self) -> None:
+        """Again and again: a slice under way can be between two of its jobs."""
+        with self._idle:
+            while self._running:
+                self.spark.sparkContext.cancelJobsWithTag(self.tag)
+                self._idle.wait(0.5)
+
+    def is_set(self) -> bool:
+        return self._set.is_set()
+
+    def watch(self, query) -> None:
+        self._queries.append(query)
+        if self.is_set():
+            query.stop()
+
+    @contextmanager
+    def jobs(self) -> Iterator[None]:
+        """Jobs in here are cancelled by stop(), which ends the block with Stop."""
+        if self.is_set():
+            raise Stop
+        self.spark.sparkContext.addJobTag(self.tag)
+        with self._idle:
+            self._running += 1
+        try:
+            yield
+        except (Py4JJavaError, PySparkException) as e:
+            if self.is_set():
+                raise Stop from e
+            raise
+        finally:
+            with self._idle:
+                self._running -= 1
+                self._idle.notify_all()
+            self.spark.sparkContext.removeJobTag(self.tag)
 
 
 @dataclass(frozen=True)
@@ -59,13 +114,13 @@ def _take_pending(cat: C.Catalogue, run: RunParams) -> ListingStats:
     taken = (ready.orderBy("batch", "page", "place").limit(run.max_per_run) if run.max_per_run else ready).persist()
     n = taken.agg(F.count("*").alias("n"), F.min("ts").alias("oldest")).first()
     if n.n:
-        cat.write("items", C.upsert_items(cat.read("items"), taken.drop("batch", "page", "place")).drop("added", "touched"))
-        cat.write("pending", waiting.join(taken.select("id"), "id", "left_anti"))
+        cat.upsert(taken.drop("batch", "page", "place"))
+        cat.change("pending", taken.select("id"), lambda old: old.join(taken.select("id"), "id", "left_anti").select(old.columns))
     taken.unpersist()
     return ListingStats(discovered=n.n, oldest=n.oldest, last=n.oldest, limit_reached=bool(run.max_per_run) and n.n >= run.max_per_run)
 
 
-def list_pages(spark: SparkSession, folder: str, cat: C.Catalogue, run: RunParams, checkpoint: str, now: int = 0, batch_files: int = 200) -> ListingStats:
+def list_pages(spark: SparkSession, folder: str, cat: C.Catalogue, run: RunParams, checkpoint: str, now: int = 0, batch_files: int = 200, abort: Abort | None = None) -> ListingStats:
     """Read new pages into the catalogue; the stream's checkpoint is the position within them.
 
     A run that follows a completed one stops after `barren_pages` batches in a row without anything new. Rows beyond the run's
@@ -76,11 +131,13 @@ def list_pages(spark: SparkSession, folder: str, cat: C.Catalogue, run: RunParam
 
     def merge(files: DataFrame, number: int) -> None:
         s = state[0]
-        if s.limit_reached or s.done:
+        if s.limit_reached or s.done or (abort and abort.is_set()):
             raise Stop  # the batch isn't committed, so the next run begins with it
         batch = P.page_lines(files).persist()
-        known = cat.ids().unionByName(cat.read("pending").select("id")).distinct()
-        parsed = split_page(P.parse_items(batch), known, run.older_than).persist()
+        items = P.parse_items(batch).persist()
+        keys = items.select(F.col("media_key").alias("id"))
+        known = cat.read_near("items", keys).select("id").unionByName(cat.read_near("pending", keys).select("id")).distinct()
+        parsed = split_page(items, known, run.older_than).persist()
         n = {r.verdict: r.n for r in parsed.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
         times = parsed.agg(F.min(F.when(F.col("verdict") != "recent", F.col("timestamp"))).alias("oldest"), F.min("timestamp").alias("last")).first()
         new = parsed.filter("verdict = 'new'")
@@ -91,13 +148,13 @@ def list_pages(spark: SparkSession, folder: str, cat: C.Catalogue, run: RunParam
             within = F.lit(False) if last is None else (F.col("page") < last.page) | ((F.col("page") == last.page) & (F.col("place") <= last.place))
             later = new.filter(~within)
             rows = P.to_rows(later, run.thumb_size, now).join(later.select(F.col("media_key").alias("id"), F.lit(number).cast("long").alias("batch"), "page", "place"), "id")
-            cat.write("pending", cat.read("pending").unionByName(rows, allowMissingColumns=True))  # before the items: a batch that runs again finds these known
+            cat.change("pending", rows.select("id"), lambda old: old.unionByName(rows, allowMissingColumns=True).select(old.columns))  # before the items: a batch that runs again finds these known
             new = new.filter(within)
         if count:
-            merged = C.upsert_items(cat.read("items"), P.to_rows(new, run.thumb_size, now))
-            cat.write("items", merged.drop("added", "touched"))
+            cat.upsert(P.to_rows(new, run.thumb_size, now))
         read = batch.count()
         parsed.unpersist()
+        items.unpersist()
         batch.unpersist()
         barren = 0 if count else s.barren + 1
         state[0] = replace(
@@ -116,63 +173,118 @@ def list_pages(spark: SparkSession, folder: str, cat: C.Catalogue, run: RunParam
 
     if not state[0].limit_reached:
         query = P.read_pages(spark, folder, batch_files).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        if abort:
+            abort.watch(query)
         try:
             query.awaitTermination()
         except StreamingQueryException:
-            if not (state[0].limit_reached or state[0].done):
+            if not (state[0].limit_reached or state[0].done or (abort and abort.is_set())):
                 raise
     s = state[0]
-    cat.set_meta("cursor", P.Cursor(run.older_than, s.last, None, not s.limit_reached, cat.ids().count()).to_json())
+    ended = not s.limit_reached and not (abort and abort.is_set())
+    cat.set_meta("cursor", P.Cursor(run.older_than, s.last, None, ended, cat.ids().count()).to_json())
     cat.note_progress(s.oldest)
     return s
 
 
 def fill_sizes(cat: C.Catalogue, info: DataFrame) -> None:
     """Metadata into the catalogue, apart from the listing: its failure leaves the listed rows as they are."""
-    cat.write("items", P.with_info(cat.read("items"), info).select(cat.read("items").columns))
+    cat.change("items", info.select("id"), lambda old: P.with_info(old, info).select(old.columns))
 
 
 #: Items of a slice of a pass: what a stop can lose.
 SLICE = 100_000
 
 
-def _slices(todo: DataFrame, size: int):
-    """The rows in slices by a hash of their id, one after the other; each is planned anew on what the catalogue holds then."""
+def _slices(todo: DataFrame, size: int, abort: Abort | None, step: Callable[[DataFrame], None]) -> bool:
+    """step(ids) for slices of the ids by a hash, one after the other; whether a stop came before the end."""
     parts = max(1, -(-todo.count() // size))
     for part in range(parts):
-        yield F.pmod(F.xxhash64("id"), F.lit(parts)) == part
+        here = todo.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
+        try:
+            if abort is None:
+                step(here)
+            else:
+                with abort.jobs():
+                    step(here)
+        except Stop:
+            return True
+    return False
+
+
+def analyse(cat: C.Catalogue, todo: DataFrame, kernel: Callable[[DataFrame], DataFrame], size: int = SLICE, abort: Abort | None = None) -> dict:
+    """kernel over the items of these ids: their features, or why there are none."""
+    out = {"tried": 0, "failed": 0}
+
+    def step(ids: DataFrame) -> None:
+        results = kernel(cat.read_near("items", ids).join(ids, "id", "left_semi")).persist()
+        n = results.agg(F.count("*").alias("tried"), F.count_if(F.col("error").isNotNull()).alias("failed")).first()
+        cat.save_features(results)
+        results.unpersist()
+        out["tried"], out["failed"] = out["tried"] + n.tried, out["failed"] + n.failed
 
+    return out | ({"stopped": True} if _slices(todo, size, abort, step) else {})
 
-def analyse_pending(cat: C.Catalogue, kernel: Callable[[DataFrame], DataFrame], limit: int | None = None, size: int = SLICE) -> dict[str, int]:
+
+def find_faces(cat: C.Catalogue, todo: DataFrame, detect: Callable[[DataFrame], DataFrame], size: int = SLICE, abort: Abort | None = None) -> dict:
+    """detect over the items of these ids: their faces; photos that failed stay unread."""
+    out = {"read": 0}
+
+    def step(ids: DataFrame) -> None:
+        results = detect(cat.read_near("items", ids).join(ids, "id", "left_semi")).persist()
+        read = results.filter("ok").select("photo_id").distinct()
+        n = read.count()
+        cat.save_faces(results.filter("ok and vector is not null").select("id", "photo_id", "box", "score", "vector"), read)
+        results.unpersist()
+        out["read"] += n
+
+    return out | ({"stopped": True} if _slices(todo, size, abort, step) else {})
+
+
+def analyse_pending(cat: C.Catalogue, kernel: Callable[[DataFrame], DataFrame], limit: int | None = None, size: int = SLICE, abort: Abort | None = None) -> dict:
     """kernel: pending items -> (id, features, error). Each item is tried once a run; failures stay pending with a reason."""
-    tried = failed = 0
     todo = C.pending(cat.read("items"), limit).select("id").persist()  # what this run tries, whatever stays pending
-    for here in _slices(todo, size):
-        results = kernel(cat.read("items").join(todo.filter(here), "id", "left_semi")).persist()
-        n = results.agg(F.count("*").alias("tried"), F.count_if(F.col("error").isNotNull()).alias("failed")).first()
-        cat.write("items", C.save_features(cat.read("items"), results))
-        results.unpersist()
-        tried, failed = tried + n.tried, failed + n.failed
+    out = analyse(cat, todo, kernel, size, abort)
     todo.unpersist()
-    return {"tried": tried, "failed": failed}
+    return out
 
 
-def scan_faces(cat: C.Catalogue, detect: Callable[[DataFrame], DataFrame], limit: int | None = None, size: int = SLICE) -> dict[str, int]:
+def scan_faces(cat: C.Catalogue, detect: Callable[[DataFrame], DataFrame], limit: int | None = None, size: int = SLICE, abort: Abort | None = None) -> dict:
     """detect: candidate items -> faces and a row (photo_id, ok) for each; photos that failed stay unread."""
-    done = 0
     todo = C.people_candidates(cat.read("items"), limit).select("id").persist()
-    for here in _slices(todo, size):
-        results = detect(cat.read("items").join(todo.filter(here), "id", "left_semi")).persist()
-        read = results.filter("ok").select("photo_id").distinct()
-        faces = results.filter("ok and vector is not null").select("id", "photo_id", "box", "score", "vector")
-        items, table = C.save_faces(cat.read("items"), cat.read("faces"), faces, read)
-        n = read.count()
-        cat.write("items", items.select(cat.read("items").columns))
-        cat.write("faces", table)
-        results.unpersist()
-        done += n
+    out = find_faces(cat, todo, detect, size, abort)
     todo.unpersist()
-    return {"read": done}
+    return out
+
+
+def _follow(cat: C.Catalogue, want: str, step: Callable[[DataFrame], dict], checkpoint: str, abort: Abort | None):
+    """A stream of ids from the catalogue's versions; step takes those of a batch that are still to be done."""
+    cat.spark.dataSource.register(CatalogueChanges)
+    rule = {"analysis": lambda i: C.pending(i).filter("analysis_error is null"), "faces": lambda i: C.people_candidates(i, None)}[want]
+
+    def batch(ids: DataFrame, number: int) -> None:
+        seen = ids.distinct().persist()
+        todo = rule(cat.read_near("items", seen)).join(seen, "id", "left_semi").select("id").persist()
+        if not todo.isEmpty() and step(todo).get("stopped"):
+            raise Stop  # the batch isn't committed, so the next run begins with it
+        todo.unpersist()
+        seen.unpersist()
+
+    ids = cat.spark.readStream.format("catalogue_changes").option("path", cat.path).option("want", want).load()
+    query = ids.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).queryName(f"{want}-{uuid.uuid4().hex[:8]}").start()
+    if abort:
+        abort.watch(query)
+    return query
+
+
+def follow_analysis(cat: C.Catalogue, kernel: Callable[[DataFrame], DataFrame], checkpoint: str, size: int = SLICE, abort: Abort | None = None):
+    """Analyse what the catalogue holds and whatever is listed later, until the stream is stopped. What failed before is left to analyse_pending."""
+    return _follow(cat, "analysis", lambda todo: analyse(cat, todo, kernel, size, abort), checkpoint, abort)
+
+
+def follow_faces(cat: C.Catalogue, detect: Callable[[DataFrame], DataFrame], checkpoint: str, size: int = SLICE, abort: Abort | None = None):
+    """Read the faces of candidates as they come up, until the stream is stopped. A photo that failed is read again when its part changes."""
+    return _follow(cat, "faces", lambda todo: find_faces(cat, todo, detect, size, abort), checkpoint, abort)
 
 
 def regroup(cat: C.Catalogue, eps: float = people.SHIPPED_EPS) -> DataFrame:
@@ -181,7 +293,7 @@ def regroup(cat: C.Catalogue, eps: float = people.SHIPPED_EPS) -> DataFrame:
     spark = cat.spark
     previous = spark.createDataFrame([(x["name"], x["centroid"]) for x in named], "name string, centroid array<double>") if named else None
     groups, photos = people.regroup(cat.read("faces"), previous, eps)
-    cat.write("items", C.save_people(cat.read("items"), photos).select(cat.read("items").columns))
+    cat.save_people(photos)
     return groups
 
 
@@ -194,14 +306,35 @@ def full_run(
     kernel: Callable[[DataFrame], DataFrame] | None = None,
     detect: Callable[[DataFrame], DataFrame] | None = None,
     info: DataFrame | None = None,
+    abort: Abort | None = None,
+    batch_files: int = 200,
 ) -> dict:
-    """Listing, sizes, analysis, faces and groups in turn; each writes what it has before the next one starts."""
-    out: dict = {"listing": list_pages(spark, folder, cat, run, checkpoint)}
-    if info is not None:
-        fill_sizes(cat, info)
+    """Listing, analysis and faces side by side, each a stream; then sizes and groups. All write one catalogue, part by part.
+
+    A stop ends all of them with what they have merged. A follower that fails ends the run when the listing has ended.
+    """
+    analysis = follow_analysis(cat, kernel, f"{checkpoint}-analysis", abort=abort) if kernel is not None else None
+    faces = follow_faces(cat, detect, f"{checkpoint}-faces", abort=abort) if detect is not None else None
+    followers = [q for q in (analysis, faces) if q is not None]
+    try:
+        out: dict = {"listing": list_pages(spark, folder, cat, run, checkpoint, batch_files=batch_files, abort=abort)}
+        if info is not None:
+            fill_sizes(cat, info)
+        for query in followers:  # faces wait for features
+            if query.isActive or query.exception():
+                query.processAllAvailable()
+    except StreamingQueryException:
+        if not (abort and abort.is_set()):
+            raise
+    finally:
+        for query in followers:
+            query.stop()
+    if abort and abort.is_set():
+        return out | {"stopped": True}
+    items = cat.read("items")
     if kernel is not None:
-        out["analysis"] = analyse_pending(cat, kernel)
+        out["analysis"] = items.agg(F.count_if(F.col("analyzed")).alias("analysed"), F.count_if(F.col("analysis_error").isNotNull()).alias("failed")).first().asDict()
     if detect is not None:
-        out["faces"] = scan_faces(cat, detect)
+        out["faces"] = {"read": items.filter("people_scanned").count()}
         out["groups"] = regroup(cat, run.eps)
     return out
