@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumisift.functions.scalars import format_bytes, item_bytes
+from lumisift.operators.orders import with_rank, written
+from lumisift.sources.sinks import chunk_sink
 
 
 def disposition() -> Column:
@@ -33,47 +35,34 @@ def summary(planned: DataFrame) -> DataFrame:
     ).withColumn("text", format_bytes(F.col("bytes")))
 
 
-def chunks(planned: DataFrame, size: int = 100) -> DataFrame:
-    """Deletable rows with chunk: at most about `size` keys share one."""
-    keys = planned.filter("disposition = 'deletable'")
-    return keys.withColumn("chunk", F.floor(F.monotonically_increasing_id() / size))
-
-
 def write_manifest(planned: DataFrame, path: str) -> None:
     """The default sink: a reviewable manifest."""
     planned.write.mode("errorifexists").parquet(path)
 
 
-def run_sink(planned: DataFrame, sink: Callable[[list[str]], int], size: int = 100, fatal: type[Exception] = PermissionError) -> dict:
-    """Hand key chunks to an action, one after another; each chunk's own outcome decides which ids are done.
+def run_sink(planned: DataFrame, sink: Callable[[list[str]], object], log: str, size: int = 100, fatal: type[Exception] = PermissionError, writers: int = 4) -> DataFrame:
+    """Hand the deletable keys to an action, `size` at a time in order of id, by `writers` tasks; a row (id, dedup_key, chunk, outcome, error) for each.
 
-    A failed chunk is counted and the next one follows; a `fatal` error ends the run. Returns requested, done, failed, the
-    first three errors and the ids of chunks that succeeded.
+    Each chunk's own outcome decides: done, failed (the next one follows), or unsent, where a `fatal` error had ended the run. The
+    outcomes are files below `log`, by what is in the chunk; so a task that runs again, or a repeat of the run with the same log, sends no chunk a
+    second time that is done. A plan with other chunks can use the same log.
     """
-    out = {"requested": 0, "done": 0, "failed": 0, "errors": [], "ids": []}
-    batch: list = []
-
-    def send() -> bool:
-        try:
-            sink([r.dedup_key for r in batch])
-        except Exception as e:  # the action is foreign code: any failure is an outcome
-            out["failed"] += len(batch)
-            out["errors"] = [*out["errors"], str(e)][:3]
-            return not isinstance(e, fatal)
-        out["done"] += len(batch)
-        out["ids"] += [r.id for r in batch]
-        return True
-
-    for row in planned.filter("disposition = 'deletable'").select("id", "dedup_key").toLocalIterator():
-        batch.append(row)
-        out["requested"] += 1
-        if len(batch) == size:
-            if not send():
-                return out
-            batch = []
-    if batch:
-        send()
-    return out
+    spark = planned.sparkSession
+    keys = planned.filter("disposition = 'deletable'").select("id", "dedup_key")
+    ranked = with_rank(keys, [F.col("id").asc(), F.col("dedup_key").asc()], "place")
+    table = written(ranked.select(F.floor((F.col("place") - 1) / size).alias("number"), "place", "id", "dedup_key"))
+    table = table.withColumn("chunk", F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "dedup_key")).over(Window.partitionBy("number"))), lambda x: x["dedup_key"]), "\n")))
+    table = written(table)
+    spark.dataSource.register(chunk_sink(sink, fatal))
+    table.repartition(writers, "number").sortWithinPartitions("number", "place").select("chunk", "id", "dedup_key").write.format("chunk_sink").option("log", log).mode("append").save()
+    sent = spark.read.schema("chunk string, outcome string, error string").json(f"{log}/outcomes")
+    return table.join(sent, "chunk", "left").select("id", "dedup_key", "chunk", F.coalesce("outcome", F.lit("unsent")).alias("outcome"), "error")
+
+
+def outcome_counts(outcomes: DataFrame) -> DataFrame:
+    """One row: requested, done, failed, unsent, and three of the errors."""
+    kinds = [F.count_if(F.col("outcome") == k).alias(k) for k in ("done", "failed", "unsent")]
+    return outcomes.agg(F.count("*").alias("requested"), *kinds, F.slice(F.array_sort(F.collect_set("error")), 1, 3).alias("errors"))
 
 
 def trim_selection(selection: DataFrame, visible: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ join. Sets grow by hooking roots and jumping pointers on written tables.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +16,10 @@ from lumisift.operators.orders import with_rank, written
 
 
 def eligible(items: DataFrame) -> DataFrame:
-    """(id, rn, dh, dl, ah, al): rows with a 16-digit dhash in order of time, then id."""
+    """(id, ts, rn, dh, dl, ah, al): rows with a 16-digit dhash in order of time, then id."""
     (dh, dl), (ah, al) = hash_halves(F.col("features.dhash")), hash_halves(F.col("features.ahash"))
     rows = items.select("id", F.coalesce("ts", F.lit(0).cast("long")).alias("ts"), dh.alias("dh"), dl.alias("dl"), ah.alias("ah"), al.alias("al")).filter("dh is not null")
-    return with_rank(rows, [F.col("ts").asc(), F.col("id").asc()], "rn").drop("ts")
+    return with_rank(rows, [F.col("ts").asc(), F.col("id").asc()], "rn")
 
 
 def pairs(items: DataFrame, distance: int = 8, window: int = 80) -> DataFrame:
@@ -25,15 +27,20 @@ def pairs(items: DataFrame, distance: int = 8, window: int = 80) -> DataFrame:
     return _pairs(eligible(items), distance, window)
 
 
+def _block(window: int):
+    return F.floor(F.col("rn") / window).cast("long")
+
+
 def _pairs(rows: DataFrame, distance: int, window: int) -> DataFrame:
-    rows = rows.withColumn("block", F.floor(F.col("rn") / window).cast("long"))
-    cols = ("id", "rn", "dh", "dl", "ah", "al")
+    rows = rows.withColumn("block", _block(window))
+    cols = [c for c in rows.columns if c != "block"]
     left = rows.select("block", *[F.col(c).alias(f"a_{c}") for c in cols])
     right = rows.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") - 1))).select("block", *[F.col(c).alias(f"b_{c}") for c in cols])
     near = (F.col("b_rn") > F.col("a_rn")) & (F.col("b_rn") <= F.col("a_rn") + window)
     d = hamming_halves(F.col("a_dh"), F.col("a_dl"), F.col("b_dh"), F.col("b_dl")) <= distance
     a = hamming_halves(F.col("a_ah"), F.col("a_al"), F.col("b_ah"), F.col("b_al")) <= distance + 6
-    return left.join(right, "block").filter(near & d & a).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("a_rn").alias("rn_a"), F.col("b_rn").alias("rn_b"))
+    asked = F.col("a_asked") | F.col("b_asked") if "asked" in cols else F.lit(True)
+    return left.join(right, "block").filter(near & asked & d & a).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("a_rn").alias("rn_a"), F.col("b_rn").alias("rn_b"))
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -56,12 +63,70 @@ def closure(edges: DataFrame) -> DataFrame:
 def groups(items: DataFrame, distance: int = 8, window: int = 80) -> DataFrame:
     """(root, id, rn): sets of two and more; root is the id of the earliest member."""
     rows = written(eligible(items))  # ranked once
-    found = _pairs(rows, distance, window)
+    return _sets(_pairs(rows, distance, window), rows)
+
+
+def _sets(found: DataFrame, rows: DataFrame) -> DataFrame:
     sets = closure(found.select(F.col("rn_a").alias("a"), F.col("rn_b").alias("b")))
     rows = rows.select("id", "rn")
     return sets.join(rows, sets.node == rows.rn).select("root", "id", "rn").join(rows.select(F.col("rn").alias("root"), F.col("id").alias("root_id")), "root").select(F.col("root_id").alias("root"), "id", "rn")
 
 
+@dataclass(frozen=True)
+class NearDuplicates:
+    """Near duplicates at one state of the items: the ranked rows, the pairs and the sets, all written."""
+
+    rows: DataFrame
+    pairs: DataFrame
+    sets: DataFrame
+    distance: int = 8
+    window: int = 80
+
+    @classmethod
+    def of(cls, items: DataFrame, distance: int = 8, window: int = 80) -> NearDuplicates:
+        rows = written(eligible(items))
+        found = written(_pairs(rows, distance, window))
+        return cls(rows, found, written(_sets(found, rows)), distance, window)
+
+    def refreshed(self, items: DataFrame) -> NearDuplicates:
+        """The same of other items: only what lies within `window` ranks of a change is compared, and only sets that a pair has joined or left are closed anew.
+
+        New rows, and rows with another time or fingerprint, are compared with their neighbours. Where rows have gone their neighbours may have come
+        near each other: fewer than `window` rows are between such two, so either had a gone row in its block of old ranks or
+        the next. Other pairs stand as long as they are `window` ranks apart, at most.
+        """
+        rows = written(eligible(items))
+        old, cols = self.rows, ("ts", "dh", "dl", "ah", "al")
+        both = rows.join(old.select("id", F.col("rn").alias("_rn"), *[F.col(c).alias(f"_{c}") for c in cols]), "id", "full_outer")
+        same = F.col("rn").isNotNull() & F.col("_rn").isNotNull()
+        for c in cols:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        state = written(both.select("id", "rn", "_rn", same.alias("same")))
+        came = state.filter("rn is not null and not same").select("id")
+        gone = old.join(state.filter("_rn is not null and not same").select("id"), "id", "left_semi")
+        around = F.explode(F.array(*[F.col("_b") + k for k in (-1, 0, 1)]))
+        broken = gone.select(_block(self.window).alias("_b")).distinct().select(around.alias("_b")).distinct()
+        beside = old.withColumn("_b", _block(self.window)).join(broken, "_b", "left_semi").select("id")
+        asked = written(came.unionByName(beside).distinct().withColumn("asked", F.lit(True)))
+        marked = rows.join(asked, "id", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+        near = marked.filter("asked").select(_block(self.window).alias("_b")).distinct().select(around.alias("_b")).distinct()
+        some = marked.withColumn("_b", _block(self.window)).join(near, "_b", "left_semi").drop("_b")
+        a, b = rows.select(F.col("id").alias("a"), F.col("rn").alias("rn_a")), rows.select(F.col("id").alias("b"), F.col("rn").alias("rn_b"))
+        settled = self.pairs.select("a", "b").join(asked.select(F.col("id").alias("a")), "a", "left_anti").join(asked.select(F.col("id").alias("b")), "b", "left_anti")
+        settled = settled.join(a, "a").join(b, "b").filter((F.col("rn_b") > F.col("rn_a")) & (F.col("rn_b") <= F.col("rn_a") + self.window))
+        found = written(settled.select("a", "b", "rn_a", "rn_b").unionByName(_pairs(some, self.distance, self.window)))
+        # sets with a pair that is new or gone, and whatever they are joined to now
+        names = ["a", "b"]
+        changed = found.select(*names).exceptAll(self.pairs.select(*names)).unionByName(self.pairs.select(*names).exceptAll(found.select(*names)))
+        ends = changed.select(F.explode(F.array(*names)).alias("id")).distinct()
+        roots = self.sets.join(ends, "id", "left_semi").select("root").distinct()
+        touched = written(ends.unionByName(self.sets.join(roots, "root", "left_semi").select("id")).distinct())
+        again = found.join(touched.select(F.col("id").alias("a")), "a", "left_semi")
+        rest = self.sets.join(touched, "id", "left_anti").select("root", "id").join(rows.select("id", "rn"), "id")
+        sets = written(_sets(again, rows).unionByName(rest.select("root", "id", "rn")))
+        return NearDuplicates(rows, found, sets, self.distance, self.window)
+
+
 def keepers(dup: DataFrame, items: DataFrame, strategy: str = "sharpest") -> DataFrame:
     """(root, id) of the copy to keep: the sharpest, first or last; the earlier one of equals. None for `none`."""
     if strategy == "none":

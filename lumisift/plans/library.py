@@ -359,6 +359,17 @@ def dup_groups_near(spark, d):
     return duplicates.groups(adapters.burst_items(spark, d), distance=5).select("root", "id")
 
 
+@query("dup_groups_incremental", "SELECT root, id FROM dup", adapters.BURST_ITEMS_SQL, *dup_sql(5, 80, **_DOC))
+def dup_groups_incremental(spark, d):
+    """Sets of a state without every seventh item, with others besides and some at another time, refreshed to the items."""
+    items = adapters.burst_items(spark, d)
+    n = F.col("id").cast("long")
+    moved = F.when(n % 50 == 0, F.col("ts") + 30).otherwise(F.col("ts"))
+    before = items.filter(n % 7 != 0).withColumn("ts", moved)
+    gone = items.filter(n % 40 == 1).withColumn("id", F.concat(F.lit("gone"), F.col("id")))
+    return duplicates.NearDuplicates.of(before.unionByName(gone), distance=5).refreshed(items).sets.select("root", "id")
+
+
 for _keep in ("sharpest", "first", "last"):
 
     @query(f"dup_keepers_{_keep}", "SELECT root, id FROM keepers", DOCUMENT_ITEMS_SQL, *dup_sql(8, 1000, _keep, **_DOC))
@@ -483,6 +494,27 @@ def plan_trash_summary(spark, d):
     return decisions.summary(decisions.plan(adapters.items(spark, d)))
 
 
+_CHUNKS_SQL = """
+chunked AS (
+  SELECT *, first_value(dedup_key) OVER (PARTITION BY k ORDER BY id) AS head FROM (SELECT id, dedup_key, (row_number() OVER (ORDER BY id) - 1) // 100 AS k FROM (SELECT id, dedup_key, {disposition} AS p FROM items) WHERE p = 'deletable')
+)""".replace("{disposition}", _DISPOSITION)
+
+
+@query("trash_outcomes", "SELECT id, dedup_key, CASE WHEN right(head, 1) IN ('3', '7') THEN 'failed' ELSE 'done' END AS outcome, CASE WHEN right(head, 1) IN ('3', '7') THEN 'refused ' || head END AS error FROM chunked", ITEMS_SQL, _CHUNKS_SQL)
+def trash_outcomes(spark, d):
+    """Chunks sent to an action that refuses some; the run is repeated, which sends only those again."""
+
+    def action(keys):
+        if keys[0][-1] in "37":
+            raise OSError(f"refused {keys[0]}")
+
+    planned = decisions.plan(adapters.items(spark, d))
+    log = orders.shared_folder(planned)
+    for _ in range(2):
+        outcomes = decisions.run_sink(planned, action, log)
+    return outcomes.select("id", "dedup_key", "outcome", "error")
+
+
 @query("selection_trim", "SELECT id FROM items WHERE CAST(id AS BIGINT) % 10 = 0 AND id IN (SELECT id FROM found)", ITEMS_SQL, pool_sql(FOUND), found_sql(FOUND))
 def selection_trim(spark, d):
     items = adapters.items(spark, d)

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lumisift import schema
 from lumisift.functions import kernels, scalars, scores
 from lumisift.operators import detection, stats
 from lumisift.operators.orders import shared_folder
@@ -300,6 +301,77 @@ def listing_incremental(spark, d):
     return cat.read("items").select("id", "ts", "is_video", "analyzed")
 
 
+def _listed(spark, d):
+    """A catalogue with the events' pages, and a folder for checkpoints."""
+    from lumisift.params import RunParams
+    from lumisift.streaming import ingest
+
+    pages = _pages_of(spark, d)
+    root = shared_folder(pages)
+    pages.orderBy("page").select("value").coalesce(4).write.text(f"{root}/pages")
+    cat = C.Catalogue(spark, f"{root}/catalogue")
+    ingest.list_pages(spark, f"{root}/pages", cat, RunParams(), f"{root}/checkpoint")
+    return cat
+
+
+def _stopping_at(call: int, abort, work):
+    """work, whose call of that number presses the button."""
+    calls = []
+
+    def run(todo):
+        calls.append(1)
+        if len(calls) == call:
+            abort.stop()
+        return work(todo)
+
+    return run
+
+
+def _measured(todo):
+    """Features of listed items by arithmetic; every thirteenth can't be decoded."""
+    n = F.expr("cast(substr(id, 2) as long)")
+    fields = ((f.strip().partition(":")[0], f.strip().partition(":")[2]) for f in schema.FEATURES[len("struct<") : -1].split(","))
+    score = F.round(n % 100 / 100, 2)
+    return todo.select("id", F.struct(*[(score if name == "face_score" else F.lit(None)).cast(kind).alias(name) for name, kind in fields]).alias("features"), F.when(n % 13 == 0, "decode").alias("error"))
+
+
+def _one_face(todo):
+    n = F.expr("cast(substr(id, 2) as long)")
+    return todo.select(F.concat("id", F.lit("#0")).alias("id"), F.col("id").alias("photo_id"), (n % 11 != 0).alias("ok"), F.array(F.lit(0.0)).alias("box"), F.lit(0.9).alias("score"), F.array((n % 7).cast("float"), F.lit(1.0).cast("float")).alias("vector"))
+
+
+_ANALYSED_SQL = "analysed_ AS (SELECT event_id, 'm' || event_id AS id, video, event_id % 13 <> 0 AS ok, CAST(event_id % 100 AS DOUBLE) / 100 AS fs FROM wire WHERE event_id % 31 <> 0)"
+
+
+@query("analysis_incremental", "SELECT id, ok AS analyzed, CASE WHEN NOT ok THEN 'decode' END AS analysis_error, CASE WHEN ok THEN round(fs, 2) END AS face_score FROM analysed_", _WIRE_SQL, _ANALYSED_SQL)
+def analysis_incremental(spark, d):
+    """Analysis in slices that is stopped in two runs and ends in the third."""
+    from lumisift.streaming import ingest
+
+    cat = _listed(spark, d)
+    size = -(-cat.ids().count() // 3)
+    for _ in range(2):
+        abort = ingest.Abort(spark)
+        ingest.analyse_pending(cat, _stopping_at(2, abort, _measured), size=size, abort=abort)
+    ingest.analyse_pending(cat, _measured)
+    return cat.read("items").select("id", "analyzed", "analysis_error", F.col("features.face_score").alias("face_score"))
+
+
+@query("faces_incremental", "SELECT id, id || '#0' AS face, CAST(event_id % 7 AS DOUBLE) AS x FROM analysed_ WHERE ok AND NOT video AND fs >= 0.35 AND event_id % 11 <> 0", _WIRE_SQL, _ANALYSED_SQL)
+def faces_incremental(spark, d):
+    """Faces in slices over analysed items, stopped once; photos that fail have none."""
+    from lumisift.streaming import ingest
+
+    cat = _listed(spark, d)
+    ingest.analyse_pending(cat, _measured)
+    abort = ingest.Abort(spark)
+    size = -(-C.people_candidates(cat.read("items"), None).count() // 3)
+    ingest.scan_faces(cat, _stopping_at(2, abort, _one_face), size=size, abort=abort)
+    ingest.scan_faces(cat, _one_face)
+    scanned = cat.read("items").filter("people_scanned").select("id")
+    return cat.read("faces").join(scanned.withColumnRenamed("id", "photo_id"), "photo_id").select(F.col("photo_id").alias("id"), F.col("id").alias("face"), F.get("vector", F.lit(0)).cast("double").alias("x"))
+
+
 def page_json(items: list, next_page: str | None = None, last: int | None = None) -> str:
     """A page of the wire format, for fixtures."""
     return json.dumps([items, next_page, last])

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumisift.operators import people
+from lumisift.operators.duplicates import NearDuplicates
 from lumisift.params import RunParams
 from lumisift.sources import catalogue as C
 from lumisift.sources import pages as P
@@ -287,6 +288,24 @@ def follow_faces(cat: C.Catalogue, detect: Callable[[DataFrame], DataFrame], che
     return _follow(cat, "faces", lambda todo: find_faces(cat, todo, detect, size, abort), checkpoint, abort)
 
 
+def near_duplicates(cat: C.Catalogue, distance: int = 8, window: int = 80) -> NearDuplicates:
+    """Near duplicates of the catalogue's items, kept beside it by version and parameters: what is kept is read, or refreshed by what has changed since."""
+    key, version, tables = f"near-{distance}-{window}", cat.version("items"), ("rows", "pairs", "sets")
+    known, spark = cat.get_meta(key), cat.spark
+    load = lambda at: NearDuplicates(*[spark.read.parquet(f"{cat.path}/{at['folder']}/{t}") for t in tables], distance, window)
+    if known and known["version"] == version:
+        return load(known)
+    items = cat.read("items")
+    new = load(known).refreshed(items) if known else NearDuplicates.of(items, distance, window)
+    at = {"version": version, "folder": f"near-{uuid.uuid4().hex}"}
+    for t in tables:
+        getattr(new, t).write.parquet(f"{cat.path}/{at['folder']}/{t}")
+    cat.set_meta(key, at)
+    if known:
+        cat._delete(known["folder"])
+    return load(at)
+
+
 def regroup(cat: C.Catalogue, eps: float = people.SHIPPED_EPS) -> DataFrame:
     """Group all faces anew, carry the stored names, and write each photo's people."""
     named = cat.get_meta("named", [])

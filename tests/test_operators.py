@@ -259,26 +259,56 @@ def test_regroup_reads_nobody_as_empty(spark):
     assert {r.photo_id: r.people for r in people.regroup(faces, eps=0.5)[1].collect()} == {"a": [0], "b": [0], "c": []}
 
 
-def test_plan_and_sink_track_each_chunk(spark):
+def test_plan_and_sink_track_each_chunk(spark, tmp_path):
     rows = [item(f"{i:02d}", dedup_key=f"k{i:02d}") for i in range(6)] + [item("x", dedup_key=None), item("y", is_owned=False), item("z", is_owned=None, dedup_key="z")]
     plan = decisions.plan(spark.createDataFrame(rows, ITEM).coalesce(1))
     one = decisions.summary(plan).first()
     assert (one.deletable, one.no_key, one.not_owned) == (7, 1, 1)
-    sent = []
+    calls = tmp_path / "calls"
 
     def sink(keys):
-        sent.append(keys)
-        if len(sent) == 1:
+        with open(calls, "a") as f:
+            f.write(",".join(keys) + "\n")
+        if "k00" in keys and calls.read_text().count("k00") == 1:
             raise OSError("down")
 
-    out = decisions.run_sink(plan, sink, size=3)
-    assert (out["requested"], out["done"], out["failed"], out["errors"]) == (7, 4, 3, ["down"])
-    assert set(out["ids"]) == {"03", "04", "05", "z"}
+    log = f"file:{tmp_path}/log"
+    out = {r.id: (r.outcome, r.error) for r in decisions.run_sink(plan, sink, log, size=3).collect()}
+    assert out == {f"{i:02d}": ("failed", "down") if i < 3 else ("done", None) for i in range(6)} | {"z": ("done", None)}
+    outcomes = decisions.run_sink(plan, sink, log, size=3)  # a repeat sends what isn't done, and nothing else
+    assert decisions.outcome_counts(outcomes).first().asDict() == {"requested": 7, "done": 7, "failed": 0, "unsent": 0, "errors": []}
+    assert sorted(calls.read_text().split()) == ["k00,k01,k02"] * 2 + ["k03,k04,k05", "z"]
 
     def refuse(keys):
         raise PermissionError("auth")
 
-    assert decisions.run_sink(plan, refuse, size=3)["requested"] == 3
+    one = decisions.outcome_counts(decisions.run_sink(plan, refuse, f"file:{tmp_path}/other", size=3, writers=1)).first()
+    assert (one.requested, one.done, one.unsent, one.errors) == (7, 0, 7 - one.failed, ["auth"]) and 0 < one.failed <= 3
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_duplicates_are_refreshed(spark, seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**62, 12)
+
+    def rows(ids):
+        out = []
+        for i in ids:
+            r = np.random.default_rng(i)
+            h = int(base[i % 12]) ^ (1 << int(r.integers(0, 60))) ^ (1 << int(r.integers(0, 60)))
+            out.append((f"i{i:03d}", int(r.integers(0, 400)), False, (f"{h:016x}" if i % 17 else None, f"{h:016x}")))
+        return out
+
+    kind = "id string, ts long, is_video boolean, features struct<dhash:string,ahash:string>"
+    old, new = rng.choice(200, 150, replace=False).tolist(), rng.choice(200, 150, replace=False).tolist()
+    old, new = rows(old), rows(new)
+    new = [(i, t + 37, v, f) if k % 20 == 0 else (i, t, v, (f[1][::-1], f[1])) if k % 20 == 1 else (i, t, v, f) for k, (i, t, v, f) in enumerate(new)]
+    items = spark.createDataFrame(new, kind)
+    want = duplicates.NearDuplicates.of(items, 5, 9)
+    got = duplicates.NearDuplicates.of(spark.createDataFrame(old, kind), 5, 9).refreshed(items)
+    as_set = lambda df: {tuple(r) for r in df.collect()}
+    assert as_set(got.pairs.select("a", "b", "rn_a", "rn_b")) == as_set(want.pairs.select("a", "b", "rn_a", "rn_b"))
+    assert as_set(got.sets.select("root", "id", "rn")) == as_set(want.sets.select("root", "id", "rn")) and got.sets.count() > 20
 
 
 def test_params():
