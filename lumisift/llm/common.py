@@ -5,7 +5,6 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -69,14 +68,10 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(spark: SparkSession, wait: float = 0) -> None:
-    """Let Spark's cleaner delete the shuffle files of phases whose results are written and whose frames are gone.
-
-    It works beside the driver: a phase that needs the room waits some seconds for it.
-    """
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of phases whose results are written and whose frames are gone: it does once the driver has collected them."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    time.sleep(wait)
 
 
 def with_row_ids(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

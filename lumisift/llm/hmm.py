@@ -18,6 +18,7 @@ Words go by 64-bit hashes, whose low bits are the shape.
 from __future__ import annotations
 
 import itertools
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumisift.llm.common import blocks_of, byte_rows, discard, release, saved, table
+from lumisift.llm.common import blocks_of, byte_rows, discard, release, saved, shared_dir, table
 
 STATES, ROUNDS = 8, 2
 #: Occurrences from which a word has its own class; classes of rarer words; bytes of a word's end that choose one.
@@ -306,7 +307,15 @@ def _with_emissions(ready: DataFrame, emissions: DataFrame) -> DataFrame:
     """Blocks with the emissions of their frequent words."""
     own = ready.select("block", F.explode(F.arrays_zip("frequent_ids", "frequent_words")).alias("x")).select("block", F.col("x.frequent_ids").alias("id"), F.col("x.frequent_words").alias("word"))
     by_block = own.join(emissions, "word").groupBy("block").agg(F.collect_list(F.struct("id", "word", "e")).alias("frequent"))
-    return ready.drop("frequent_ids", "frequent_words").join(by_block, "block", "left")
+    return ready.drop("frequent_ids", "frequent_words").join(by_block.hint("shuffle_hash"), "block", "left")  # blocks lie in buckets: only the emissions move
+
+
+def _bucketed(blocks: DataFrame) -> DataFrame:
+    """blocks as a table in buckets by block, which joins by block without being dealt again."""
+    spark = blocks.sparkSession
+    name, buckets = f"blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks.write.option("compression", "zstd").option("path", shared_dir(spark)).bucketBy(buckets, "block").saveAsTable(name)
+    return spark.table(name)
 
 
 def train(ready: DataFrame, counts: DataFrame, shape_share: np.ndarray, n: int, first, rounds: int = ROUNDS):
@@ -336,7 +345,7 @@ def train(ready: DataFrame, counts: DataFrame, shape_share: np.ndarray, n: int,
                     by_shape[i] = x
             emissions = frequent.join(words, "word").select("word", "share", "e")
             discard(got)
-            release(spark, 1)
+            release(spark)
         totals = np.array(emissions.agg(*[F.coalesce(F.sum(F.get("e", F.lit(i))), F.lit(0.0)) for i in range(k)]).first()) + by_shape.sum(axis=0)
         scale = F.array(*[F.lit(float((1 - BACKGROUND) / max(x, 1e-300))) for x in totals])
         emissions = saved(emissions.select("word", "share", F.zip_with("e", scale, lambda x, y: x * y + BACKGROUND * F.col("share")).cast("array<float>").alias("e")))
@@ -382,17 +391,17 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     blocks = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "train").mapInArrow(_encoded, BLOCKS))
     entries = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("id", "e")).select("block", "id", F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
     found = saved(entries.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("blocks")))
-    release(spark, 1)
+    release(spark)
     counts = found.filter("c > 0").select("word", "c")
     # a word of one block has the count it has there; only others go back to their blocks, and those with a class
     wanted = found.filter((F.col("c") > 0) & ((F.col("blocks") > 1) | (F.col("c") >= FREQUENT))).select("word", "c")
     known = entries.select("block", "id", "word").join(wanted, "word").groupBy("block").agg(F.collect_list(F.struct("id", "c", F.when(F.col("c") >= FREQUENT, F.col("word")).alias("word"))).alias("known"))
     known = saved(known.mapInArrow(_packed_known(FREQUENT), KNOWN))
-    release(spark, 2)
-    ready = saved(blocks.drop("words", "counts").join(known, "block", "left"))
+    release(spark)
+    ready = _bucketed(blocks.drop("words", "counts").join(known, "block", "left"))
     discard(blocks)
     discard(known)
-    release(spark, 1)
+    release(spark)
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     tokens, words = np.zeros(SHAPES), np.zeros(SHAPES)
     for r in counts.filter(F.col("c") < FREQUENT).groupBy(shape_of().alias("shape")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # SHAPES rows at most
