@@ -4,15 +4,17 @@ A hidden state chain emits classes of words. A word that the training texts hold
 states learn grows with the corpus; rarer words share a class by shape (how they end), and a word's share of its class comes from the
 corpus's counts (add-0.1, with one more word per class for all unseen ones), so every text has a probability.
 
-Texts are encoded once into stored blocks of whole documents. The emissions of words are a table (word, one number a state): each
+Texts are encoded once into stored blocks of whole documents, in buckets, which no later step deals anew. Words are counted by ranges of
+their hashes: each block sends a range as arrays and gets its counts back as such. The emissions of words are a table (word, one number a state): each
 round it joins the blocks by word, all of a block's documents go forward and backward together, and the expected counts are summed
 by word across partitions. Only long documents are cut into chunks, and products of a chunk's transition matrices give the exact
 messages at its borders. What the driver holds - transitions, one number a shape and state - has a fixed size.
 
-Where the states start is fitted on a bounded sample of documents by shapes alone; it only chooses among local optima.
+The states start from the corpus as well: every document leans to states at random, and rounds by shapes alone (as few numbers as the
+driver holds) go over whole documents, each round over another share of them in all partitions. Then rounds over all documents train words.
 
 Null and empty texts are one end token. A null doc_id is a training row. Repeated rows each count and each have their result.
-Words go by 64-bit hashes, whose low bits are the shape.
+Words go by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,21 +37,19 @@ STATES, ROUNDS = 8, 2
 FREQUENT, SHAPES, ENDING = 64, 1 << 14, 3
 #: Weight of the corpus's shares in each state's emissions.
 BACKGROUND = 0.02
-#: Documents, and tokens of each, from which the states start; rounds on them.
-START_DOCS, START_TOKENS, START_ROUNDS = 1000, 500, 20
+#: Rounds by shapes alone, and shares of the documents that they take in turn.
+START_ROUNDS, SHARES = 16, 8
 CHUNK = 1024
 BLOCK_BYTES = 8_000_000
 #: The end of a text, counted as a token; no word is empty.
 END = b""
 
-BLOCKS = "block long, doc_ids array<long>, train array<boolean>, lengths array<int>, tokens binary, words array<long>, counts array<int>, shapes binary, own binary"
-#: Of a block's words that came back: places and counts packed, and the frequent ones.
-KNOWN = "block long, ids binary, totals binary, frequent_ids array<int>, frequent_words array<long>"
-
-
-def shape_of(word: str = "word"):
-    """Of a word's hash."""
-    return F.col(word).bitwiseAND(F.lit(SHAPES - 1)).cast("int")
+BLOCKS = "block long, doc_ids array<long>, train array<boolean>, lengths array<int>, tokens binary, words binary, counts binary, shapes binary"
+#: A range of hashes from a block and back; a frequent word with its count; a shape with its tokens, and with those and the words that aren't frequent.
+RANGES = "range int, block long, words binary, counts binary, shapes binary"
+COUNTED = "range int, block long, totals binary, word long, c long, shape int, tokens long, rare_tokens long, rare_words long"
+#: Entries (a word of a block) in a range, in the mean, if a block has so many words.
+RANGE_ENTRIES, BLOCK_WORDS = 4_000_000, 120_000
 
 
 def shape(word: bytes) -> int:
@@ -78,12 +78,14 @@ def _encoded(batches):
             own = tokens_of(text)
             words += own
             lengths.append(len(own))
-        ids = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        vocabulary = list(dict.fromkeys(words))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))
+        order = np.argsort(hashes)  # a word's number in its block is its place among the hashes
+        shapes = np.fromiter(map(shape, vocabulary), np.int64, len(vocabulary))[order]
+        ids = {vocabulary[i]: k for k, i in enumerate(order.tolist())}
         tokens = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
         train = np.asarray(batch.column("train").to_pylist(), bool)
         counts = np.bincount(tokens[np.repeat(train, lengths)], minlength=len(ids))
-        shapes = np.fromiter(map(shape, ids), np.uint64, len(ids))
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids)) & ~np.uint64(SHAPES - 1) | shapes
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([next(blocks)], pa.int64()),
@@ -91,33 +93,86 @@ def _encoded(batches):
                 pa.array([train], pa.list_(pa.bool_())),
                 pa.array([lengths], pa.list_(pa.int32())),
                 pa.array([packed(tokens)], pa.binary()),
-                pa.array([hashes.view(np.int64)], pa.list_(pa.int64())),
-                pa.array([counts.astype(np.int32)], pa.list_(pa.int32())),
-                pa.array([packed(shapes)], pa.binary()),
+                pa.array([hashes[order].tobytes()], pa.binary()),
                 pa.array([packed(counts)], pa.binary()),
+                pa.array([packed(shapes)], pa.binary()),
             ],
-            names=["block", "doc_ids", "train", "lengths", "tokens", "words", "counts", "shapes", "own"],
+            names=["block", "doc_ids", "train", "lengths", "tokens", "words", "counts", "shapes"],
         )
 
 
-def _packed_known(frequent: int):
+def _ranges(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each hash, by its high half."""
+    return (((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+
+
+def _split(ranges: int):
+    """A block's words in ranges of hashes, each as arrays."""
+
     def rows(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                known = batch.column("known")[i].values
-                ids, totals = known.field("id").to_numpy(), known.field("c").to_numpy().astype("<i8")
-                order = np.argsort(ids)
-                ids, totals = ids[order], totals[order]
-                often = totals >= frequent
-                words = known.field("word").take(pa.array(order[often]))
+                words, counts, shapes = np.frombuffer(batch.column("words")[i].as_py(), np.uint64), _numbers(batch, i, "counts"), _numbers(batch, i, "shapes")
+                ends = np.searchsorted(_ranges(words, ranges), np.arange(ranges + 1))
+                used = np.flatnonzero(np.diff(ends))
+                pieces = lambda x, make: pa.array([make(x[ends[r] : ends[r + 1]]) for r in used], pa.binary())  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("block").slice(i, 1), pa.array([packed(np.diff(ids, prepend=0))]), pa.array([packed(totals.view("<i4"))]), pa.array([ids[often]], pa.list_(pa.int32())), pa.array([words.to_numpy(zero_copy_only=False).astype(np.int64)], pa.list_(pa.int64()))],
-                    names=["block", "ids", "totals", "frequent_ids", "frequent_words"],
+                    [pa.array(used, pa.int32()), pa.array(np.full(len(used), batch.column("block")[i].as_py())), pieces(words, lambda x: x.tobytes()), pieces(counts, packed), pieces(shapes, packed)],
+                    names=["range", "block", "words", "counts", "shapes"],
                 )
 
     return rows
 
 
+def _count_range(frequent: int):
+    """All blocks' words of one range: each block's corpus-wide counts, the frequent words, and sums by shape."""
+
+    def count(table: pa.Table) -> pa.Table:
+        words = [np.frombuffer(x, np.uint64) for x in table.column("words").to_pylist()]
+        ends = np.cumsum([0, *map(len, words)])
+        every, first, back = np.unique(np.concatenate(words), return_index=True, return_inverse=True)
+        counts = np.concatenate([unpacked(x) for x in table.column("counts").to_pylist()])
+        shapes = np.concatenate([unpacked(x) for x in table.column("shapes").to_pylist()])[first]
+        totals = np.bincount(back, weights=counts, minlength=len(every)).astype("<i8")  # exact below 2 ** 53
+        own, often = totals[back], totals >= frequent
+        r, n, k, used = table.column("range")[0].as_py(), len(words), int(often.sum()), np.unique(shapes)
+        sums = lambda weights: np.bincount(shapes, weights=weights, minlength=SHAPES)[used].astype(np.int64)
+        known = (totals > 0) & ~often
+        none = lambda kind: (lambda size: pa.nulls(size, kind))
+        columns = {
+            "range": (pa.array([r] * n, pa.int32()), pa.array([r] * k, pa.int32()), pa.array([r] * len(used), pa.int32())),
+            "block": (table.column("block").combine_chunks().cast(pa.int64()), none(pa.int64())(k), none(pa.int64())(len(used))),
+            "totals": (pa.array([packed(own[a:b].view("<i4")) for a, b in zip(ends, ends[1:])], pa.binary()), none(pa.binary())(k), none(pa.binary())(len(used))),
+            "word": (none(pa.int64())(n), pa.array(every[often].view(np.int64)), none(pa.int64())(len(used))),
+            "c": (none(pa.int64())(n), pa.array(totals[often].astype(np.int64)), none(pa.int64())(len(used))),
+            "shape": (none(pa.int32())(n), pa.array(shapes[often].astype(np.int32)), pa.array(used.astype(np.int32))),
+            "tokens": (none(pa.int64())(n + k), pa.array(sums(totals))),
+            "rare_tokens": (none(pa.int64())(n + k), pa.array(sums(totals * known))),
+            "rare_words": (none(pa.int64())(n + k), pa.array(sums(known))),
+        }
+        return pa.table({name: pa.concat_arrays(parts) for name, parts in columns.items()})
+
+    return count
+
+
+def _frequent_of(frequent: int):
+    """(block, id, word) of the frequent words of blocks, from the counts that came back for their ranges."""
+
+    def rows(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                often = np.flatnonzero(_totals(batch, i) >= frequent)
+                words = np.frombuffer(batch.column("words")[i].as_py(), np.int64)[often]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(often), batch.column("block")[i].as_py())), pa.array(often.astype(np.int32)), pa.array(words)], names=["block", "id", "word"])
+
+    return rows
+
+
+def _totals(batch, i: int) -> np.ndarray:
+    """Corpus-wide counts of a block's words, put together from its ranges."""
+    return np.concatenate([unpacked(x).view("<i8") for x in batch.column("totals")[i].values.to_pylist()])
+
+
 #: Steps after which messages are scaled anew: products of so many probabilities stay far above the least double.
 SCALED = 16
 
@@ -229,33 +284,6 @@ def _normal(starts: np.ndarray, moves: np.ndarray):
     return begin / begin.sum(), move / move.sum(axis=1, keepdims=True)
 
 
-def start_states(texts: list[bytes], states: int = STATES, rounds: int = START_ROUNDS):
-    """begin, move and each shape's leaning to the states (mean 1), from a sample of texts by shapes alone."""
-    sequences = [np.array([shape(w) for w in tokens_of(t)[:START_TOKENS]]) for t in texts]
-    rng = np.random.default_rng(1)
-    begin, move = np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
-    if not sequences:
-        return begin, move, np.ones((SHAPES, states))
-    lengths, tokens = np.array([len(s) for s in sequences]), np.concatenate(sequences)
-    share = np.bincount(tokens, minlength=SHAPES) / len(tokens)
-    used = np.flatnonzero(share)
-    place = np.zeros(SHAPES, np.int64)
-    place[used] = np.arange(len(used))
-    own, background = place[tokens], share[used, None]
-    # each document leans to one state at first
-    shares = np.repeat(rng.dirichlet(np.full(states, 0.3), len(lengths)), lengths, axis=0)
-    for _ in range(rounds):
-        sums = np.stack([np.bincount(own, weights=shares[:, i], minlength=len(used)) for i in range(states)], axis=1)
-        emission = (1 - BACKGROUND) * sums / (sums.sum(axis=0) + 1e-9) + BACKGROUND * background
-        starts, moves, shares, _ = expected(lengths, emission[own], begin, move)
-        begin, move = _normal(starts, moves)
-    leaning = np.ones((SHAPES, states))
-    leaning[used] = emission / background
-    # what few tokens say is held back
-    weight = (share * len(tokens) / (share * len(tokens) + 5))[:, None]
-    return begin, move, 1 + weight * (leaning - 1)
-
-
 def _numbers(batch, i: int, name: str) -> np.ndarray:
     """A row's list, or its packed numbers, as a numpy array."""
     value = batch.column(name)[i]
@@ -303,11 +331,65 @@ def _round(begin: np.ndarray, move: np.ndarray, by_shape: np.ndarray):
     return rows
 
 
-def _with_emissions(ready: DataFrame, emissions: DataFrame) -> DataFrame:
-    """Blocks with the emissions of their frequent words."""
-    own = ready.select("block", F.explode(F.arrays_zip("frequent_ids", "frequent_words")).alias("x")).select("block", F.col("x.frequent_ids").alias("id"), F.col("x.frequent_words").alias("word"))
+def _start_round(share: int | None, states: int, begin: np.ndarray, move: np.ndarray, by_shape: np.ndarray | None):
+    """Rows (shape, shares) as in _round, from whole training documents of one share (None: all), by shapes alone; without emissions each document leans to states at random."""
+
+    def rows(batches):
+        sums, starts, moves = np.zeros((SHAPES, states)), np.zeros(states), np.zeros((states, states))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lengths, train, tokens, shapes = (_numbers(batch, i, c) for c in ("lengths", "train", "tokens", "shapes"))
+                rng = np.random.default_rng([batch.column("block")[i].as_py(), 1])
+                dealt = rng.integers(0, SHARES, len(lengths))
+                lengths, chosen = lengths.astype(np.int64), train.astype(bool) & (dealt == (dealt if share is None else share))
+                seen = shapes[tokens[np.repeat(chosen, lengths)]]
+                if not len(seen):
+                    continue
+                if by_shape is None:
+                    found = np.repeat(rng.dirichlet(np.full(states, 0.3), int(chosen.sum())), lengths[chosen], axis=0)
+                else:
+                    s, m, found, _ = expected(lengths[chosen], by_shape[seen], begin, move)
+                    starts, moves = starts + s, moves + m
+                for j in range(states):
+                    sums[:, j] += np.bincount(seen, weights=found[:, j], minlength=SHAPES)
+        used = np.flatnonzero(sums.sum(axis=1))
+        ids, values = np.concatenate([used, [-1], -2 - np.arange(states)]), np.concatenate([sums[used], starts[None], moves])
+        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), states).cast(pa.list_(pa.float64()))], names=["shape", "shares"])
+
+    return rows
+
+
+def start_states(ready: DataFrame, share: np.ndarray, states: int = STATES, rounds: int = START_ROUNDS):
+    """begin, move and each shape's leaning to the states (mean 1), from rounds over the corpus; share: of each shape among training tokens."""
+    begin, move = np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
+    leaning, background, by_shape = np.ones((SHAPES, states)), share[:, None], None
+    used, total = np.flatnonzero(share), 1
+    for number in range(rounds + 1):
+        of = None if number == 0 else (number - 1) % SHARES
+        part = ready.select("block", "lengths", "train", "tokens", "shapes").mapInArrow(_start_round(of, states, begin, move, by_shape), "shape int, shares array<double>")
+        found = part.groupBy("shape").agg(*[F.sum(F.get("shares", F.lit(i))) for i in range(states)]).collect()  # SHAPES + states + 1 rows at most
+        sums = np.zeros((SHAPES, states))
+        for r in found:
+            if r[0] >= 0:
+                sums[r[0]] = r[1:]
+        if not sums.any():
+            continue
+        total = sums.sum()
+        if number:
+            fixed = {r[0]: np.array(r[1:]) for r in found if r[0] < 0}
+            begin, move = _normal(fixed[-1], np.stack([fixed[-2 - i] for i in range(states)]))
+        by_shape = (1 - BACKGROUND) * sums / (sums.sum(axis=0) + 1e-9) + BACKGROUND * background
+    if by_shape is not None:
+        # what few tokens say is held back
+        seen = share[used] * total
+        leaning[used] = 1 + (seen / (seen + 5))[:, None] * (by_shape[used] / background[used] - 1)
+    return begin, move, leaning
+
+
+def _with_emissions(blocks: DataFrame, own: DataFrame, emissions: DataFrame) -> DataFrame:
+    """Blocks with the emissions of their frequent words (block, id, word). The blocks lie in buckets: only the emissions move."""
     by_block = own.join(emissions, "word").groupBy("block").agg(F.collect_list(F.struct("id", "word", "e")).alias("frequent"))
-    return ready.drop("frequent_ids", "frequent_words").join(by_block.hint("shuffle_hash"), "block", "left")  # blocks lie in buckets: only the emissions move
+    return blocks.join(by_block.hint("shuffle_hash"), "block", "left")
 
 
 def _bucketed(blocks: DataFrame) -> DataFrame:
@@ -318,24 +400,27 @@ def _bucketed(blocks: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def train(ready: DataFrame, counts: DataFrame, shape_share: np.ndarray, n: int, first, rounds: int = ROUNDS):
+def train(blocks: DataFrame, own: DataFrame, counts: DataFrame, shape_share: np.ndarray, n: int, first, rounds: int = ROUNDS):
     """begin, move, emissions by shape, those of frequent words as a table, and the log likelihood before each round.
 
-    ready: blocks with known words; counts: (word, c); first: begin, move and leaning of shapes.
+    own: frequent words of blocks; counts: frequent (word, shape, c); first: begin, move and leaning of shapes.
     """
-    spark = ready.sparkSession
+    spark = blocks.sparkSession
     begin, move, leaning = first
     k = len(begin)
-    frequent = saved(counts.filter(F.col("c") >= FREQUENT).select("word", shape_of().alias("shape"), (F.col("c") / n).alias("share")))
+    frequent = saved(counts.select("word", "shape", (F.col("c") / n).alias("share")))
     lean = spark.createDataFrame([(i, leaning[i].tolist()) for i in np.flatnonzero((leaning != 1).any(axis=1)).tolist()], "shape int, lean array<double>")
     even = F.array(*[F.lit(1.0)] * k)
     emissions = frequent.join(F.broadcast(lean), "shape", "left").select("word", "share", F.transform(F.coalesce("lean", even), lambda x: x * F.col("share")).alias("e"))  # SHAPES rows at most
     by_shape, logs = shape_share[:, None] * leaning, []
     for number in range(rounds + 1):
         if number:
-            got = saved(_with_emissions(ready, emissions).mapInArrow(_round(begin, move, by_shape), "word long, shape int, shares array<double>"))
+            read = blocks.select("block", "lengths", "train", "tokens", "shapes")
+            got = saved(_with_emissions(read, own, emissions).mapInArrow(_round(begin, move, by_shape), "word long, shape int, shares array<double>"))
             sums = [F.sum(F.get("shares", F.lit(i))) for i in range(k)]
             fixed = {r[0]: np.array(r[1:]) for r in got.filter("word is null").groupBy("shape").agg(*sums).collect()}  # SHAPES + states + 2 rows at most
+            if not fixed:  # no texts at all
+                continue
             words = saved(got.filter("word is not null").groupBy("word").agg(F.array(*sums).alias("e")))
             logs.append(float(fixed[-100][0]))
             begin, move = _normal(fixed[-1], np.stack([fixed[-2 - i] for i in range(k)]))
@@ -357,10 +442,8 @@ def _scores(begin: np.ndarray, move: np.ndarray, by_shape: np.ndarray, n: int, v
     def rows(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                lengths, train, tokens, shapes, counts = (_numbers(batch, i, c) for c in ("lengths", "train", "tokens", "shapes", "own"))
-                lengths, counts = lengths.astype(np.int64), counts.astype(np.float64)
-                if batch.column("ids")[i].is_valid:
-                    counts[np.cumsum(_numbers(batch, i, "ids"))] = _numbers(batch, i, "totals").view("<i8")
+                lengths, train, tokens, shapes = (_numbers(batch, i, c) for c in ("lengths", "train", "tokens", "shapes"))
+                lengths, counts = lengths.astype(np.int64), _totals(batch, i).astype(np.float64)
                 emission, own = _emissions(batch, i, by_shape, shapes)
                 base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
                 within = np.log10((counts + 0.1) / (shape_tokens[shapes] + 0.1 * (shape_words[shapes] + 1)))
@@ -387,31 +470,25 @@ def _scores(begin: np.ndarray, move: np.ndarray, by_shape: np.ndarray, n: int, v
 
 def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """docs (doc_id, text, train): per row the tokens, known tokens, and base and model log10 probabilities."""
-    spark = docs.sparkSession
-    blocks = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "train").mapInArrow(_encoded, BLOCKS))
-    entries = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("id", "e")).select("block", "id", F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
-    found = saved(entries.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("blocks")))
-    release(spark)
-    counts = found.filter("c > 0").select("word", "c")
-    # a word of one block has the count it has there; only others go back to their blocks, and those with a class
-    wanted = found.filter((F.col("c") > 0) & ((F.col("blocks") > 1) | (F.col("c") >= FREQUENT))).select("word", "c")
-    known = entries.select("block", "id", "word").join(wanted, "word").groupBy("block").agg(F.collect_list(F.struct("id", "c", F.when(F.col("c") >= FREQUENT, F.col("word")).alias("word"))).alias("known"))
-    known = saved(known.mapInArrow(_packed_known(FREQUENT), KNOWN))
-    release(spark)
-    ready = _bucketed(blocks.drop("words", "counts").join(known, "block", "left"))
-    discard(blocks)
-    discard(known)
+    blocks = _bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "train").mapInArrow(_encoded, BLOCKS))
+    spark = blocks.sparkSession
+    ranges = max(1, -(-blocks.count() * BLOCK_WORDS // RANGE_ENTRIES))
+    split = blocks.select("block", "words", "counts", "shapes").mapInArrow(_split(ranges), RANGES)
+    counted = saved(split.groupBy("range").applyInArrow(_count_range(FREQUENT), COUNTED))
+    known = _bucketed(counted.filter("block is not null").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "totals"))).alias("t")).select("block", F.transform("t", lambda x: x["totals"]).alias("totals")))
+    frequent = counted.filter("word is not null").select("word", "shape", "c")
+    own = saved(blocks.select("block", "words").join(known.hint("shuffle_hash"), "block").mapInArrow(_frequent_of(FREQUENT), "block long, id int, word long"))
     release(spark)
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    tokens, words = np.zeros(SHAPES), np.zeros(SHAPES)
-    for r in counts.filter(F.col("c") < FREQUENT).groupBy(shape_of().alias("shape")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # SHAPES rows at most
-        tokens[r["shape"]], words[r["shape"]] = r.c, r.n
-    asked = F.pmod(F.xxhash64("text"), F.lit(max(1, docs.count() // START_DOCS))) == 0
-    sample = docs.filter("train").filter(asked).select(F.substring(F.coalesce("text", F.lit("")), 1, 8 * START_TOKENS).alias("text")).limit(2 * START_DOCS)
-    first = start_states(sorted(r.text.encode() for r in sample.collect()), states)
-    begin, move, by_shape, emissions, _ = train(ready, counts, tokens / max(n, 1), n, first, rounds)
+    every, tokens, words = np.zeros(SHAPES), np.zeros(SHAPES), np.zeros(SHAPES)
+    sums = [F.sum(c).alias(c) for c in ("tokens", "rare_tokens", "rare_words")]
+    for r in counted.filter("tokens is not null").groupBy("shape").agg(*sums).collect():  # SHAPES rows at most
+        every[r["shape"]], tokens[r["shape"]], words[r["shape"]] = r.tokens, r.rare_tokens, r.rare_words
+    n, v = int(every.sum()), int(words.sum()) + frequent.count()
+    first = start_states(blocks, every / max(n, 1), states)
+    begin, move, by_shape, emissions, _ = train(blocks, own, frequent, tokens / max(n, 1), n, first, rounds)
     scores = _scores(begin, move, by_shape, n, v, tokens, words)
-    return _with_emissions(ready, emissions).mapInArrow(scores, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    read = blocks.drop("words", "counts").join(known.hint("shuffle_hash"), "block")
+    return _with_emissions(read, own, emissions).mapInArrow(scores, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_hidden_markov_scores(spark, sf_dir: str) -> DataFrame:
