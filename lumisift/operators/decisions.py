@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumisift.functions.scalars import format_bytes, item_bytes
-from lumisift.operators.orders import with_rank, written
+from lumisift.operators.orders import with_rank
+from lumisift.operators.shared import written
 from lumisift.sources.sinks import chunk_sink
 
 

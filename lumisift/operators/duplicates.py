@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumisift.functions.scalars import hamming_halves, hash_halves
-from lumisift.operators.orders import with_rank, written
+from lumisift.operators.orders import with_rank
+from lumisift.operators.shared import written
 
 
 def eligible(items: DataFrame) -> DataFrame:

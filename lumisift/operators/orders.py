@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumisift.functions.scalars import duration_text, format_bytes, format_date, item_bytes, percent
+from lumisift.operators.shared import shared_dir
 
 
 def people_likelihood() -> Column:
@@ -66,23 +63,8 @@ def available_orders(has_groups: bool, has_sizes: bool, has_similar: bool) -> di
 
 
 def shared_folder(df: DataFrame) -> str:
-    """A new folder below spark.checkpoint.dir. Where that is unset a temporary folder stands in, on a local master only."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[.*\])?", master):
-            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
-        root = "file:" + tempfile.mkdtemp(prefix="lumisift-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/lumisift-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut lineage: df as Parquet in a shared folder, read back."""
-    path = shared_folder(df)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """A new folder that driver and executors share."""
+    return shared_dir(df.sparkSession)
 
 
 #: Bytes a table may have, by Spark's estimate, to be ranked in one task.

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumisift.functions.scalars import cosine_distance, normalised
-from lumisift.operators.orders import with_rank, written
+from lumisift.operators.orders import with_rank
+from lumisift.operators.shared import written
 from lumisift.operators.products import distance, near, unit
 
 #: The distance below which two faces are one person by default and as shipped, the ratio of it for merging

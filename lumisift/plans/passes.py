@@ -126,6 +126,63 @@ def raster_features(spark, d):
     return kernels.features(kernels.measure(_rasters(spark, d))).select("id", "lum_mean", "lum_sd", "lap_var", "dhash", "ahash", "blur_score", "dark_score", "document_score")
 
 
+def _sized_rasters(spark, d):
+    """Gray images of 8 by 8, 7 by 9 and 64 by 64 pixels from embeddings: their values, the first of them, and sums of two."""
+    e = adapters.table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    byte = lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x * 400 + 128)))), 2, "0")
+    pixels = {(8, 8): F.col("e"), (9, 7): F.slice("e", 1, 63), (64, 64): F.flatten(F.transform("e", lambda a: F.transform("e", lambda b: a + b)))}
+    sized = F.array(*[F.struct(F.lit(h).alias("height"), F.lit(w).alias("width"), F.unhex(F.array_join(F.transform(v, byte), "")).alias("data")) for (h, w), v in pixels.items()])
+    rows = e.select("vec_id", F.explode(sized).alias("x"))
+    return rows.select(F.concat(F.col("vec_id").cast("string"), F.lit("/"), F.col("x.width").cast("string")).alias("id"), "x.width", "x.height", F.lit(1).alias("channels"), "x.data")
+
+
+#: Pixels, their neighbours' differences and boxes, by image; a box of a resized image is [y0, y1) by [x0, x1).
+_PIXELS_SQL = """
+px AS (
+  SELECT id, w, h, i // w AS y, i % w AS x, greatest(0, least(255, floor(v * 400 + 128))) AS g FROM (
+    SELECT vec_id || '/8' AS id, 8 AS w, 8 AS h, unnest(range(0, 64)) AS i, unnest(e) AS v FROM e8
+    UNION ALL SELECT vec_id || '/7', 7, 9, unnest(range(0, 63)), unnest(e[1:63]) FROM e8
+    UNION ALL SELECT vec_id || '/64', 64, 64, unnest(range(0, 4096)), unnest(flatten(list_transform(e, lambda a: list_transform(e, lambda b: a + b)))) FROM e8
+  )
+), lap AS (
+  SELECT id, x, y, w, h, 4 * g - lag(g) OVER r - lead(g) OVER r - lag(g) OVER c - lead(g) OVER c AS v FROM px WINDOW r AS (PARTITION BY id, y ORDER BY x), c AS (PARTITION BY id, x ORDER BY y)
+), laps AS (SELECT id, var_pop(v) AS lap_var FROM lap WHERE v IS NOT NULL GROUP BY id
+), blocks AS (
+  SELECT id, max(v) AS sharp FROM (SELECT id, x // 24, y // 24, var_pop(v) AS v FROM lap WHERE w = 64 AND x < 48 AND y < 48 AND x % 24 BETWEEN 1 AND 22 AND y % 24 BETWEEN 1 AND 22 GROUP BY ALL) GROUP BY id
+), lum AS (
+  SELECT id, avg(g) AS lum_mean, stddev_pop(g) AS lum_sd, quantile_disc(g, 0.05) AS lum_p05, quantile_disc(g, 0.5) AS lum_p50, quantile_disc(g, 0.95) AS lum_p95,
+    count(*) FILTER (g < 40) / count(*) AS dark_frac, count(*) FILTER (g >= 220) / count(*) AS bright_frac FROM px GROUP BY id
+), flat AS (
+  SELECT id, avg(CASE WHEN v < 12 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS flat_ratio FROM (SELECT id, x // 8, y // 8, var_pop(g) AS v FROM px WHERE x < w // 8 * 8 AND y < h // 8 * 8 GROUP BY ALL) GROUP BY id
+), cells AS (
+  SELECT s.w, s.h, n, cy, cx, least(s.h - 1, cy * s.h // 8) AS y0, least(s.w - 1, cx * s.w // n) AS x0, least(s.h, greatest(least(s.h - 1, cy * s.h // 8) + 1, (cy + 1) * s.h // 8)) AS y1,
+    least(s.w, greatest(least(s.w - 1, cx * s.w // n) + 1, (cx + 1) * s.w // n)) AS x1
+  FROM (VALUES (8, 8), (7, 9), (64, 64)) AS s(w, h), (VALUES (8), (9)) AS c(n), range(8) AS a(cy), range(9) AS b(cx) WHERE cx < n
+), small AS (
+  SELECT id, n, cy, cx, CAST(avg(g) AS FLOAT) AS v FROM px JOIN cells AS c ON c.w = px.w AND c.h = px.h AND y >= y0 AND y < y1 AND x >= x0 AND x < x1 GROUP BY ALL
+), bits AS (
+  SELECT id, 'd' AS kind, cy * 8 + cx AS k, v > lead(v) OVER (PARTITION BY id, cy ORDER BY cx) AS bit FROM small WHERE n = 9 QUALIFY cx < 8
+  UNION ALL SELECT id, 'a', cy * 8 + cx, v > avg(CAST(v AS DOUBLE)) OVER (PARTITION BY id) FROM small WHERE n = 8
+), hashes AS (
+  SELECT id, string_agg(digit, '' ORDER BY q) FILTER (kind = 'd') AS dhash, string_agg(digit, '' ORDER BY q) FILTER (kind = 'a') AS ahash
+  FROM (SELECT id, kind, k // 4 AS q, printf('%x', CAST(sum(CASE WHEN bit THEN 8 >> CAST(k % 4 AS INTEGER) ELSE 0 END) AS INTEGER)) AS digit FROM bits GROUP BY ALL) GROUP BY id
+), m AS (SELECT *, coalesce(sharp, lap_var) AS local_sharp FROM lum JOIN laps USING (id) JOIN hashes USING (id) LEFT JOIN blocks USING (id) LEFT JOIN flat USING (id))"""
+
+
+@query(
+    "raster_measures",
+    "SELECT id, round(lum_mean, 6) AS lum_mean, round(lum_sd, 6) AS lum_sd, CAST(lum_p05 AS INTEGER) AS lum_p05, CAST(lum_p50 AS INTEGER) AS lum_p50, CAST(lum_p95 AS INTEGER) AS lum_p95, round(dark_frac, 6) AS dark_frac, round(bright_frac, 6) AS bright_frac, round(lap_var, 4) AS lap_var, "
+    f"round(local_sharp, 4) AS local_sharp, round(coalesce(flat_ratio, 0), 6) AS flat_ratio, dhash, ahash, floor({_c(_SCORES_SQL['blur_score'])} * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS blur_score, floor({_c(_SCORES_SQL['dark_score'])} * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS dark_score, floor({_c(_SCORES_SQL['bright_score'])} * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE AS bright_score FROM m",
+    "e8 AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)",
+    _PIXELS_SQL,
+)
+def raster_measures(spark, d):
+    named = ("blur_score", "dark_score", "bright_score")
+    m = kernels.measure(_sized_rasters(spark, d)).withColumns({k: v for k, v in scores.composed_scores().items() if k in named})
+    six = ("lum_mean", "lum_sd", "dark_frac", "bright_frac", "flat_ratio")
+    return m.select("id", "lum_p05", "lum_p50", "lum_p95", "dhash", "ahash", *named, *[F.round(c, 4).alias(c) for c in ("lap_var", "local_sharp")], *[F.round(c, 6).alias(c) for c in six])
+
+
 @query(
     "screen_aspect",
     "SELECT event_id, " + _c("1.0::DOUBLE - list_min(list_transform([" + ", ".join(f"CAST({t!r} AS DOUBLE)" for t in scalars.SCREEN_RATIOS) + "], lambda t: abs(w / h - t) / t)) / 0.035::DOUBLE") + " AS score FROM (SELECT event_id, CAST(100 + event_id % 900 AS DOUBLE) AS w, CAST(100 + event_id % 700 AS DOUBLE) AS h FROM events)",

@@ -121,9 +121,11 @@ def _take_pending(cat: C.Catalogue, run: RunParams) -> ListingStats:
     return ListingStats(discovered=n.n, oldest=n.oldest, last=n.oldest, limit_reached=bool(run.max_per_run) and n.n >= run.max_per_run)
 
 
-def list_pages(spark: SparkSession, folder: str, cat: C.Catalogue, run: RunParams, checkpoint: str, now: int = 0, batch_files: int = 200, abort: Abort | None = None) -> ListingStats:
+def list_pages(spark: SparkSession, folder: str | None, cat: C.Catalogue, run: RunParams, checkpoint: str, now: int = 0, batch_files: int = 200, abort: Abort | None = None, pages: DataFrame | None = None) -> ListingStats:
     """Read new pages into the catalogue; the stream's checkpoint is the position within them.
 
+    pages: a stream (file, value) in place of the folder's files, such as sources.listing.stream_pages gives.
+
     A run that follows a completed one stops after `barren_pages` batches in a row without anything new. Rows beyond the run's
     limit, whose pages the checkpoint has passed, wait in the catalogue's table of pending rows; the next run takes them first.
     """
@@ -134,6 +136,7 @@ def list_pages(spark: SparkSession, folder: str, cat: C.Catalogue, run: RunParam
         s = state[0]
         if s.limit_reached or s.done or (abort and abort.is_set()):
             raise Stop  # the batch isn't committed, so the next run begins with it
+        files = files.persist()  # each page is fetched once
         batch = P.page_lines(files).persist()
         items = P.parse_items(batch).persist()
         keys = items.select(F.col("media_key").alias("id"))
@@ -155,8 +158,8 @@ def list_pages(spark: SparkSession, folder: str, cat: C.Catalogue, run: RunParam
             cat.upsert(P.to_rows(new, run.thumb_size, now))
         read = batch.count()
         parsed.unpersist()
-        items.unpersist()
-        batch.unpersist()
+        for used in (items, batch, files):
+            used.unpersist()
         barren = 0 if count else s.barren + 1
         state[0] = replace(
             s,
@@ -173,7 +176,8 @@ def list_pages(spark: SparkSession, folder: str, cat: C.Catalogue, run: RunParam
         )
 
     if not state[0].limit_reached:
-        query = P.read_pages(spark, folder, batch_files).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream = P.read_pages(spark, folder, batch_files) if pages is None else pages
+        query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         if abort:
             abort.watch(query)
         try:

@@ -10,6 +10,8 @@ from lumisift import schema
 from lumisift.params import RunParams
 from lumisift.plans.passes import page_json
 from lumisift.sources import catalogue as C
+from lumisift.sources import listing
+from lumisift.sources import pages as P
 from lumisift.streaming import ingest
 
 
@@ -231,3 +233,44 @@ def test_a_stopped_run_goes_on_later(spark, tmp_path, cat, kernel):
     cat.upsert = upsert
     again = ingest.full_run(spark, str(folder), cat, RunParams(), str(tmp_path / "cp"), kernel, detect, batch_files=1)
     assert cat.counts() == {"items": 20, "faces": 19} and again["analysis"] == {"analysed": 19, "failed": 1}
+
+
+def marking_client(folder, marks, fails=0):
+    """Leaves a mark for every fetch, and fails the first ones of a page. Its class is sent to tasks with it."""
+
+    class Marking(listing.FolderClient):
+        def fetch(self, token):
+            with open(f"{marks}/{token}", "a") as f:
+                f.write("x")
+            with open(f"{marks}/{token}") as f:
+                tries = len(f.read())
+            if tries <= fails:
+                raise P.ListingError("network", f"try {tries}")
+            return listing.FolderClient.fetch(self, token)
+
+    folder, marks = str(folder), str(marks)
+    return Marking(folder)
+
+
+def test_pages_within_the_window_left_out_are_not_fetched(spark, tmp_path, cat):
+    folder, marks = tmp_path / "pages", tmp_path / "marks"
+    folder.mkdir(), marks.mkdir()
+    for p in range(6):  # from new to old; a page reaches from 1000 - 4p down to 997 - 4p
+        (folder / f"{p:03d}-{997 - 4 * p}.jsonl").write_text(page_json([page_item(p * 4 + k, 1000 - p * 4 - k) for k in range(4)]) + "\n")
+    pages = listing.stream_pages(spark, marking_client(folder, marks), older_than=990, per_task=2)
+    s = ingest.list_pages(spark, None, cat, RunParams(older_than=990), str(tmp_path / "cp"), pages=pages)
+    assert sorted(m.name for m in marks.iterdir()) == [f"{p:03d}-{997 - 4 * p}.jsonl" for p in range(2, 6)]
+    assert (s.pages, s.skipped_recent, s.discovered) == (4, 3, 13)
+    (folder / "006-973.jsonl").write_text(page_json([page_item(24, 973)]) + "\n")
+    pages = listing.stream_pages(spark, marking_client(folder, marks), older_than=990)
+    assert ingest.list_pages(spark, None, cat, RunParams(older_than=990), str(tmp_path / "cp"), pages=pages).discovered == 1
+    assert all(m.read_text() == "x" for m in marks.iterdir())  # each once
+
+
+def test_a_flaky_page_is_fetched_within_its_tries(spark, tmp_path, cat):
+    folder, marks = tmp_path / "pages", tmp_path / "marks"
+    folder.mkdir(), marks.mkdir()
+    write_pages(folder, 2)
+    pages = listing.stream_pages(spark, marking_client(folder, marks, fails=3), wait=0.01)
+    assert ingest.list_pages(spark, None, cat, RunParams(), str(tmp_path / "cp"), pages=pages).discovered == 8
+    assert {m.read_text() for m in marks.iterdir()} == {"xxxx"}
