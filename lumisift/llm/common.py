@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumisift.operators.shared import delete_path, delete_shared, shared_dir, written  # noqa: F401  shared with the rest of the library
+
 #: Words are runs of anything but ASCII white space; bytes.split() splits at exactly these characters.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -22,50 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Folders that this process has asked for, by session.
-_folders: dict[str, list[str]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Where that is unset a temporary folder stands in, on a local master only: executors elsewhere could not read it.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[.*\])?", master):
-            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
-        root = "file:" + tempfile.mkdtemp(prefix="lumisift-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/lumisift-{uuid.uuid4().hex}"
-    _folders.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
-
-
-def delete_shared(spark: SparkSession) -> int:
-    """Delete the shared folders that this application has made; call it once its results are written. Returns how many."""
-    paths = _folders.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    return len(paths)
-
-
-def saved(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Cut lineage: write df as Parquet into the shared folder and read it back."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Cut lineage through a table in the shared folder.
+saved = written
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a saved() table that nothing reads any more."""
-    spark = df.sparkSession
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        delete_path(df.sparkSession, folder)
 
 
 def release(spark: SparkSession) -> None:

@@ -126,3 +126,47 @@ def test_packing_and_counts_by_the_tokenizer_file(spark, tmp_path, words):
         assert sum(r.length for r in own) == len(want)
         assert all(zlib.crc32(want[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in own)
     assert pieces.keys() == ids.keys()
+    counted = {r.doc_id: r.n_tokens for r in queries.QUERIES["op9_token_counts"](spark, folder).collect()}
+    plain = {d for d, t in rows if "<|" not in (t or "")}  # the special token's name is ordinary text in token files
+    assert {d: counted[d] for d in plain} == {d: len(ids[d]) for d in plain} and counted.keys() == ids.keys()
+
+
+def test_classifier_by_plain_compression(spark, tmp_path, words):
+    import zstandard
+
+    from lumisift.llm import quality_classifier as Q
+
+    rng = random.Random(11)
+    text = lambda good: " ".join(rng.choice(words[:400] if good else words[300:700]) for _ in range(rng.randint(20, 900)))
+    rows = [(d, text(d % 2)) for d in range(160)] + [(900, None), (901, ""), (902, "z" * 100_000)]
+    labels = [(d, d % 2, 0) for d in range(120)]
+    held = {d for d, _ in rows if zlib.crc32(str(d).encode()) % 4 == 2}
+    folder = _tables(spark, tmp_path / "a", rows, labels)
+    got = {r.doc_id: r for r in queries.QUERIES["op6_quality_classifier"](spark, folder).collect()}
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([x for x in labels if x[0] not in held], "doc_id long, quality int, toxic int")
+    model = Q.fit(docs, known)
+    bad, good = (zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in model.dictionaries)
+    for d, t in rows:
+        raw = (t or "").encode()
+        cut = [raw[i : i + 2048] for i in range(0, len(raw), 2048)]
+        x = sum(len(bad.compress(p)) - len(good.compress(p)) for p in cut) / len(raw) if raw else 0.0
+        assert got[d].score == pytest.approx(1 / (1 + np.exp(-(model.slope * x + model.offset))), abs=1e-9)
+        assert got[d].held_out == (d in held) and got[d].predicted == int(got[d].score >= 0.7)
+    judged = [(got[d].score > 0.5) == bool(d % 2) for d in range(160) if d in held or d >= 120]
+    assert sum(judged) > 0.9 * len(judged)
+    flipped = _tables(spark, tmp_path / "b", rows, [(d, 1 - q if d in held else q, t) for d, q, t in labels])  # held-out labels say nothing
+    assert {r.doc_id: r.score for r in queries.QUERIES["op6_quality_classifier"](spark, flipped).collect()} == {d: r.score for d, r in got.items()}
+
+
+def test_odd_pages(spark, tmp_path):
+    big, large = "<p>é</p>" * 200, "y" * 3_000_000
+    rows = [(1, "u", big), (5, "u", big), (3, None, big), (7, "u", "small"), (8, "u", "small"), (9, "u", None), (10, "", ""), (11, "u", large), (12, "u", large)]
+    extra = {c: F.lit(c) for c in ("record_type", "payload", "refers_to", "payload_digest", "value", "content_length")}
+    spark.createDataFrame(rows, "page_id long, url string, html string").withColumns(extra).repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in queries.QUERIES["op3_warc_round_trip"](spark, str(tmp_path)).collect()}
+    assert got.keys() == {p for p, *_ in rows}
+    for p, _, h in rows:
+        raw = (h or "").encode()
+        first = max(q for q, _, g in rows if (g or "") == (h or ""))
+        again = len(raw) >= 1000 and first != p
+        assert (got[p].payload_bytes, got[p].payload_digest, got[p].record_type, got[p].refers_to) == (len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if again else "response", first if again else None)

@@ -119,3 +119,20 @@ def test_near_copies_equal_definition(spark, words):
     assert {r.id: r.root for r in near_copies.near_copies(docs, "doc_id").collect()} == want
     fps = {d: simhash.fingerprint((t or "").encode()) for d, t in rows}
     assert any(r != d and (fps[r] ^ fps[d]).bit_count() > 2 for d, r in want.items())
+
+
+def test_run_over_odd_and_no_rows(spark, words, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    prose = lambda n: " ".join([*(rng.choice(words) for _ in range(n)), "the of and to in"])
+    a, long = prose(150), prose(60_000)
+    clash = {c: F.lit(c) for c in ("rid", "id", "root", "kept", "block", "row", "__quality")}
+    for name, rows in {"odd": [(1, a), (1, a), (None, prose(90)), (None, None), (3, None), (4, ""), (5, long)], "none": []}.items():
+        folder = tmp_path / name
+        frame = spark.createDataFrame([(d, t, None if d == 1 else "en", "s", None) for d, t in rows], DOCUMENTS)
+        frame.withColumns(clash).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(0, None), (None, "a b c")], "item_id long, text string").withColumns(clash).write.parquet(f"{folder}/benchmark.parquet")
+        pieces = corpus_pipeline.run(spark, str(folder)).collect()
+        assert {r.doc_id for r in pieces} == ({1, None, 5} if rows else set())
+        assert sum(r.piece == 0 for r in pieces) == (3 if rows else 0)
