@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 
 from lumisift.llm.common import blocks_of, byte_rows, discard, release, saved, shared_dir, table
 
-STATES, ROUNDS = 8, 2
+STATES, ROUNDS = 8, 1
 #: Occurrences from which a word has its own class; classes of rarer words; bytes of a word's end that choose one.
 FREQUENT, SHAPES, ENDING = 64, 1 << 14, 3
 #: Weight of the corpus's shares in each state's emissions.
 BACKGROUND = 0.02
-#: Rounds by shapes alone, and shares of the documents that they take in turn.
-START_ROUNDS, SHARES = 16, 8
+#: Rounds by shapes alone, and shares of the documents that they take in turn: each document is read by one, and by the rounds after them.
+START_ROUNDS, SHARES = 12, 12
 CHUNK = 1024
 BLOCK_BYTES = 8_000_000
 #: The end of a text, counted as a token; no word is empty.
@@ -301,12 +301,13 @@ def _emissions(batch, i: int, by_shape: np.ndarray, shapes: np.ndarray) -> tuple
 
 
 def _round(begin: np.ndarray, move: np.ndarray, by_shape: np.ndarray):
-    """Rows (word, shape, shares): expected emissions of words with a class, and of shapes; below zero starts (-1), transitions from state i (-2 - i), log likelihood (-100)."""
+    """Rows (word, shape, shares, few): expected emissions of words with a class (in few, as short numbers), and of shapes; below zero starts (-1), transitions from state i (-2 - i), log likelihood (-100)."""
     k = len(begin)
 
     def rows(batches):
         sums, starts, moves, total = np.zeros((SHAPES, k)), np.zeros(k), np.zeros((k, k)), 0.0
-        out = lambda words, shapes, values: pa.RecordBatch.from_arrays([words, pa.array(shapes.astype(np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), k).cast(pa.list_(pa.float64()))], names=["word", "shape", "shares"])
+        lists = lambda values, kind: pa.FixedSizeListArray.from_arrays(pa.array(values.ravel(), kind), k).cast(pa.list_(kind))
+        names = ["word", "shape", "shares", "few"]
         for batch in batches:
             for i in range(batch.num_rows):
                 lengths, train, tokens, shapes = (_numbers(batch, i, c) for c in ("lengths", "train", "tokens", "shapes"))
@@ -319,14 +320,15 @@ def _round(begin: np.ndarray, move: np.ndarray, by_shape: np.ndarray):
                 starts, moves, total = starts + s, moves + m, total + log.sum()
                 by_word = np.stack([np.bincount(tokens, weights=shares[:, j], minlength=len(shapes)) for j in range(k)], axis=1)
                 if len(own):
-                    words = batch.column("frequent")[i].values.field("word")
-                    yield out(words, np.full(len(own), -1000), by_word[own])
+                    words = np.frombuffer(batch.column("words")[i].as_py(), np.int64)[own]
+                    yield pa.RecordBatch.from_arrays([pa.array(words), pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.list_(pa.float64())), lists(by_word[own], pa.float32())], names=names)
                     by_word[own] = 0
                 for j in range(k):
                     sums[:, j] += np.bincount(shapes, weights=by_word[:, j], minlength=SHAPES)
         used = np.flatnonzero(sums.sum(axis=1))
         ids = np.concatenate([used, [-1], -2 - np.arange(k), [-100]])
-        yield out(pa.nulls(len(ids), pa.int64()), ids, np.concatenate([sums[used], starts[None], moves, np.full((1, k), total)]))
+        values = np.concatenate([sums[used], starts[None], moves, np.full((1, k), total)])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.array(ids.astype(np.int32)), lists(values, pa.float64()), pa.nulls(len(ids), pa.list_(pa.float32()))], names=names)
 
     return rows
 
@@ -388,7 +390,7 @@ def start_states(ready: DataFrame, share: np.ndarray, states: int = STATES, roun
 
 def _with_emissions(blocks: DataFrame, own: DataFrame, emissions: DataFrame) -> DataFrame:
     """Blocks with the emissions of their frequent words (block, id, word). The blocks lie in buckets: only the emissions move."""
-    by_block = own.join(emissions, "word").groupBy("block").agg(F.collect_list(F.struct("id", "word", "e")).alias("frequent"))
+    by_block = own.join(emissions, "word").groupBy("block").agg(F.collect_list(F.struct("id", "e")).alias("frequent"))
     return blocks.join(by_block.hint("shuffle_hash"), "block", "left")
 
 
@@ -415,13 +417,13 @@ def train(blocks: DataFrame, own: DataFrame, counts: DataFrame, shape_share: np.
     by_shape, logs = shape_share[:, None] * leaning, []
     for number in range(rounds + 1):
         if number:
-            read = blocks.select("block", "lengths", "train", "tokens", "shapes")
-            got = saved(_with_emissions(read, own, emissions).mapInArrow(_round(begin, move, by_shape), "word long, shape int, shares array<double>"))
+            read = blocks.select("block", "lengths", "train", "tokens", "words", "shapes")
+            got = saved(_with_emissions(read, own, emissions).mapInArrow(_round(begin, move, by_shape), "word long, shape int, shares array<double>, few array<float>"))
             sums = [F.sum(F.get("shares", F.lit(i))) for i in range(k)]
             fixed = {r[0]: np.array(r[1:]) for r in got.filter("word is null").groupBy("shape").agg(*sums).collect()}  # SHAPES + states + 2 rows at most
             if not fixed:  # no texts at all
                 continue
-            words = saved(got.filter("word is not null").groupBy("word").agg(F.array(*sums).alias("e")))
+            words = saved(got.filter("word is not null").groupBy("word").agg(F.array(*[F.sum(F.get("few", F.lit(i))) for i in range(k)]).alias("e")))
             logs.append(float(fixed[-100][0]))
             begin, move = _normal(fixed[-1], np.stack([fixed[-2 - i] for i in range(k)]))
             by_shape = np.zeros((SHAPES, k))
