@@ -116,20 +116,31 @@ def parse_date(text: Column) -> Column:
     return F.when(text.rlike(r"\d{4}"), found)
 
 
+#: Words that say a label is of a video, that it is of a film, and that it gives a length.
+VIDEO_WORDS, FILM_WORDS, LENGTH_WORDS = ("video", "vidéo"), ("film", "movie"), ("duration", "durée", "duree", "length")
+
+
+def _speaks_of(text: Column, words: tuple[str, ...]) -> Column:
+    return F.arrays_overlap(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), F.array(*map(F.lit, words)))
+
+
 def parse_duration(text: Column) -> Column:
-    """Seconds of m:ss or h:mm:ss where the label speaks of a video, or is nothing else."""
-    speaks = text.rlike(r"(?i)\bvid[eé]o\b|\bdur[ée]e\b|\bduration\b|\blength\b") | text.rlike(r"^\s*\d{1,2}:\d{2}(?::\d{2})?\s*$")
+    """Seconds of m:ss or h:mm:ss where the label speaks of a video or a length, or is nothing else."""
 
     def seconds(found: Column) -> Column:
         parts = F.split(found, ":")
         a, b, c = (F.get(parts, F.lit(i)).try_cast("long") for i in range(3))
         return F.when(found != "", F.when(F.size(parts) > 2, a * 3600 + b * 60 + c).otherwise(a * 60 + b))
 
-    return F.when(speaks, _let(F.regexp_extract(text, r"\b\d{1,2}(?::\d{2}){1,2}\b", 0), seconds)).cast("long")
+    def bare(parts: Column) -> Column:
+        return F.size(parts).between(2, 3) & F.get(parts, F.lit(0)).rlike(r"^\d{1,2}$") & F.forall(F.slice(parts, 2, 2), lambda p: p.rlike(r"^\d{2}$"))
+
+    told = _speaks_of(text, VIDEO_WORDS + LENGTH_WORDS) | _let(F.split(F.btrim(text, F.lit(" \t\n\v\f\r")), ":"), bare)
+    return F.when(told, _let(F.regexp_extract(text, r"\b\d{1,2}(?::\d{2}){1,2}\b", 0), seconds)).cast("long")
 
 
 def is_video_label(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"(?i)\bvid[eé]o\b|\bfilm\b|\bmovie\b"), F.lit(False))
+    return F.coalesce(_speaks_of(text, VIDEO_WORDS + FILM_WORDS), F.lit(False))
 
 
 def moment(ts: Column) -> Column:

@@ -50,6 +50,9 @@ def test_small_scalars(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     L = F.lit
     assert [one(S.parse_duration(L(t))) for t in ("Video - 1:05", "1:02:03", "at 10:30", None)] == [65, 3723, None, None]
+    odd = {" 0:32\t": 32, "VIDÉO, 2:00": 120, "Durée:1:00:01": 3601, "videos 1:00": None, "length 1:2": None, "123:45": None, "1:00:00:00": None, "film 1:00": None, "": None}
+    assert {t: one(S.parse_duration(L(t))) for t in odd} == odd
+    assert [one(S.is_video_label(L(t))) for t in ("My Movie", "film.", "video_1", "vidéo", None)] == [True, True, False, True, False]
     assert [one(S.format_bytes(L(n))) for n in (0, 1023, 1024, 150 * 1024, 1536 * 1024)] == ["0 B", "1023 B", "1.0 KB", "150 KB", "1.5 MB"]
     assert [one(S.duration_text(L(n))) for n in (45, 120, 125)] == ["45s", "2 min", "2m05"]
     assert one(S.with_thumb_size(L("https://x/a=w1-h1-no?authuser=0"), 256)) == "https://x/a=w256-h256?authuser=0"
