@@ -4,14 +4,15 @@ Texts with the same shingles collapse first. Candidates then come from two sides
 
 * the vantage-point tree of `simhash` links fingerprints of 5-word shingles within RADIUS bits;
 * a pair at similarity 0.8 differs in ten bits in the mean and up to some twenty, and with such a radius a vantage point excludes
-  next to nothing (README has figures), so the tree can't find these. They meet in buckets of sketches: a band of BAND
-  shingle minima agrees in one of BANDS bands with probability 0.9996 at 0.8, and more often above. Within a bucket
-  only fingerprints within WIDE bits are compared further.
-
-Each bucket's members are held against two of them: the least, and the one whose bands most others share (of a text's copies, the
-text itself). What is like neither pivot is held against pivots of its own, ROUNDS times in all, so candidates grow with the
-members of buckets and never with their square. Null and empty texts have no shingles and are copies of each other. Repeated
-rows are copies.
+  next to nothing (README has figures), so the tree can't find these. They meet in buckets: in one order of all shingles, the rarer
+  first, two near copies share one of the first fifth of each text's (all but four fifths, and one more). No near pair meets nowhere.
+
+Each bucket's members are held against two of them: the least, and the one whose buckets most others share (of a text's copies, the
+text itself). What may be like neither pivot is held against pivots of its own, ROUNDS times in all. That joins a large group of copies
+by as many comparisons as it has members. Then members of a bucket that aren't in one class meet, pair by pair. Places in the order,
+numbers of shingles and parities rule pairs out first; none of these bounds drops a near pair. As classes rest on such bounds at first,
+those that the sets then part meet once more: in the end each pair of a bucket is in one class, ruled out or decided by sets, so no link
+between classes is lost. Null and empty texts have no shingles and are copies of each other. Repeated rows are copies.
 """
 
 from __future__ import annotations
@@ -19,26 +20,23 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumisift.llm.common import blocks_of, byte_rows, mixed, saved
+from lumisift.llm.common import blocks_of, byte_rows, discard, release, saved
 from lumisift.llm.simhash import RADIUS, components, links_of, majority
 
 SHINGLE = 5
 #: Two texts are near copies if OVERLAP[0] / OVERLAP[1] of the shingles of both together are shared.
 OVERLAP = (4, 5)
-BANDS, BAND = 20, 5
-#: Bits by which fingerprints of a bucket may differ; at similarity 0.8 more do once in a million pairs, in very short texts in ten thousand.
-WIDE = 24
-#: Times that the rest of a bucket gets pivots of its own.
+#: Times that a bucket gets pivots, before the pairs that are left.
 ROUNDS = 2
-#: Shingles whose minima are taken at once.
-AT_ONCE = 4096
-
-_RNG = np.random.default_rng(11)
-_TIMES, _PLUS = (_RNG.integers(0, 1 << 63, BANDS * BAND).astype(np.uint64) for _ in range(2))
-_TIMES = _TIMES * np.uint64(2) + np.uint64(1)
+#: Bits of a set's parities: two sets differ in at least as many shingles as in parities.
+PARITIES = 512
+#: Shingles that come last in the order: those most often in a sample of texts (at least so many, and one in so many). They only
+#: keep buckets small; any order gives the same links.
+COMMON, SAMPLED, SHARE = 100_000, 4096, 64
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -55,18 +53,19 @@ def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([of(flat[a:b]) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())], np.uint64))
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """A hash of each band of minima; none of an empty set."""
+def prefix(found: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, of which near copies share one. common: sorted shingles that come last, often: by what."""
     if not len(found):
-        return np.empty(0, np.int64)
-    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(0, len(found), AT_ONCE):
-            np.minimum(least, (found[i : i + AT_ONCE, None] * _TIMES + _PLUS).min(axis=0), out=least)
-        out = np.arange(1, BANDS + 1, dtype=np.uint64)
-        for column in least.reshape(BANDS, BAND).T:
-            out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + column)
-    return out.view(np.int64)
+        return found
+    if len(common):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        found = found[np.argsort(np.where(common[at] == found, often[at], 0), kind="stable")]
+    return found[: len(found) + OVERLAP[0] * len(found) // -OVERLAP[1] + 1]
+
+
+def parities(found: np.ndarray) -> np.ndarray:
+    odd = np.bincount((found % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -74,19 +73,29 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return OVERLAP[1] * shared >= OVERLAP[0] * (len(a) + len(b) - shared)
 
 
-def _signed(batches):
-    for batch in blocks_of(batches, 8_000_000):
-        sets = [shingles(t) for t in byte_rows(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("id"),
-                pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]),
-                pa.array([len(s) for s in sets]),
-                pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64)),
-                pa.array([bands(s) for s in sets], pa.list_(pa.int64())),
-            ],
-            names=["id", "same", "n", "fp", "bands"],
-        )
+def _signed(last: Broadcast):
+    def rows(batches):
+        common, often = last.value
+        for batch in blocks_of(batches, 8_000_000):
+            sets = [shingles(t) for t in byte_rows(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id"),
+                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]),
+                    pa.array([len(s) for s in sets]),
+                    pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64)),
+                    pa.array([parities(s) for s in sets], pa.list_(pa.int64())),
+                    pa.array([prefix(s, common, often).view(np.int64) for s in sets], pa.list_(pa.int64())),
+                ],
+                names=["id", "same", "n", "fp", "odd", "prefix"],
+            )
+
+    return rows
+
+
+def _each(batches):
+    for batch in blocks_of(batches, 2_000_000):
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t) for t in byte_rows(batch.column("text"))]).view(np.int64))], names=["shingle"])
 
 
 def _sets(batches):
@@ -101,11 +110,35 @@ def _decided(batches):
         yield batch.select(["a", "b"]).filter(keep)
 
 
-def _linked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of structs (id, n, fp) that are near copies; numbers of shingles and fingerprints that rule it out come first."""
+def _last(texts: DataFrame) -> Broadcast:
+    """The shingles that come last in the order, sorted, and how often a sample has them."""
+    every = max(1, min(SHARE, texts.count() // SAMPLED))
+    seen = texts.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(every)) == 0).mapInArrow(_each, "shingle long").groupBy("shingle").agg(F.count("*").alias("times"))
+    found = seen.filter("times > 2").orderBy(F.desc("times"), "shingle").limit(COMMON).collect()
+    common, often = (np.array([r[i] for r in found], np.int64) for i in range(2))
+    order = np.argsort(common.view(np.uint64))
+    return texts.sparkSession.sparkContext.broadcast((common.view(np.uint64)[order], often[order]))
+
+
+def _could(a: str, b: str):
+    """Whether so many shingles as sets share at least, if they are near copies, are left from the first that they share on."""
+    low, high = OVERLAP
+    left = lambda x: F.col(f"{x}.n") - F.col(f"{x}.at")
+    return F.least(left(a), left(b)) * (low + high) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * low
+
+
+def _possible(distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Distinct (a, b), the less id first, of pairs of structs with id and n whose numbers of shingles and parities don't rule out near copies."""
     low, high = OVERLAP
-    possible = (F.least("a.n", "b.n") * high >= F.greatest("a.n", "b.n") * low) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= WIDE)
-    pairs = saved(pairs.filter(possible).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).filter("a <> b").distinct())
+    pairs = pairs.filter(F.least("a.n", "b.n") * high >= F.greatest("a.n", "b.n") * low)
+    pairs = saved(pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), (F.col("a.n") + F.col("b.n")).alias("both")).filter("a <> b").distinct())
+    of = lambda x: distinct.select(F.col("id").alias(x), F.col("odd").alias(f"odd_{x}"))
+    differ = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return saved(pairs.join(of("a"), "a").join(of("b"), "b").filter(differ * (low + high) <= F.col("both") * (high - low)).select("a", "b"))
+
+
+def _linked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that are near copies."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     return saved(both.mapInArrow(_decided, "a long, b long"))
 
@@ -116,39 +149,71 @@ def _pivots(members: DataFrame) -> DataFrame:
     return saved(chosen.filter("n > 1").drop("n"))
 
 
-def near_copies(docs: DataFrame, key: str = "rid") -> DataFrame:
-    """Per row: (id, root), the least key that near copies reach. docs has the key (a long, unique, not null) and text."""
-    texts = docs.select(F.col(key).cast("long").alias("id"), "text")
-    signed = saved(texts.mapInArrow(_signed, "id long, same binary, n long, fp long, bands array<long>"))
-    distinct = saved(signed.groupBy("same").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    self = F.struct("id", "n", "fp")
-
-    by_fp = saved(distinct.groupBy("fp").agg(F.min(self).alias("first")))
-    tree = links_of(by_fp, by_fp.count(), RADIUS)
-    near = tree.join(by_fp.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-    near = saved(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
-
-    bands = distinct.select("id", F.explode("bands").alias("band"))
-    several = saved(bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"))
-    entries = saved(bands.join(several, "band"))
+def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of a bucket that links don't join, but that could be near copies. Members of one class never meet."""
+    classes = components(links)
+    at = members.select("band", "self").join(classes, F.col("self.id") == F.col("node"), "left").select("band", F.coalesce("root", "self.id").alias("root"), F.col("self").alias("x"))
+    at = saved(at)
+    several = saved(at.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("band"))
+    at = saved(at.join(several, "band"))
+    roots = saved(at.select("band", "root").distinct())
+    met = saved(roots.join(roots.withColumnRenamed("root", "other"), "band").filter("root < other"))
+    half = saved(met.join(at.withColumnRenamed("x", "a"), ["band", "root"]).select("band", "other", "a"))
+    return half.join(at.select("band", F.col("root").alias("other"), F.col("x").alias("b")), ["band", "other"]).filter(_could("a", "b")).select("a", "b")
+
+
+def _members(signed: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(band, self, popular): the texts of each bucket of several, and how many meet each in all."""
+    # of an empty set nothing is exploded
+    firsts = signed.join(distinct.select("id"), "id", "left_semi").select("id", "n", F.posexplode("prefix").alias("at", "band"))
+    several = saved(firsts.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"))
+    entries = saved(firsts.join(several, "band"))
     popular = entries.groupBy("id").agg(F.sum("size").alias("popular"))
-    members = saved(entries.select("band", "id").join(distinct.drop("same", "bands").join(popular, "id"), "id").select("band", self.alias("self"), "popular"))
-    asked = saved(members.select("self.id").union(near.select("a.id")).union(near.select("b.id")).distinct())
-    sets = saved(texts.join(asked, "id", "left_semi").mapInArrow(_sets, "id long, set binary"))
+    members = saved(entries.join(popular, "id").select("band", F.struct("id", "n", "at").alias("self"), "popular"))
+    discard(several)
+    discard(entries)
+    return members
 
-    links = None
+
+def _by_pivots(distinct: DataFrame, members: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts and pivots of their buckets, and of those near, that may be near copies."""
+    out = None
     for number in range(ROUNDS):
         pivots = _pivots(members)
-        asked = members.join(pivots, "band").select("band", "self", F.explode(F.array("least", "shared")).alias("pivot")).filter("self.id <> pivot.id")
-        pairs = asked.select(F.col("self").alias("a"), F.col("pivot").alias("b"))
-        found = _linked(sets, pairs if number else pairs.union(near))
-        links = links.union(found) if number else found
+        asked = members.join(pivots, "band").select("band", "self", F.explode(F.array("least", "shared")).alias("pivot")).filter("self.id <> pivot.id").filter(_could("self", "pivot"))
+        pairs = asked.select(*[F.struct(f"{x}.id", f"{x}.n").alias(y) for x, y in (("self", "a"), ("pivot", "b"))])
+        found = _possible(distinct, pairs if number else pairs.union(near))
+        out = out.union(found) if number else found
         if number + 1 < ROUNDS:  # who is like no pivot goes on, without the pivots
             pair = [F.least("self.id", "pivot.id").alias("a"), F.greatest("self.id", "pivot.id").alias("b")]
             explained = asked.select("band", F.col("self.id").alias("id"), *pair).join(found, ["a", "b"]).select("band", "id")
             explained = explained.union(pivots.select("band", "least.id")).union(pivots.select("band", "shared.id")).distinct()
             rest = members.withColumn("id", F.col("self.id")).join(explained, ["band", "id"], "left_anti")
             members = saved(rest.drop("id"))
+    return out
+
+
+def near_copies(docs: DataFrame, key: str = "rid") -> DataFrame:
+    """Per row: (id, root), the least key that near copies reach. docs has the key (a long, unique, not null) and text."""
+    spark, texts = docs.sparkSession, docs.select(F.col(key).cast("long").alias("id"), "text")
+    signed = saved(texts.mapInArrow(_signed(_last(texts)), "id long, same binary, n long, fp long, odd array<long>, prefix array<long>"))
+    distinct = saved(signed.groupBy("same").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("odd").alias("odd")))
+
+    by_fp = saved(distinct.groupBy("fp").agg(F.min(F.struct("id", "n")).alias("first")))
+    tree = links_of(by_fp, by_fp.count(), RADIUS)
+    near = tree.join(by_fp.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    near = saved(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+    members = _members(signed, distinct)
+    release(spark)
+    pairs = _by_pivots(distinct, members, near)
+    pairs = saved(pairs.union(_possible(distinct, _apart(members, pairs))).distinct())
+    release(spark)
+    sets = saved(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").mapInArrow(_sets, "id long, set binary"))
+    links = _linked(sets, pairs)
+    release(spark)
+    # classes that rested on bounds alone and aren't any: their texts have sets already
+    links = links.union(_linked(sets, _possible(distinct, _apart(members, links)).join(pairs, ["a", "b"], "left_anti")))
 
     same = signed.join(distinct.select("same", F.col("id").alias("to")), "same").filter("id <> to").select(F.col("to").alias("a"), F.col("id").alias("b"))
     ends = components(links.unionByName(same))

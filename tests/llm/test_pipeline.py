@@ -121,6 +121,24 @@ def test_near_copies_equal_definition(spark, words):
     assert any(r != d and (fps[r] ^ fps[d]).bit_count() > 2 for d, r in want.items())
 
 
+def test_near_copies_unlike_all_pivots(spark, words):
+    """Pairs of near copies in large buckets of texts that are a little less alike."""
+    rng = random.Random(4)
+    base = [rng.choice(words) for _ in range(400)]
+    rows = []
+    for _ in range(150):
+        w = list(base)
+        for number in (6, 8):
+            w = list(w)
+            for i in rng.sample(range(400), number):
+                w[i] = rng.choice(words)
+            rows.append((len(rows), " ".join(w)))
+    want = near_copies.brute_force(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.id: r.root for r in near_copies.near_copies(docs, "doc_id").collect()} == want
+    assert 50 < len(set(want.values())) < 150
+
+
 def test_run_over_odd_and_no_rows(spark, words, tmp_path):
     import corpus_pipeline
 
