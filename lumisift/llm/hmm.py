@@ -41,6 +41,8 @@ BACKGROUND = 0.02
 START_ROUNDS, SHARES = 12, 12
 CHUNK = 1024
 BLOCK_BYTES = 8_000_000
+#: Tokens of whole documents that go forward and backward at once; a document of more goes alone. Each takes some 500 bytes.
+AT_ONCE = 200_000
 #: The end of a text, counted as a token; no word is empty.
 END = b""
 
@@ -49,7 +51,7 @@ BLOCKS = "block long, doc_ids array<long>, train array<boolean>, lengths array<i
 RANGES = "range int, block long, words binary, counts binary, shapes binary"
 COUNTED = "range int, block long, totals binary, word long, c long, shape int, tokens long, rare_tokens long, rare_words long"
 #: Entries (a word of a block) in a range, in the mean, if a block has so many words.
-RANGE_ENTRIES, BLOCK_WORDS = 4_000_000, 120_000
+RANGE_ENTRIES, BLOCK_WORDS = 2_000_000, 120_000
 
 
 def shape(word: bytes) -> int:
@@ -279,6 +281,18 @@ def expected(lengths: np.ndarray, emit: np.ndarray, begin: np.ndarray, move: np.
     return starts, moves * move, shares, total
 
 
+def _portions(lengths: np.ndarray):
+    """Places of a block's documents, and of their tokens, in portions of AT_ONCE tokens; those of like length go together."""
+    order, ends = np.argsort(-lengths, kind="stable"), np.cumsum(lengths)
+    sums, at = np.cumsum(lengths[order]), 0
+    while at < len(order):
+        stop = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + AT_ONCE, side="right")))
+        docs = np.sort(order[at:stop])
+        size = lengths[docs]
+        yield docs, np.repeat(ends[docs] - np.cumsum(size), size) + np.arange(size.sum())
+        at = stop
+
+
 def _normal(starts: np.ndarray, moves: np.ndarray):
     begin, move = starts + 1e-3, moves + 1e-3
     return begin / begin.sum(), move / move.sum(axis=1, keepdims=True)
@@ -316,9 +330,13 @@ def _round(begin: np.ndarray, move: np.ndarray, by_shape: np.ndarray):
                 tokens = tokens[np.repeat(train, lengths)]
                 if not len(tokens):
                     continue
-                s, m, shares, log = expected(lengths[train], emission[tokens], begin, move)
-                starts, moves, total = starts + s, moves + m, total + log.sum()
-                by_word = np.stack([np.bincount(tokens, weights=shares[:, j], minlength=len(shapes)) for j in range(k)], axis=1)
+                by_word, trained = np.zeros((len(shapes), k)), lengths[train]
+                for docs, places in _portions(trained):
+                    part = tokens[places]
+                    s, m, shares, log = expected(trained[docs], emission[part], begin, move)
+                    starts, moves, total = starts + s, moves + m, total + log.sum()
+                    for j in range(k):
+                        by_word[:, j] += np.bincount(part, weights=shares[:, j], minlength=len(shapes))
                 if len(own):
                     words = np.frombuffer(batch.column("words")[i].as_py(), np.int64)[own]
                     yield pa.RecordBatch.from_arrays([pa.array(words), pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.list_(pa.float64())), lists(by_word[own], pa.float32())], names=names)
@@ -344,16 +362,19 @@ def _start_round(share: int | None, states: int, begin: np.ndarray, move: np.nda
                 rng = np.random.default_rng([batch.column("block")[i].as_py(), 1])
                 dealt = rng.integers(0, SHARES, len(lengths))
                 lengths, chosen = lengths.astype(np.int64), train.astype(bool) & (dealt == (dealt if share is None else share))
-                seen = shapes[tokens[np.repeat(chosen, lengths)]]
+                seen, lengths = shapes[tokens[np.repeat(chosen, lengths)]], lengths[chosen]
                 if not len(seen):
                     continue
-                if by_shape is None:
-                    found = np.repeat(rng.dirichlet(np.full(states, 0.3), int(chosen.sum())), lengths[chosen], axis=0)
-                else:
-                    s, m, found, _ = expected(lengths[chosen], by_shape[seen], begin, move)
-                    starts, moves = starts + s, moves + m
-                for j in range(states):
-                    sums[:, j] += np.bincount(seen, weights=found[:, j], minlength=SHAPES)
+                leans = rng.dirichlet(np.full(states, 0.3), len(lengths)) if by_shape is None else None
+                for docs, places in _portions(lengths):
+                    part = seen[places]
+                    if by_shape is None:
+                        found = np.repeat(leans[docs], lengths[docs], axis=0)
+                    else:
+                        s, m, found, _ = expected(lengths[docs], by_shape[part], begin, move)
+                        starts, moves = starts + s, moves + m
+                    for j in range(states):
+                        sums[:, j] += np.bincount(part, weights=found[:, j], minlength=SHAPES)
         used = np.flatnonzero(sums.sum(axis=1))
         ids, values = np.concatenate([used, [-1], -2 - np.arange(states)]), np.concatenate([sums[used], starts[None], moves])
         yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), states).cast(pa.list_(pa.float64()))], names=["shape", "shares"])
@@ -451,8 +472,10 @@ def _scores(begin: np.ndarray, move: np.ndarray, by_shape: np.ndarray, n: int, v
                 within = np.log10((counts + 0.1) / (shape_tokens[shapes] + 0.1 * (shape_words[shapes] + 1)))
                 within[own] = 0.0
                 starts = np.cumsum(lengths) - lengths
-                chunks = Chunks(lengths, emission[tokens])
-                total, _ = chunks.forward(chunks.borders(begin, move)[0], move, keep=False)
+                total = np.empty(len(lengths))
+                for docs, places in _portions(lengths):
+                    chunks = Chunks(lengths[docs], emission[tokens[places]])
+                    total[docs], _ = chunks.forward(chunks.borders(begin, move)[0], move, keep=False)
                 per = lambda x: np.add.reduceat(x[tokens], starts)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -157,6 +157,24 @@ def test_forward_and_expectations_are_exact(monkeypatch):
     assert np.allclose(moves, want_moves) and np.allclose(starts, want_starts)
 
 
+def test_portions_of_a_block_hold_each_token_once(monkeypatch):
+    """However large a block, only so many tokens' states are in memory, and expectations are the same."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(1, 90, 400)
+    emit = rng.dirichlet(np.ones(3), int(lengths.sum()))
+    begin, move = rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3)
+    starts, moves, shares, total = hmm.expected(lengths, emit, begin, move)
+    monkeypatch.setattr(hmm, "AT_ONCE", 1000)
+    docs, places = zip(*hmm._portions(lengths))
+    assert max(map(len, places)) <= 1000 and len(docs) > 10
+    assert sorted(np.concatenate(docs).tolist()) == list(range(400)) and sorted(np.concatenate(places).tolist()) == list(range(len(emit)))
+    parts = [hmm.expected(lengths[d], emit[p], begin, move) for d, p in zip(docs, places)]
+    assert np.allclose(sum(x[0] for x in parts), starts) and np.allclose(sum(x[1] for x in parts), moves)
+    assert all(np.allclose(x[2], shares[p]) and np.allclose(x[3], total[d]) for x, d, p in zip(parts, docs, places))
+
+
 def _two_tongues(seed, count, shared=()):
     """Texts of one of two vocabularies each, whose words end alike within a vocabulary."""
     import random
