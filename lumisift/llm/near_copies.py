@@ -10,7 +10,8 @@ Texts with the same shingles collapse first. Candidates then come from two sides
 Each bucket's members are held against two of them: the least, and the one whose buckets most others share (of a text's copies, the
 text itself). What may be like neither pivot is held against pivots of its own, ROUNDS times in all. That joins a large group of copies
 by as many comparisons as it has members. Then members of a bucket that aren't in one class meet, pair by pair. Places in the order,
-numbers of shingles and parities rule pairs out first; none of these bounds drops a near pair. As classes rest on such bounds at first,
+numbers of shingles and parities rule pairs out first, within the join, so that pairs ruled out never become rows; none of these bounds
+drops a near pair. Of what is left each text's likeliest pair is decided by sets, then those that aren't in one class by then. As classes rest on such bounds at first,
 those that the sets then part meet once more: in the end each pair of a bucket is in one class, ruled out or decided by sets, so no link
 between classes is lost. Null and empty texts have no shingles and are copies of each other. Repeated rows are copies.
 """
@@ -34,6 +35,8 @@ OVERLAP = (4, 5)
 ROUNDS = 2
 #: Bits of a set's parities: two sets differ in at least as many shingles as in parities.
 PARITIES = 512
+#: Bits of those that are held against each other before sets are.
+FINE = 4096
 #: Shingles that come last in the order: those most often in a sample of texts (at least so many, and one in so many). They only
 #: keep buckets small; any order gives the same links.
 COMMON, SAMPLED, SHARE = 100_000, 4096, 64
@@ -63,8 +66,8 @@ def prefix(found: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarr
     return found[: len(found) + OVERLAP[0] * len(found) // -OVERLAP[1] + 1]
 
 
-def parities(found: np.ndarray) -> np.ndarray:
-    odd = np.bincount((found % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+def parities(found: np.ndarray, bits: int = PARITIES) -> np.ndarray:
+    odd = np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -100,7 +103,16 @@ def _each(batches):
 
 def _sets(batches):
     for batch in blocks_of(batches, 4_000_000):
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingles(t).tobytes() for t in byte_rows(batch.column("text"))], pa.binary())], names=["id", "set"])
+        sets = [shingles(t) for t in byte_rows(batch.column("text"))]
+        values = [pa.array([len(x) for x in sets]), pa.array([parities(x, FINE).tobytes() for x in sets]), pa.array([x.tobytes() for x in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *values], names=["id", "n", "fine", "set"])
+
+
+def _left(batches):
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("fine_a", "fine_b"))
+        differ, both = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64), batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+        yield batch.select(["a", "b"]).filter(pa.array(_few(differ, both)))
 
 
 def _decided(batches):
@@ -127,20 +139,59 @@ def _could(a: str, b: str):
     return F.least(left(a), left(b)) * (low + high) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * low
 
 
-def _possible(distinct: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Distinct (a, b), the less id first, of pairs of structs with id and n whose numbers of shingles and parities don't rule out near copies."""
+def _sized(a: str, b: str):
+    """Whether the numbers of shingles leave near copies possible."""
+    low, high = OVERLAP
+    return F.least(f"{a}.n", f"{b}.n") * high >= F.greatest(f"{a}.n", f"{b}.n") * low
+
+
+def _differ(a: str, b: str):
+    """In how many parities two sets differ."""
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(1, PARITIES // 64)), F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
+
+
+def _few(differ, both):
+    """Whether sets of so many shingles together can be near copies, by their parities."""
     low, high = OVERLAP
-    pairs = pairs.filter(F.least("a.n", "b.n") * high >= F.greatest("a.n", "b.n") * low)
+    return differ * (low + high) <= both * (high - low)
+
+
+def _possible(distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Distinct (a, b, differ), the less id first, of pairs of structs with id and n whose numbers of shingles and parities don't rule out near copies."""
+    pairs = pairs.filter(_sized("a", "b"))
     pairs = saved(pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), (F.col("a.n") + F.col("b.n")).alias("both")).filter("a <> b").distinct())
     of = lambda x: distinct.select(F.col("id").alias(x), F.col("odd").alias(f"odd_{x}"))
-    differ = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    return saved(pairs.join(of("a"), "a").join(of("b"), "b").filter(differ * (low + high) <= F.col("both") * (high - low)).select("a", "b"))
+    differ = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "both", _differ("odd_a", "odd_b").alias("differ"))
+    found = saved(differ.filter(_few(F.col("differ"), F.col("both"))).select("a", "b", (F.col("differ") / F.col("both")).alias("differ")))
+    discard(pairs)
+    return found
 
 
 def _linked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are near copies."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return saved(both.mapInArrow(_decided, "a long, b long"))
+    """Those of the pairs (a, b) that are near copies. Finer parities rule out most others before any set is fetched."""
+
+    def both(found: DataFrame, *names: str) -> DataFrame:
+        for x in ("a", "b"):
+            found = found.join(sets.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names]), x)
+        return found
+
+    left = saved(both(pairs, "n", "fine").mapInArrow(_left, "a long, b long"))
+    return saved(both(left, "set").mapInArrow(_decided, "a long, b long"))
+
+
+def _links(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Near copies among the pairs (a, b, differ) that join all that such pairs join.
+
+    Each text asks for its likeliest pair first: pairs that are within a class by then need no sets. All others are decided.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"), F.struct("differ", "a", "b").alias("pair"))
+    asked = saved(ends.groupBy("id").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct())
+    links = _linked(sets, asked)
+    classes = components(links)
+    of = lambda x: classes.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    rest = pairs.select("a", "b").join(asked, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    release(sets.sparkSession)
+    return links.union(_linked(sets, saved(rest.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))))
 
 
 def _pivots(members: DataFrame) -> DataFrame:
@@ -149,17 +200,25 @@ def _pivots(members: DataFrame) -> DataFrame:
     return saved(chosen.filter("n > 1").drop("n"))
 
 
-def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of a bucket that links don't join, but that could be near copies. Members of one class never meet."""
-    classes = components(links)
-    at = members.select("band", "self").join(classes, F.col("self.id") == F.col("node"), "left").select("band", F.coalesce("root", "self.id").alias("root"), F.col("self").alias("x"))
-    at = saved(at)
+def _apart(distinct: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs (a, b, differ) of members of a bucket that links don't join, but that could be near copies. Members of one class never meet.
+
+    All bounds are conditions of the one join, so a bucket's pairs that they rule out are compared there and never become rows.
+    """
+    classes = components(links.select("a", "b"))
+    at = saved(members.select("band", "self").join(classes, F.col("self.id") == F.col("node"), "left").select("band", F.coalesce("root", "self.id").alias("root"), "self"))
     several = saved(at.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("band"))
-    at = saved(at.join(several, "band"))
-    roots = saved(at.select("band", "root").distinct())
-    met = saved(roots.join(roots.withColumnRenamed("root", "other"), "band").filter("root < other"))
-    half = saved(met.join(at.withColumnRenamed("x", "a"), ["band", "root"]).select("band", "other", "a"))
-    return half.join(at.select("band", F.col("root").alias("other"), F.col("x").alias("b")), ["band", "other"]).filter(_could("a", "b")).select("a", "b")
+    met = at.join(several, "band").join(distinct.select(F.col("id").alias("of"), "odd"), F.col("self.id") == F.col("of")).drop("of")
+    met = saved(met)
+    discard(at)
+    discard(several)
+    of = lambda x: met.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "odd")], F.col("self").alias(x))
+    bounds = (F.col("root_a") < F.col("root_b")) & _sized("a", "b") & _could("a", "b") & _few(_differ("odd_a", "odd_b"), F.col("a.n") + F.col("b.n"))
+    pairs = of("a").join(of("b").withColumnRenamed("band", "there"), (F.col("band") == F.col("there")) & bounds)
+    differ = _differ("odd_a", "odd_b") / (F.col("a.n") + F.col("b.n"))
+    found = saved(pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), differ.alias("differ")).distinct())
+    discard(met)
+    return found
 
 
 def _members(signed: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -186,7 +245,7 @@ def _by_pivots(distinct: DataFrame, members: DataFrame, near: DataFrame) -> Data
         out = out.union(found) if number else found
         if number + 1 < ROUNDS:  # who is like no pivot goes on, without the pivots
             pair = [F.least("self.id", "pivot.id").alias("a"), F.greatest("self.id", "pivot.id").alias("b")]
-            explained = asked.select("band", F.col("self.id").alias("id"), *pair).join(found, ["a", "b"]).select("band", "id")
+            explained = asked.select("band", F.col("self.id").alias("id"), *pair).join(found.select("a", "b"), ["a", "b"]).select("band", "id")
             explained = explained.union(pivots.select("band", "least.id")).union(pivots.select("band", "shared.id")).distinct()
             rest = members.withColumn("id", F.col("self.id")).join(explained, ["band", "id"], "left_anti")
             members = saved(rest.drop("id"))
@@ -199,25 +258,32 @@ def near_copies(docs: DataFrame, key: str = "rid") -> DataFrame:
     signed = saved(texts.mapInArrow(_signed(_last(texts)), "id long, same binary, n long, fp long, odd array<long>, prefix array<long>"))
     distinct = saved(signed.groupBy("same").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("odd").alias("odd")))
 
+    members = _members(signed, distinct)
+    rows = saved(signed.select("id", "same"))
+    discard(signed)
+
     by_fp = saved(distinct.groupBy("fp").agg(F.min(F.struct("id", "n")).alias("first")))
     tree = links_of(by_fp, by_fp.count(), RADIUS)
     near = tree.join(by_fp.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
     near = saved(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
-
-    members = _members(signed, distinct)
     release(spark)
+
     pairs = _by_pivots(distinct, members, near)
-    pairs = saved(pairs.union(_possible(distinct, _apart(members, pairs))).distinct())
+    pairs = saved(pairs.union(_apart(distinct, members, pairs)).distinct())
     release(spark)
-    sets = saved(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").mapInArrow(_sets, "id long, set binary"))
-    links = _linked(sets, pairs)
+    sets = saved(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").mapInArrow(_sets, "id long, n long, fine binary, set binary"))
+    links = _links(sets, pairs)
     release(spark)
     # classes that rested on bounds alone and aren't any: their texts have sets already
-    links = links.union(_linked(sets, _possible(distinct, _apart(members, links)).join(pairs, ["a", "b"], "left_anti")))
+    again = saved(_apart(distinct, members, links).join(pairs, ["a", "b"], "left_anti"))
+    links = saved(links.union(_linked(sets, again)))
+    for table in (members, sets, pairs, again):
+        discard(table)
 
-    same = signed.join(distinct.select("same", F.col("id").alias("to")), "same").filter("id <> to").select(F.col("to").alias("a"), F.col("id").alias("b"))
+    same = rows.join(distinct.select("same", F.col("id").alias("to")), "same").filter("id <> to").select(F.col("to").alias("a"), F.col("id").alias("b"))
     ends = components(links.unionByName(same))
-    return signed.join(ends, signed.id == ends.node, "left").select("id", F.coalesce("root", "id").alias("root"))
+    release(spark)
+    return rows.join(ends, rows.id == ends.node, "left").select(rows.id, F.coalesce("root", rows.id).alias("root"))
 
 
 def brute_force(docs: list[tuple[int, str]]) -> dict[int, int]:

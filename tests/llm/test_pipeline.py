@@ -139,6 +139,23 @@ def test_near_copies_unlike_all_pivots(spark, words):
     assert 50 < len(set(want.values())) < 150
 
 
+def test_near_copies_pairs_ruled_out_are_no_rows(spark, words, monkeypatch):
+    """A bucket's classes meet in one join with all bounds; what they rule out is never a row, and nothing but the answer stays on disk."""
+    rng = random.Random(6)
+    shared = " ".join(rng.choice(words) for _ in range(60))
+    rows = [(i, f"{shared} " + " ".join(rng.choice(words) for _ in range(40))) for i in range(120)]
+    rows += [(200 + i, rows[i][1] + " end") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tables, gone = [], []
+    monkeypatch.setattr(near_copies, "saved", lambda df: tables.append((df.columns, out := saved(df), out.count())) or out)
+    drop = near_copies.discard
+    monkeypatch.setattr(near_copies, "discard", lambda df: gone.append(id(df)) or drop(df))
+    assert {r.id: r.root for r in near_copies.near_copies(docs, "doc_id").collect()} == near_copies.brute_force(rows)
+    pairs = [n for columns, _, n in tables if {"other", "b"} & set(columns) and "both" not in columns]
+    assert max(pairs) < 1000  # of 120 * 119 / 2 in each of some 20 buckets
+    assert {id(df) for columns, df, _ in tables if "prefix" in columns or "set" in columns} <= set(gone)
+
+
 def test_run_over_odd_and_no_rows(spark, words, tmp_path):
     import corpus_pipeline
 
