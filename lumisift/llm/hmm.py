@@ -7,8 +7,9 @@ corpus's counts (add-0.1, with one more word per class for all unseen ones), so
 Texts are encoded once into stored blocks of whole documents, in buckets, which no later step deals anew. Words are counted by ranges of
 their hashes: each block sends a range as arrays and gets its counts back as such. The emissions of words are a table (word, one number a state): each
 round it joins the blocks by word, all of a block's documents go forward and backward together, and the expected counts are summed
-by word across partitions. Only long documents are cut into chunks, and products of a chunk's transition matrices give the exact
-messages at its borders. What the driver holds - transitions, one number a shape and state - has a fixed size.
+by word across partitions. The TOP most frequent words, which most blocks hold, take no part in that: their emissions are broadcast,
+and a task sums what it expects of them over its blocks. Only long documents are cut into chunks, and products of a chunk's transition matrices give the exact
+messages at its borders. What the driver holds - transitions, one number a state of each shape and of TOP words - has a fixed size.
 
 The states start from the corpus as well: every document leans to states at random, and rounds by shapes alone (as few numbers as the
 driver holds) go over whole documents, each round over another share of them in all partitions. Then rounds over all documents train words.
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ from lumisift.llm.common import blocks_of, byte_rows, discard, release, saved, s
 STATES, ROUNDS = 8, 1
 #: Occurrences from which a word has its own class; classes of rarer words; bytes of a word's end that choose one.
 FREQUENT, SHAPES, ENDING = 64, 1 << 14, 3
+#: Most frequent words whose emissions are broadcast, and how many of them a row of expected counts has.
+TOP, TOP_ROW = 1 << 17, 1 << 12
 #: Weight of the corpus's shares in each state's emissions.
 BACKGROUND = 0.02
 #: Rounds by shapes alone, and shares of the documents that they take in turn: each document is read by one, and by the rounds after them.
@@ -157,14 +160,59 @@ def _count_range(frequent: int):
     return count
 
 
-def _frequent_of(frequent: int):
-    """(block, id, word) of the frequent words of blocks, from the counts that came back for their ranges."""
+class Top:
+    """The most frequent words: sorted hashes, and by their places shape, share of the training tokens and emissions by state."""
+
+    def __init__(self, frequent: DataFrame, n: int):
+        found = frequent.orderBy(F.desc("c"), "word").limit(TOP).collect()
+        words = np.array([r["word"] for r in found], np.int64).view(np.uint64)
+        order = np.argsort(words)
+        self.words, self.shape = words[order], np.array([r["shape"] for r in found], np.int64)[order]
+        self.share, self.emissions = np.array([r["c"] for r in found], np.float64)[order] / max(n, 1), None
+        last = found[-1] if found else None
+        #: The frequent words that aren't here.
+        self.rest = frequent.filter((F.col("c") < last["c"]) | ((F.col("c") == last["c"]) & (F.col("word") > last["word"]))) if last else frequent
+
+
+def _places(words: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a block's words are among the top ones, and where there."""
+    if not len(top):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(top, words), len(top) - 1)
+    here = np.flatnonzero(top[at] == words)
+    return here, at[here]
+
+
+def _top_rows(sums: np.ndarray):
+    """(row, numbers) of expected counts of top words that aren't zero: places in the row as 32-bit, counts as short numbers."""
+    for start in range(0, len(sums), TOP_ROW):
+        part = sums[start : start + TOP_ROW]
+        used = np.flatnonzero(part.any(axis=1))
+        if len(used):
+            yield start // TOP_ROW, used.astype("<i4").tobytes() + part[used].astype("<f4").tobytes()
+
+
+def _top_sums(k: int):
+    def total(table: pa.Table) -> pa.Table:
+        sums = np.zeros((TOP_ROW, k))
+        for data in table.column("top").to_pylist():
+            n = len(data) // (4 + 4 * k)
+            sums[np.frombuffer(data, "<i4", n)] += np.frombuffer(data, "<f4", offset=4 * n).reshape(n, k)
+        return pa.table({"shape": table.column("shape").slice(0, 1), "top": pa.array([sums.tobytes()], pa.binary())})
+
+    return total
+
+
+def _frequent_of(frequent: int, top: Broadcast):
+    """(block, id, word) of the frequent words of blocks that aren't among the top ones, from the counts that came back for their ranges."""
 
     def rows(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                often = np.flatnonzero(_totals(batch, i) >= frequent)
-                words = np.frombuffer(batch.column("words")[i].as_py(), np.int64)[often]
+                many, words = _totals(batch, i) >= frequent, np.frombuffer(batch.column("words")[i].as_py(), np.int64)
+                many[_places(words.view(np.uint64), top.value)[0]] = False
+                often = np.flatnonzero(many)
+                words = words[often]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(often), batch.column("block")[i].as_py())), pa.array(often.astype(np.int32)), pa.array(words)], names=["block", "id", "word"])
 
     return rows
@@ -304,28 +352,31 @@ def _numbers(batch, i: int, name: str) -> np.ndarray:
     return unpacked(value.as_py()) if pa.types.is_binary(value.type) else value.values.to_numpy(zero_copy_only=False)
 
 
-def _emissions(batch, i: int, by_shape: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each word of a block, by state; and which words have a class of their own."""
+def _emissions(batch, i: int, by_shape: np.ndarray, shapes: np.ndarray, top: tuple[np.ndarray, np.ndarray]):
+    """Of each word of a block, by state; which words have a class of their own; which of those are among the top ones, and where there."""
     emission, own = by_shape[shapes], np.zeros(0, np.int64)
     found = batch.column("frequent")[i].values
     if found is not None and len(found):
         own = found.field("id").to_numpy()
         emission[own] = found.field("e").flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
-    return emission, own
+    here, at = _places(np.frombuffer(batch.column("words")[i].as_py(), np.uint64), top[0])
+    emission[here] = top[1][at]
+    return emission, own, here, at
 
 
-def _round(begin: np.ndarray, move: np.ndarray, by_shape: np.ndarray):
-    """Rows (word, shape, shares, few): expected emissions of words with a class (in few, as short numbers), and of shapes; below zero starts (-1), transitions from state i (-2 - i), log likelihood (-100)."""
+def _round(begin: np.ndarray, move: np.ndarray, by_shape: np.ndarray, top: Broadcast):
+    """Rows (word, shape, shares, few): expected emissions of words with a class (in few, as short numbers), and of shapes; in top those of rows of top words; below zero starts (-1), transitions from state i (-2 - i), log likelihood (-100)."""
     k = len(begin)
 
     def rows(batches):
         sums, starts, moves, total = np.zeros((SHAPES, k)), np.zeros(k), np.zeros((k, k)), 0.0
+        of_top = np.zeros((len(top.value[0]), k))
         lists = lambda values, kind: pa.FixedSizeListArray.from_arrays(pa.array(values.ravel(), kind), k).cast(pa.list_(kind))
-        names = ["word", "shape", "shares", "few"]
+        names = ["word", "shape", "shares", "few", "top"]
         for batch in batches:
             for i in range(batch.num_rows):
                 lengths, train, tokens, shapes = (_numbers(batch, i, c) for c in ("lengths", "train", "tokens", "shapes"))
-                emission, own = _emissions(batch, i, by_shape, shapes)
+                emission, own, here, at = _emissions(batch, i, by_shape, shapes, top.value)
                 lengths, train = lengths.astype(np.int64), train.astype(bool)
                 tokens = tokens[np.repeat(train, lengths)]
                 if not len(tokens):
@@ -339,14 +390,18 @@ def _round(begin: np.ndarray, move: np.ndarray, by_shape: np.ndarray):
                         by_word[:, j] += np.bincount(part, weights=shares[:, j], minlength=len(shapes))
                 if len(own):
                     words = np.frombuffer(batch.column("words")[i].as_py(), np.int64)[own]
-                    yield pa.RecordBatch.from_arrays([pa.array(words), pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.list_(pa.float64())), lists(by_word[own], pa.float32())], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(words), pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.list_(pa.float64())), lists(by_word[own], pa.float32()), pa.nulls(len(own), pa.binary())], names=names)
                     by_word[own] = 0
+                of_top[at] += by_word[here]
+                by_word[here] = 0
                 for j in range(k):
                     sums[:, j] += np.bincount(shapes, weights=by_word[:, j], minlength=SHAPES)
         used = np.flatnonzero(sums.sum(axis=1))
         ids = np.concatenate([used, [-1], -2 - np.arange(k), [-100]])
         values = np.concatenate([sums[used], starts[None], moves, np.full((1, k), total)])
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.array(ids.astype(np.int32)), lists(values, pa.float64()), pa.nulls(len(ids), pa.list_(pa.float32()))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.array(ids.astype(np.int32)), lists(values, pa.float64()), pa.nulls(len(ids), pa.list_(pa.float32())), pa.nulls(len(ids), pa.binary())], names=names)
+        for row, numbers in _top_rows(of_top):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([row], pa.int32()), pa.nulls(1, pa.list_(pa.float64())), pa.nulls(1, pa.list_(pa.float32())), pa.array([numbers], pa.binary())], names=names)
 
     return rows
 
@@ -423,25 +478,26 @@ def _bucketed(blocks: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def train(blocks: DataFrame, own: DataFrame, counts: DataFrame, shape_share: np.ndarray, n: int, first, rounds: int = ROUNDS):
-    """begin, move, emissions by shape, those of frequent words as a table, and the log likelihood before each round.
+def train(blocks: DataFrame, own: DataFrame, top: Top, shape_share: np.ndarray, n: int, first, rounds: int = ROUNDS):
+    """begin, move, emissions by shape, those of frequent words as a table, and the log likelihood before each round; top gets its emissions.
 
-    own: frequent words of blocks; counts: frequent (word, shape, c); first: begin, move and leaning of shapes.
+    own: frequent words of blocks that aren't top ones; first: begin, move and leaning of shapes.
     """
     spark = blocks.sparkSession
     begin, move, leaning = first
     k = len(begin)
-    frequent = saved(counts.select("word", "shape", (F.col("c") / n).alias("share")))
+    frequent = saved(top.rest.select("word", "shape", (F.col("c") / n).alias("share")))
     lean = spark.createDataFrame([(i, leaning[i].tolist()) for i in np.flatnonzero((leaning != 1).any(axis=1)).tolist()], "shape int, lean array<double>")
     even = F.array(*[F.lit(1.0)] * k)
     emissions = frequent.join(F.broadcast(lean), "shape", "left").select("word", "share", F.transform(F.coalesce("lean", even), lambda x: x * F.col("share")).alias("e"))  # SHAPES rows at most
     by_shape, logs = shape_share[:, None] * leaning, []
+    of_top = top.share[:, None] * leaning[top.shape]
     for number in range(rounds + 1):
         if number:
             read = blocks.select("block", "lengths", "train", "tokens", "words", "shapes")
-            got = saved(_with_emissions(read, own, emissions).mapInArrow(_round(begin, move, by_shape), "word long, shape int, shares array<double>, few array<float>"))
+            got = saved(_with_emissions(read, own, emissions).mapInArrow(_round(begin, move, by_shape, sent), "word long, shape int, shares array<double>, few array<float>, top binary"))
             sums = [F.sum(F.get("shares", F.lit(i))) for i in range(k)]
-            fixed = {r[0]: np.array(r[1:]) for r in got.filter("word is null").groupBy("shape").agg(*sums).collect()}  # SHAPES + states + 2 rows at most
+            fixed = {r[0]: np.array(r[1:]) for r in got.filter("shares is not null").groupBy("shape").agg(*sums).collect()}  # SHAPES + states + 2 rows at most
             if not fixed:  # no texts at all
                 continue
             words = saved(got.filter("word is not null").groupBy("word").agg(F.array(*[F.sum(F.get("few", F.lit(i))) for i in range(k)]).alias("e")))
@@ -452,25 +508,31 @@ def train(blocks: DataFrame, own: DataFrame, counts: DataFrame, shape_share: np.
                 if i >= 0:
                     by_shape[i] = x
             emissions = frequent.join(words, "word").select("word", "share", "e")
+            of_top = np.zeros((len(top.words), k))
+            for r in got.filter("top is not null").select("shape", "top").groupBy("shape").applyInArrow(_top_sums(k), "shape int, top binary").collect():  # TOP words at most
+                part = of_top[r["shape"] * TOP_ROW :][:TOP_ROW]
+                part += np.frombuffer(r["top"]).reshape(TOP_ROW, k)[: len(part)]
             discard(got)
             release(spark)
-        totals = np.array(emissions.agg(*[F.coalesce(F.sum(F.get("e", F.lit(i))), F.lit(0.0)) for i in range(k)]).first()) + by_shape.sum(axis=0)
+        totals = np.array(emissions.agg(*[F.coalesce(F.sum(F.get("e", F.lit(i))), F.lit(0.0)) for i in range(k)]).first()) + by_shape.sum(axis=0) + of_top.sum(axis=0)
         scale = F.array(*[F.lit(float((1 - BACKGROUND) / max(x, 1e-300))) for x in totals])
         emissions = saved(emissions.select("word", "share", F.zip_with("e", scale, lambda x, y: x * y + BACKGROUND * F.col("share")).cast("array<float>").alias("e")))
         by_shape = (1 - BACKGROUND) * by_shape / np.maximum(totals, 1e-300) + BACKGROUND * shape_share[:, None] + 1e-12
+        top.emissions = ((1 - BACKGROUND) * of_top / np.maximum(totals, 1e-300) + BACKGROUND * top.share[:, None]).astype(np.float32)
+        sent = spark.sparkContext.broadcast((top.words, top.emissions))
     return begin, move, by_shape, emissions.select("word", "e"), logs
 
 
-def _scores(begin: np.ndarray, move: np.ndarray, by_shape: np.ndarray, n: int, v: int, shape_tokens: np.ndarray, shape_words: np.ndarray):
+def _scores(begin: np.ndarray, move: np.ndarray, by_shape: np.ndarray, n: int, v: int, shape_tokens: np.ndarray, shape_words: np.ndarray, top: Broadcast):
     def rows(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 lengths, train, tokens, shapes = (_numbers(batch, i, c) for c in ("lengths", "train", "tokens", "shapes"))
                 lengths, counts = lengths.astype(np.int64), _totals(batch, i).astype(np.float64)
-                emission, own = _emissions(batch, i, by_shape, shapes)
+                emission, own, here, _ = _emissions(batch, i, by_shape, shapes, top.value)
                 base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
                 within = np.log10((counts + 0.1) / (shape_tokens[shapes] + 0.1 * (shape_words[shapes] + 1)))
-                within[own] = 0.0
+                within[own] = within[here] = 0.0
                 starts = np.cumsum(lengths) - lengths
                 total = np.empty(len(lengths))
                 for docs, places in _portions(lengths):
@@ -502,17 +564,19 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     counted = saved(split.groupBy("range").applyInArrow(_count_range(FREQUENT), COUNTED))
     known = _bucketed(counted.filter("block is not null").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "totals"))).alias("t")).select("block", F.transform("t", lambda x: x["totals"]).alias("totals")))
     frequent = counted.filter("word is not null").select("word", "shape", "c")
-    own = saved(blocks.select("block", "words").join(known.hint("shuffle_hash"), "block").mapInArrow(_frequent_of(FREQUENT), "block long, id int, word long"))
     release(spark)
     every, tokens, words = np.zeros(SHAPES), np.zeros(SHAPES), np.zeros(SHAPES)
     sums = [F.sum(c).alias(c) for c in ("tokens", "rare_tokens", "rare_words")]
     for r in counted.filter("tokens is not null").groupBy("shape").agg(*sums).collect():  # SHAPES rows at most
         every[r["shape"]], tokens[r["shape"]], words[r["shape"]] = r.tokens, r.rare_tokens, r.rare_words
     n, v = int(every.sum()), int(words.sum()) + frequent.count()
+    top = Top(frequent, n)
+    hashes = spark.sparkContext.broadcast(top.words)
+    own = saved(blocks.select("block", "words").join(known.hint("shuffle_hash"), "block").mapInArrow(_frequent_of(FREQUENT, hashes), "block long, id int, word long"))
     first = start_states(blocks, every / max(n, 1), states)
-    begin, move, by_shape, emissions, _ = train(blocks, own, frequent, tokens / max(n, 1), n, first, rounds)
-    scores = _scores(begin, move, by_shape, n, v, tokens, words)
-    read = blocks.drop("words", "counts").join(known.hint("shuffle_hash"), "block")
+    begin, move, by_shape, emissions, _ = train(blocks, own, top, tokens / max(n, 1), n, first, rounds)
+    scores = _scores(begin, move, by_shape, n, v, tokens, words, spark.sparkContext.broadcast((top.words, top.emissions)))
+    read = blocks.drop("counts").join(known.hint("shuffle_hash"), "block")
     return _with_emissions(read, own, emissions).mapInArrow(scores, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -209,6 +209,22 @@ def test_scores_are_of_one_distribution(spark, monkeypatch):
     assert 0 < sum(got[d] for d, _ in asked) <= 1 + 1e-9 and got[10] > got[12] > got[13] > 0
 
 
+@pytest.mark.parametrize("top", [0, 40])
+def test_broadcast_words_change_no_score(spark, monkeypatch, top):
+    """The most frequent words go by broadcast, others by a table: scores are the same, and no rows are made for the former."""
+    monkeypatch.setattr(hmm, "FREQUENT", 4)
+    monkeypatch.setattr(hmm, "BLOCK_BYTES", 20_000)
+    docs = spark.createDataFrame(_two_tongues(5, 120), "doc_id long, text string").withColumn("train", F.col("doc_id") % 5 > 0).repartition(3)
+    rows, train = [], hmm.train
+    monkeypatch.setattr(hmm, "train", lambda blocks, own, *a: rows.append(own.count()) or train(blocks, own, *a))
+    scores = lambda: {r.doc_id: r.score for r in hmm.score_documents(docs, states=3, rounds=2).collect()}
+    want = scores()
+    monkeypatch.setattr(hmm, "TOP", top)
+    got = scores()
+    assert rows[0] == 0 < rows[1]
+    assert got.keys() == want.keys() and all(math.isclose(got[d], want[d], rel_tol=1e-5) for d in want)
+
+
 def test_language_model_of_nothing_and_odd_rows(spark, empty):
     assert hmm.score_documents(empty.withColumn("train", F.lit(True))).count() == 0
     rows = [(1, "a b"), (1, "a b"), (None, None), (None, ""), (2, "x " * 200_000)]
