@@ -4,11 +4,12 @@ A hidden state chain emits classes of words. A word that the training texts hold
 states learn grows with the corpus; rarer words share a class by shape (how they end), and a word's share of its class comes from the
 corpus's counts (add-0.1, with one more word per class for all unseen ones), so every text has a probability.
 
-Texts are encoded once into stored blocks of whole documents, in buckets, which no later step deals anew. Words are counted by ranges of
+Texts are encoded once into stored blocks of whole documents, in buckets, which no later step deals anew. A block's documents lie by share, so
+that a round over one share unpacks no other's tokens. Words are counted by ranges of
 their hashes: each block sends a range as arrays and gets its counts back as such. The emissions of words are a table (word, one number a state): each
-round it joins the blocks by word, all of a block's documents go forward and backward together, and the expected counts are summed
-by word across partitions. The TOP most frequent words, which most blocks hold, take no part in that: their emissions are broadcast,
-and a task sums what it expects of them over its blocks. Only long documents are cut into chunks, and products of a chunk's transition matrices give the exact
+round it joins the blocks by word, and all of a block's documents go forward and backward together. The TOP most frequent words, which most
+blocks hold, take no part in that: their emissions are broadcast, and a task sums what it expects of them over its blocks. Expected counts move
+once, in rows of many words or shapes, and only their sums are written. Only long documents are cut into chunks, and products of a chunk's transition matrices give the exact
 messages at its borders. What the driver holds - transitions, one number a state of each shape and of TOP words - has a fixed size.
 
 The states start from the corpus as well: every document leans to states at random, and rounds by shapes alone (as few numbers as the
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import itertools
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +33,15 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumisift.llm.common import blocks_of, byte_rows, discard, release, saved, shared_dir, table
+from lumisift.llm.common import blocks_of, byte_rows, release, saved, shared_dir, table
 
 STATES, ROUNDS = 8, 1
 #: Occurrences from which a word has its own class; classes of rarer words; bytes of a word's end that choose one.
 FREQUENT, SHAPES, ENDING = 64, 1 << 14, 3
-#: Most frequent words whose emissions are broadcast, and how many of them a row of expected counts has.
-TOP, TOP_ROW = 1 << 17, 1 << 12
+#: Most frequent words whose emissions are broadcast.
+TOP = 1 << 17
+#: Words or shapes in a row of expected counts, at most or in the mean.
+SLICE = 512
 #: Weight of the corpus's shares in each state's emissions.
 BACKGROUND = 0.02
 #: Rounds by shapes alone, and shares of the documents that they take in turn: each document is read by one, and by the rounds after them.
@@ -49,10 +53,13 @@ AT_ONCE = 200_000
 #: The end of a text, counted as a token; no word is empty.
 END = b""
 
-BLOCKS = "block long, doc_ids array<long>, train array<boolean>, lengths array<int>, tokens binary, words binary, counts binary, shapes binary"
+#: Documents by share; dealt: how many each share has; tokens: those of each share.
+BLOCKS = "block long, doc_ids array<long>, train array<boolean>, lengths array<int>, dealt array<int>, tokens array<binary>, words binary, counts binary, shapes binary"
 #: A range of hashes from a block and back; a frequent word with its count; a shape with its tokens, and with those and the words that aren't frequent.
 RANGES = "range int, block long, words binary, counts binary, shapes binary"
 COUNTED = "range int, block long, totals binary, word long, c long, shape int, tokens long, rare_tokens long, rare_words long"
+#: Expected counts by key: of top words by place, of other frequent words by hash, of shapes, and of the chain: starts (0), transitions from each state, log likelihood.
+EXPECTED = "kind string, part int, keys binary, sums binary"
 #: Entries (a word of a block) in a range, in the mean, if a block has so many words.
 RANGE_ENTRIES, BLOCK_WORDS = 2_000_000, 120_000
 
@@ -71,6 +78,19 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
+def short(numbers: np.ndarray) -> bytes:
+    """Numbers of 0 or more as floats of 24 bits (16 of them significant), byte by byte of all of them and compressed: exponents are alike."""
+    bits = np.ascontiguousarray(numbers, "<f4").ravel().view("<u4") + np.uint32(1 << 7)  # rounds
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(bits.view(np.uint8).reshape(-1, 4)[:, 1:].T).tobytes())
+
+
+def unshort(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(3, -1)
+    bits = np.zeros((planes.shape[1], 4), np.uint8)
+    bits[:, 1:] = planes.T
+    return bits.view("<f4").ravel()
+
+
 def tokens_of(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
@@ -78,7 +98,9 @@ def tokens_of(text: bytes) -> list[bytes]:
 def _encoded(batches):
     blocks = itertools.count(TaskContext.get().partitionId() << 32)
     for batch in blocks_of(batches, BLOCK_BYTES):
-        words, lengths = [], []
+        block, words, lengths = next(blocks), [], []
+        shares = np.random.default_rng([block, 1]).integers(0, SHARES, batch.num_rows)
+        batch, dealt = batch.take(pa.array(np.argsort(shares, kind="stable"))), np.bincount(shares, minlength=SHARES)
         for text in byte_rows(batch.column("text")):
             own = tokens_of(text)
             words += own
@@ -91,18 +113,20 @@ def _encoded(batches):
         tokens = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
         train = np.asarray(batch.column("train").to_pylist(), bool)
         counts = np.bincount(tokens[np.repeat(train, lengths)], minlength=len(ids))
+        ends = np.cumsum([0, *lengths])[np.cumsum(dealt)]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([next(blocks)], pa.int64()),
+                pa.array([block], pa.int64()),
                 pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                 pa.array([train], pa.list_(pa.bool_())),
                 pa.array([lengths], pa.list_(pa.int32())),
-                pa.array([packed(tokens)], pa.binary()),
+                pa.array([dealt], pa.list_(pa.int32())),
+                pa.array([[packed(x) for x in np.split(tokens, ends[:-1])]], pa.list_(pa.binary())),
                 pa.array([hashes[order].tobytes()], pa.binary()),
                 pa.array([packed(counts)], pa.binary()),
                 pa.array([packed(shapes)], pa.binary()),
             ],
-            names=["block", "doc_ids", "train", "lengths", "tokens", "words", "counts", "shapes"],
+            names=["block", "doc_ids", "train", "lengths", "dealt", "tokens", "words", "counts", "shapes"],
         )
 
 
@@ -183,26 +207,47 @@ def _places(words: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return here, at[here]
 
 
-def _top_rows(sums: np.ndarray):
-    """(row, numbers) of expected counts of top words that aren't zero: places in the row as 32-bit, counts as short numbers."""
-    for start in range(0, len(sums), TOP_ROW):
-        part = sums[start : start + TOP_ROW]
-        used = np.flatnonzero(part.any(axis=1))
-        if len(used):
-            yield start // TOP_ROW, used.astype("<i4").tobytes() + part[used].astype("<f4").tobytes()
+def _expected_rows(kind: str, parts: np.ndarray, keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    """Rows of expected counts, one for each part; parts ascend. Those of words are many and go as short numbers."""
+    starts = np.flatnonzero(np.diff(parts, prepend=-1))
+    key = (lambda x: x.astype("<i8").tobytes()) if kind == "word" else packed
+    number = short if kind in ("word", "top") else np.ndarray.tobytes
+    pieces = lambda x, make: pa.array([make(y) for y in np.split(x, starts[1:])] if len(starts) else [], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(starts), pa.string()), pa.array(parts[starts].astype(np.int32)), pieces(keys, key), pieces(sums, number)], names=["kind", "part", "keys", "sums"])
+
 
+def _summed(k: int):
+    """One part's rows of expected counts as one row, of 64-bit keys and doubles."""
 
-def _top_sums(k: int):
-    def total(table: pa.Table) -> pa.Table:
-        sums = np.zeros((TOP_ROW, k))
-        for data in table.column("top").to_pylist():
-            n = len(data) // (4 + 4 * k)
-            sums[np.frombuffer(data, "<i4", n)] += np.frombuffer(data, "<f4", offset=4 * n).reshape(n, k)
-        return pa.table({"shape": table.column("shape").slice(0, 1), "top": pa.array([sums.tobytes()], pa.binary())})
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sums = np.zeros(0, np.int64), np.zeros((0, k))
+        for batch in batches:
+            kind, part = batch.column("kind")[0].as_py(), batch.column("part")[0].as_py()
+            key = (lambda x: np.frombuffer(x, "<i8")) if kind == "word" else unpacked
+            number = unshort if kind in ("word", "top") else np.frombuffer
+            keys, at = np.unique(np.concatenate([keys, *map(key, batch.column("keys").to_pylist())]), return_inverse=True)
+            more = np.concatenate([sums, *(number(x).reshape(-1, k) for x in batch.column("sums").to_pylist())])
+            sums = np.stack([np.bincount(at, weights=more[:, j], minlength=len(keys)) for j in range(k)], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([part], pa.int32()), pa.array([keys.astype("<i8").tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary())], names=["kind", "part", "keys", "sums"])
 
     return total
 
 
+def _by_word(k: int):
+    """(word, e) of summed rows of words."""
+
+    def rows(batches):
+        for batch in batches:
+            for words, sums in zip(batch.column("keys").to_pylist(), batch.column("sums").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(words, np.int64)), _lists(np.frombuffer(sums).reshape(-1, k))], names=["word", "e"])
+
+    return rows
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(values.ravel(), pa.float64()), values.shape[1]).cast(pa.list_(pa.float64()))
+
+
 def _frequent_of(frequent: int, top: Broadcast):
     """(block, id, word) of the frequent words of blocks that aren't among the top ones, from the counts that came back for their ranges."""
 
@@ -352,6 +397,11 @@ def _numbers(batch, i: int, name: str) -> np.ndarray:
     return unpacked(value.as_py()) if pa.types.is_binary(value.type) else value.values.to_numpy(zero_copy_only=False)
 
 
+def _tokens(batch, i: int) -> np.ndarray:
+    """A block's tokens, of the shares that are here."""
+    return np.concatenate([unpacked(x) for x in batch.column("tokens")[i].values.to_pylist()])
+
+
 def _emissions(batch, i: int, by_shape: np.ndarray, shapes: np.ndarray, top: tuple[np.ndarray, np.ndarray]):
     """Of each word of a block, by state; which words have a class of their own; which of those are among the top ones, and where there."""
     emission, own = by_shape[shapes], np.zeros(0, np.int64)
@@ -364,21 +414,19 @@ def _emissions(batch, i: int, by_shape: np.ndarray, shapes: np.ndarray, top: tup
     return emission, own, here, at
 
 
-def _round(begin: np.ndarray, move: np.ndarray, by_shape: np.ndarray, top: Broadcast):
-    """Rows (word, shape, shares, few): expected emissions of words with a class (in few, as short numbers), and of shapes; in top those of rows of top words; below zero starts (-1), transitions from state i (-2 - i), log likelihood (-100)."""
+def _round(begin: np.ndarray, move: np.ndarray, by_shape: np.ndarray, top: Broadcast, parts: int):
+    """Rows of expected counts; words that aren't top ones are in so many parts, by ranges of hashes."""
     k = len(begin)
 
     def rows(batches):
         sums, starts, moves, total = np.zeros((SHAPES, k)), np.zeros(k), np.zeros((k, k)), 0.0
         of_top = np.zeros((len(top.value[0]), k))
-        lists = lambda values, kind: pa.FixedSizeListArray.from_arrays(pa.array(values.ravel(), kind), k).cast(pa.list_(kind))
-        names = ["word", "shape", "shares", "few", "top"]
         for batch in batches:
             for i in range(batch.num_rows):
-                lengths, train, tokens, shapes = (_numbers(batch, i, c) for c in ("lengths", "train", "tokens", "shapes"))
+                lengths, train, shapes = (_numbers(batch, i, c) for c in ("lengths", "train", "shapes"))
                 emission, own, here, at = _emissions(batch, i, by_shape, shapes, top.value)
                 lengths, train = lengths.astype(np.int64), train.astype(bool)
-                tokens = tokens[np.repeat(train, lengths)]
+                tokens = _tokens(batch, i)[np.repeat(train, lengths)]
                 if not len(tokens):
                     continue
                 by_word, trained = np.zeros((len(shapes), k)), lengths[train]
@@ -389,37 +437,36 @@ def _round(begin: np.ndarray, move: np.ndarray, by_shape: np.ndarray, top: Broad
                     for j in range(k):
                         by_word[:, j] += np.bincount(part, weights=shares[:, j], minlength=len(shapes))
                 if len(own):
-                    words = np.frombuffer(batch.column("words")[i].as_py(), np.int64)[own]
-                    yield pa.RecordBatch.from_arrays([pa.array(words), pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.list_(pa.float64())), lists(by_word[own], pa.float32()), pa.nulls(len(own), pa.binary())], names=names)
+                    own = np.sort(own)  # by hash as well
+                    words = np.frombuffer(batch.column("words")[i].as_py(), np.uint64)[own]
+                    yield _expected_rows("word", _ranges(words, parts), words.view(np.int64), by_word[own])
                     by_word[own] = 0
                 of_top[at] += by_word[here]
                 by_word[here] = 0
                 for j in range(k):
                     sums[:, j] += np.bincount(shapes, weights=by_word[:, j], minlength=SHAPES)
-        used = np.flatnonzero(sums.sum(axis=1))
-        ids = np.concatenate([used, [-1], -2 - np.arange(k), [-100]])
-        values = np.concatenate([sums[used], starts[None], moves, np.full((1, k), total)])
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.array(ids.astype(np.int32)), lists(values, pa.float64()), pa.nulls(len(ids), pa.list_(pa.float32())), pa.nulls(len(ids), pa.binary())], names=names)
-        for row, numbers in _top_rows(of_top):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([row], pa.int32()), pa.nulls(1, pa.list_(pa.float64())), pa.nulls(1, pa.list_(pa.float32())), pa.array([numbers], pa.binary())], names=names)
+        for kind, counts in (("shape", sums), ("top", of_top)):
+            used = np.flatnonzero(counts.any(axis=1))
+            yield _expected_rows(kind, used // SLICE, used, counts[used])
+        yield _expected_rows("chain", np.zeros(k + 2, np.int64), np.arange(k + 2), np.concatenate([starts[None], moves, np.full((1, k), total)]))
 
     return rows
 
 
 def _start_round(share: int | None, states: int, begin: np.ndarray, move: np.ndarray, by_shape: np.ndarray | None):
-    """Rows (shape, shares) as in _round, from whole training documents of one share (None: all), by shapes alone; without emissions each document leans to states at random."""
+    """Rows (shape, shares) of expected counts of shapes, and below zero of starts (-1) and transitions from state i (-2 - i), from whole training documents of one share (None: all), by shapes alone; without emissions each document leans to states at random."""
 
     def rows(batches):
         sums, starts, moves = np.zeros((SHAPES, states)), np.zeros(states), np.zeros((states, states))
         for batch in batches:
             for i in range(batch.num_rows):
-                lengths, train, tokens, shapes = (_numbers(batch, i, c) for c in ("lengths", "train", "tokens", "shapes"))
-                rng = np.random.default_rng([batch.column("block")[i].as_py(), 1])
-                dealt = rng.integers(0, SHARES, len(lengths))
-                lengths, chosen = lengths.astype(np.int64), train.astype(bool) & (dealt == (dealt if share is None else share))
-                seen, lengths = shapes[tokens[np.repeat(chosen, lengths)]], lengths[chosen]
+                lengths, train, shapes, dealt = (_numbers(batch, i, c) for c in ("lengths", "train", "shapes", "dealt"))
+                docs = slice(None) if share is None else slice(dealt[:share].sum(), dealt[: share + 1].sum())
+                lengths, chosen = lengths[docs].astype(np.int64), train[docs].astype(bool)
+                seen, lengths = shapes[_tokens(batch, i)[np.repeat(chosen, lengths)]], lengths[chosen]
                 if not len(seen):
                     continue
+                rng = np.random.default_rng([batch.column("block")[i].as_py(), 2])
                 leans = rng.dirichlet(np.full(states, 0.3), len(lengths)) if by_shape is None else None
                 for docs, places in _portions(lengths):
                     part = seen[places]
@@ -432,7 +479,7 @@ def _start_round(share: int | None, states: int, begin: np.ndarray, move: np.nda
                         sums[:, j] += np.bincount(part, weights=found[:, j], minlength=SHAPES)
         used = np.flatnonzero(sums.sum(axis=1))
         ids, values = np.concatenate([used, [-1], -2 - np.arange(states)]), np.concatenate([sums[used], starts[None], moves])
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), states).cast(pa.list_(pa.float64()))], names=["shape", "shares"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), _lists(values)], names=["shape", "shares"])
 
     return rows
 
@@ -444,7 +491,8 @@ def start_states(ready: DataFrame, share: np.ndarray, states: int = STATES, roun
     used, total = np.flatnonzero(share), 1
     for number in range(rounds + 1):
         of = None if number == 0 else (number - 1) % SHARES
-        part = ready.select("block", "lengths", "train", "tokens", "shapes").mapInArrow(_start_round(of, states, begin, move, by_shape), "shape int, shares array<double>")
+        tokens = "tokens" if of is None else F.slice("tokens", of + 1, 1).alias("tokens")
+        part = ready.select("block", "lengths", "train", "dealt", tokens, "shapes").mapInArrow(_start_round(of, states, begin, move, by_shape), "shape int, shares array<double>")
         found = part.groupBy("shape").agg(*[F.sum(F.get("shares", F.lit(i))) for i in range(states)]).collect()  # SHAPES + states + 1 rows at most
         sums = np.zeros((SHAPES, states))
         for r in found:
@@ -487,6 +535,7 @@ def train(blocks: DataFrame, own: DataFrame, top: Top, shape_share: np.ndarray,
     begin, move, leaning = first
     k = len(begin)
     frequent = saved(top.rest.select("word", "shape", (F.col("c") / n).alias("share")))
+    parts = max(1, frequent.count() // SLICE)
     lean = spark.createDataFrame([(i, leaning[i].tolist()) for i in np.flatnonzero((leaning != 1).any(axis=1)).tolist()], "shape int, lean array<double>")
     even = F.array(*[F.lit(1.0)] * k)
     emissions = frequent.join(F.broadcast(lean), "shape", "left").select("word", "share", F.transform(F.coalesce("lean", even), lambda x: x * F.col("share")).alias("e"))  # SHAPES rows at most
@@ -495,31 +544,25 @@ def train(blocks: DataFrame, own: DataFrame, top: Top, shape_share: np.ndarray,
     for number in range(rounds + 1):
         if number:
             read = blocks.select("block", "lengths", "train", "tokens", "words", "shapes")
-            got = saved(_with_emissions(read, own, emissions).mapInArrow(_round(begin, move, by_shape, sent), "word long, shape int, shares array<double>, few array<float>, top binary"))
-            sums = [F.sum(F.get("shares", F.lit(i))) for i in range(k)]
-            fixed = {r[0]: np.array(r[1:]) for r in got.filter("shares is not null").groupBy("shape").agg(*sums).collect()}  # SHAPES + states + 2 rows at most
-            if not fixed:  # no texts at all
+            rows = _with_emissions(read, own, emissions).mapInArrow(_round(begin, move, by_shape, sent, parts), EXPECTED)
+            got = saved(rows.groupBy("kind", "part").applyInArrow(_summed(k), EXPECTED))
+            sums = {"shape": np.zeros((SHAPES, k)), "top": np.zeros((len(top.words), k)), "chain": np.zeros((k + 2, k))}
+            found = got.filter("kind != 'word'").collect()  # SHAPES, TOP words and the chain at most
+            if not found:  # no texts at all
                 continue
-            words = saved(got.filter("word is not null").groupBy("word").agg(F.array(*[F.sum(F.get("few", F.lit(i))) for i in range(k)]).alias("e")))
-            logs.append(float(fixed[-100][0]))
-            begin, move = _normal(fixed[-1], np.stack([fixed[-2 - i] for i in range(k)]))
-            by_shape = np.zeros((SHAPES, k))
-            for i, x in fixed.items():
-                if i >= 0:
-                    by_shape[i] = x
-            emissions = frequent.join(words, "word").select("word", "share", "e")
-            of_top = np.zeros((len(top.words), k))
-            for r in got.filter("top is not null").select("shape", "top").groupBy("shape").applyInArrow(_top_sums(k), "shape int, top binary").collect():  # TOP words at most
-                part = of_top[r["shape"] * TOP_ROW :][:TOP_ROW]
-                part += np.frombuffer(r["top"]).reshape(TOP_ROW, k)[: len(part)]
-            discard(got)
-            release(spark)
+            for r in found:
+                sums[r["kind"]][np.frombuffer(r["keys"], np.int64)] = np.frombuffer(r["sums"]).reshape(-1, k)
+            by_shape, of_top = sums["shape"], sums["top"]
+            logs.append(float(sums["chain"][-1, 0]))
+            begin, move = _normal(sums["chain"][0], sums["chain"][1:-1])
+            emissions = frequent.join(got.filter("kind = 'word'").select("keys", "sums").mapInArrow(_by_word(k), "word long, e array<double>"), "word").select("word", "share", "e")
         totals = np.array(emissions.agg(*[F.coalesce(F.sum(F.get("e", F.lit(i))), F.lit(0.0)) for i in range(k)]).first()) + by_shape.sum(axis=0) + of_top.sum(axis=0)
         scale = F.array(*[F.lit(float((1 - BACKGROUND) / max(x, 1e-300))) for x in totals])
         emissions = saved(emissions.select("word", "share", F.zip_with("e", scale, lambda x, y: x * y + BACKGROUND * F.col("share")).cast("array<float>").alias("e")))
         by_shape = (1 - BACKGROUND) * by_shape / np.maximum(totals, 1e-300) + BACKGROUND * shape_share[:, None] + 1e-12
         top.emissions = ((1 - BACKGROUND) * of_top / np.maximum(totals, 1e-300) + BACKGROUND * top.share[:, None]).astype(np.float32)
         sent = spark.sparkContext.broadcast((top.words, top.emissions))
+        release(spark)
     return begin, move, by_shape, emissions.select("word", "e"), logs
 
 
@@ -527,7 +570,8 @@ def _scores(begin: np.ndarray, move: np.ndarray, by_shape: np.ndarray, n: int, v
     def rows(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                lengths, train, tokens, shapes = (_numbers(batch, i, c) for c in ("lengths", "train", "tokens", "shapes"))
+                lengths, train, shapes = (_numbers(batch, i, c) for c in ("lengths", "train", "shapes"))
+                tokens = _tokens(batch, i)
                 lengths, counts = lengths.astype(np.int64), _totals(batch, i).astype(np.float64)
                 emission, own, here, _ = _emissions(batch, i, by_shape, shapes, top.value)
                 base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
@@ -574,6 +618,7 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     hashes = spark.sparkContext.broadcast(top.words)
     own = saved(blocks.select("block", "words").join(known.hint("shuffle_hash"), "block").mapInArrow(_frequent_of(FREQUENT, hashes), "block long, id int, word long"))
     first = start_states(blocks, every / max(n, 1), states)
+    release(spark)
     begin, move, by_shape, emissions, _ = train(blocks, own, top, tokens / max(n, 1), n, first, rounds)
     scores = _scores(begin, move, by_shape, n, v, tokens, words, spark.sparkContext.broadcast((top.words, top.emissions)))
     read = blocks.drop("counts").join(known.hint("shuffle_hash"), "block")

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,6 +226,53 @@ def test_broadcast_words_change_no_score(spark, monkeypatch, top):
     assert got.keys() == want.keys() and all(math.isclose(got[d], want[d], rel_tol=1e-5) for d in want)
 
 
+def test_start_rounds_take_each_token_once(spark, documents, monkeypatch):
+    """The rounds over all shares together unpack each token once, and their expected counts are of all training tokens."""
+    import numpy as np
+
+    monkeypatch.setattr(hmm, "BLOCK_BYTES", 20_000)
+    docs = documents.select("doc_id", "text", (F.col("doc_id") % 3 > 0).alias("train"))
+    batches = docs.mapInArrow(hmm._encoded, hmm.BLOCKS).toArrow().to_batches()
+    blocks = [r for b in batches for r in b.to_pylist()]
+    lengths, trained = (sum(sum(x for x, t in zip(r["lengths"], r["train"]) if t or every) for r in blocks) for every in (True, False))
+    numbers, unpacked = [], hmm.unpacked
+    monkeypatch.setattr(hmm, "unpacked", lambda data: numbers.append(x := unpacked(data)) or x)
+    by_shape, total = np.full((hmm.SHAPES, 2), 1 / hmm.SHAPES), 0
+    for share in range(hmm.SHARES):
+        read = [b.set_column(b.schema.get_field_index("tokens"), "tokens", pa.array([[r["tokens"][share]] for r in b.to_pylist()], pa.list_(pa.binary()))) for b in batches]
+        out = [r for b in hmm._start_round(share, 2, np.full(2, 0.5), np.full((2, 2), 0.5), by_shape)(read) for r in b.to_pylist()]
+        total += sum(sum(r["shares"]) for r in out if r["shape"] >= 0)
+    shapes = hmm.SHARES * sum(len(unpacked(r["shapes"])) for r in blocks)
+    assert len(blocks) > 1 and sum(map(len, numbers)) == lengths + shapes
+    assert math.isclose(total, trained)
+
+
+@pytest.mark.parametrize("top", [0, 40, 1 << 17])
+def test_expected_counts_are_written_as_sums(spark, monkeypatch, top):
+    """However many blocks and tasks there are, a round writes each word's and shape's expected counts once; together they are all training tokens."""
+    import numpy as np
+
+    for name, value in (("FREQUENT", 4), ("BLOCK_BYTES", 20_000), ("SLICE", 64), ("TOP", top)):
+        monkeypatch.setattr(hmm, name, value)
+    docs = spark.createDataFrame(_two_tongues(7, 120), "doc_id long, text string").withColumn("train", F.col("doc_id") % 5 > 0).repartition(4)
+    rows, saved = [], hmm.saved
+    monkeypatch.setattr(hmm, "saved", lambda df: [out := saved(df), rows.extend(out.collect() if "sums" in out.columns else [])][0])
+    tokens = hmm.score_documents(docs, states=3, rounds=1).first().train_tokens
+    assert rows and len({(r.kind, r.part) for r in rows}) == len(rows)
+    keys = [(r.kind, k) for r in rows for k in np.frombuffer(r["keys"], np.int64).tolist()]
+    assert len(set(keys)) == len(keys) and {"word", "top"} & {k for k, _ in keys} == ({"word"} if not top else {"top"} if top > 40 else {"word", "top"})
+    assert math.isclose(sum(np.frombuffer(r["sums"]).sum() for r in rows if r.kind != "chain"), tokens, rel_tol=1e-5)
+
+
+def test_short_numbers():
+    import numpy as np
+
+    x = np.random.default_rng(0).lognormal(-5, 9, (1000, 8))
+    x[0] = 0
+    assert np.allclose(hmm.unshort(hmm.short(x)).reshape(x.shape), x, rtol=2**-16, atol=0)
+    assert len(hmm.unshort(hmm.short(np.zeros((0, 8))))) == len(hmm.unpacked(hmm.packed(np.zeros(0)))) == 0
+
+
 def test_language_model_of_nothing_and_odd_rows(spark, empty):
     assert hmm.score_documents(empty.withColumn("train", F.lit(True))).count() == 0
     rows = [(1, "a b"), (1, "a b"), (None, None), (None, ""), (2, "x " * 200_000)]
