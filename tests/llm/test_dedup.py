@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lumisift.llm import simhash, substring_dedup, suffix_dedup
+from lumisift.llm.common import Rolling
 from lumisift.llm.suffix_sort import common_prefix, decoded, front_coded, merged
 
 
@@ -42,6 +43,21 @@ def test_suffix_dedup_of_repeated_rows_nulls_and_nothing(spark, documents, empty
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_of_nul_bytes_behind_shorter_texts(spark):
+    rng = random.Random(5)
+    prose = lambda n: "".join(rng.choice("bcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    # of passages one that holds the least hash of each window about it, so all texts are sorted by what stands there
+    least = lambda x: min(Rolling(suffix_dedup._values(x.encode()), suffix_dedup.BASES[0]).all(suffix_dedup.GRAM).tolist())
+    passage, before = min((prose(100) for _ in range(300)), key=least), "A" * 200
+    texts = [before + passage + "\0" * 400, before + passage + "\0" * 250 + prose(300)]
+    # more texts than a suffix has neighbours end with the passage; padded, they stand between those two
+    texts += [prose(450) + passage for _ in range(suffix_dedup.NEIGHBOURS + 4)]
+    rows = list(enumerate(texts))
+    want = suffix_dedup.brute_force(rows)
+    assert want[1][1] == 550
+    assert _suffix_rows(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+
+
 def test_substring_dedup_equals_definition(documents, corpus):
     got = {r.doc_id: (r.n_words, r.n_removed, r.h) for r in substring_dedup.remove_repeats(documents).select("*", F.sha2("kept", 256).alias("h")).collect()}
     assert got == substring_dedup.brute_force(corpus)
