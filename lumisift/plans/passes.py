@@ -331,6 +331,15 @@ def _pages_of(spark, d, page_size: int = 500):
     return e.withColumn("item", item).groupBy(page.alias("page")).agg(text.alias("value"))
 
 
+#: Pages that a listing file holds at most: some 90 MB, as each has 500 items.
+PAGES_A_FILE = 1000
+
+
+def _write_pages(pages, folder: str) -> None:
+    """Pages as listing files, which are more where there are more pages; their names ascend with the pages."""
+    pages.orderBy("page").select("value").write.option("maxRecordsPerFile", PAGES_A_FILE).text(folder)
+
+
 @query("parse_items", f"SELECT 'm' || event_id AS media_key, CASE WHEN event_id % 31 <> 0 THEN 'https://lh3.googleusercontent.com/i' || event_id END AS thumb, CASE WHEN event_id % 31 <> 0 THEN 640 END AS width, t AS timestamp, 'd' || event_id AS dedup_key, video AS is_video, CASE WHEN video THEN sec END AS duration, event_id % 5 = 0 AS is_archived, event_id % 2 = 0 AS is_favourite, event_id % 17 <> 0 AS is_owned FROM wire", _WIRE_SQL)
 def parse_items(spark, d):
     return P.parse_items(_pages_of(spark, d)).select("media_key", "thumb", "width", "timestamp", "dedup_key", "is_video", "duration", "is_archived", "is_favourite", "is_owned")
@@ -351,7 +360,7 @@ def listing_incremental(spark, d):
     pages = _pages_of(spark, d)
     root = shared_folder(pages)
     lines = f"{root}/pages"
-    pages.orderBy("page").select("value").coalesce(4).write.text(lines)
+    _write_pages(pages, lines)
     cat = C.Catalogue(spark, f"{root}/catalogue")
     for k in range(2):
         ingest.list_pages(spark, lines, cat, RunParams(), f"{root}/checkpoint-{k}-{uuid.uuid4().hex}", batch_files=10 if k == 0 else 200)
@@ -365,7 +374,7 @@ def _listed(spark, d):
 
     pages = _pages_of(spark, d)
     root = shared_folder(pages)
-    pages.orderBy("page").select("value").coalesce(4).write.text(f"{root}/pages")
+    _write_pages(pages, f"{root}/pages")
     cat = C.Catalogue(spark, f"{root}/catalogue")
     ingest.list_pages(spark, f"{root}/pages", cat, RunParams(), f"{root}/checkpoint")
     return cat

@@ -49,12 +49,12 @@ def parse_items(pages: DataFrame, column: str = "value") -> DataFrame:
     raw = page.select("page", F.posexplode(_get(F.col("p"), "$[0]", "array<variant>")).alias("place", "raw"))
     x = F.col("raw")
     entries = _get(x, "$", "array<variant>")
-    options = F.element_at(entries, -1)
+    options = F.col("options")  # the last entry, taken once for all that is read in it
     number = lambda at: _get(x, at, "string").try_cast("double").cast("long")
     duration = _get(options, f"$['{DURATION}'][0]", "string").try_cast("double")
     owners = F.coalesce(_get(x, "$[7]", "array<variant>"), F.array().cast("array<variant>"))
     shared = F.exists(owners, lambda o: F.coalesce(F.array_contains(_get(o, "$", "array<string>"), str(SHARED)), F.lit(False)))
-    rows = raw.filter(entries.isNotNull() & (F.coalesce(_get(x, "$[0]", "string"), F.lit("")) != ""))
+    rows = raw.withColumn("options", F.element_at(entries, -1)).filter(entries.isNotNull() & (F.coalesce(_get(x, "$[0]", "string"), F.lit("")) != ""))
     return rows.select(
         "page", "place",
         _get(x, "$[0]", "string").alias("media_key"), F.nullif(_get(x, "$[1][0]", "string"), F.lit("")).alias("thumb"), _get(x, "$[1][1]", "int").alias("width"), _get(x, "$[1][2]", "int").alias("height"),
@@ -166,16 +166,21 @@ def with_retries(fetch: Callable[[], object], refresh: Callable[[], None] | None
 
 
 def read_pages(spark: SparkSession, folder: str, files: int = 200) -> DataFrame:
-    """A stream of whole listing files (file, value), at most `files` in a batch; Spark lists and reads them, so any store it knows will do."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files).text(folder, wholetext=True)
-    return lines.select(F.col("_metadata.file_path").alias("file"), "value")
+    """A stream of the pages of listing files (file, start, value), at most `files` of them in a batch; Spark lists and reads them, so any store it knows will do.
+
+    A row is a line, and large files are read in blocks by several tasks; start is the block's place in its file.
+    """
+    lines = spark.readStream.option("maxFilesPerTrigger", files).option("lineSep", "\n").text(folder)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
 
 
 def page_lines(batch: DataFrame) -> DataFrame:
-    """(page, value): the pages of a batch of files, one a line, in order of file and line."""
-    order = batch.select("file").distinct().select("file", F.row_number().over(Window.orderBy("file")).cast("long").alias("_file"))  # a row a file of the batch
-    lines = batch.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("_line", "value")).filter(F.trim("value") != "")
-    return lines.join(F.broadcast(order), "file").select((F.shiftleft("_file", 32) + F.col("_line")).alias("page"), "value")
+    """(page, value): the pages of a batch of files, one a line, in order of file, start (if there is one) and line."""
+    at = [c for c in ("file", "start") if c in batch.columns]
+    order = batch.select(*at).distinct().select(*at, F.row_number().over(Window.orderBy(*at)).cast("long").alias("_block"))  # a row a block of the batch
+    lines = batch.select(*at, F.explode(F.split("value", r"\r?\n")).alias("value")).filter(F.trim("value") != "")
+    numbered = lines.withColumn("_line", F.monotonically_increasing_id().bitwiseAND((1 << 32) - 1))  # a block is read by one task, line by line
+    return numbered.join(F.broadcast(order), at).select((F.shiftleft("_block", 32) + F.col("_line")).alias("page"), "value")
 
 
 def fetch_info(keys: DataFrame, fetch: Callable[[list[str]], list[str]], size: int = 200, refresh: Callable[[], None] | None = None) -> DataFrame:

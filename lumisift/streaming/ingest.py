@@ -136,13 +136,14 @@ def list_pages(spark: SparkSession, folder: str | None, cat: C.Catalogue, run: R
         s = state[0]
         if s.limit_reached or s.done or (abort and abort.is_set()):
             raise Stop  # the batch isn't committed, so the next run begins with it
-        files = files.persist()  # each page is fetched once
-        batch = P.page_lines(files).persist()
+        files = files.persist() if pages is not None else files  # a client's page is fetched once; files are read again, by lines
+        batch = P.page_lines(files)
         items = P.parse_items(batch).persist()
         keys = items.select(F.col("media_key").alias("id"))
         known = cat.read_near("items", keys).select("id").unionByName(cat.read_near("pending", keys).select("id")).distinct()
         parsed = split_page(items, known, run.older_than).persist()
         n = {r.verdict: r.n for r in parsed.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
+        items.unpersist()  # all of them are in parsed now
         times = parsed.agg(F.min(F.when(F.col("verdict") != "recent", F.col("timestamp"))).alias("oldest"), F.min("timestamp").alias("last")).first()
         new = parsed.filter("verdict = 'new'")
         room = run.max_per_run - s.discovered if run.max_per_run else None
@@ -158,8 +159,7 @@ def list_pages(spark: SparkSession, folder: str | None, cat: C.Catalogue, run: R
             cat.upsert(P.to_rows(new, run.thumb_size, now))
         read = batch.count()
         parsed.unpersist()
-        for used in (items, batch, files):
-            used.unpersist()
+        files.unpersist()
         barren = 0 if count else s.barren + 1
         state[0] = replace(
             s,

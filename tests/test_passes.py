@@ -13,6 +13,7 @@ from lumisift.functions import kernels as K
 from lumisift.functions import scalars as S
 from lumisift.operators import detection as D
 from lumisift.params import RunParams
+from lumisift.plans import passes
 from lumisift.plans.passes import page_json
 from lumisift.sources import catalogue as C
 from lumisift.sources import images
@@ -191,6 +192,44 @@ def test_wire_format(spark):
     assert got.keys() == {"a", "b"} and got["b"].size_bytes is None
 
 
+def _taken(spark, folder, checkpoint):
+    """The rows of a stream of listing files, and its pages in order."""
+    out = []
+
+    def look(batch, _):
+        out.append((batch.collect(), [r.value for r in P.page_lines(batch).orderBy("page").collect()]))
+
+    P.read_pages(spark, str(folder)).writeStream.foreachBatch(look).option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start().awaitTermination()
+    return [r for rows, _ in out for r in rows], [v for _, values in out for v in values]
+
+
+def test_a_large_listing_file_is_read_by_lines_in_blocks(spark, tmp_path):
+    folder, size = tmp_path / "pages", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    folder.mkdir()
+    pages = [page_json([_item(f"i{p}-{k}", 1000 - p) for k in range(1 + p % 3)]) for p in range(70)]
+    (folder / "1.jsonl").write_text("\n".join(pages[:60]) + "\n\n")
+    (folder / "2.jsonl").write_text("\r\n".join(pages[60:]) + "\r\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows, values = _taken(spark, folder, tmp_path / "cp")
+        cat = C.Catalogue(spark, f"file:{tmp_path}/cat")
+        s = ingest.list_pages(spark, str(folder), cat, RunParams(max_per_run=100), str(tmp_path / "cp2"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert max(len(r.value) for r in rows) <= max(map(len, pages)) + 1  # no row holds a file
+    assert len({(r.file, r.start) for r in rows}) > 5
+    assert [v.strip() for v in values] == pages
+    order = [i[0] for p in pages for i in json.loads(p)[0]]
+    assert (s.pages, s.discovered) == (70, 100) and {r.id for r in cat.ids().collect()} == set(order[:100])
+
+
+def test_listing_files_hold_a_bounded_number_of_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(passes, "PAGES_A_FILE", 3)
+    passes._write_pages(spark.range(40).select(F.col("id").alias("page"), F.format_string("%03d", "id").alias("value")).repartition(4), f"{tmp_path}/pages")
+    files = [f.read_text().split() for f in sorted((tmp_path / "pages").glob("part-*"))]
+    assert max(map(len, files)) <= 3 and [v for f in files for v in f] == [f"{k:03d}" for k in range(40)]
+
+
 def test_plan_start_and_retries():
     c = P.Cursor(last_timestamp=9, page_id="p")
     assert P.plan_start(c, resume=False).reason == "no-resume" and P.plan_start(None).reason == "first-run"
