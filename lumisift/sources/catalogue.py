@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -152,6 +153,13 @@ class Conflict(Exception):
     """Other writers were first, again and again."""
 
 
+class Within(NamedTuple):
+    """Parts, of so many, that are known to hold some keys, so that no job has to ask for them."""
+
+    of: int
+    parts: list[int]
+
+
 class Catalogue:
     """Versioned tables below a folder that driver and executors share.
 
@@ -231,13 +239,21 @@ class Catalogue:
     def _parts_of(self, keys: DataFrame, parts: int) -> list[int]:
         return sorted(r[0] for r in keys.select(self._part(keys.columns[0], parts)).distinct().collect())  # `parts` at most
 
+    def dealt(self, ids: DataFrame) -> tuple[int, DataFrame]:
+        """The number of the items' parts, and ids with the part that each lies in."""
+        parts = self._state("items")[1]["parts"]
+        return parts, ids.withColumn("_part", self._part("id", parts))
+
     def read(self, table: str) -> DataFrame:
         return self._frame(table, list(self._state(table)[1]["files"].values()))
 
-    def read_near(self, table: str, keys: DataFrame) -> DataFrame:
+    def _near(self, keys: DataFrame, state: dict, within: Within | None) -> list[int]:
+        return within.parts if within and within.of == state["parts"] else self._parts_of(keys, state["parts"])
+
+    def read_near(self, table: str, keys: DataFrame, within: Within | None = None) -> DataFrame:
         """The parts of a table that hold any of the keys (their first column), with whatever else is in them."""
         state = self._state(table)[1]
-        return self._frame(table, [state["files"][p] for p in self._parts_of(keys, state["parts"]) if p in state["files"]])
+        return self._frame(table, [state["files"][p] for p in self._near(keys, state, within) if p in state["files"]])
 
     def _publish(self, table: str, version: int, state: dict) -> bool:
         if not self._write_text(f"{table}.v{version:012d}.json", json.dumps(state), replace=False):
@@ -258,7 +274,7 @@ class Catalogue:
                 return version
             folder = f"{table}-{uuid.uuid4().hex}"
             new = merge(self._frame(table, [files[p] for p in here if p in files])).withColumn("_part", self._part(KEYS[table], parts))
-            new.repartition("_part").write.partitionBy("_part").parquet(f"{self.path}/{folder}")
+            new.hint("rebalance", "_part").write.partitionBy("_part").parquet(f"{self.path}/{folder}")  # a large part is written by several tasks
             made = {int(n.partition("=")[2]): f"{folder}/{n}" for n in self._names(folder) if n.startswith("_part=")}
             now = state
             while now["parts"] == parts and all(now["files"].get(p) == files.get(p) for p in here):
@@ -269,9 +285,9 @@ class Catalogue:
             self._delete(folder)
         raise Conflict(table)
 
-    def change(self, table: str, keys: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> int:
+    def change(self, table: str, keys: DataFrame, merge: Callable[[DataFrame], DataFrame], within: Within | None = None) -> int:
         """Replace the parts that hold any of the keys (their first column) by what merge makes of their rows; the version that has it."""
-        return self._apply(table, lambda state: self._parts_of(keys, state["parts"]), merge)
+        return self._apply(table, lambda state: self._near(keys, state, within), merge)
 
     def write(self, table: str, df: DataFrame) -> int:
         """Replace a whole table."""
@@ -289,14 +305,14 @@ class Catalogue:
     def upsert(self, batch: DataFrame) -> int:
         return self.change("items", batch.select("id"), lambda old: upsert_items(old, batch).select(old.columns))
 
-    def save_features(self, results: DataFrame) -> int:
-        return self.change("items", results.select("id"), lambda old: save_features(old, results).select(old.columns))
+    def save_features(self, results: DataFrame, within: Within | None = None) -> int:
+        return self.change("items", results.select("id"), lambda old: save_features(old, results).select(old.columns), within)
 
-    def save_faces(self, found: DataFrame, analysed: DataFrame) -> int:
+    def save_faces(self, found: DataFrame, analysed: DataFrame, within: Within | None = None) -> int:
         """The faces first: a photo that isn't marked is only read again, and its faces replaced."""
         photos = analysed.select("photo_id")
-        self.change("faces", photos, lambda old: replace_faces(old, found, analysed))
-        return self.change("items", photos, lambda old: mark_scanned(old, analysed).select(old.columns))
+        self.change("faces", photos, lambda old: replace_faces(old, found, analysed), within)
+        return self.change("items", photos, lambda old: mark_scanned(old, analysed).select(old.columns), within)
 
     def save_people(self, people: DataFrame) -> int:
         return self.change("items", people.select("photo_id"), lambda old: save_people(old, people).select(old.columns))

@@ -201,17 +201,39 @@ def fill_sizes(cat: C.Catalogue, info: DataFrame) -> None:
 SLICE = 100_000
 
 
-def _slices(todo: DataFrame, size: int, abort: Abort | None, step: Callable[[DataFrame], None]) -> bool:
-    """step(ids) for slices of the ids by a hash, one after the other; whether a stop came before the end."""
-    parts = max(1, -(-todo.count() // size))
-    for part in range(parts):
-        here = todo.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
+def _cuts(counts: dict[int, int], size: int) -> list[tuple[list[int], int, int]]:
+    """(parts, share, shares) of each slice: parts that hold `size` ids together at most, or one of equal shares of a part that holds more."""
+    out, room = [], 0
+    for part, n in sorted(counts.items()):
+        shares = -(-n // size)
+        if shares > 1:
+            out += [([part], k, shares) for k in range(shares)]
+            room = 0
+        elif n > room:
+            out.append(([part], 0, 1))
+            room = size - n
+        else:
+            out[-1][0].append(part)
+            room -= n
+    return out
+
+
+def _slices(cat: C.Catalogue, todo: DataFrame, size: int, abort: Abort | None, step: Callable[[DataFrame, C.Within], None]) -> bool:
+    """step(ids, their parts) for slices of the ids, one after the other; whether a stop came before the end.
+
+    Slices follow the catalogue's parts, so that each rewrites its own parts and no other's, and a pass costs as much as it has to do.
+    """
+    of, dealt = cat.dealt(todo)
+    counts = {r[0]: r[1] for r in dealt.groupBy("_part").count().collect()}  # a row a part
+    for parts, share, shares in _cuts(counts, size):
+        here = dealt.filter(F.col("_part").isin(parts))
+        here = (here.filter(F.pmod(F.hash("id"), F.lit(shares)) == share) if shares > 1 else here).select("id")
         try:
             if abort is None:
-                step(here)
+                step(here, C.Within(of, parts))
             else:
                 with abort.jobs():
-                    step(here)
+                    step(here, C.Within(of, parts))
         except Stop:
             return True
     return False
@@ -221,29 +243,29 @@ def analyse(cat: C.Catalogue, todo: DataFrame, kernel: Callable[[DataFrame], Dat
     """kernel over the items of these ids: their features, or why there are none."""
     out = {"tried": 0, "failed": 0}
 
-    def step(ids: DataFrame) -> None:
-        results = kernel(cat.read_near("items", ids).join(ids, "id", "left_semi")).persist()
+    def step(ids: DataFrame, within: C.Within) -> None:
+        results = kernel(cat.read_near("items", ids, within).join(ids, "id", "left_semi")).persist()
         n = results.agg(F.count("*").alias("tried"), F.count_if(F.col("error").isNotNull()).alias("failed")).first()
-        cat.save_features(results)
+        cat.save_features(results, within)
         results.unpersist()
         out["tried"], out["failed"] = out["tried"] + n.tried, out["failed"] + n.failed
 
-    return out | ({"stopped": True} if _slices(todo, size, abort, step) else {})
+    return out | ({"stopped": True} if _slices(cat, todo, size, abort, step) else {})
 
 
 def find_faces(cat: C.Catalogue, todo: DataFrame, detect: Callable[[DataFrame], DataFrame], size: int = SLICE, abort: Abort | None = None) -> dict:
     """detect over the items of these ids: their faces; photos that failed stay unread."""
     out = {"read": 0}
 
-    def step(ids: DataFrame) -> None:
-        results = detect(cat.read_near("items", ids).join(ids, "id", "left_semi")).persist()
+    def step(ids: DataFrame, within: C.Within) -> None:
+        results = detect(cat.read_near("items", ids, within).join(ids, "id", "left_semi")).persist()
         read = results.filter("ok").select("photo_id").distinct()
         n = read.count()
-        cat.save_faces(results.filter("ok and vector is not null").select("id", "photo_id", "box", "score", "vector"), read)
+        cat.save_faces(results.filter("ok and vector is not null").select("id", "photo_id", "box", "score", "vector"), read, within)
         results.unpersist()
         out["read"] += n
 
-    return out | ({"stopped": True} if _slices(todo, size, abort, step) else {})
+    return out | ({"stopped": True} if _slices(cat, todo, size, abort, step) else {})
 
 
 def analyse_pending(cat: C.Catalogue, kernel: Callable[[DataFrame], DataFrame], limit: int | None = None, size: int = SLICE, abort: Abort | None = None) -> dict:

@@ -192,6 +192,31 @@ def test_passes_side_by_side_end_like_passes_in_turn(spark, tmp_path, cat, kerne
     assert key(cat) == key(plain)
 
 
+@pytest.mark.parametrize("parts, size", [(64, 30), (3, 30)])
+def test_each_slice_rewrites_its_own_parts_only(spark, tmp_path, kernel, parts, size):
+    cat = C.Catalogue(spark, f"file:{tmp_path}/of{parts}", parts=parts)
+    cat.upsert(rows_of(spark, [f"i{k}" for k in range(200)]).withColumn("url", F.lit("u")))
+    slices, touched, apply = [], [], cat._apply
+
+    def noting(table, near, merge):
+        touched.append((table, set(near(cat._state(table)[1]))))
+        return apply(table, near, merge)
+
+    def work(todo):
+        slices.append({r.id for r in todo.select("id").collect()})
+        return kernel(todo)
+
+    cat._apply = noting
+    assert ingest.analyse_pending(cat, work, size=size) == {"tried": 200, "failed": 1}
+    assert sum(map(len, slices)) == 200 and set().union(*slices) == {f"i{k}" for k in range(200)}
+    assert max(map(len, slices)) <= (size if parts == 64 else 1.7 * size)  # shares of a part are about as large
+    times = [sum(p in t for _, t in touched) for p in range(parts)]
+    assert max(times) == (1 if parts == 64 else 3) and len(touched) == len(slices) > 5
+    touched.clear()
+    assert ingest.scan_faces(cat, detect, size=size) == {"read": 199} and cat.counts() == {"items": 200, "faces": 199}
+    assert max(sum(p in t for table, t in touched if table == "items") for p in range(parts)) == max(times)
+
+
 def test_a_stop_in_a_slice_keeps_earlier_slices(spark, tmp_path, cat, kernel):
     cat.upsert(rows_of(spark, [f"i{k}" for k in range(40)]).withColumn("url", F.lit("u")))
     abort, calls = ingest.Abort(spark), []
