@@ -217,6 +217,23 @@ def test_each_slice_rewrites_its_own_parts_only(spark, tmp_path, kernel, parts,
     assert max(sum(p in t for table, t in touched if table == "items") for p in range(parts)) == max(times)
 
 
+def test_faces_of_a_slice_go_to_its_own_parts(spark, cat, kernel):
+    cat.upsert(rows_of(spark, [f"i{k}" for k in range(100)]).withColumn("url", F.lit("u")))
+    ingest.analyse_pending(cat, kernel)
+    touched, apply = [], cat._apply
+
+    def noting(table, near, merge):
+        touched.append((table, tuple(near(cat._state(table)[1]))))
+        return apply(table, near, merge)
+
+    cat._apply = noting
+    assert ingest.scan_faces(cat, detect, size=40) == {"read": 99} and cat.counts() == {"items": 100, "faces": 99}
+    for table in ("faces", "items"):
+        parts = [p for t, ps in touched if t == table for p in ps]
+        assert len(parts) == len(set(parts)) > 40  # each once, in one slice
+    assert [ps for t, ps in touched if t == "faces"] == [ps for t, ps in touched if t == "items"]
+
+
 def test_a_stop_in_a_slice_keeps_earlier_slices(spark, tmp_path, cat, kernel):
     cat.upsert(rows_of(spark, [f"i{k}" for k in range(40)]).withColumn("url", F.lit("u")))
     abort, calls = ingest.Abort(spark), []
